@@ -95,3 +95,25 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         h = mix64(h + words[i : len(words) - n + 1 + i]) * _P
     return np.unique(mix64(h))
+
+
+def text_blocks(batches, chars: int = 1_000_000):
+    """Batches of (id, text) as runs of whole rows of about `chars` characters: (id column slice, texts). A longer text stands alone."""
+    for b in batches:
+        texts = b.column(1).to_pylist()
+        start, held = 0, 0
+        for i, t in enumerate(texts):
+            if i > start and held + len(t) > chars:
+                yield b.column(0).slice(start, i - start), texts[start:i]
+                start, held = i, 0
+            held += len(t)
+        if start < len(texts):
+            yield b.column(0).slice(start), texts[start:]
+
+
+def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts, a space after each, and where each text starts, with the end of all as the last."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    at = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum([len(x) + 1 for x in raw], out=at[1:])
+    return np.frombuffer(b" ".join(raw) + b" ", np.uint8), at

@@ -9,6 +9,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortmill.llm.html import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortmill.llm.pii import find_pii
+
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortmill.llm.licenses import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -17,6 +35,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op8_byte_bpe": op8_byte_bpe}
+QUERIES = {
+    "op5_html_text": op5_html_text,
+    "op6_personal_data": op6_personal_data,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_license_scan": op9_license_scan,
+}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortmill.llm.ngram_join import ngram_join
+
+    return ngram_join(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortmill.llm.html import extract_pages
 
@@ -35,11 +41,27 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortmill.llm.mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "mix_epoch")
+
+
 QUERIES = {
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op5_html_text": op5_html_text,
     "op6_personal_data": op6_personal_data,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_license_scan": op9_license_scan,
+    "op10_source_mix": op10_source_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _oracles() -> dict[str, str]:
+    from cohortmill.llm.mixing import MIX_SQL
+
+    return {
+        "op10_source_mix": MIX_SQL.format(docs="documents", fraction=0.75, alpha=0.5, epochs=2, seed=7) + "SELECT doc_id, lang, source, CAST(unnest(range(n)) AS BIGINT) AS mix_epoch FROM n",
+    }
+
+
+ORACLE_SQL: dict[str, str] = _oracles()

@@ -15,6 +15,12 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op3_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortmill.llm.topk import threshold_topk
+
+    return threshold_topk(_table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, k=10)
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortmill.llm.html import extract_pages
 
@@ -49,6 +55,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_threshold_topk": op3_threshold_topk,
     "op5_html_text": op5_html_text,
     "op6_personal_data": op6_personal_data,
     "op8_byte_bpe": op8_byte_bpe,
@@ -58,8 +65,10 @@ QUERIES = {
 
 def _oracles() -> dict[str, str]:
     from cohortmill.llm.mixing import MIX_SQL
+    from cohortmill.llm.topk import TOPK_SQL
 
     return {
+        "op3_threshold_topk": TOPK_SQL,
         "op10_source_mix": MIX_SQL.format(docs="documents", fraction=0.75, alpha=0.5, epochs=2, seed=7) + "SELECT doc_id, lang, source, CAST(unnest(range(n)) AS BIGINT) AS mix_epoch FROM n",
     }
 

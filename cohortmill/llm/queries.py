@@ -39,6 +39,13 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortmill.llm.kneser_ney import fit_quality, score_quality, trusted_ids
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, trusted_ids(_table(spark, sf_dir, "labels"))))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,6 +65,7 @@ QUERIES = {
     "op3_threshold_topk": op3_threshold_topk,
     "op5_html_text": op5_html_text,
     "op6_personal_data": op6_personal_data,
+    "op7_kneser_ney": op7_kneser_ney,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_license_scan": op9_license_scan,
     "op10_source_mix": op10_source_mix,

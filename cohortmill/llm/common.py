@@ -49,16 +49,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = np.ones(1, np.uint64)
+_TABLES: list[np.ndarray] = []
 
 
-def powers(n: int) -> np.ndarray:
-    """_P to the powers 0 .. n-1, kept for the next call."""
-    global _POWERS
-    if len(_POWERS) < n:
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of _P and of its inverse modulo 2 ** 64, kept for the next call."""
+    if not _TABLES or len(_TABLES[0]) < n:
+        inverse = np.uint64(pow(int(_P), -1, 1 << 64))
+        size = max(n, 1 << 21)
         with np.errstate(over="ignore"):
-            _POWERS = np.cumprod(np.concatenate(([np.uint64(1)], np.full(max(n, 4096) - 1, _P, np.uint64))), dtype=np.uint64)
-    return _POWERS[:n]
+            _TABLES[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, x, np.uint64))), dtype=np.uint64) for x in (_P, inverse)]
+    return _TABLES
 
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -74,15 +75,15 @@ def word_spans(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, the same wherever the span stands."""
+    """A 64-bit hash of each span of bytes, the same wherever the span stands: differences of running sums of byte times power, moved to the origin."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    lens = ends - starts
-    at = np.repeat(starts, lens) + (np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens))
-    off = at - np.repeat(starts, lens)
-    v = (data[at].astype(np.uint64) + np.uint64(1)) * powers(int(lens.max()) + 1)[off]
-    h = np.add.reduceat(v, np.cumsum(lens) - lens)
-    return mix64(h ^ (lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    with np.errstate(over="ignore"):
+        up, down = _powers(len(data) + 1)
+        run = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=run[1:])
+        h = (run[ends] - run[starts]) * down[starts]
+        return mix64(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:

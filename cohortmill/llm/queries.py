@@ -21,6 +21,12 @@ def op3_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_topk(_table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, k=10)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortmill.llm.line_dedup import line_dedup
+
+    return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortmill.llm.html import extract_pages
 
@@ -63,6 +69,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_threshold_topk": op3_threshold_topk,
+    "op4_line_dedup": op4_line_dedup,
     "op5_html_text": op5_html_text,
     "op6_personal_data": op6_personal_data,
     "op7_kneser_ney": op7_kneser_ney,

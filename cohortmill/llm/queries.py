@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortmill.llm.fingerprints import version_fingerprints
+
+    return version_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortmill.llm.ngram_join import ngram_join
 
@@ -67,6 +73,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_iblt_fingerprints": op1_iblt_fingerprints,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_threshold_topk": op3_threshold_topk,
     "op4_line_dedup": op4_line_dedup,

@@ -79,7 +79,7 @@ def mix_sources(docs: DataFrame, fraction: float = 0.75, alpha: float = 0.5, max
 
     on = lambda d: [d["_" + k].eqNullSafe(F.col("l_" + k)) for k in LEVELS]
     keyed = small.join(plan, on(small)).where("rest > 0").select(*("l_" + k for k in LEVELS), "rest", "tokens", _key(seed, F.col("whole"), F.col("_id")).alias("key"))
-    keyed = keyed.withColumn("bucket", F.substring("key", 1, 4))
+    keyed = keyed.withColumn("bucket", F.substring("key", 1, 3))
     leaf = ["l_" + k for k in LEVELS]
     buckets = keyed.groupBy(*leaf, "rest", "bucket").agg(F.sum("tokens").alias("t"))
     buckets = buckets.withColumn("upto", F.sum("t").over(W.partitionBy(*leaf).orderBy("bucket")))

@@ -24,6 +24,7 @@ _IS_WORD = np.ones(256, bool)
 _IS_WORD[0x20] = False
 _IS_WORD[0x09:0x0E] = False
 BITS = 8  # words of 64 bits in a parity bitmap
+WIDE_BITS, WIDE_FROM = 8192, 1000  # of the second bitmap, which sets of so many shingles get
 
 
 def _sets(texts: list[str], n: int) -> list[np.ndarray]:
@@ -43,9 +44,9 @@ def _node(s: np.ndarray) -> int:
         return int(mix64(np.uint64([int(np.add.reduce(mix64(s))) ^ len(s)]))[0].astype(np.int64))
 
 
-def _bitmap(s: np.ndarray) -> np.ndarray:
+def _bitmap(s: np.ndarray, bits: int = 64 * BITS) -> np.ndarray:
     """The parity of the number of shingles that fall on each bit: each difference between two sets flips one bit."""
-    return np.packbits((np.bincount((s >> np.uint64(17)).astype(np.int64) % (64 * BITS), minlength=64 * BITS) & 1).astype(np.uint8)).view(np.int64)
+    return np.packbits((np.bincount((s >> np.uint64(17)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
 def _frequent(docs: DataFrame, n: int, sample_docs: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +71,7 @@ def _frequent(docs: DataFrame, n: int, sample_docs: int, most: int) -> tuple[np.
 
 
 def _signatures(docs: DataFrame, n: int, num: int, den: int, frequent) -> DataFrame:
-    """doc_id, rid, n_shingles, node, prefix, bitmap of each row."""
+    """doc_id, rid, n_shingles, node, prefix, bitmap, wide of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, count = frequent.value
@@ -80,13 +81,14 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int, frequent) -> DataFr
             for rid, texts in text_blocks(iter([b.select([1, 2])])):
                 ids = b.column(0).slice(start, len(texts))
                 start += len(texts)
-                sizes, nodes, prefixes, bitmaps = [], [], [], []
+                sizes, nodes, prefixes, bitmaps, wide = [], [], [], [], []
                 for s in _sets(texts, n):
                     sizes.append(len(s))
                     if not len(s):
                         nodes.append(None)
                         prefixes.append([])
                         bitmaps.append([0] * BITS)
+                        wide.append(None)
                         continue
                     p = len(s) - -(-num * len(s) // den) + 1
                     first = s[:p]
@@ -98,11 +100,12 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int, frequent) -> DataFr
                     nodes.append(_node(s))
                     prefixes.append(first.view(np.int64))
                     bitmaps.append(_bitmap(s))
-                yield pa.RecordBatch.from_arrays([ids, rid, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.list_(pa.int64()))], ["doc_id", "rid", "n_shingles", "node", "prefix", "bitmap"])
+                    wide.append(_bitmap(s, WIDE_BITS).tobytes() if len(s) >= WIDE_FROM else None)
+                yield pa.RecordBatch.from_arrays([ids, rid, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.list_(pa.int64())), pa.array(wide, pa.binary())], ["doc_id", "rid", "n_shingles", "node", "prefix", "bitmap", "wide"])
                 assert id_type == ids.type
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "rid", "text").mapInArrow(run, f"doc_id {kind}, rid long, n_shingles long, node long, prefix array<long>, bitmap array<long>")
+    return docs.select("doc_id", "rid", "text").mapInArrow(run, f"doc_id {kind}, rid long, n_shingles long, node long, prefix array<long>, bitmap array<long>, wide binary")
 
 
 def _may_link(num: int, den: int):
@@ -113,6 +116,22 @@ def _may_link(num: int, den: int):
     return (F.lit(den) * low >= F.lit(num) * high) & ((num + den) * (F.col("na") + F.col("nb") - differ) >= 2 * num * (F.col("na") + F.col("nb")))
 
 
+def _close(pairs: DataFrame, one: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that the wide bitmaps of long sets do not rule out either."""
+    w = lambda x: one.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for na, nb, wa, wb in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5))):
+                differ = 0 if wa is None or wb is None else int(np.bitwise_count(np.frombuffer(wa, np.uint64) ^ np.frombuffer(wb, np.uint64)).sum())
+                keep.append((num + den) * (na + nb - differ) >= 2 * num * (na + nb))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    full = pairs.join(w("a"), "a").join(w("b"), "b").select("a", "b", "na", "nb", "wa", "wb")
+    return full.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes that link, by the exact overlap of their sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -172,6 +191,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sampl
 
     star = entries.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     pairs = materialise(star.join(side("a"), "a").join(side("b"), "b").where(_may_link(num, den)).select("a", "b"))
+    pairs = materialise(_close(pairs, one, num, den))
     links = materialise(_verified(pairs, d, nodes, n, num, den))
     roots = connected_components(links)
 
@@ -188,6 +208,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sampl
 
     cross = tiled("a").join(tiled("b"), ["s", "ta", "tb"]).where((F.col("roota") != F.col("rootb")) & ((F.col("ta") < F.col("tb")) | (F.col("a") < F.col("b"))) & _may_link(num, den))
     pairs2 = materialise(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs2 = materialise(_close(pairs2, one, num, den))
     links2 = _verified(pairs2, d, nodes, n, num, den)
     roots = connected_components(links.unionByName(links2))
 

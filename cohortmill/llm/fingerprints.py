@@ -82,7 +82,7 @@ def _bucketed(df: DataFrame, key: str) -> DataFrame:
     return spark.table(name)
 
 
-def likeness(pairs: DataFrame, sizes: tuple[int, ...] = (32, 256, 2048, 16384, 131072), turns: int = 15) -> DataFrame:
+def likeness(pairs: DataFrame, sizes: tuple[int, ...] = (64, 512, 4096, 32768), turns: int = 15) -> DataFrame:
     """key, which, likeness: shared digests as a part of all digests of both, from what peeling recovers.
 
     `pairs` has key, which and digest arrays a and b, and is bucketed by key. Equal sets, two empty ones too, are 1. The
@@ -97,10 +97,12 @@ def likeness(pairs: DataFrame, sizes: tuple[int, ...] = (32, 256, 2048, 16384, 1
         shared = (F.col("total") - F.col("found")) / 2
         good = peeled.where("left = 0").select("key", "which", F.when(F.col("total") == 0, F.lit(1.0)).otherwise(shared / (shared + F.col("found"))).alias("likeness"))
         done = good if done is None else done.unionByName(good)
-        failed = peeled.where("left > 0").select("key", "which")
+        failed = peeled.where("left > 0")
         if failed.isEmpty():
             return done
-        todo = pairs.join(failed, ["key", "which"], "left_semi")
+        # dealt out as `pairs` is, so neither the digests nor later their cells are shuffled
+        failed = _bucketed(failed.groupBy("key").agg(F.collect_set("which").alias("again")), "key")
+        todo = _bucketed(todo.join(failed, "key").where(F.array_contains("again", F.col("which"))).drop("again"), "key")
         level += 1
 
 

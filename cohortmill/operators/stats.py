@@ -156,14 +156,15 @@ def bh_qvalues(df: DataFrame, family: Sequence[str], p: str = "p_value", q: str
     d = d.withColumn("_b", F.when(F.col(p) > 0, F.floor(F.ln(p) * 100)).otherwise(F.lit(-1_000_000)).cast("long"))
     ranges = d.groupBy(*fam, "_b").agg(F.sum("_c").alias("_n"))
     over = W.partitionBy(*fam)
+    named = lambda frame, cols, tag: frame.withColumnsRenamed({c: f"{tag}{c}" for c in cols})
+    same = lambda cols, tag: [F.col(c).eqNullSafe(F.col(f"{tag}{c}")) for c in cols]
     ranges = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(over.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_m", F.sum("_n").over(over))
-    same = lambda a, b, cols: [a[c].eqNullSafe(b[c]) for c in cols]
-    d = d.join(ranges, same(d, ranges, [*fam, "_b"])).select(*(d[c] for c in d.columns), "_before", "_m")
+    d = d.join(named(ranges.drop("_n"), [*fam, "_b"], "_x_"), same([*fam, "_b"], "_x_")).drop(*(f"_x_{c}" for c in [*fam, "_b"]))
     inside = W.partitionBy(*fam, "_b")
     d = d.withColumn("_raw", F.col(p) * F.col("_m") / (F.col("_before") + F.sum("_c").over(inside.orderBy(p))))
     d = d.withColumn("_least", F.min("_raw").over(inside.orderBy(F.desc(p))))
     least = d.groupBy(*fam, "_b").agg(F.min("_raw").alias("_low"))
     least = least.withColumn("_later", F.min("_low").over(over.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1))).drop("_low")
-    d = d.join(least, same(d, least, [*fam, "_b"])).select(*(d[c].alias(f"_k_{c}") for c in [*fam, p]), F.least("_least", F.coalesce("_later", "_least"), F.lit(1.0)).alias(q))
-    on = [df[c].eqNullSafe(d[f"_k_{c}"]) for c in fam] + [df[p] == d[f"_k_{p}"]]
-    return df.join(d, on, "left").select(*(df[c] for c in df.columns), q)
+    d = d.join(named(least, [*fam, "_b"], "_y_"), same([*fam, "_b"], "_y_"))
+    d = d.select(*(F.col(c).alias(f"_k_{c}") for c in [*fam, p]), F.least("_least", F.coalesce("_later", "_least"), F.lit(1.0)).alias(q))
+    return df.join(d, [*same(fam, "_k_"), F.col(p) == F.col(f"_k_{p}")], "left").select(*df.columns, q)

@@ -56,7 +56,7 @@ def _powers(n: int) -> list[np.ndarray]:
     """The first n powers of _P and of its inverse modulo 2 ** 64, kept for the next call."""
     if not _TABLES or len(_TABLES[0]) < n:
         inverse = np.uint64(pow(int(_P), -1, 1 << 64))
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         with np.errstate(over="ignore"):
             _TABLES[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, x, np.uint64))), dtype=np.uint64) for x in (_P, inverse)]
     return _TABLES
@@ -98,7 +98,7 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(mix64(h))
 
 
-def text_blocks(batches, chars: int = 1_000_000):
+def text_blocks(batches, chars: int = 300_000):
     """Batches of (id, text) as runs of whole rows of about `chars` characters: (id column slice, texts). A longer text stands alone."""
     for b in batches:
         texts = b.column(1).to_pylist()

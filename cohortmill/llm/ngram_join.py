@@ -49,21 +49,29 @@ def _bitmap(s: np.ndarray, bits: int = 64 * BITS) -> np.ndarray:
     return np.packbits((np.bincount((s >> np.uint64(17)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _frequent(docs: DataFrame, n: int, sample_docs: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that at least two documents of a sample hold, and how many do; at most `most` of them. Only an order is made from it."""
+def _frequent(docs: DataFrame, n: int, share: float, sample_docs: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are not rare, and about how many documents hold each; at most `most` of them. Only an order is made from it.
+
+    The hashes below `share`, from which the first entries are taken, are counted in `sample_docs` / `share` documents, the others in
+    an eighth of `sample_docs`.
+    """
     total = docs.count()
-    if not total:
+    if not total or not sample_docs:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    part = docs.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_docs / total)))
+    parts = (min(1.0, sample_docs / share / total), min(1.0, sample_docs / 8 / total))
+    limit = np.uint64(int(share * (2**64 - 1)))
+    drawn = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_blocks(batches):
-            s = [x for x in _sets(texts, n) if len(x)]
-            if s:
-                h, c = np.unique(np.concatenate(s), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["h", "c"])
-
-    counted = part.select("rid", "text").dropDuplicates(["rid"]).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
+        for few, texts in text_blocks(batches):
+            s = _sets(texts, n)
+            s = [x if f else x[: np.searchsorted(x, limit)] for x, f in zip(s, few.to_pylist())]
+            h, c = np.unique(np.concatenate(s), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64()), pa.array(h >= limit)], ["h", "c", "high"])
+
+    texts = docs.where(drawn < int(1_000_000 * max(parts))).select("rid", "text").dropDuplicates(["rid"])
+    counted = texts.select(drawn < int(1_000_000 * parts[1]), "text").mapInArrow(run, "h long, c long, high boolean").groupBy("h", "high").agg(F.sum("c").alias("c")).where("c > 1")
+    counted = counted.select("h", F.when(F.col("high"), F.col("c") / parts[1]).otherwise(F.col("c") / parts[0]).cast("long").alias("c"))
     t = counted.orderBy(F.desc("c"), "h").limit(most).toArrow()
     h, c = t.column("h").to_numpy().view(np.uint64), t.column("c").to_numpy()
     o = np.argsort(h)
@@ -116,9 +124,8 @@ def _may_link(num: int, den: int):
     return (F.lit(den) * low >= F.lit(num) * high) & ((num + den) * (F.col("na") + F.col("nb") - differ) >= 2 * num * (F.col("na") + F.col("nb")))
 
 
-def _close(pairs: DataFrame, one: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that the wide bitmaps of long sets do not rule out either."""
-    w = lambda x: one.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
+def _close(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Of (a, b, na, nb, wa, wb) the pairs (a, b) that the wide bitmaps of long sets do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,8 +135,7 @@ def _close(pairs: DataFrame, one: DataFrame, num: int, den: int) -> DataFrame:
                 keep.append((num + den) * (na + nb - differ) >= 2 * num * (na + nb))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    full = pairs.join(w("a"), "a").join(w("b"), "b").select("a", "b", "na", "nb", "wa", "wb")
-    return full.mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -161,7 +167,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num:
     return full.select("a", "b", "ma", "mb").mapInArrow(overlap, "a long, b long")
 
 
-def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sample_docs: int = 16_384, most_frequent: int = 500_000, tile: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sample_docs: int = 13_000, most_frequent: int = 1_000_000, tile: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row: documents link when den * overlap >= num * union of their shingle sets.
 
     Words are runs other than ASCII white space with A-Z in lower case; a shingle is n consecutive words, and a shorter
@@ -176,7 +182,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sampl
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("text"))
-    frequent = spark.sparkContext.broadcast(_frequent(d, n, sample_docs, most_frequent))
+    frequent = spark.sparkContext.broadcast(_frequent(d, n, min(1.0, 2 * (1 - num / den)), sample_docs, most_frequent))
     sig = materialise(_signatures(d, n, num, den, frequent))
     nodes = sig.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.min("n_shingles").alias("size"), F.min("doc_id").alias("min_id"))
     nodes = materialise(nodes)
@@ -187,17 +193,17 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sampl
     words = [F.col("bitmap")[i] for i in range(BITS)]
 
     def side(x: str) -> DataFrame:
-        return one.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), *(w.alias(f"w{x}{i}") for i, w in enumerate(words)))
+        return one.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("wide").alias(f"w{x}"), *(w.alias(f"w{x}{i}") for i, w in enumerate(words)))
 
     star = entries.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = materialise(star.join(side("a"), "a").join(side("b"), "b").where(_may_link(num, den)).select("a", "b"))
-    pairs = materialise(_close(pairs, one, num, den))
+    pairs = materialise(_close(star.join(side("a"), "a").join(side("b"), "b").where(_may_link(num, den)), num, den))
     links = materialise(_verified(pairs, d, nodes, n, num, den))
-    roots = connected_components(links)
+    # what links to one leader is joined already; chains of leaders are left to the end
+    roots = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
     marked = entries.join(roots, "node", "left").select("s", "block", "node", F.coalesce("root", "node").alias("root"))
     mixed = marked.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("s")
-    rest = marked.join(mixed, "s", "left_semi").join(side("node"), "node")
+    rest = marked.join(mixed, "s", "left_semi").join(side("node").drop("wnode"), "node")
     rest = rest.withColumn("tiles", F.ceil(F.col("block") / tile)).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")))
     rest = materialise(rest)
 
@@ -207,8 +213,8 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sampl
         return r.withColumnsRenamed({"t": "ta", "u": "tb"} if x == "a" else {"t": "tb", "u": "ta"})
 
     cross = tiled("a").join(tiled("b"), ["s", "ta", "tb"]).where((F.col("roota") != F.col("rootb")) & ((F.col("ta") < F.col("tb")) | (F.col("a") < F.col("b"))) & _may_link(num, den))
-    pairs2 = materialise(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    pairs2 = materialise(_close(pairs2, one, num, den))
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs2 = materialise(_close(cross.join(side("a"), "a").join(side("b"), "b"), num, den))
     links2 = _verified(pairs2, d, nodes, n, num, den)
     roots = connected_components(links.unionByName(links2))
 

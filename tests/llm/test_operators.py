@@ -1,0 +1,409 @@
+"""The numbered operators against brute force, and their edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, texts, **more):
+    rows = [(i, t, more.get("lang", "en"), f"src{i % 3}", len(t or "")) for i, t in (texts.items() if isinstance(texts, dict) else enumerate(texts))]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice(["th", "an", "er", "in", "é", "on"]) for _ in range(rng.randint(1, 4))) + rng.choice(["", "", "", ".", ","]) for _ in range(n))
+
+
+EDGE = {0: None, 1: "", 2: " \n\t ", 3: "word", 4: "Word", 5: prose(1, 30), 6: prose(1, 30), 7: prose(1, 30).upper(), 8: prose(2, 20_000), 9: "a" * 50_000}
+
+
+# ---- 1 ------------------------------------------------------------------------------------------------------------
+
+
+def pieces(t):
+    return {p for p in re.split(r"\n+|(?<=[.!?]) +", t) if p}
+
+
+def test_fingerprints(spark):
+    from cohortmill.llm.fingerprints import version_fingerprints
+
+    texts = EDGE | {10: "One. Two. Three.", 11: "One. Two. Three.", 12: "\n".join(f"line {i}" for i in range(900))}
+    df = frame(spark, texts)
+    out = version_fingerprints(df.union(df.where("doc_id = 5"))).collect()
+    assert len(out) == len(texts) + 1
+    got = {r["doc_id"]: r for r in out}
+    ids = sorted(texts, reverse=True)
+    like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+    for i, x in enumerate(ids):
+        t, nxt = texts[x] or "", texts[ids[(i + 1) % len(ids)]] or ""
+        k = len(t) // 3
+        e = t[: len(t) - k] + nxt[:k]
+        r = got[x]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert r["near_edited"] == pytest.approx(like(pieces(t), pieces(e))) and r["near_next"] == pytest.approx(like(pieces(t), pieces(nxt)))
+    assert got[10]["fingerprint"] == got[11]["fingerprint"] != got[5]["fingerprint"]
+    assert version_fingerprints(df.limit(0)).count() == 0
+    one = version_fingerprints(spark.createDataFrame([(None, "abcdef", 1)], "doc_id long, text string, key int")).collect()[0]
+    assert one["doc_id"] is None and one["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and one["near_next"] == 1.0
+
+
+# ---- 2 ------------------------------------------------------------------------------------------------------------
+
+
+def components(texts, n, num):
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m.group().lower(), t or ""))
+        sets[i] = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize(("n", "num", "tile"), [(3, 90, 256), (5, 80, 3)])
+def test_ngram_join(spark, n, num, tile):
+    from cohortmill.llm.ngram_join import ngram_join
+
+    rng = random.Random(n)
+    texts, base = dict(EDGE), prose(9, 120).split()
+    for i in range(20, 60):  # near copies of one text, at all distances
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = "other" + str(rng.randint(0, 9))
+        texts[i] = " ".join(w)
+    for i in range(60, 90):  # a passage that many share
+        texts[i] = prose(i, rng.randint(0, 60)) + " the passage that stands in many of these texts " + prose(100 + i, 5)
+    long = prose(3, 1500).split()
+    for i in range(90, 94):
+        texts[i] = " ".join([*long[: 1500 - 40 * (i - 90)], *prose(i, 40 * (i - 90)).split()])
+    df = frame(spark, texts)
+    got = ngram_join(df.union(df.where("doc_id < 25")), n, num, 100, tile=tile).collect()
+    assert len(got) == len(texts) + sum(i < 25 for i in texts)
+    want = components(texts, n, num)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    if n == 5:
+        assert ngram_join(df.limit(0)).count() == 0
+        assert ngram_join(df.where("doc_id < 2")).count() == 2
+    else:  # without any sample the order is by hash alone, and the result the same
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join(df, n, num, 100, sample_docs=0).collect()} == want
+
+
+def test_components_of_a_chain(spark):
+    from cohortmill.llm.components import connected_components
+
+    links = [(i, i + 1) for i in range(40)] + [(1000, 1001), (1000, 1000), (None, 3)]
+    out = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert out == {i: 0 for i in range(41)} | {1000: 1000, 1001: 1000}
+
+
+# ---- 3 ------------------------------------------------------------------------------------------------------------
+
+
+def test_threshold_topk(spark):
+    from cohortmill.llm.topk import threshold_topk
+
+    rng = np.random.default_rng(1)
+    vectors = {i: [float(x) for x in rng.normal(size=8)] for i in range(400)}
+    vectors |= {i: [0.5] * 8 for i in range(400, 460)} | {460: None, 461: [None] * 8, 462: [float("nan")] * 8, 463: [float("inf")] * 8, 500: [0.0] * 8, 600: [1e12] * 8, 601: [-1e12] * 8}
+    df = spark.createDataFrame([(i, v, 7) for i, v in vectors.items()], "vec_id long, embedding array<double>, score int")
+    got = defaultdict(list)
+    for r in threshold_topk(df.union(df.where("vec_id = 100")), lambda i: i % 100 == 0, 10, block_rows=64, query_rows=2).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v in vectors.items() if v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    for q in (i for i in whole if i % 100 == 0):
+        s = sorted(((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q))[:10]
+        s = [(i, -x) for x, i in s]
+        assert [x for x in got[q] if abs(x[1]) < 2**63] == [x for x in s if abs(x[1]) < 2**63]
+    assert set(got) == {i for i in whole if i % 100 == 0}
+    assert threshold_topk(df.limit(0), lambda i: i % 100 == 0).count() == 0
+    assert threshold_topk(df.where("vec_id = 0"), lambda i: i % 100 == 0).count() == 0
+
+
+# ---- 4 ------------------------------------------------------------------------------------------------------------
+
+
+def test_line_dedup(spark):
+    from cohortmill.llm.line_dedup import chunks, line_dedup
+
+    part = "\n".join(prose(50 + i, 14) for i in range(9))
+    texts = EDGE | {20: prose(4, 60) + "\n" + part + "\n" + prose(5, 60), 21: prose(6, 33) + "\n" + part, 22: part + "\n" + part, 23: "Ünï. Cödé.\r\nüber\n" * 4}
+    df = frame(spark, texts)
+    got = {r["doc_id"]: r for r in line_dedup(df).collect()}
+    seen, removed = set(), 0
+    for i in sorted(texts):
+        raw, [(a, z, _, u)] = chunks([texts[i] or ""])
+        assert b"".join(raw[x:y] for x, y in zip(a, z)).decode() == (texts[i] or "")
+        kept = []
+        for x, y, n in zip(a, z, u):
+            c = raw[x:y]
+            if n >= 2 and len(c) >= 60:
+                if c in seen:
+                    removed += 1
+                    continue
+                seen.add(c)
+            kept.append(c)
+        assert got[i]["text"] == (None if texts[i] is None else b"".join(kept).decode())
+    assert removed >= 4 and got[21]["n_removed"] > 0 and got[0]["text"] is None
+    assert set(df.columns) < set(line_dedup(df).columns)
+    assert line_dedup(df.limit(0)).count() == 0
+    twice = line_dedup(df.where("doc_id = 20").union(df.where("doc_id = 20"))).collect()
+    assert [r["text"] for r in twice] == [texts[20]] * 2
+
+
+# ---- 5 ------------------------------------------------------------------------------------------------------------
+
+
+def test_html_text(spark):
+    from cohortmill.llm.html import extract_pages, label, blocks_of, main_text, min_cut
+
+    page = """<html><head><title>T</title><style>p{}</style></head><body><header class="site">Logo</header><nav><a href=x>Home</a></nav><div id="cookie-notice">We use cookies, and this is a long text that says so in many words.</div>
+      <main><h1>Head &amp; more</h1><p>One&nbsp;two   three<br>four<p>Short.<div class=ad>Buy</div><aside>Also</aside><ul><li>item</ul><form>Name <input></form><script>var x="<p>no</p>"</script>
+      <section class="comments"><article><p>A reader says a lot of things here, long enough to look like content of its own.</p></article></section></main><footer>foot</footer>"""
+    assert main_text(page) == "Head & more\nOne two three four\nShort.\nitem"
+    rows = [(0, "u", page), (1, None, None), (2, "v", ""), (3, "w", "<nav>only</nav>"), (4, "x", "<article>" + "<p>x y z</p>" * 3000), (0, "u", page)]
+    out = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [(r["page_id"], r["n_chars"]) for r in out] == [(0, len(main_text(page))), (1, 0), (2, 0), (3, 0), (4, 3000 * 6 - 1), (0, len(main_text(page)))]
+    assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert label(blocks_of("")) == []
+    rng = random.Random(2)
+    for _ in range(60):  # against all cuts
+        n = rng.randint(1, 7)
+        s, t = [rng.choice([0, rng.random() * 3]) for _ in range(n)], [rng.choice([0, rng.random() * 3]) for _ in range(n)]
+        e = [(i, j, rng.random()) for i in range(n) for j in range(i) if rng.random() < 0.5]
+        cost = lambda m: sum(s[i] for i in range(n) if not m >> i & 1) + sum(t[i] for i in range(n) if m >> i & 1) + sum(w for i, j, w in e if (m >> i ^ m >> j) & 1)
+        side = min_cut(s, t, e)
+        assert cost(sum(x << i for i, x in enumerate(side))) == pytest.approx(min(map(cost, range(1 << n))))
+
+
+# ---- 6 ------------------------------------------------------------------------------------------------------------
+
+
+def brute_spans(t):
+    from cohortmill.llm.pii import luhn
+
+    out = [(m.start(), m.end(), 0, "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), m.end(), 1, "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if max(map(int, m.group().split("."))) <= 255]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m.group())
+        if 12 <= len(d) <= 19 and luhn(d):
+            out.append((m.start(), m.end(), 2, "card"))
+    out += [(m.start(), m.end(), 3, "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return [(a, b, k) for a, b, _, k in sorted(out, key=lambda x: (x[0], x[2]))]
+
+
+def test_pii(spark):
+    from cohortmill.llm.pii import base_spans, find_pii, marginals
+
+    rng = random.Random(1)
+    for _ in range(4000):
+        t = "".join(rng.choice("a1.2@+-( )b0%é9") for _ in range(rng.randint(0, 40)))
+        assert base_spans(t) == brute_spans(t)
+    # loopy passing is exact on a tree
+    nodes, edges, pots = np.random.default_rng(0).normal(size=(3, 2)), np.array([[0, 1], [1, 2]]), np.random.default_rng(1).normal(size=(2, 2, 2))
+    joint = np.exp(nodes[0][:, None, None] + nodes[1][None, :, None] + nodes[2][None, None, :] + pots[0][:, :, None] + pots[1][None, :, :])
+    want = np.stack([joint.sum((1, 2)), joint.sum((0, 2)), joint.sum((0, 1))]) / joint.sum()
+    assert np.allclose(marginals(nodes, edges, pots, 60), want, atol=1e-6)
+    card = "4539578763621486"
+    texts = EDGE | {20: f"mail me.x@mail.example.com and 10.0.0.1 and {card} or +1 (974) 555-3436 now", 21: 'token = "' + "ab12" * 10 + '" and again ' + "ab12" * 10, 22: "version 2.0 of 1999, page 7"}
+    df = frame(spark, texts)
+    got = {r["doc_id"]: r for r in find_pii(df).collect()}
+    for i, t in texts.items():
+        b = brute_spans(t or "")
+        assert [got[i][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(x[2] == k for x in b) for k in ("email", "ip", "card", "phone")]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{z}" for a, z, k in b).encode()).hexdigest()
+        assert {f"{k}:{a}:{z}" for a, z, k in b} <= set(got[i]["spans"].split(","))
+    assert got[22]["spans"] == "" and got[20]["n_card"] == 1 and got[0]["spans"] == ""
+    assert find_pii(df.limit(0)).count() == 0
+
+
+# ---- 7 ------------------------------------------------------------------------------------------------------------
+
+
+def slow_kneser_ney(texts, order):
+    """Probabilities by the definition, from plain dictionaries."""
+    from cohortmill.llm.kneser_ney import symbols
+
+    levels = []
+    counts = Counter()
+    for t in texts:
+        s = [0] * (order - 1) + symbols(t).tolist()
+        counts.update(tuple(s[i : i + order]) for i in range(len(s) - order + 1))
+    for n in range(order, 0, -1):
+        k = Counter(counts.values())
+        y = k[1] / (k[1] + 2 * k[2]) if k[1] + k[2] else None
+        d = [0, *(0.5 if y is None or not k[i] else max(0.05, min(i - 0.05, i - (i + 1) * y * k[i + 1] / max(k[i], 1))) for i in (1, 2, 3))]
+        by = defaultdict(dict)
+        for g, c in counts.items():
+            by[g[:-1]][g[-1]] = c
+        levels.append((d, by))
+        nxt = Counter()
+        for g in counts:
+            nxt[g[1:]] += 1
+        counts = nxt
+
+    def p(g):
+        if not g:
+            return 1 / 64
+        d, by = levels[order - len(g)]
+        seen = by.get(g[:-1])
+        if not seen:
+            return p(g[1:])
+        total = sum(seen.values())
+        c = seen.get(g[-1], 0)
+        return (c - d[min(c, 3)] if c else 0.0) / total + sum(d[min(x, 3)] for x in seen.values()) / total * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney(spark):
+    from cohortmill.llm.kneser_ney import codes, filter_quality, fit_quality, load_models, count_ngrams, model_tables, score_quality, trusted_ids
+
+    clean = {i: prose(i, 150) for i in range(60)}
+    junk = {100 + i: " ".join(w.upper() + "!!" for w in prose(300 + i, 150).split()) for i in range(5)}
+    df = frame(spark, clean | junk | {200: None, 201: "", 202: "there"})  # letters that the toy corpus has
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)] + [(3, 1, 0), (49, 1, 1), (100, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    ids = trusted_ids(labels)
+    assert ids.where("doc_id = 49").count() == 0
+    q = fit_quality(df, ids, order=3)
+    got = {r["doc_id"]: r for r in score_quality(df, q).collect()}
+    assert [i for i in [*clean, 200, 201, 202] if not got[i]["keep"]] == [] and not any(got[i]["keep"] for i in junk)
+    p = slow_kneser_ney([clean[i] for i in range(49)], 3)
+    for i in (3, 55, 101):
+        t = clean.get(i) or junk[i]
+        h = -sum(np.log(p((g >> 12, g >> 6 & 63, g & 63))) for g in codes(t, 3).tolist()) / len(t)
+        assert np.log(got[i]["perplexity"]) == pytest.approx(h, abs=1e-4)
+    for ctx in [(a, b) for a in (0, 1, 5, 30) for b in (0, 8, 20)]:
+        assert sum(p((*ctx, w)) for w in range(64)) == pytest.approx(1.0)
+    kept = filter_quality(df, q)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["keep"]}
+    none = fit_quality(df, ids.limit(0))
+    assert all(r["keep"] and r["perplexity"] is None for r in score_quality(df, none).collect())
+    assert score_quality(df.limit(0), q).count() == 0
+    assert load_models(model_tables(count_ngrams(df.limit(0), 3), 3), 3) == {}
+
+
+# ---- 8 ------------------------------------------------------------------------------------------------------------
+
+
+def test_bpe(spark):
+    import public_tokenizers as P
+    import tiktoken
+
+    from cohortmill.llm.bpe import Codec, bpe_decode, bpe_digests, bpe_encode, load_ranks, merge_by_rank
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = load_ranks(path)
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    c = Codec(path, P.PATTERN)
+    rng = random.Random(4)
+    for _ in range(3000):
+        t = "".join(rng.choice("abc 'sXé \t\n\n  12٣中文字🙂.,!?-_\x1c\x85ßllre") for _ in range(rng.randint(0, 30)))
+        ids = c.encode(t)
+        assert ids == ref.encode_ordinary(t) and c.decode(ids, 3) == t
+    inv = list(c.fst.bytes_of)
+    for _ in range(3000):
+        a, b = rng.choice(inv), rng.choice(inv)
+        x, y = c.fst.bytes_of[a], c.fst.bytes_of[b]
+        assert c.fst.seam_holds(a, b) == (merge_by_rank(x + y, ranks) == [x, y])
+    texts = EDGE | {20: "x <|endoftext|> y", 21: "é" * 3000, 22: "🙂" * 2000 + "ab" * 5000}
+    df = frame(spark, texts)
+    for r in bpe_digests(df, path, P.PATTERN).collect():
+        t = texts[r["doc_id"]] or ""
+        ids = ref.encode_ordinary(t)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    back = bpe_decode(bpe_encode(df, path, P.PATTERN), path, P.PATTERN).collect()
+    assert {r["doc_id"]: r["text"] for r in back} == {i: t or "" for i, t in texts.items()}
+    assert bpe_digests(df.limit(0), path, P.PATTERN).count() == 0
+
+
+# ---- 9 ------------------------------------------------------------------------------------------------------------
+
+
+def test_licenses(spark):
+    from cohortmill.llm.licenses import BASE_PHRASES, Automaton, license_scan
+
+    texts = EDGE | {
+        20: "Released under the MIT License. under-the mit LICENSE", 21: "Licensed under the Apache License, Version 2.0.", 22: "CC BY-NC CC BY-NC 4.0", 23: "This work is licensed under the terms of the GNU General Public License, version 3.",
+        24: "Permission is hereby granted, free of charge, to any person obtaining a copy of this fine software and associated documentation files, to deal in the Software without restriction", 25: "under the mit licenseé",
+    }
+    df = frame(spark, texts)
+    got = {r["doc_id"]: r for r in license_scan(df).collect()}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m.group().lower(), t or ""))
+        at = [(j, lab) for p, lab in BASE_PHRASES for j in range(len(w)) if w[j : j + len(p.split())] == p.split()]
+        places = [j for j, _ in at]
+        assert (got[i]["n_words"], got[i]["n_base"], got[i]["first_word"], got[i]["last_word"]) == (len(w), len(at), min(places, default=None), max(places, default=None))
+        assert got[i]["base_labels"] == ",".join(sorted({x for _, x in at})) and 0 <= got[i]["score"] <= 1
+    assert [got[i]["labels"] for i in (20, 21, 22, 23, 24, 25)] == ["mit", "apache-2", "cc-by-nc", "gpl-3", "mit", ""]
+    a = Automaton("x", "one <<opt>>or two<<end>> <<any 2>> end")
+    assert [a.match(s.encode().split(), 0)[0] for s in ("one end", "one or two end", "one or end", "one a b end", "one a b c end", "one or two a b end", "one")] == [2, 4, 3, 4, -1, 6, -1]
+    assert license_scan(df.limit(0)).count() == 0
+
+
+# ---- 10 -----------------------------------------------------------------------------------------------------------
+
+
+def test_mixing(spark):
+    import duckdb
+
+    from cohortmill.llm.mixing import MIX_SQL, mix_sources
+
+    rng = random.Random(8)
+    rows = [(i, prose(i, rng.choice([0, 1, 5, 40])) or None, rng.choice(["en", "de", None]), rng.choice(["src0", "src0", "src1", "web7", "x", None]), 1) for i in range(300)]
+    df = spark.createDataFrame(rows, DOCS)
+    con = duckdb.connect()
+    con.register("t", df.toPandas())
+    tokens = {r[0]: len((r[1] or "").split()) for r in rows}
+    for fraction, epochs in ((0.5, 1), (1.5, 3), (5.0, 2)):
+        out = mix_sources(df, fraction=fraction, max_epochs=epochs)
+        assert out.columns == [*df.columns, "mix_epoch"]
+        got = sorted((r["doc_id"], r["mix_epoch"]) for r in out.collect())
+        sql = MIX_SQL.format(docs="t", fraction=fraction, alpha=0.5, epochs=epochs, seed=7) + "SELECT doc_id, CAST(unnest(range(n)) AS BIGINT) AS e FROM n ORDER BY ALL"
+        assert got == con.execute(sql).fetchall()
+        total = sum(tokens.values())
+        used = sum(tokens[i] for i, _ in got)
+        assert min(fraction, epochs) * total - 40 * 20 <= used <= min(fraction, epochs) * total
+    assert mix_sources(df.limit(0)).count() == 0
+    assert mix_sources(df.where("text IS NULL")).count() == 0
+
+
+# ---- the pipeline -------------------------------------------------------------------------------------------------
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline as P
+
+    part = "\n".join(prose(50 + i, 14) for i in range(9))
+    clean = {i: prose(i, 200) for i in range(60)}
+    texts = clean | {60: " ".join(w.upper() + "!!" for w in prose(400, 200).split()), 61: clean[5], 62: clean[7] + " end", 63: prose(90, 80) + "\n" + part, 64: prose(91, 80) + "\n" + part, 65: None}
+    docs = frame(spark, texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept, sizes = docs, {}
+    for name, stage in P.STAGES:
+        kept = stage(spark, kept, str(tmp_path))
+        sizes[name] = {r["doc_id"] for r in kept.select("doc_id").collect()}
+        if name != "encode":
+            assert kept.columns == docs.columns
+    assert sizes["quality"] == set(texts) - {60}
+    assert not {61} & sizes["lines"] and set(clean) <= sizes["lines"]
+    assert set(clean) <= sizes["near_duplicates"] and 61 not in sizes["near_duplicates"]
+    assert sizes["mix"] <= sizes["near_duplicates"] and sizes["encode"] == sizes["mix"]
+    assert {r["doc_id"] for r in P.run(spark, str(tmp_path)).collect()} == sizes["encode"]

@@ -31,9 +31,13 @@ def gene_statistics(cells: DataFrame, members: DataFrame, keys: Sequence[str] =
     return out.withColumn("low_sample", S.low_sample_flag(F.col("context_effect_n"), F.col("comparator_effect_n"), F.col("comparator_models_n")))
 
 
-def genomewide_screen(cells: DataFrame, members: DataFrame, genes: DataFrame | None = None) -> DataFrame:
-    """All genes in all comparisons in one pass: `gene_statistics`, q within each comparison, background and flags."""
+def genomewide_screen(cells: DataFrame, members: DataFrame, genes: DataFrame | None = None, keep=None) -> DataFrame:
+    """All genes in all comparisons in one pass: `gene_statistics`, q within each comparison, background and flags.
+
+    `keep` may write the selected cells, which several aggregates read, and read them back.
+    """
     own = matrix_select_models(cells, members)
+    own = keep(own) if keep else own
     out = S.bh_qvalues(gene_statistics(own, members), ["cancer_id", "comparison_type"])
     out = out.join(S.background_fraction(cells), "gene").withColumn("fdr_0_05", F.coalesce(F.col("q_value") < 0.05, F.lit(False)))
     return gene_metadata_join(out, genes) if genes is not None else out

@@ -194,4 +194,6 @@ CTES = {
 
 def sql(query: str) -> str:
     """A query over the named inputs."""
+    if query.lstrip().startswith("WITH "):
+        query = f"SELECT * FROM ({query})"
     return "WITH RECURSIVE " + ",\n".join(f"{k} AS ({v})" for k, v in CTES.items()) + "\n" + query

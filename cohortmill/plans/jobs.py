@@ -60,7 +60,7 @@ def job_pair_evidence(pairs: DataFrame, cells: DataFrame, members: DataFrame, au
     genes = R.symbol_union_distinct(pairs)
     c = cells.join(F.broadcast(genes), "gene", "left_semi")
     primary = members.where("comparison_type = 'primary'")
-    s = R.gene_statistics(R.matrix_select_models(c, primary), members).join(S.background_fraction(c), "gene")
+    s = R.gene_statistics(cached(R.matrix_select_models(c, primary)), members).join(S.background_fraction(c), "gene")
     rows = cached(R.pair_evidence_join(pairs, s, members))
     return {"evidence": rows, "qc": Q.qc_evidence(rows, audit, pairs.count())}
 
@@ -68,7 +68,7 @@ def job_pair_evidence(pairs: DataFrame, cells: DataFrame, members: DataFrame, au
 def job_sensitivity(pairs: DataFrame, cells: DataFrame, members: DataFrame, split: DataFrame) -> Tables:
     """Pairs of eligible contexts against both other cohorts; q is over all rows together."""
     expanded = R.pair_comparison_expand(pairs, split)
-    own = R.matrix_select_models(cells, members.where("comparison_type <> 'primary'"))
+    own = cached(R.matrix_select_models(cells, members.where("comparison_type <> 'primary'")))
     s = R.gene_statistics(own, members)
     n = members.groupBy("cancer_id", "comparison_type").agg(*(F.count_if(F.col("analysis_group") == g).alias(f"{g}_members_n") for g in ("context", "comparator")))
     out = expanded.join(s, ["cancer_id", "comparison_type", "gene"], "left").join(n, ["cancer_id", "comparison_type"], "left")
@@ -82,7 +82,7 @@ def job_sensitivity(pairs: DataFrame, cells: DataFrame, members: DataFrame, spli
 
 def job_genomewide(cells: DataFrame, members: DataFrame, genes: DataFrame | None = None) -> Tables:
     """All contexts and comparisons in one pass."""
-    results = cached(R.genomewide_screen(cells, members, genes))
+    results = cached(R.genomewide_screen(cells, members, genes, cached))
     return {"results": results, "qc": Q.qc_screen(results), "summary": R.screen_summary(results)}
 
 

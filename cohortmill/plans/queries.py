@@ -368,7 +368,7 @@ def missing_keys(spark, sf):
 
 
 def _own(spark, sf):
-    return R.matrix_select_models(B.cells(spark, sf), B.members(spark, sf))
+    return J.cached(R.matrix_select_models(B.cells(spark, sf), B.members(spark, sf)))
 
 
 @query("SELECT cancer_id, comparison_type, analysis_group, model_id, gene, effect, round(prob, 6) AS prob FROM own")
@@ -393,9 +393,7 @@ _PAIRCOLS = ["evidence_id", "cancer_id", "target_id", "gene", "context_effect_n"
 
 
 def _evidence(spark, sf):
-    m = B.members(spark, sf)
-    s = R.gene_statistics(R.matrix_select_models(B.cells(spark, sf), m.where("comparison_type = 'primary'")), m)
-    return R.pair_evidence_join(B.pairs(spark, sf), s.join(S.background_fraction(B.cells(spark, sf)), "gene"), m)
+    return J.job_pair_evidence(B.pairs(spark, sf), J.cached(B.cells(spark, sf)), J.cached(B.members(spark, sf)), B.audit(spark, sf))["evidence"]
 
 
 def _p9(df):
@@ -713,7 +711,7 @@ def job_validate_inputs(spark, sf):
 
 @query(f"SELECT * EXCLUDE (raw) FROM ({_PAIRS})")
 def job_pair_evidence(spark, sf):
-    return _p9(J.job_pair_evidence(B.pairs(spark, sf), B.cells(spark, sf), B.members(spark, sf), B.audit(spark, sf))["evidence"].select(*_PAIRCOLS, "q_value"))
+    return _p9(_evidence(spark, sf).select(*_PAIRCOLS, "q_value"))
 
 
 @query(f"SELECT sensitivity_id, context_effect_n, comparator_effect_n, context_models_n, comparator_models_n, low_sample, round(p_value, 9) AS p_value FROM ({_SENS})")

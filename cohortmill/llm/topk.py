@@ -28,36 +28,46 @@ class SortedLists:
         self.order = np.argsort(vectors, axis=0, kind="stable")
         self.sorted = np.take_along_axis(vectors, self.order, 0)
         self.top = float(np.abs(vectors).max(initial=0))
+        self.real = vectors.astype(np.float64)
 
-    def search(self, query_id: int, q: np.ndarray, k: int, floor: int | None, step: int = 32) -> tuple[list[tuple[int, int]], int]:
-        """The block's best k as (score, id), ties to smaller ids, those below `floor` left out; and how many vectors were scored."""
-        n, d = self.x.shape
+    def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Integer inner products: in doubles where those are exact, else in whole numbers of any size."""
+        if self.top * float(np.abs(q).sum()) < _EXACT:
+            return (self.real[rows] @ q.astype(np.float64)).astype(np.int64)
+        return np.array([sum(int(a) * int(b) for a, b in zip(r, q)) for r in self.x[rows]], object)
+
+    def search(self, query_id: int, q: np.ndarray, k: int, step: int = 32) -> list[tuple[int, int]]:
+        """The block's best k as (score, id), ties to smaller ids, without the query itself."""
+        n = len(self.x)
         used = np.flatnonzero(q)
-        exact = self.top * float(np.abs(q).sum()) < _EXACT
         up = q[used] > 0
         seen = np.zeros(n, bool)
-        best: list[tuple[int, int]] = []
-        depth = scored = 0
+        best_s, best_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        depth = 0
         while depth < n:
             nxt = min(n, max(step, 2 * depth))
-            rows = np.concatenate([self.order[n - nxt : n - depth, used[up]].ravel(), self.order[depth:nxt, used[~up]].ravel()]) if len(used) else np.arange(depth, nxt)
-            new = np.unique(rows[~seen[rows]])
-            seen[new] = True
-            scored += len(new)
-            if exact:
-                s = (self.x[new].astype(np.float64) @ q.astype(np.float64)).astype(np.int64).tolist()
+            turned = np.zeros(n, bool)
+            if len(used):
+                turned[self.order[n - nxt : n - depth, used[up]].ravel()] = True
+                turned[self.order[depth:nxt, used[~up]].ravel()] = True
             else:
-                s = [sum(int(a) * int(b) for a, b in zip(r, q)) for r in self.x[new]]
-            best += [(v, i) for v, i in zip(s, self.ids[new].tolist()) if i != query_id and (floor is None or v >= floor)]
-            best = sorted(best, key=lambda t: (-t[0], t[1]))[:k]
+                turned[depth:nxt] = True
+            new = np.flatnonzero(turned & ~seen)
+            seen[new] = True
+            new = new[self.ids[new] != query_id]
+            s, i = np.concatenate([best_s, self.scores(new, q)]), np.concatenate([best_i, self.ids[new]])
+            if len(s) > k:
+                high = s >= np.partition(s, len(s) - k)[len(s) - k]
+                s, i = s[high], i[high]
+            order = sorted(range(len(s)), key=lambda t: (-s[t], i[t]))[:k]
+            best_s, best_i = s[order], i[order]
             depth = nxt
-            if depth >= n:
-                break
-            bound = sum(int(self.sorted[n - depth if u else depth - 1, j]) * int(q[j]) for j, u in zip(used, up))
-            kth = best[-1][0] if len(best) == k else floor
-            if kth is not None and bound < kth:
-                break
-        return best, scored
+            if depth < n and len(best_s) == k:
+                at = np.where(up, n - depth, depth - 1)
+                bound = sum(int(x) * int(y) for x, y in zip(self.sorted[at, used], q[used]))
+                if bound < best_s[-1]:
+                    break
+        return [(int(v), int(t)) for v, t in zip(best_s, best_i)]
 
 
 def _integers(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -73,7 +83,7 @@ def threshold_topk(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024,
     `is_query` is a condition on the id column; ties go to the smaller id. Vectors that are null or hold a null or
     non-finite component take no part, nor do null ids and components beyond 9e15 / scale; an empty vector scores 0.
     Rows of equal id are not each other's answers, and a query id that stands on several rows is asked for each of its
-    different vectors, the best scores kept; equal rows count once. Vectors are compared with
+    different vectors, the best scores kept; equal rows count once. Scores must fit a long. Vectors are compared with
     those of their own length. Other columns are ignored; an empty table gives no rows.
 
     Every block of queries meets every block of candidates once; a task holds one block of each.
@@ -92,7 +102,7 @@ def threshold_topk(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024,
         if len(cand) and len(ask):
             lists = SortedLists(cand.id.to_numpy(), np.stack(cand.v.to_numpy()).reshape(len(cand), -1))
             for qid, qv in zip(ask.id.tolist(), ask.v):
-                out += [(qid, i, s) for s, i in lists.search(qid, np.asarray(qv, np.int64), k, None)[0]]
+                out += [(qid, i, s) for s, i in lists.search(qid, np.asarray(qv, np.int64), k)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     found = q.unionByName(c).groupBy("d", "cb", "qb").applyInPandas(cell, "query_id long, vec_id long, score long")

@@ -3,7 +3,7 @@
 A unit is a line, or a sentence of a longer line. A rolling hash over the hashes of two neighbouring units has a local
 maximum at every third unit or so; chunks end there, so that an insertion moves only the boundaries beside it. Chunks of
 two and more units that stand in the corpus more than once are removed except for their first place, once their bytes
-have been compared.
+have been compared. A whole text of several chunks counts as one more chunk, so a copy goes with its last short line.
 """
 
 from __future__ import annotations
@@ -60,10 +60,19 @@ def chunks(texts: list[str]) -> tuple[bytes, list[tuple[np.ndarray, np.ndarray,
     return raw, [(a[i:j], b[i:j], hashes[i:j], units[i:j]) for i, j in zip(bounds, bounds[1:])]
 
 
+WHOLE = -1  # the place of a whole text
+
+
+def _whole(hashes: np.ndarray) -> np.uint64:
+    """The hash of a text from those of its chunks."""
+    with np.errstate(over="ignore"):
+        return np.add.reduce(mix64(hashes + mix64(np.arange(1, len(hashes) + 1, dtype=np.uint64))))
+
+
 def line_dedup(docs: DataFrame, min_units: int = 2, min_bytes: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` with all columns, the text without repeated chunks, and n_chunks and n_removed.
 
-    A chunk counts from `min_units` units and `min_bytes` bytes on. The first place of a chunk, by id (null last) and
+    A chunk counts from `min_units` units and `min_bytes` bytes on, and so does a whole text of several chunks. The first place of a chunk, by id (null last) and
     place, stays, within a text too. Rows that agree in id and text are one document: both keep or lose the same chunks. Chunks
     that share a hash without being equal byte for byte stay. A null text stays null; it and an empty text have no
     chunks. An empty table gives no rows. `docs` must not have columns of the names n_chunks, n_removed, _key, _drop.
@@ -82,6 +91,8 @@ def line_dedup(docs: DataFrame, min_units: int = 2, min_bytes: int = 60, id_col:
                 of, h, place = [], [], []
                 for i, (a, z, hashes, units) in enumerate(found):
                     take = np.flatnonzero((units >= min_units) & (z - a >= min_bytes))
+                    if len(a) > 1 and z[-1] - a[0] >= min_bytes:
+                        take, hashes = np.append(take, WHOLE), np.append(hashes, _whole(hashes))
                     of.append(np.full(len(take), i))
                     h.append(hashes[take])
                     place.append(take)
@@ -101,8 +112,8 @@ def line_dedup(docs: DataFrame, min_units: int = 2, min_bytes: int = 60, id_col:
                 h, out = [], []
                 for (a, z, hashes, _u), want in zip(parts, wanted.slice(start, len(texts)).to_pylist()):
                     for i in want:
-                        h.append(hashes[i])
-                        out.append(raw[a[i] : z[i]])
+                        h.append(_whole(hashes) if i == WHOLE else hashes[i])
+                        out.append(raw[a[0] : z[-1]] if i == WHOLE else raw[a[i] : z[i]])
                 start += len(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(out, pa.binary())], ["h", "chunk"])
 
@@ -125,6 +136,8 @@ def line_dedup(docs: DataFrame, min_units: int = 2, min_bytes: int = 60, id_col:
                 raw, parts = chunks(block)
                 for k, (a, z, _h, _u) in enumerate(parts):
                     gone = set(lists[start + k] or ())
+                    if WHOLE in gone:
+                        gone = set(range(len(a)))
                     n_chunks.append(len(a))
                     n_removed.append(len(gone))
                     out.append(texts[start + k] if not gone else b"".join(raw[a[i] : z[i]] for i in range(len(a)) if i not in gone).decode("utf-8", "surrogatepass"))

@@ -68,7 +68,6 @@ def mix_sources(docs: DataFrame, fraction: float = 0.75, alpha: float = 0.5, max
     prefixes its hash falls in; a leaf without any token gives nothing. Columns named as `docs` has them stay, an empty
     table gives no rows.
     """
-    spark = docs.sparkSession
     names = {"domain": domain if domain is not None else source_domain(F.col(source_col)), "lang": F.col(lang_col), "source": F.col(source_col)}
     small = materialise(docs.select(F.col(id_col).alias("_id"), *(c.alias("_" + k) for k, c in names.items()), token_count(F.col(text_col)).alias("tokens")))
     leaves = materialise(small.groupBy(*(F.col("_" + k).alias(k) for k in LEVELS)).agg(F.sum("tokens").alias("tokens")))
@@ -96,7 +95,6 @@ def mix_sources(docs: DataFrame, fraction: float = 0.75, alpha: float = 0.5, max
     key = _key(seed, F.col("whole"), docs[id_col])
     n = F.col("whole") + ((F.col("rest") > 0) & (F.col("stop").isNull() | (key < F.col("stop")))).cast("long")
     taken = taken.withColumn("_n", n).where("_n > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    assert spark is taken.sparkSession
     return taken.select(*(docs[c] for c in docs.columns), "mix_epoch")
 
 

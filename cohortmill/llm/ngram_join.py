@@ -84,7 +84,6 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int, frequent) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, count = frequent.value
         for b in batches:
-            id_type = b.schema.field(0).type
             start = 0
             for rid, texts in text_blocks(iter([b.select([1, 2])])):
                 ids = b.column(0).slice(start, len(texts))
@@ -110,7 +109,6 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int, frequent) -> DataFr
                     bitmaps.append(_bitmap(s))
                     wide.append(_bitmap(s, WIDE_BITS).tobytes() if len(s) >= WIDE_FROM else None)
                 yield pa.RecordBatch.from_arrays([ids, rid, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.list_(pa.int64())), pa.array(wide, pa.binary())], ["doc_id", "rid", "n_shingles", "node", "prefix", "bitmap", "wide"])
-                assert id_type == ids.type
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "rid", "text").mapInArrow(run, f"doc_id {kind}, rid long, n_shingles long, node long, prefix array<long>, bitmap array<long>, wide binary")

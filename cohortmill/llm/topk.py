@@ -88,7 +88,6 @@ def threshold_topk(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024,
 
     Every block of queries meets every block of candidates once; a task holds one block of each.
     """
-    spark = vectors.sparkSession
     x = materialise(_integers(vectors.select(id_col, vector_col), id_col, vector_col, scale).distinct())
     n = x.count()
     n_blocks, n_query_blocks = max(1, -(-n // block_rows)), max(1, -(-x.where(is_query(F.col("id"))).count() // query_rows))
@@ -108,7 +107,6 @@ def threshold_topk(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024,
     found = q.unionByName(c).groupBy("d", "cb", "qb").applyInPandas(cell, "query_id long, vec_id long, score long")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    assert spark is found.sparkSession
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

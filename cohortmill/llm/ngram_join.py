@@ -2,7 +2,7 @@
 
 Rows of the matrix are the distinct shingle sets, columns are shingles. Two sets that are similar enough share an entry
 among the first few of their shingles in any fixed order, so only those entries are multiplied; the order puts shingles
-that a sample of documents shows to be frequent last, which matters for speed alone. Products are summed to overlap
+that are known to be frequent last, which matters for speed alone. Products are summed to overlap
 counts in tiles of at most `tile` rows of a column, and pairs are given up as soon as a bound on sizes, or on the
 symmetric difference that a parity bitmap proves, shows that they cannot link. What remains is compared exactly.
 """
@@ -52,13 +52,13 @@ def _bitmap(s: np.ndarray, bits: int = 64 * BITS) -> np.ndarray:
 def _frequent(docs: DataFrame, n: int, share: float, sample_docs: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are not rare, and about how many documents hold each; at most `most` of them. Only an order is made from it.
 
-    The hashes below `share`, from which the first entries are taken, are counted in `sample_docs` / `share` documents, the others in
-    an eighth of `sample_docs`.
+    The hashes below `share`, from which the first entries are taken, are counted in all documents, the others in
+    `sample_docs` of them. What is kept is bounded by `most` however many there are: the counts of counts say from which count on.
     """
     total = docs.count()
-    if not total or not sample_docs:
+    if not total or not most:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    parts = (min(1.0, sample_docs / share / total), min(1.0, sample_docs / 8 / total))
+    part = max(1e-6, min(1.0, sample_docs / total))
     limit = np.uint64(int(share * (2**64 - 1)))
     drawn = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000))
 
@@ -69,10 +69,15 @@ def _frequent(docs: DataFrame, n: int, share: float, sample_docs: int, most: int
             h, c = np.unique(np.concatenate(s), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64()), pa.array(h >= limit)], ["h", "c", "high"])
 
-    texts = docs.where(drawn < int(1_000_000 * max(parts))).select("rid", "text").dropDuplicates(["rid"])
-    counted = texts.select(drawn < int(1_000_000 * parts[1]), "text").mapInArrow(run, "h long, c long, high boolean").groupBy("h", "high").agg(F.sum("c").alias("c")).where("c > 1")
-    counted = counted.select("h", F.when(F.col("high"), F.col("c") / parts[1]).otherwise(F.col("c") / parts[0]).cast("long").alias("c"))
-    t = counted.orderBy(F.desc("c"), "h").limit(most).toArrow()
+    counted = docs.select(drawn < int(1_000_000 * part), "text").mapInArrow(run, "h long, c long, high boolean").groupBy("h", "high").agg(F.sum("c").alias("c")).where("c > 1")
+    counted = materialise(counted.select("h", F.when(F.col("high"), F.col("c") / part).otherwise(F.col("c")).cast("long").alias("c")))
+    least, held = 1 << 62, 0
+    for r in sorted(counted.groupBy(F.least("c", F.lit(10_000)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["c"]):
+        held += r["n"]
+        if held > most:
+            break
+        least = r["c"]
+    t = counted.where(F.col("c") >= least).toArrow()
     h, c = t.column("h").to_numpy().view(np.uint64), t.column("c").to_numpy()
     o = np.argsort(h)
     return h[o], c[o]
@@ -165,7 +170,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num:
     return full.select("a", "b", "ma", "mb").mapInArrow(overlap, "a long, b long")
 
 
-def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sample_docs: int = 13_000, most_frequent: int = 1_000_000, tile: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sample_docs: int = 4096, most_frequent: int = 2_000_000, tile: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row: documents link when den * overlap >= num * union of their shingle sets.
 
     Words are runs other than ASCII white space with A-Z in lower case; a shingle is n consecutive words, and a shorter

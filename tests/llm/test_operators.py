@@ -101,8 +101,8 @@ def test_ngram_join(spark, n, num, tile):
     if n == 5:
         assert ngram_join(df.limit(0)).count() == 0
         assert ngram_join(df.where("doc_id < 2")).count() == 2
-    else:  # without any sample the order is by hash alone, and the result the same
-        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join(df, n, num, 100, sample_docs=0).collect()} == want
+    else:  # without any counts the order is by hash alone, and the result the same
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join(df, n, num, 100, most_frequent=0).collect()} == want
 
 
 def test_components_of_a_chain(spark):

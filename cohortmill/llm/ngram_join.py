@@ -206,16 +206,19 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sampl
 
     marked = entries.join(roots, "node", "left").select("s", "block", "node", F.coalesce("root", "node").alias("root"))
     mixed = marked.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("s")
-    rest = marked.join(mixed, "s", "left_semi").join(side("node").drop("wnode"), "node")
+    rest = materialise(marked.join(mixed, "s", "left_semi"))
+    # a pair is made at the smallest of the columns that both are in; sets in very many columns do without
+    lists = rest.groupBy("node").agg(F.collect_list("s").alias("all")).select("node", F.when(F.size("all") <= 64, F.col("all")).alias("all"))
+    rest = rest.join(lists, "node").join(side("node").drop("wnode"), "node")
     rest = rest.withColumn("tiles", F.ceil(F.col("block") / tile)).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")))
     rest = materialise(rest)
 
     def tiled(x: str) -> DataFrame:
         other = F.explode(F.sequence(F.col("t"), F.col("tiles") - 1) if x == "a" else F.sequence(F.lit(0).cast("long"), F.col("t"))).alias("u")
-        r = rest.select("s", "t", other, F.col("node").alias(x), F.col("root").alias(f"root{x}"), F.col("nnode").alias(f"n{x}"), *(F.col(f"wnode{i}").alias(f"w{x}{i}") for i in range(BITS)))
+        r = rest.select("s", "t", other, F.col("node").alias(x), F.col("root").alias(f"root{x}"), F.col("nnode").alias(f"n{x}"), F.col("all").alias(f"all{x}"), *(F.col(f"wnode{i}").alias(f"w{x}{i}") for i in range(BITS)))
         return r.withColumnsRenamed({"t": "ta", "u": "tb"} if x == "a" else {"t": "tb", "u": "ta"})
 
-    cross = tiled("a").join(tiled("b"), ["s", "ta", "tb"]).where((F.col("roota") != F.col("rootb")) & ((F.col("ta") < F.col("tb")) | (F.col("a") < F.col("b"))) & _may_link(num, den))
+    cross = tiled("a").join(tiled("b"), ["s", "ta", "tb"]).where((F.col("roota") != F.col("rootb")) & ((F.col("ta") < F.col("tb")) | (F.col("a") < F.col("b"))) & _may_link(num, den) & F.coalesce(F.array_min(F.array_intersect("alla", "allb")) == F.col("s"), F.lit(True)))
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs2 = materialise(_close(cross.join(side("a"), "a").join(side("b"), "b"), num, den))
     links2 = _verified(pairs2, d, nodes, n, num, den)

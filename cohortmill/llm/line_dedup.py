@@ -4,11 +4,17 @@ A unit is a line, or a sentence of a longer line. A rolling hash over the hashes
 maximum at every third unit or so; chunks end there, so that an insertion moves only the boundaries beside it. Chunks of
 two and more units that stand in the corpus more than once are removed except for their first place, once their bytes
 have been compared. A whole text of several chunks counts as one more chunk, so a copy goes with its last short line.
+
+Chunk ends depend on the units around, so chunks alone miss the edges of a passage, and short passages as a whole. With
+`run_words`, the shortest run of that many words from each unit on, and that up to each unit, counts too. Such a run lies
+within the passage, and those of a passage of `run_words` words or more cover all its units.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,27 +22,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortmill.llm.common import joined, materialise, mix64, span_hashes, text_blocks
+from cohortmill.llm.common import _powers, joined, materialise, mix64, span_hashes, text_blocks
 
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
 
 
-def chunks(texts: list[str]) -> tuple[bytes, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
-    """The bytes of all texts, and for each text the starts, ends, hashes and numbers of units of its chunks, which cover it."""
-    data, at = joined(texts)
-    raw = data.tobytes()
-    # a unit ends with a line end, or with the space after a full stop
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), 32]] = True
+
+
+def _split(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and texts of the units: a unit ends with a line end, or with the space after a full stop."""
     stop = data == 10
     stop[1:] |= (data[1:] == 32) & _END[data[:-1]]
     stop[at[1:] - 1] = True
     ends = np.flatnonzero(stop) + 1
     starts = np.concatenate([[0], ends[:-1]])
     doc = np.searchsorted(at, starts, "right") - 1
-    text_end = at[1:] - 1  # without the space between texts
-    cut = np.minimum(ends, text_end[doc])
+    cut = np.minimum(ends, at[1:][doc] - 1)  # without the space between texts
     real = cut > starts
-    starts, cut, doc = starts[real], cut[real], doc[real]
+    return starts[real], cut[real], doc[real]
+
+
+def chunks(texts: list[str]) -> tuple[bytes, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """The bytes of all texts, and for each text the starts, ends, hashes and numbers of units of its chunks, which cover it."""
+    data, at = joined(texts)
+    raw = data.tobytes()
+    starts, cut, doc = _split(data, at)
     h = span_hashes(data, starts, cut)
     n = len(h)
     first = np.ones(n, bool)
@@ -60,7 +73,53 @@ def chunks(texts: list[str]) -> tuple[bytes, list[tuple[np.ndarray, np.ndarray,
     return raw, [(a[i:j], b[i:j], hashes[i:j], units[i:j]) for i, j in zip(bounds, bounds[1:])]
 
 
+class Runs(NamedTuple):
+    """The units of one text that are not blank, and its runs: the first unit, the number of units and the hash of each."""
+
+    start: np.ndarray  # of a unit's content
+    end: np.ndarray
+    upto: np.ndarray  # where the next unit begins, or the text ends
+    first: np.ndarray
+    units: np.ndarray
+    hashes: np.ndarray
+
+
+def runs(texts: list[str], words: int) -> tuple[bytes, list[Runs]]:
+    """The bytes of all texts, and for each text the shortest runs of `words` words from each unit on and up to each unit.
+
+    Blanks around a unit do not count. Where words are not set apart by blanks, 12 bytes count as one.
+    """
+    data, at = joined(texts)
+    starts, cut, doc = _split(data, at)
+    inked = np.flatnonzero(~_BLANK[data])
+    i, j = np.searchsorted(inked, starts), np.searchsorted(inked, cut)
+    full = j > i
+    i, j, doc = i[full], j[full], doc[full]
+    a, z = inked[i], inked[j - 1] + 1
+    begins = inked[(inked == 0) | _BLANK[data[inked - 1]]]
+    long = np.maximum(np.searchsorted(begins, z) - np.searchsorted(begins, a), (z - a) // 12)
+    n = len(a)
+    upto = np.append(a[1:], 0)[:n]
+    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+    upto[bounds[1:][np.diff(bounds) > 0] - 1] = (at[1:] - 1)[np.diff(bounds) > 0]
+    total = np.concatenate([[0], np.cumsum(long)])
+    every = np.arange(n)
+    after = np.searchsorted(total, total[:-1] + words)
+    before = np.searchsorted(total, total[1:] - words, "right") - 1
+    ahead, back = after <= bounds[doc + 1], before >= bounds[doc]
+    pairs = np.unique(np.concatenate([every[ahead] << 32 | after[ahead], before[back] << 32 | (every + 1)[back]]))
+    first, stop = pairs >> 32, pairs & 0xFFFFFFFF
+    with np.errstate(over="ignore"):
+        up, down = _powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix64(span_hashes(data, a, z)) * up[:n], out=sums[1:])
+        h = mix64((sums[stop] - sums[first]) * down[first] ^ (stop - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    cuts = np.searchsorted(first, bounds)
+    return data.tobytes(), [Runs(a[x:y], z[x:y], upto[x:y], first[u:v] - x, (stop - first)[u:v], h[u:v]) for x, y, u, v in zip(bounds, bounds[1:], cuts, cuts[1:])]
+
+
 WHOLE = -1  # the place of a whole text
+RUN = 1 << 50  # the least place of a run; its first unit and number of units are added
 
 
 def _whole(hashes: np.ndarray) -> np.uint64:
@@ -69,13 +128,15 @@ def _whole(hashes: np.ndarray) -> np.uint64:
         return np.add.reduce(mix64(hashes + mix64(np.arange(1, len(hashes) + 1, dtype=np.uint64))))
 
 
-def line_dedup(docs: DataFrame, min_units: int = 2, min_bytes: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_units: int = 2, min_bytes: int = 60, id_col: str = "doc_id", text_col: str = "text", run_words: int | None = None) -> DataFrame:
     """The rows of `docs` with all columns, the text without repeated chunks, and n_chunks and n_removed.
 
     A chunk counts from `min_units` units and `min_bytes` bytes on, and so does a whole text of several chunks. The first place of a chunk, by id (null last) and
     place, stays, within a text too. Rows that agree in id and text are one document: both keep or lose the same chunks. Chunks
     that share a hash without being equal byte for byte stay. A null text stays null; it and an empty text have no
-    chunks. An empty table gives no rows. `docs` must not have columns of the names n_chunks, n_removed, _key, _drop.
+    chunks. With `run_words`, all units of repeated runs of that many words or more go too, except for their first place;
+    blanks around units may differ, and contents are compared by digests of 128 bits. Where a run overlaps its own first
+    place, that stays as a whole. n_removed counts the chunks that lost all or part. An empty table gives no rows. `docs` must not have columns of the names n_chunks, n_removed, _key, _drop.
     """
     names = docs.columns
     keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit(""))))
@@ -88,6 +149,7 @@ def line_dedup(docs: DataFrame, min_units: int = 2, min_bytes: int = 60, id_col:
                 ids, n = b.column(0).slice(start, len(texts)), len(texts)
                 start += n
                 _, found = chunks(texts)
+                more = runs(texts, run_words)[1] if run_words else None
                 of, h, place = [], [], []
                 for i, (a, z, hashes, units) in enumerate(found):
                     take = np.flatnonzero((units >= min_units) & (z - a >= min_bytes))
@@ -96,22 +158,39 @@ def line_dedup(docs: DataFrame, min_units: int = 2, min_bytes: int = 60, id_col:
                     of.append(np.full(len(take), i))
                     h.append(hashes[take])
                     place.append(take)
+                    if more:
+                        of.append(np.full(len(more[i].first), i))
+                        h.append(more[i].hashes)
+                        place.append(RUN + (more[i].first << 20 | more[i].units))
                 of = pa.array(np.concatenate(of))
-                yield pa.RecordBatch.from_arrays([ids.take(of), keys.take(of), pa.array(np.concatenate(place), pa.int32()), pa.array(np.concatenate(h).view(np.int64))], ["doc_id", "_key", "place", "h"])
+                yield pa.RecordBatch.from_arrays([ids.take(of), keys.take(of), pa.array(np.concatenate(place), pa.int64()), pa.array(np.concatenate(h).view(np.int64))], ["doc_id", "_key", "place", "h"])
 
     source = keyed.select(F.col(id_col).alias("doc_id"), "_key", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    places = materialise(source.mapInArrow(all_chunks, f"doc_id {kind}, _key long, place int, h long").select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key", "place", "h"))
+    places = materialise(source.mapInArrow(all_chunks, f"doc_id {kind}, _key long, place long, h long").select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key", "place", "h"))
     repeated = materialise(places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("no_id", "doc_id", "_key", "place")).alias("first")).where("n > 1").select("h", F.col("first._key").alias("first_key"), F.col("first.place").alias("first_place")))
-    found = materialise(places.join(repeated, "h").select("_key", "place", "h", ((F.col("_key") != F.col("first_key")) | (F.col("place") != F.col("first_place"))).alias("again")))
+    # how many units of a run lie past its first place in the same text: all, if they do not overlap
+    past = F.shiftright(F.col("place") - F.col("first_place"), 20)
+    inside = (F.col("place") > RUN) & (F.col("_key") == F.col("first_key")) & (past < F.col("place").bitwiseAND(F.lit((1 << 20) - 1)))
+    gone = F.when(inside, F.col("place") + F.shiftleft(F.col("place").bitwiseAND(F.lit((1 << 20) - 1)) - past, 20) - F.col("place").bitwiseAND(F.lit((1 << 20) - 1)) + past).otherwise(F.col("place"))
+    found = materialise(places.join(repeated, "h").select("_key", "place", "h", ((F.col("_key") != F.col("first_key")) | (F.col("place") != F.col("first_place"))).alias("again"), gone.alias("gone")))
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             start, wanted = 0, b.column(2)
             for _, texts in text_blocks(iter([b.select([0, 1])])):
                 raw, parts = chunks(texts)
+                more = runs(texts, run_words)[1] if run_words else [None] * len(texts)
                 h, out = [], []
-                for (a, z, hashes, _u), want in zip(parts, wanted.slice(start, len(texts)).to_pylist()):
+                for (a, z, hashes, _u), m, want in zip(parts, more, wanted.slice(start, len(texts)).to_pylist()):
+                    if m:
+                        at = {(f << 20 | u) + RUN: i for i, (f, u) in enumerate(zip(m.first.tolist(), m.units.tolist()))}
+                        units = [raw[x:y] for x, y in zip(m.start.tolist(), m.end.tolist())]
                     for i in want:
+                        if i >= RUN:
+                            f = i - RUN >> 20
+                            h.append(m.hashes[at[i]])
+                            out.append(hashlib.blake2b(b"\n".join(units[f : f + (i & 0xFFFFF)]), digest_size=16).digest())
+                            continue
                         h.append(_whole(hashes) if i == WHOLE else hashes[i])
                         out.append(raw[a[0] : z[-1]] if i == WHOLE else raw[a[i] : z[i]])
                 start += len(texts)
@@ -122,7 +201,7 @@ def line_dedup(docs: DataFrame, min_units: int = 2, min_bytes: int = 60, id_col:
     differ = materialise(compared.where("low <> high").select("h"))
     if not differ.isEmpty():
         found = found.join(differ, "h", "left_anti")
-    drop = found.where("again").groupBy("_key").agg(F.collect_list("place").alias("_drop"))
+    drop = found.where("again").groupBy("_key").agg(F.collect_list("gone").alias("_drop"))
     full = keyed.join(drop, "_key", "left").drop("_key")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,13 +213,20 @@ def line_dedup(docs: DataFrame, min_units: int = 2, min_bytes: int = 60, id_col:
             start = 0
             for _, block in text_blocks(iter([pa.RecordBatch.from_arrays([b.column(len(names)), pa.array([t or "" for t in texts], pa.string())], ["x", "t"])])):
                 raw, parts = chunks(block)
+                more = runs(block, run_words)[1] if run_words else None
                 for k, (a, z, _h, _u) in enumerate(parts):
-                    gone = set(lists[start + k] or ())
-                    if WHOLE in gone:
-                        gone = set(range(len(a)))
+                    lost = np.zeros(int(z[-1] - a[0]) if len(a) else 0, bool)
+                    for i in set(lists[start + k] or ()):
+                        if i >= RUN:
+                            f, m = i - RUN >> 20, more[k]
+                            lost[m.start[f] - a[0] : m.upto[f + (i & 0xFFFFF) - 1] - a[0]] = True
+                        elif i == WHOLE:
+                            lost[:] = True
+                        else:
+                            lost[a[i] - a[0] : z[i] - a[0]] = True
                     n_chunks.append(len(a))
-                    n_removed.append(len(gone))
-                    out.append(texts[start + k] if not gone else b"".join(raw[a[i] : z[i]] for i in range(len(a)) if i not in gone).decode("utf-8", "surrogatepass"))
+                    n_removed.append(int(np.count_nonzero(np.logical_or.reduceat(lost, a - a[0]))) if lost.any() else 0)
+                    out.append(texts[start + k] if not lost.any() else np.frombuffer(raw, np.uint8)[a[0] : z[-1]][~lost].tobytes().decode("utf-8", "surrogatepass"))
                 start += len(block)
             columns = [pa.array(out, pa.string()) if i == at else b.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_chunks, pa.int64()), pa.array(n_removed, pa.int64())], [*names, "n_chunks", "n_removed"])

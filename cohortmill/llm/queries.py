@@ -30,7 +30,7 @@ def op3_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortmill.llm.line_dedup import line_dedup
 
-    return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), run_words=50)
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,6 +173,31 @@ def test_line_dedup(spark):
     assert [r["text"] for r in twice] == [texts[20]] * 2
 
 
+def test_line_dedup_recall(spark):
+    """Passages of 51 words and more planted between other texts, without a look at chunks()."""
+    from cohortmill.llm.line_dedup import line_dedup
+
+    sentence = lambda r, n: " ".join("w" + str(r.randrange(10**6)) for _ in range(n)) + "."
+    rng, texts, planted = random.Random(11), {}, {}
+    for k in range(40):
+        n = [1, 2, 3, 4, 6, 9][k % 6]
+        passage = [sentence(rng, -(-51 // n) + k % 3) for _ in range(n)]
+        for copy in range(2):
+            own = [[sentence(rng, rng.randint(3, 12)) for _ in range(rng.randint(1, 5))] for _ in range(2)]
+            gap, end = ("\n", " ") if copy else (" ", "\n")
+            texts[100 * copy + k] = " ".join(own[0]) + "\n" + gap.join(passage) + (end + " ".join(own[1]) if k % 4 else "")
+            planted[100 * copy + k] = (passage, own)
+    texts[300] = " ".join(["The same sentence of six words."] * 40)
+    got = {r["doc_id"]: r for r in line_dedup(frame(spark, texts), run_words=50).collect()}
+    for i, (passage, own) in planted.items():
+        assert [p in got[i]["text"] for p in passage] == [i < 100] * len(passage), (i, len(passage))
+        assert all(s in got[i]["text"] for s in own[0] + (own[1] if i % 100 % 4 else []))
+    assert got[300]["text"] == "The same sentence of six words. " * 9  # the first run stays as a whole
+    copies = {1: "no", 2: "\n".join(texts[5].split("\n")), 3: texts[5], 4: "水" * 400 + "。\nend", 5: "beginning\n" + "水" * 400 + "。"}
+    out = {r["doc_id"]: r for r in line_dedup(frame(spark, copies), run_words=50).collect()}
+    assert out[3]["text"].strip() == "" and out[3]["n_removed"] == out[3]["n_chunks"] and out[5]["text"] == "beginning\n" and out[4]["n_removed"] == 0
+
+
 # ---- 5 ------------------------------------------------------------------------------------------------------------
 
 

@@ -52,10 +52,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cohortmill.llm.kneser_ney import fit_quality, score_quality, trusted_ids
+    from cohortmill.llm.kneser_ney import trusted_ids
+    from cohortmill.llm.word_model import score_words
 
     docs = _table(spark, sf_dir, "documents")
-    return score_quality(docs, fit_quality(docs, trusted_ids(_table(spark, sf_dir, "labels"))))
+    return score_words(docs, trusted_ids(_table(spark, sf_dir, "labels")))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

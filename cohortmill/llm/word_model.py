@@ -1,0 +1,170 @@
+"""Operator 7: quality by the perplexity under a modified Kneser-Ney model of the words of trusted text, by sharded joins.
+
+Words are runs of letters and digits, single other signs, and single characters of scripts without blanks. The
+model is of order 3, one for each language. Texts fall into two halves by a hash; each is scored by the model of the other
+half's trusted texts, so that no text, nor a copy, meets its own counts and trusted texts compare with all others. Counts
+and texts meet only in joins by n-gram; hot single words are dealt out by a salt. Nothing is sent to the driver.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from cohortmill.llm.common import materialise, mix64
+
+POOLED = "*"
+_BARE = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿가-힯"
+WORD = re.compile(rf"[{_BARE}]|[^\W{_BARE}]+|[^\w\s]")
+SALTS = 8
+_P = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return h
+
+
+def trigrams(text: str, model: str, hashes: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigrams of hashed words (rows of u, v, w), which the model's name is part of, and how often each stands there."""
+    with np.errstate(over="ignore"):
+        own = np.uint64(hashes["\0" + model])
+        words = np.array([hashes[x] for x in WORD.findall(text)], np.uint64)
+        x = np.concatenate([np.full(2, mix64(own + np.uint64(1))), mix64(words ^ own)])
+        u, v, w = x[:-2], x[1:-1], x[2:]
+        _, at, n = np.unique(mix64(mix64(u * _P + v) * _P + w), return_index=True, return_counts=True)
+    return np.stack([u[at], v[at], w[at]]).view(np.int64), n
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """key, model, u, v, w, n of each text. `texts` has key, model, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for b in batches:
+            held, size = [], 0
+            for k, m, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                g, n = trigrams(t, m, hashes)
+                held.append((k, m, g, n))
+                size += len(n)
+                if size > 100_000:
+                    yield batch(held)
+                    held, size = [], 0
+            if held:
+                yield batch(held)
+
+    def batch(held) -> pa.RecordBatch:
+        n = [len(x[3]) for x in held]
+        g = np.concatenate([x[2] for x in held], axis=1)
+        models = pa.array([x[1] for x in held], pa.string()).take(pa.array(np.repeat(np.arange(len(n)), n)))
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([x[0] for x in held], np.int64), n)), models, *(pa.array(x) for x in g), pa.array(np.concatenate([x[3] for x in held]).astype(np.int64))], ["key", "model", "u", "v", "w", "n"])
+
+    return texts.select("key", "model", "text").mapInArrow(run, "key long, model string, u long, v long, w long, n long")
+
+
+def _level(counts: DataFrame, context: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Each n-gram with its discounted share a and its context's weight b of the lower order; and the contexts with b."""
+    k = counts.groupBy("model").agg(*(F.count(F.when(F.col("c") == i, 1)).cast("double").alias(f"n{i}") for i in range(1, 5)))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    d = [F.when((F.col(f"n{i}") > 0) & (F.col("n1") + F.col("n2") > 0), F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1.0))))).otherwise(F.lit(0.5)) for i in (1, 2, 3)]
+    k = k.select("model", *(x.alias(f"d{i + 1}") for i, x in enumerate(d)))
+    ctx = counts.groupBy("model", *context).agg(F.sum("c").cast("double").alias("all"), *(F.count(F.when(F.col("c") == i, 1)).alias(f"m{i}") for i in (1, 2)), F.count(F.when(F.col("c") > 2, 1)).alias("m3"))
+    ctx = ctx.join(k, "model").withColumn("b", (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("all"))
+    own = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    return counts.join(ctx, ["model", *context]).withColumn("a", (F.col("c") - own) / F.col("all")), ctx.select("model", *context, "b")
+
+
+def tables(counts: DataFrame) -> dict[str, DataFrame]:
+    """Interpolated probabilities of all n-grams seen (p3, p2, p1), weights of the contexts seen (b3, b2) and the probability of an unseen word (p0). `counts` has model, u, v, w, c."""
+    two = materialise(counts.groupBy("model", "v", "w").agg(F.count(F.lit(1)).alias("c")))
+    one = materialise(two.groupBy("model", "w").agg(F.count(F.lit(1)).alias("c")))
+    a1, b1 = _level(one, [])
+    p0 = b1.join(one.groupBy("model").agg(F.count(F.lit(1)).alias("kinds")), "model").select("model", (F.col("b") / (F.col("kinds") + 1)).alias("p0"))
+    p1 = materialise(a1.join(p0, "model").select("w", (F.col("a") + F.col("p0")).alias("p1")))
+    a2, b2 = _level(two, ["v"])
+    p2 = materialise(a2.join(p1, "w").select("v", "w", (F.col("a") + F.col("b") * F.col("p1")).alias("p2")))
+    a3, b3 = _level(counts, ["u", "v"])
+    p3 = a3.join(p2, ["v", "w"]).select("u", "v", "w", (F.col("a") + F.col("b") * F.col("p2")).alias("p3"))
+    return {"p3": p3, "b3": b3.select("u", "v", F.col("b").alias("b3")), "p2": p2, "b2": b2.select("v", F.col("b").alias("b2")), "p1": p1, "p0": p0}
+
+
+def log_probabilities(grams: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
+    """`grams` (key, model, u, v, w, n) with lp, the log probability of w after u, v."""
+    salted = lambda df: df.withColumn("salt", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS)))))
+    x = grams.join(t["p3"], ["u", "v", "w"], "left").join(t["b3"], ["u", "v"], "left").join(t["p2"], ["v", "w"], "left")
+    x = x.withColumn("salt", F.pmod(F.col("key"), F.lit(SALTS)).cast("long"))
+    x = x.join(salted(t["b2"]), ["v", "salt"], "left").join(salted(t["p1"]), ["w", "salt"], "left").join(t["p0"], "model")
+    after = lambda b, p: F.coalesce(F.col(b), F.lit(1.0)) * p
+    p = F.coalesce("p3", after("b3", F.coalesce(F.col("p2"), after("b2", F.coalesce("p1", "p0")))))
+    return x.select("key", "model", "u", "v", "w", "n", F.log(p).alias("lp"))
+
+
+def _keyed(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    text, lang = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(lang_col), F.lit(POOLED))
+    return docs.withColumn("_key", F.xxhash64(lang, text)).withColumn("_half", F.pmod(F.xxhash64(text, F.lit(5)), F.lit(2))).withColumn("_lang", lang)
+
+
+def _limits(trusted: DataFrame) -> DataFrame:
+    """model, top: the largest mean negative log probability that is kept, from the median and 0.95 quantile of `trusted` (model, h)."""
+    bins = trusted.groupBy("model", F.round("h", 3).alias("h")).agg(F.count(F.lit(1)).alias("c"))
+    w = W.partitionBy("model")
+    bins = bins.withColumn("upto", F.sum("c").over(w.orderBy("h"))).withColumn("all", F.sum("c").over(w))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("h")))
+    return bins.groupBy("model").agg((at(0.5) + 6 * (at(0.95) - at(0.5))).alias("top"))
+
+
+def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of `docs` with _model, _h, _top and _keep. The texts whose id is in the first column of `trusted` train the models.
+
+    A language with trusted texts in both halves has its own model; the others, and null, share that of all trusted texts.
+    A text without words has no perplexity and is kept; so are all without any trusted text.
+    """
+    ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).where("_id IS NOT NULL").distinct()
+    d = _keyed(docs, text_col, lang_col)
+    good = d.join(ids.hint("shuffle_merge"), d[id_col] == ids["_id"], "left_semi").where(F.col(text_col) != "")
+    good = materialise(good.select(F.col("_key").alias("key"), F.col("_half").alias("half"), F.col("_lang").alias("lang"), F.col(text_col).alias("text")))
+    own = materialise(good.where(F.col("lang") != POOLED).groupBy("lang").agg(F.countDistinct("half").alias("halves")).where("halves = 2").select(F.col("lang").alias("_own")))
+    d = d.join(own, d["_lang"] == own["_own"], "left").withColumn("_model", F.coalesce("_own", F.lit(POOLED)))
+    name = lambda lang, half: F.concat(lang, F.lit(":"), half)
+    half = F.col("half").cast("string")
+    learnt = good.join(own, good["lang"] == own["_own"], "left_semi").withColumn("model", name(F.col("lang"), half))
+    if not d.where(F.col("_model") == POOLED).isEmpty():
+        learnt = learnt.unionByName(good.withColumn("model", name(F.lit(POOLED), half)))
+    counts = materialise(counted(learnt).groupBy("model", "u", "v", "w").agg(F.sum("n").alias("c")))
+    other = (1 - F.col("_half")).cast("string")
+    grams = counted(d.where(F.col(text_col) != "").select(F.col("_key").alias("key"), name(F.col("_model"), other).alias("model"), F.col(text_col).alias("text")))
+    # copies add to both sums, which leaves the mean as it is
+    scores = materialise(log_probabilities(grams, tables(counts)).groupBy("key").agg((-F.sum(F.col("n") * F.col("lp")) / F.sum("n")).alias("_h"), *_MORE))
+    known = good.select("key", "lang").join(own, F.col("lang") == F.col("_own"), "left").select("key", F.coalesce("_own", F.lit(POOLED)).alias("model"))
+    return _verdict(d, known.join(scores, "key"), scores).drop("_half", "_lang", "_own")
+
+
+_MORE: list[Column] = []
+
+
+def _verdict(d: DataFrame, known: DataFrame, scores: DataFrame) -> DataFrame:
+    limits = _limits(known.select("model", F.col("_h").alias("h"))).withColumnRenamed("model", "_model")
+    out = d.join(scores.withColumnRenamed("key", "_key"), "_key", "left").join(limits, "_model", "left").withColumnRenamed("top", "_top")
+    return out.withColumn("_keep", F.coalesce(F.col("_h") <= F.col("_top"), F.lit(True)))
+
+
+def score_words(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """doc_id, model, n_chars, perplexity (of a word), threshold, keep for each row; repeated rows give repeated rows."""
+    out = judged(docs, trusted, id_col, text_col, lang_col)
+    n = F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
+    return out.select(F.col(id_col).alias("doc_id"), F.col("_model").alias("model"), n.alias("n_chars"), F.exp("_h").alias("perplexity"), F.exp("_top").alias("threshold"), F.col("_keep").alias("keep"))
+
+
+def filter_words(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of `docs`, with all their columns, that `score_words` keeps."""
+    return judged(docs, trusted, id_col, text_col, lang_col).where("_keep").select(*docs.columns)

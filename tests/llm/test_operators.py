@@ -330,6 +330,52 @@ def test_kneser_ney(spark):
     assert load_models(model_tables(count_ngrams(df.limit(0), 3), 3), 3) == {}
 
 
+def test_word_model(spark):
+    from cohortmill.llm.word_model import WORD, counted, log_probabilities, score_words, tables
+
+    texts = ["a b c a b d.", "b c a a b c", "ж б. ж б в", "水水火 a"]
+    seen = counted(spark.createDataFrame([(i, "x", t) for i, t in enumerate(texts)], "key long, model string, text string"))
+    t = tables(seen.groupBy("model", "u", "v", "w").agg({"n": "sum"}).withColumnRenamed("sum(n)", "c"))
+    new = "a b c zz a. b в 火火"
+    got = log_probabilities(counted(spark.createDataFrame([(7, "x", new)], "key long, model string, text string")), t).collect()
+    levels, c = [], Counter()
+    for x in texts:
+        w = ["", "", *WORD.findall(x)]
+        c.update(zip(w, w[1:], w[2:]))
+    for _ in range(3):
+        k = Counter(c.values())
+        y = k[1] / (k[1] + 2 * k[2]) if k[1] + k[2] else None
+        levels.append(([0, *(0.5 if y is None or not k[i] else max(0.05, min(i - 0.05, i - (i + 1) * y * k[i + 1] / k[i])) for i in (1, 2, 3))], c))
+        c = Counter(g[1:] for g in c)
+
+    def p(g):
+        if not g:
+            return 1 / (len(levels[2][1]) + 1)
+        d, c = levels[3 - len(g)]
+        of = {x[-1]: n for x, n in c.items() if x[:-1] == g[:-1]}
+        if not of:
+            return p(g[1:])
+        n = of.get(g[-1], 0)
+        return (n - d[min(n, 3)]) / sum(of.values()) + sum(d[min(n, 3)] for n in of.values()) / sum(of.values()) * p(g[1:])
+
+    w = ["", "", *WORD.findall(new)]
+    assert sum(r["n"] for r in got) == len(w) - 2
+    assert sorted(r["lp"] for r in got for _ in range(r["n"])) == pytest.approx(sorted(np.log(p(g)) for g in zip(w, w[1:], w[2:])))
+    # more than 16 languages, in a script of its own each keeps its model; words in the wrong order stand out
+    rows = []
+    for k in range(18):
+        rng = random.Random(k)
+        words = ["".join(chr(0x430 + rng.randrange(32)) for _ in range(5)) for _ in range(12)]
+        line = lambda s: " ".join(words[(s + i) % 12] for i in range(60))
+        rows += [(100 * k + i, line(i), f"l{k:02}", "s", 1) for i in range(12)] + [(100 * k + 50, " ".join(rng.choice(words)[::-1] for _ in range(60)), f"l{k:02}", "s", 1)]
+    rows += [(9000, None, None, "s", 1), (9001, "", "l00", "s", 1), (9002, rows[0][1], "none", "s", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    out = {r["doc_id"]: r for r in score_words(df, df.where("doc_id % 100 < 12 AND doc_id < 9000").select("doc_id")).collect()}
+    assert len({r["model"] for r in out.values()}) == 19 and out[9002]["model"] == "*" and out[9000]["keep"] and out[9001]["perplexity"] is None
+    assert all(out[100 * k + 50]["perplexity"] > 3 * max(out[100 * k + i]["perplexity"] for i in range(12)) for k in range(18))
+    assert score_words(df.limit(0), df.select("doc_id")).count() == 0 and all(r["keep"] for r in score_words(df.limit(5), df.limit(0).select("doc_id")).collect())
+
+
 # ---- 8 ------------------------------------------------------------------------------------------------------------
 
 

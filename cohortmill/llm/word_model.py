@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -111,28 +111,41 @@ def log_probabilities(grams: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
 
 def _keyed(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     text, lang = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(lang_col), F.lit(POOLED))
-    return docs.withColumn("_key", F.xxhash64(lang, text)).withColumn("_half", F.pmod(F.xxhash64(text, F.lit(5)), F.lit(2))).withColumn("_lang", lang)
+    return docs.withColumn("_key", F.xxhash64(lang, text)).withColumn("_half", F.pmod(F.xxhash64(text, F.lit(5)), F.lit(2))).withColumn("_lang", lang).withColumn("_size", F.floor(F.log2(F.length(text))))
 
 
-def _limits(trusted: DataFrame) -> DataFrame:
-    """model, top: the largest mean negative log probability that is kept, from the median and 0.95 quantile of `trusted` (model, h)."""
-    bins = trusted.groupBy("model", F.round("h", 3).alias("h")).agg(F.count(F.lit(1)).alias("c"))
-    w = W.partitionBy("model")
-    bins = bins.withColumn("upto", F.sum("c").over(w.orderBy("h"))).withColumn("all", F.sum("c").over(w))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("h")))
-    return bins.groupBy("model").agg((at(0.5) + 6 * (at(0.95) - at(0.5))).alias("top"))
+#: The share of a group's trusted texts that may lie beyond a limit, and the fewest texts of which such a quantile is taken.
+TAIL, ENOUGH = 0.01, 200
+
+
+def _limits(trusted: DataFrame, group: list[str]) -> DataFrame:
+    """Limits for each group of `trusted`: top, the 1 - TAIL quantile of _h, and new, the TAIL quantile of _new, to 3 digits. Fewer than ENOUGH texts do not
+    determine these; there the mean and 4 standard deviations (at least 0.05) stand for them."""
+    w = lambda x: W.partitionBy(*group).orderBy(x)
+    out = None
+    for x, name, sign, q in (("_h", "top", 1, 1 - TAIL), ("_new", "new", -1, TAIL)):
+        bins = trusted.groupBy(*group, F.round(x, 3).alias("x")).agg(F.count(F.lit(1)).alias("c"))
+        bins = bins.withColumn("upto", F.sum("c").over(w("x"))).withColumn("all", F.sum("c").over(W.partitionBy(*group)))
+        at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("x")))
+        n, mean = F.sum("c"), F.sum(F.col("c") * F.col("x")) / F.sum("c")
+        wide = 4 * F.sqrt(F.greatest(F.sum(F.col("c") * F.col("x") * F.col("x")) / n - mean * mean, F.lit(0.05 / 4) ** 2))
+        part = bins.groupBy(*group).agg(F.when(n < ENOUGH, mean + sign * wide).otherwise(at(q)).alias(name), n.alias(f"of{x}"))
+        out = part if out is None else out.join(part, group)
+    return out.select(*group, "top", "new", F.col("of_h").alias("of"))
 
 
 def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of `docs` with _model, _h, _top and _keep. The texts whose id is in the first column of `trusted` train the models.
 
     A language with trusted texts in both halves has its own model; the others, and null, share that of all trusted texts.
+    A text is rejected where its mean negative log probability lies above the 1 - TAIL quantile of its language's trusted texts, or its
+    share of distinct trigrams below the TAIL quantile of theirs, as in repetitive text (a low perplexity alone is none: near copies of trusted texts have it); other languages' models do not count.
     A text without words has no perplexity and is kept; so are all without any trusted text.
     """
     ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).where("_id IS NOT NULL").distinct()
     d = _keyed(docs, text_col, lang_col)
     good = d.join(ids.hint("shuffle_merge"), d[id_col] == ids["_id"], "left_semi").where(F.col(text_col) != "")
-    good = materialise(good.select(F.col("_key").alias("key"), F.col("_half").alias("half"), F.col("_lang").alias("lang"), F.col(text_col).alias("text")))
+    good = materialise(good.select(F.col("_key").alias("key"), F.col("_half").alias("half"), F.col("_lang").alias("lang"), "_size", F.col(text_col).alias("text")))
     own = materialise(good.where(F.col("lang") != POOLED).groupBy("lang").agg(F.countDistinct("half").alias("halves")).where("halves = 2").select(F.col("lang").alias("_own")))
     d = d.join(own, d["_lang"] == own["_own"], "left").withColumn("_model", F.coalesce("_own", F.lit(POOLED)))
     name = lambda lang, half: F.concat(lang, F.lit(":"), half)
@@ -144,18 +157,19 @@ def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     other = (1 - F.col("_half")).cast("string")
     grams = counted(d.where(F.col(text_col) != "").select(F.col("_key").alias("key"), name(F.col("_model"), other).alias("model"), F.col(text_col).alias("text")))
     # copies add to both sums, which leaves the mean as it is
-    scores = materialise(log_probabilities(grams, tables(counts)).groupBy("key").agg((-F.sum(F.col("n") * F.col("lp")) / F.sum("n")).alias("_h"), *_MORE))
-    known = good.select("key", "lang").join(own, F.col("lang") == F.col("_own"), "left").select("key", F.coalesce("_own", F.lit(POOLED)).alias("model"))
-    return _verdict(d, known.join(scores, "key"), scores).drop("_half", "_lang", "_own")
-
-
-_MORE: list[Column] = []
+    scores = materialise(log_probabilities(grams, tables(counts)).groupBy("key").agg((-F.sum(F.col("n") * F.col("lp")) / F.sum("n")).alias("_h"), (F.count(F.lit(1)) / F.sum("n")).alias("_new")))
+    known = good.select("key", "lang", "_size").join(own, F.col("lang") == F.col("_own"), "left").select("key", "_size", F.coalesce("_own", F.lit(POOLED)).alias("model"))
+    return _verdict(d, known.join(scores, "key"), scores).drop("_half", "_lang", "_size", "_own")
 
 
 def _verdict(d: DataFrame, known: DataFrame, scores: DataFrame) -> DataFrame:
-    limits = _limits(known.select("model", F.col("_h").alias("h"))).withColumnRenamed("model", "_model")
-    out = d.join(scores.withColumnRenamed("key", "_key"), "_key", "left").join(limits, "_model", "left").withColumnRenamed("top", "_top")
-    return out.withColumn("_keep", F.coalesce(F.col("_h") <= F.col("_top"), F.lit(True)))
+    """Each row by the limits of its model's trusted texts of like length (powers of 2 of characters), or of all where those are fewer than ENOUGH."""
+    like = materialise(_limits(known, ["model", "_size"]).where(F.col("of") >= ENOUGH).drop("of"))
+    every = materialise(_limits(known, ["model"]).drop("of"))
+    named = lambda df, x: df.select(*(F.col(c).alias("_model" if c == "model" else c if c == "_size" else x + c) for c in df.columns))
+    out = d.join(scores.withColumnRenamed("key", "_key"), "_key", "left").join(named(like, "_a"), ["_model", "_size"], "left").join(named(every, "_b"), "_model", "left")
+    out = out.select(*d.columns, "_h", F.col("_new").alias("_share"), *(F.coalesce("_a" + c, "_b" + c).alias("_" + c) for c in ("top", "new")))
+    return out.withColumn("_keep", F.coalesce((F.round("_h", 3) <= F.col("_top")) & (F.round("_share", 3) >= F.col("_new")), F.lit(True)))
 
 
 def score_words(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

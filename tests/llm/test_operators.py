@@ -376,6 +376,19 @@ def test_word_model(spark):
     assert score_words(df.limit(0), df.select("doc_id")).count() == 0 and all(r["keep"] for r in score_words(df.limit(5), df.limit(0).select("doc_id")).collect())
 
 
+def test_word_model_rejects_by_quantiles(spark):
+    from cohortmill.llm.word_model import score_words
+
+    clean = {i: prose(i, 150) for i in range(400)}
+    bad = {1000: "The. " * 150, 1001: prose(1, 8) * 20, 1002: prose(3, 150).upper(), 1003: " ".join(prose(2000 + i, 3) for i in range(5)) * 10}
+    df = frame(spark, clean | bad)
+    out = {r["doc_id"]: r for r in score_words(df, df.where("doc_id < 300").select("doc_id")).collect()}
+    assert not any(out[i]["keep"] for i in bad)
+    assert sum(out[i]["keep"] for i in clean) >= 380
+    few = {r["doc_id"]: r["keep"] for r in score_words(df, df.where("doc_id < 60").select("doc_id")).collect()}
+    assert not any(few[i] for i in bad) and all(few[i] for i in range(60, 100))
+
+
 # ---- 8 ------------------------------------------------------------------------------------------------------------
 
 

@@ -1,13 +1,14 @@
 """Operator 4: removal of repeated runs of lines by content-defined chunks.
 
-A unit is a line, or a sentence of a longer line. A rolling hash over the hashes of two neighbouring units has a local
-maximum at every third unit or so; chunks end there, so that an insertion moves only the boundaries beside it. Chunks of
-two and more units that stand in the corpus more than once are removed except for their first place, once their bytes
-have been compared. A whole text of several chunks counts as one more chunk, so a copy goes with its last short line.
-
-Chunk ends depend on the units around, so chunks alone miss the edges of a passage, and short passages as a whole. With
-`run_words`, the shortest run of that many words from each unit on, and that up to each unit, counts too. Such a run lies
-within the passage, and those of a passage of `run_words` words or more cover all its units.
+A hash over the hashes of a line has a local maximum at every third line or so; chunks end there, so that an insertion
+moves only the boundaries beside it. Chunks of two and more lines that stand in the corpus more than once are removed
+except for their first place, once their bytes have been compared. A whole text of several chunks counts as one more
+chunk, so a copy goes with its last short line.
+
+Chunk ends depend on the lines beside, so chunks alone miss the edges of a passage, and short passages as a whole. With
+`run_words`, units are lines or their sentences, and the shortest run of that many words from each unit on, and that up to
+each unit, counts too. Such a run lies within the passage, and those of a passage of `run_words` words or more cover all
+its units.
 """
 
 from __future__ import annotations
@@ -32,10 +33,11 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[*range(9, 14), 32]] = True
 
 
-def _split(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and texts of the units: a unit ends with a line end, or with the space after a full stop."""
+def _split(data: np.ndarray, at: np.ndarray, sentences: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and texts of the units: a unit ends with a line end, with `sentences` also with the space after a full stop."""
     stop = data == 10
-    stop[1:] |= (data[1:] == 32) & _END[data[:-1]]
+    if sentences:
+        stop[1:] |= (data[1:] == 32) & _END[data[:-1]]
     stop[at[1:] - 1] = True
     ends = np.flatnonzero(stop) + 1
     starts = np.concatenate([[0], ends[:-1]])
@@ -46,18 +48,14 @@ def _split(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def chunks(texts: list[str]) -> tuple[bytes, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
-    """The bytes of all texts, and for each text the starts, ends, hashes and numbers of units of its chunks, which cover it."""
+    """The bytes of all texts, and for each text the starts, ends, hashes and numbers of lines of its chunks, which cover it."""
     data, at = joined(texts)
     raw = data.tobytes()
-    starts, cut, doc = _split(data, at)
-    h = span_hashes(data, starts, cut)
-    n = len(h)
+    starts, cut, doc = _split(data, at, False)
+    r = mix64(span_hashes(data, starts, cut))
+    n = len(r)
     first = np.ones(n, bool)
     first[1:] = doc[1:] != doc[:-1]
-    with np.errstate(over="ignore"):
-        before = np.concatenate([np.zeros(1, np.uint64), h[:-1]]) if n else h
-        before[first] = 0
-        r = mix64(before * np.uint64(0x9E3779B97F4A7C15) + h)
     lower, upper = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     if n:
         lower[1:], upper[:-1] = r[:-1], r[1:]
@@ -90,7 +88,7 @@ def runs(texts: list[str], words: int) -> tuple[bytes, list[Runs]]:
     Blanks around a unit do not count. Where words are not set apart by blanks, 12 bytes count as one.
     """
     data, at = joined(texts)
-    starts, cut, doc = _split(data, at)
+    starts, cut, doc = _split(data, at, True)
     inked = np.flatnonzero(~_BLANK[data])
     i, j = np.searchsorted(inked, starts), np.searchsorted(inked, cut)
     full = j > i
@@ -128,18 +126,20 @@ def _whole(hashes: np.ndarray) -> np.uint64:
         return np.add.reduce(mix64(hashes + mix64(np.arange(1, len(hashes) + 1, dtype=np.uint64))))
 
 
-def line_dedup(docs: DataFrame, min_units: int = 2, min_bytes: int = 60, id_col: str = "doc_id", text_col: str = "text", run_words: int | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, min_units: int = 2, id_col: str = "doc_id", text_col: str = "text", run_words: int | None = None) -> DataFrame:
     """The rows of `docs` with all columns, the text without repeated chunks, and n_chunks and n_removed.
 
-    A chunk counts from `min_units` units and `min_bytes` bytes on, and so does a whole text of several chunks. The first place of a chunk, by id (null last) and
+    A chunk counts from `min_units` lines on, and so does a whole text of several chunks. The first place of a chunk, by id (null last) and
     place, stays, within a text too. Rows that agree in id and text are one document: both keep or lose the same chunks. Chunks
-    that share a hash without being equal byte for byte stay. A null text stays null; it and an empty text have no
+    that share a hash are told apart by their bytes. A null text stays null; it and an empty text have no
     chunks. With `run_words`, all units of repeated runs of that many words or more go too, except for their first place;
     blanks around units may differ, and contents are compared by digests of 128 bits. Where a run overlaps its own first
-    place, that stays as a whole. n_removed counts the chunks that lost all or part. An empty table gives no rows. `docs` must not have columns of the names n_chunks, n_removed, _key, _drop.
+    place, that stays as a whole. n_removed counts the chunks that lost all or part. An empty table gives no rows. Columns
+    of `docs` of the names n_chunks and n_removed give way to those.
     """
+    docs = docs.drop("n_chunks", "n_removed")
     names = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit(""))))
+    keyed = docs.select(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit(""))).alias("_key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def all_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +152,8 @@ def line_dedup(docs: DataFrame, min_units: int = 2, min_bytes: int = 60, id_col:
                 more = runs(texts, run_words)[1] if run_words else None
                 of, h, place = [], [], []
                 for i, (a, z, hashes, units) in enumerate(found):
-                    take = np.flatnonzero((units >= min_units) & (z - a >= min_bytes))
-                    if len(a) > 1 and z[-1] - a[0] >= min_bytes:
+                    take = np.flatnonzero(units >= min_units)
+                    if len(a) > 1:
                         take, hashes = np.append(take, WHOLE), np.append(hashes, _whole(hashes))
                     of.append(np.full(len(take), i))
                     h.append(hashes[take])
@@ -165,7 +165,7 @@ def line_dedup(docs: DataFrame, min_units: int = 2, min_bytes: int = 60, id_col:
                 of = pa.array(np.concatenate(of))
                 yield pa.RecordBatch.from_arrays([ids.take(of), keys.take(of), pa.array(np.concatenate(place), pa.int64()), pa.array(np.concatenate(h).view(np.int64))], ["doc_id", "_key", "place", "h"])
 
-    source = keyed.select(F.col(id_col).alias("doc_id"), "_key", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = keyed.select("doc_id", "_key", F.coalesce("text", F.lit("")).alias("text"))
     places = materialise(source.mapInArrow(all_chunks, f"doc_id {kind}, _key long, place long, h long").select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key", "place", "h"))
     repeated = materialise(places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("no_id", "doc_id", "_key", "place")).alias("first")).where("n > 1").select("h", F.col("first._key").alias("first_key"), F.col("first.place").alias("first_place")))
     # how many units of a run lie past its first place in the same text: all, if they do not overlap
@@ -174,10 +174,10 @@ def line_dedup(docs: DataFrame, min_units: int = 2, min_bytes: int = 60, id_col:
     gone = F.when(inside, F.col("place") + F.shiftleft(F.col("place").bitwiseAND(F.lit((1 << 20) - 1)) - past, 20) - F.col("place").bitwiseAND(F.lit((1 << 20) - 1)) + past).otherwise(F.col("place"))
     found = materialise(places.join(repeated, "h").select("_key", "place", "h", ((F.col("_key") != F.col("first_key")) | (F.col("place") != F.col("first_place"))).alias("again"), gone.alias("gone")))
 
-    def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bytes_of(batches: Iterator[pa.RecordBatch], placed: bool = False) -> Iterator[pa.RecordBatch]:
         for b in batches:
             start, wanted = 0, b.column(2)
-            for _, texts in text_blocks(iter([b.select([0, 1])])):
+            for keys, texts in text_blocks(iter([b.select([0, 1])])):
                 raw, parts = chunks(texts)
                 more = runs(texts, run_words)[1] if run_words else [None] * len(texts)
                 h, out = [], []
@@ -193,25 +193,35 @@ def line_dedup(docs: DataFrame, min_units: int = 2, min_bytes: int = 60, id_col:
                             continue
                         h.append(_whole(hashes) if i == WHOLE else hashes[i])
                         out.append(raw[a[0] : z[-1]] if i == WHOLE else raw[a[i] : z[i]])
+                hs, at = pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(np.repeat(np.arange(len(texts)), [len(w) for w in wanted.slice(start, len(texts)).to_pylist()]))
+                if placed:
+                    wide = pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in out], pa.binary())
+                    yield pa.RecordBatch.from_arrays([b.column(3).slice(start, len(texts)).take(at), keys.take(at), wanted.slice(start, len(texts)).flatten(), hs, wide], ["doc_id", "_key", "place", "h", "chunk"])
+                else:
+                    yield pa.RecordBatch.from_arrays([hs, pa.array(out, pa.binary())], ["h", "chunk"])
                 start += len(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(out, pa.binary())], ["h", "chunk"])
 
-    one = keyed.select("_key", F.col(text_col).alias("text")).join(found.groupBy("_key").agg(F.collect_list("place").alias("want")), "_key")
+    one = keyed.select("_key", "text", "doc_id").join(found.groupBy("_key").agg(F.collect_list("place").alias("want")), "_key").select("_key", "text", "want", "doc_id")
     compared = one.mapInArrow(bytes_of, "h long, chunk binary").groupBy("h").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     differ = materialise(compared.where("low <> high").select("h"))
     if not differ.isEmpty():
-        found = found.join(differ, "h", "left_anti")
+        # chunks of one hash and different bytes: each kind has a first place of its own
+        kinds = one.mapInArrow(lambda batches: bytes_of(batches, True), f"doc_id {kind}, _key long, place long, h long, chunk binary").join(differ, "h", "left_semi")
+        kinds = materialise(kinds.withColumn("at", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key", "place")))
+        first = kinds.groupBy("h", "chunk").agg(F.min("at").alias("first"))
+        again = (F.col("_key") != F.col("first._key")) | (F.col("place") != F.col("first.place"))
+        found = found.join(differ, "h", "left_anti").unionByName(kinds.join(first, ["h", "chunk"]).select("_key", "place", "h", again.alias("again"), F.col("place").alias("gone")))
     drop = found.where("again").groupBy("_key").agg(F.collect_list("gone").alias("_drop"))
-    full = keyed.join(drop, "_key", "left").drop("_key")
+    full = keyed.select("_key", "row").join(drop, "_key", "left").select("row", "_drop")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text_col)
         for b in batches:
-            texts = b.column(at).to_pylist()
-            lists = b.column(len(names)).to_pylist()
+            row = b.column(0)
+            texts, lists = row.field(at).to_pylist(), b.column(1).to_pylist()
             out, n_chunks, n_removed = [], [], []
             start = 0
-            for _, block in text_blocks(iter([pa.RecordBatch.from_arrays([b.column(len(names)), pa.array([t or "" for t in texts], pa.string())], ["x", "t"])])):
+            for _, block in text_blocks(iter([pa.RecordBatch.from_arrays([b.column(1), pa.array([t or "" for t in texts], pa.string())], ["x", "t"])])):
                 raw, parts = chunks(block)
                 more = runs(block, run_words)[1] if run_words else None
                 for k, (a, z, _h, _u) in enumerate(parts):
@@ -228,8 +238,8 @@ def line_dedup(docs: DataFrame, min_units: int = 2, min_bytes: int = 60, id_col:
                     n_removed.append(int(np.count_nonzero(np.logical_or.reduceat(lost, a - a[0]))) if lost.any() else 0)
                     out.append(texts[start + k] if not lost.any() else np.frombuffer(raw, np.uint8)[a[0] : z[-1]][~lost].tobytes().decode("utf-8", "surrogatepass"))
                 start += len(block)
-            columns = [pa.array(out, pa.string()) if i == at else b.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_chunks, pa.int64()), pa.array(n_removed, pa.int64())], [*names, "n_chunks", "n_removed"])
+            columns = [pa.array(out, pa.string()) if i == at else row.field(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=list(row.type)), pa.array(n_chunks, pa.int64()), pa.array(n_removed, pa.int64())], ["row", "n_chunks", "n_removed"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_chunks", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return full.select(*names, "_drop").mapInArrow(remove, schema)
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("n_chunks", T.LongType()), T.StructField("n_removed", T.LongType())])
+    return full.mapInArrow(remove, schema).select("row.*", "n_chunks", "n_removed")

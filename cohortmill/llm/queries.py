@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,11 +53,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cohortmill.llm.kneser_ney import trusted_ids
-    from cohortmill.llm.word_model import score_words
+    from cohortmill.llm.kneser_ney import score_quality, trusted_ids
 
-    docs = _table(spark, sf_dir, "documents")
-    return score_words(docs, trusted_ids(_table(spark, sf_dir, "labels")))
+    return score_quality(_table(spark, sf_dir, "documents"), trusted_ids(_table(spark, sf_dir, "labels")))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,10 +66,25 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: Shares of four domains, and of the languages of each. Sources share theirs by size.
+MIX_TARGETS = [(f"domain{i}", None, None, 1, w) for i, w in enumerate((0.4, 0.3, 0.2, 0.1))] + [(f"domain{i}", lang, None, 2, w) for i in range(4) for lang, w in (("en", 0.4), ("de", 0.25), ("fr", 0.25))]
+
+
+def source_domain(source: Column) -> Column:
+    """The domain of a test source, which the tables do not name: the remainder by four of the number in its name, 'other' without one."""
+    n = F.regexp_extract(F.coalesce(source, F.lit("")), "([0-9]{1,9})$", 1)
+    return F.when(n == "", F.lit("other")).otherwise(F.concat(F.lit("domain"), (n.cast("long") % 4).cast("string")))
+
+
+def mix_targets(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(MIX_TARGETS, "domain string, lang string, source string, depth int, weight double")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortmill.llm.mixing import mix_sources
 
-    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "mix_epoch")
+    out = mix_sources(_table(spark, sf_dir, "documents"), domain=source_domain(F.col("source")), targets=mix_targets(spark))
+    return out.select("doc_id", "lang", "source", "mix_epoch")
 
 
 QUERIES = {
@@ -86,13 +100,18 @@ QUERIES = {
     "op10_source_mix": op10_source_mix,
 }
 
+DOMAIN_SQL = "CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) = '' THEN 'other' ELSE 'domain' || (CAST(regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) AS BIGINT) % 4) END"
+
+
 def _oracles() -> dict[str, str]:
     from cohortmill.llm.mixing import MIX_SQL
     from cohortmill.llm.topk import TOPK_SQL
 
+    say = lambda x: "CAST(NULL AS VARCHAR)" if x is None else f"'{x}'"
+    targets = "(VALUES " + ", ".join(f"({', '.join(map(say, t[:3]))}, {t[3]}, CAST({t[4]} AS DOUBLE))" for t in MIX_TARGETS) + ") AS t(domain, lang, source, depth, weight)"
     return {
         "op3_threshold_topk": TOPK_SQL,
-        "op10_source_mix": MIX_SQL.format(docs="documents", fraction=0.75, alpha=0.5, epochs=2, seed=7) + "SELECT doc_id, lang, source, CAST(unnest(range(n)) AS BIGINT) AS mix_epoch FROM n",
+        "op10_source_mix": MIX_SQL.format(docs="documents", fraction=0.75, alpha=0.5, epochs=2, seed=7, domain=DOMAIN_SQL, targets=targets) + "SELECT doc_id, lang, source, CAST(unnest(range(n)) AS BIGINT) AS mix_epoch FROM n",
     }
 
 

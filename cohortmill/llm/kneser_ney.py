@@ -1,253 +1,529 @@
-"""Operator 7: quality by the perplexity under an interpolated modified Kneser-Ney model of trusted text.
+"""Operator 7: quality by the perplexity under an interpolated modified Kneser-Ney model of trusted text, by sharded joins.
 
-The model is over characters folded to 64 symbols, of order 4, one for each language and one of all. Tasks count their
-own texts; the counts are summed, turned into continuation counts and joined with the sums of their contexts by key, so
-each join is dealt out by language and n-gram. What scoring needs is one number for each n-gram and context seen: at most
-64 ** 4 for each language, which bounds what is broadcast.
+The model is over characters (code points, so every script has its own), one for each language. Texts fall into two halves
+by a hash; each is scored by the model of the other half's trusted texts, so that no text, nor a copy, meets its own counts.
+
+Counts are dealt out by model and context and turned into probabilities and back-off weights by joins on n-grams. To be
+scored, the texts of a partition are put into chunks of one model each. A chunk asks for each of its distinct n-grams once:
+the questions are dealt out to the shards of the table, joined there, and the answers go back to the chunk. So nothing but
+sums for each model is sent to the driver, no task holds a whole model, and a frequent n-gram is one question a chunk.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cohortmill.llm.common import joined, materialise, mix64, span_hashes
 
-from cohortmill.llm.common import materialise, text_blocks
-
-#: The symbol of each character of the basic plane: 0 ends a text, lower-case a-z, one for capitals, digits, space and line ends, each common mark, and a few shared by all others.
-SYMBOL = np.zeros(65536, np.uint8)
-SYMBOL[:] = 60 + np.arange(65536) % 4
-for _c in range(0x80, 0x250):
-    SYMBOL[_c] = 44 + _c % 14 if chr(_c).isalpha() and chr(_c).lower() == chr(_c) else 27 if chr(_c).isalpha() else 58
-SYMBOL[ord("a") : ord("z") + 1] = np.arange(1, 27)
-SYMBOL[ord("A") : ord("Z") + 1] = 27
-SYMBOL[ord("0") : ord("9") + 1] = 28
-for _i, _c in enumerate(" \n.,;:!?'\"-()|*"):
-    SYMBOL[ord(_c)] = 29 + _i
-for _c in "#$%&/\\<>=+@_[]{}~^`":
-    SYMBOL[ord(_c)] = 59
-SYMBOL[9] = SYMBOL[13] = SYMBOL[ord(" ")]
-ORDER = 4
+ORDER = 5
+#: The model of all trusted texts, for texts whose language has none of its own.
 POOLED = "*"
+#: The noncharacter that stands before a text.
+PAD = 0x10FFFF
+#: Characters of a chunk, and of all chunks that a task holds open.
+CHUNK, HELD = 3_000_000, 16_000_000
+_P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def symbols(text: str) -> np.ndarray:
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return SYMBOL[np.minimum(c, 65535)].astype(np.int32)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids that are labelled good and not toxic, and never otherwise."""
+    return labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0").select("doc_id")
 
 
-def codes(text: str, order: int) -> np.ndarray:
-    """The n-gram that ends at each character, as a number with six bits for each symbol; the text begins after order - 1 zeros."""
-    s = np.concatenate([np.zeros(order - 1, np.int32), symbols(text)])
-    out = s[: len(s) - order + 1].copy()
-    for i in range(1, order):
-        out = (out << 6) | s[i : len(s) - order + 1 + i]
-    return out
+def checked_broadcast(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
+    """`df` with a broadcast hint where it has at most `rows` rows, and whether it has."""
+    small = df.limit(rows + 1).count() <= rows
+    return (F.broadcast(df) if small else df), small
 
 
-def count_ngrams(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """lang, g, c: how often each n-gram stands in the texts of a language. `texts` has lang and text."""
+# ---- n-grams of a chunk -------------------------------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-        def merged(parts):
-            g, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return g, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
-
-        for langs, block in text_blocks(batches):
-            by: dict[str, list[np.ndarray]] = {}
-            for lang, t in zip(langs.to_pylist(), block):
-                by.setdefault(lang, []).append(codes(t, order))
-            for lang, parts in by.items():
-                held.setdefault(lang, []).append(np.unique(np.concatenate(parts), return_counts=True))
-                if len(held[lang]) >= 8:
-                    held[lang] = [merged(held[lang])]
-        for lang, parts in held.items():
-            g, c = merged(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(c, pa.int64())], ["lang", "g", "c"])
-
-    return texts.select("lang", "text").mapInArrow(run, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
-
-
-def model_tables(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """lang, n, kind, g, v: of each order n, the discounted share of each n-gram (kind 'a') and the weight that each context leaves to the lower order ('b')."""
-    level, out = counts, None
-    for n in range(order, 0, -1):
-        level = materialise(level)
-        k = level.groupBy("lang").agg(*(F.count(F.when(F.col("c") == i, 1)).cast("double").alias(f"n{i}") for i in range(1, 5)))
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        d = [F.when((F.col(f"n{i}") > 0) & (F.col("n1") + F.col("n2") > 0), F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1.0))))).otherwise(F.lit(0.5)) for i in (1, 2, 3)]
-        k = k.select("lang", *(x.alias(f"d{i + 1}") for i, x in enumerate(d)))
-        ctx = level.withColumn("x", F.shiftright("g", 6)).groupBy("lang", "x").agg(F.sum("c").cast("double").alias("all"), *(F.count(F.when(F.col("c") == i, 1)).alias(f"m{i}") for i in (1, 2)), F.count(F.when(F.col("c") > 2, 1)).alias("m3"))
-        ctx = ctx.join(k, "lang").withColumn("b", (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("all"))
-        own = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        seen = level.withColumn("x", F.shiftright("g", 6)).join(ctx, ["lang", "x"]).select("lang", F.lit(n).alias("n"), F.lit("a").alias("kind"), "g", ((F.col("c") - own) / F.col("all")).alias("v"))
-        left = ctx.select("lang", F.lit(n).alias("n"), F.lit("b").alias("kind"), F.col("x").alias("g"), F.col("b").alias("v"))
-        out = seen.unionByName(left) if out is None else out.unionByName(seen).unionByName(left)
-        level = level.withColumn("g", F.col("g").bitwiseAND(F.lit((1 << 6 * (n - 1)) - 1))).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("c"))
-    return out
+
+class Grams(NamedTuple):
+    """The distinct n-grams of each order 0 to `order` in a chunk, in the order of their symbols, and what stands where."""
+
+    codes: list[np.ndarray]  # (number, n) code points
+    suffix: list[np.ndarray]  # the number of each one's last n - 1 symbols in the order below
+    context: list[np.ndarray]  # and of its first n - 1
+    top: np.ndarray  # the number of the highest order's n-gram that ends at each character
+    bounds: np.ndarray  # where the characters of each text begin in `top`
+
+
+def _ranked(codes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each code among the distinct ones, and a place where each of those stands. Codes are below `span`."""
+    if span <= max(1 << 22, 4 * len(codes)):
+        place = np.full(span, -1, np.int32)
+        place[codes] = np.arange(len(codes), dtype=np.int32)
+        held = np.flatnonzero(place >= 0)
+        at = place[held]
+        place[held] = np.arange(len(held), dtype=np.int32)
+        return place[codes], at
+    _, at, rank = np.unique(codes, return_index=True, return_inverse=True)
+    return rank.astype(np.int32), at
+
+
+def grams_of(texts: list[str], order: int) -> Grams:
+    pad = chr(PAD) * (order - 1) or chr(PAD)
+    n_pad = len(pad)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    data = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    real = np.ones(len(data), bool)
+    starts = np.concatenate([[0], np.cumsum(lengths[:-1] + n_pad)]) if len(texts) else np.zeros(1, np.int64)
+    for i in range(n_pad):
+        real[starts + i] = False
+    symbols, first = _ranked(data.astype(np.int64), PAD + 1)
+    one, kinds = symbols.astype(np.int64), len(first)
+    codes, suffix, context = [np.zeros((1, 0), np.uint32)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+    ids, at = np.zeros(len(data), np.int32), np.zeros(1, np.int64)
+    for n in range(1, order + 1):
+        before = np.concatenate([ids[:1], ids[:-1]]).astype(np.int64)
+        nxt, place = _ranked(before * kinds + one, len(at) * kinds)
+        rows = place[:, None] + np.arange(1 - n, 1)
+        codes.append(data[np.maximum(rows, 0)])
+        suffix.append(ids[place].astype(np.int64))
+        context.append(before[place])
+        ids, at = nxt, place
+    return Grams(codes, suffix, context, ids[real], bounds)
+
+
+def gram_hashes(codes: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = np.full(len(codes), mix64(np.full(1, codes.shape[1] + 1, np.uint64))[0])
+        for i in range(codes.shape[1]):
+            h = mix64(h + codes[:, i].astype(np.uint64)) * _P
+        return mix64(h)
+
+
+def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
+    """n-grams of one context stand in one shard."""
+    return (gram_hashes(codes[:, : max(0, codes.shape[1] - 1)]) % np.uint64(shards)).astype(np.int32)
+
+
+def _squeezed(a: np.ndarray) -> bytes:
+    """The bytes of a number array by their place in a number, compressed."""
+    raw = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-class Model:
-    """The model of one language: log probabilities of all n-grams below the highest order, and a row of 64 for each context of the highest."""
-
-    def __init__(self, order: int, tables: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]]):
-        empty = (np.zeros(0, np.int64), np.zeros(0))
-        p = np.full(64, 1 / 64)
-        self.order = order
-        for n in range(1, order):
-            g, v = tables.get((n, "b"), empty)
-            b = np.ones(1 << 6 * (n - 1))
-            b[g] = v
-            below = p if n == 1 else np.broadcast_to(p, (64, len(p))).reshape(-1)
-            p = np.repeat(b, 64) * below
-            g, v = tables.get((n, "a"), empty)
-            p[g] += v
-        x, b = tables.get((order, "b"), empty)
-        self.row = np.full(1 << 6 * (order - 1), -1, np.int32)
-        self.row[x] = np.arange(len(x))
-        low = p.reshape(-1, 64)
-        rows = b[:, None] * low[x & ((1 << 6 * (order - 2)) - 1)]
-        g, v = tables.get((order, "a"), empty)
-        rows[self.row[g >> 6], g & 63] += v
-        self.low, self.rows = np.log(p).astype(np.float32), np.log(rows).astype(np.float32).reshape(-1)
-        self.mask = (1 << 6 * (order - 1)) - 1
-
-    def mean_log(self, text: str) -> float:
-        """The mean negative log probability of the characters."""
-        g = codes(text, self.order)
-        r = self.row[g >> 6]
-        hit = r >= 0
-        s = self.rows[r[hit] * 64 + (g[hit] & 63)].sum(dtype=np.float64) + self.low[g[~hit] & self.mask].sum(dtype=np.float64)
-        return -float(s) / len(g)
-
-
-def load_models(tables: DataFrame, order: int) -> dict[str, Model]:
-    """All models, on the driver: at most 64 ** order numbers of each kind for a language."""
-    t = tables.toArrow()
-    lang, n, kind = np.array(t.column("lang").to_pylist(), object), t.column("n").to_numpy(), np.array(t.column("kind").to_pylist(), object)
-    g, v = t.column("g").to_numpy(), t.column("v").to_numpy()
-    out = {}
-    for x in sorted(set(lang)):
-        here = lang == x
-        parts = {}
-        for i in range(1, order + 1):
-            for k in "ab":
-                m = here & (n == i) & (kind == k)
-                parts[i, k] = g[m], v[m]
-        out[x] = Model(order, parts)
+def _unsqueezed(b: bytes, dtype) -> np.ndarray:
+    size, width = int.from_bytes(b[:8], "little"), np.dtype(dtype).itemsize
+    raw = np.frombuffer(pa.decompress(b[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).reshape(-1)
+
+
+def _packed(codes: list[np.ndarray]) -> bytes:
+    """n-grams of all orders, symbol by symbol, so that those with common beginnings cost little."""
+    return _squeezed(np.concatenate([c.T.ravel() for c in codes])) if sum(c.size for c in codes) else b""
+
+
+def _unpacked(b: bytes, numbers: list[int]) -> list[np.ndarray]:
+    a = _unsqueezed(b, np.uint32) if b else np.zeros(0, np.uint32)
+    out, at = [], 0
+    for n, k in enumerate(numbers):
+        out.append(a[at : at + n * k].reshape(n, k).T)
+        at += n * k
     return out
 
 
-class Quality(NamedTuple):
-    """What `fit_quality` found: the broadcast models, and the median and 0.95 quantile of the trusted texts of each."""
+def _strings(codes: np.ndarray) -> pa.Array:
+    """Rows of code points as strings."""
+    n = codes.shape[1]
+    text = np.ascontiguousarray(codes).tobytes().decode("utf-32-le", "surrogatepass")
+    return pa.array([text[i : i + n] for i in range(0, len(text), n)] if n else [""] * len(codes), pa.string())
+
 
-    models: object
-    quantiles: dict[str, tuple[float, float]]
-    spread: float
-    min_chars: int
+def _codes(grams: pa.Array, n: int) -> np.ndarray:
+    """Strings of n characters as rows of code points."""
+    return np.frombuffer("".join(grams.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(grams), n)
 
-    def limit(self, model: str, n: int) -> float | None:
-        q = self.quantiles.get(model)
-        return None if q is None or not n else q[0] + self.spread * (q[1] - q[0]) * max(1.0, self.min_chars / n) ** 0.5
 
+# ---- the model ----------------------------------------------------------------------------------------------------
 
-def _score(q: Quality, langs: list, texts: list) -> tuple[list[str], list[float | None]]:
-    known = q.models.value
-    used = [x if x in known else POOLED for x in langs]
-    return used, [known[m].mean_log(t) if m in known and t else None for m, t in zip(used, texts)]
 
+class _Buffers:
+    """Rows held for each model until they make a chunk. What a chunk holds depends on the order of the rows alone."""
 
-def _judge(q: Quality, langs: list, texts: list) -> tuple[list[str], list[float | None], list[float | None], list[bool]]:
-    """Model, mean negative log probability, limit and verdict of each text. One that fails its own language's model is kept if it passes another's: the language may be given wrongly."""
-    used, h = _score(q, langs, texts)
-    top = [q.limit(m, len(t)) for m, t in zip(used, texts)]
-    keep = [x is None or y is None or x <= y for x, y in zip(h, top)]
-    for i, k in enumerate(keep):
-        if not k:
-            for m, model in q.models.value.items():
-                y = q.limit(m, len(texts[i]))
-                if m not in (used[i], POOLED) and y is not None and (x := model.mean_log(texts[i])) <= y:
-                    used[i], h[i], top[i], keep[i] = m, x, y, True
-                    break
-    return used, h, top, keep
+    def __init__(self, chunk: int = CHUNK, held: int = HELD, rows: int = 50_000):
+        self.chunk, self.held, self.rows = chunk, held, rows
+        self.by: dict[str, list[tuple[str, object]]] = {}
+        self.size: dict[str, int] = {}
 
+    def add(self, model: str, text: str, row: object) -> Iterator[tuple[str, list[tuple[str, object]]]]:
+        of = self.by.setdefault(model, [])
+        of.append((text, row))
+        self.size[model] = self.size.get(model, 0) + len(text)
+        if self.size[model] >= self.chunk or len(of) >= self.rows:
+            yield self.take(model)
+        elif sum(self.size.values()) > self.held:
+            yield self.take(max(self.size, key=self.size.get))
 
-def fit_quality(docs: DataFrame, trusted: DataFrame, spread: float = 6.0, min_chars: int = 400, max_languages: int = 16, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Quality:
-    """Train on all texts of `docs` whose id is in the first column of `trusted` (nulls and repeats there do not matter).
+    def take(self, model: str) -> tuple[str, list[tuple[str, object]]]:
+        self.size.pop(model)
+        return model, self.by.pop(model)
 
-    The at most `max_languages` languages with most trusted text get a model; the pooled one serves the others and null.
+    def rest(self) -> Iterator[tuple[str, list[tuple[str, object]]]]:
+        for model in list(self.by):
+            yield self.take(model)
+
+
+def count_ngrams(texts: DataFrame, order: int, shards: int) -> DataFrame:
+    """model, g, c of each n-gram of the highest order, with the sum of c, the numbers of n-grams of count 1, 2 and more for its first symbols (all, m1, m2, m3), and head at one of each such group.
+
+    `texts` has model and text.
     """
-    spark = docs.sparkSession
-    ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).where("_id IS NOT NULL").distinct()
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit(POOLED)).alias("lang"), F.col(text_col).alias("text")).where("text <> ''")
-    # dealt out by id at any size: how many texts are trusted has no bound
-    good = d.join(ids.hint("shuffle_merge"), d["doc_id"] == ids["_id"], "left_semi")
-    counts = materialise(count_ngrams(good.select("lang", "text"), order))
-    size = counts.where(F.col("lang") != POOLED).groupBy("lang").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "lang").limit(max_languages)
-    own = [r["lang"] for r in size.collect()]
-    pooled = counts.groupBy("g").agg(F.sum("c").alias("c")).select(F.lit(POOLED).alias("lang"), "g", "c")
-    counts = counts.where(F.col("lang").isin(own)).unionByName(pooled) if own else pooled
-    models = spark.sparkContext.broadcast(load_models(model_tables(counts, order), order))
-    blank = Quality(models, {}, spread, min_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffers = _Buffers()
+
+        def packs(model: str, rows: list) -> pa.RecordBatch:
+            g = grams_of([t for t, _ in rows], order)
+            c = np.bincount(g.top, minlength=len(g.codes[order]))
+            own = np.flatnonzero(c)
+            codes, c = g.codes[order][own], c[own]
+            at = shard_of(codes, shards)
+            cells = [(s, np.flatnonzero(at == s)) for s in np.unique(at)]
+            return pa.RecordBatch.from_arrays([pa.array([model] * len(cells), pa.string()), pa.array([int(s) for s, _ in cells], pa.int32()), pa.array([_squeezed(codes[i].T.ravel()) for _, i in cells], pa.binary()), pa.array([_squeezed(c[i].astype(np.int64)) for _, i in cells], pa.binary())], ["model", "shard", "grams", "counts"])
+
         for b in batches:
-            texts = b.column(2).to_pylist()
-            used, h = _score(blank, b.column(1).to_pylist(), texts)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(used, pa.string()), pa.array([None if x is None or len(t) < min_chars else round(x, 3) for x, t in zip(h, texts)], pa.float64())], ["doc_id", "model", "h"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = d.mapInArrow(run, f"doc_id {kind}, model string, h double").where("h IS NOT NULL")
-    # at most a few thousand different rounded values for each model
-    bins = scored.join(ids.hint("shuffle_merge"), scored["doc_id"] == ids["_id"], "left_semi").groupBy("model", "h").agg(F.count(F.lit(1)).alias("c"))
-    w = W.partitionBy("model")
-    bins = bins.withColumn("upto", F.sum("c").over(w.orderBy("h"))).withColumn("all", F.sum("c").over(w))
-    at = bins.groupBy("model").agg(F.min(F.when(F.col("upto") >= 0.5 * F.col("all"), F.col("h"))).alias("q50"), F.min(F.when(F.col("upto") >= 0.95 * F.col("all"), F.col("h"))).alias("q95"))
-    return blank._replace(quantiles={r["model"]: (r["q50"], r["q95"]) for r in at.collect()})
-
-
-def score_quality(docs: DataFrame, quality: Quality, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, model, n_chars, perplexity, threshold, keep for each row.
-
-    A text is rejected where its mean negative log probability lies above the median of its language's trusted texts by
-    more than `spread` times the distance from there to their 0.95 quantile; a text of fewer than `min_chars` characters
-    gets sqrt(min_chars / length) times that distance, since short texts scatter more; and it must fail the models of all
-    languages, as the one given may be wrong. A null or empty text has no
-    perplexity and is kept; without any trusted text of at least `min_chars` characters all are kept. Repeated rows give
-    repeated rows, other columns are ignored, an empty table gives no rows.
+            for m, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for full in buffers.add(m, t, None):
+                    yield packs(*full)
+        for full in buffers.rest():
+            yield packs(*full)
+
+    def merge(key: tuple, t: pa.Table) -> pa.Table:
+        codes, c = np.zeros((0, order), np.uint32), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def summed(parts):
+            g, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            rows, at = np.unique(np.ascontiguousarray(g).view([("", np.uint32)] * order).ravel(), return_inverse=True)
+            return rows.view(np.uint32).reshape(-1, order), np.bincount(at, n).astype(np.int64)
+
+        for g, n in zip(t.column("grams"), t.column("counts")):
+            held.append((_unsqueezed(g.as_py(), np.uint32).reshape(order, -1).T, _unsqueezed(n.as_py(), np.int64)))
+            if sum(len(p[1]) for p in held[1:]) > 2_000_000:
+                held = [summed(held)]
+        if held:
+            codes, c = summed(held)
+        head = np.ones(len(c), bool)
+        head[1:] = (codes[1:, :-1] != codes[:-1, :-1]).any(axis=1)
+        group, first = np.cumsum(head) - 1, np.flatnonzero(head)
+        per = lambda x: np.add.reduceat(x.astype(np.int64), first)[group] if len(c) else x.astype(np.int64)
+        return pa.table([pa.array([key[0].as_py()] * len(c), pa.string()), _strings(codes), pa.array(c), pa.array(per(c)), *(pa.array(per(x)) for x in (c == 1, c == 2, c > 2)), pa.array(head)], names=["model", "g", "c", "all", "m1", "m2", "m3", "head"])
+
+    packed = texts.select("model", "text").mapInArrow(run, "model string, shard int, grams binary, counts binary")
+    return packed.groupBy("model", "shard").applyInArrow(merge, "model string, g string, c long, all long, m1 long, m2 long, m3 long, head boolean")
+
+
+def _discounts(level: DataFrame) -> DataFrame:
+    """model, d1, d2, d3: the discounts of counts of 1, 2 and more, and kinds, the number of n-grams. One row a model."""
+    k = level.groupBy("model").agg(F.count(F.lit(1)).alias("kinds"), *(F.count(F.when(F.col("c") == i, 1)).cast("double").alias(f"n{i}") for i in range(1, 5)))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    d = [F.when((F.col(f"n{i}") > 0) & (F.col("n1") + F.col("n2") > 0), F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1.0))))).otherwise(F.lit(0.5)) for i in (1, 2, 3)]
+    return k.select("model", "kinds", *(x.alias(f"d{i + 1}") for i, x in enumerate(d)))
+
+
+def model_table(top: DataFrame, order: int) -> DataFrame:
+    """model, n, g, lp, lb: the log probability of each n-gram seen, the log weight that each context leaves to the order below, and, as n = 0, the log probability of a symbol never seen.
+
+    `top` is of `count_ngrams`. Counts of the lower orders are of the different symbols before.
     """
+    levels = [top]
+    for n in range(order - 1, 0, -1):
+        c = levels[-1].groupBy("model", F.substring("g", 2, n).alias("g")).agg(F.count(F.lit(1)).alias("c")).withColumn("x", F.substring("g", 1, n - 1))
+        w = W.partitionBy("model", "x")
+        count = lambda x: F.count(F.when(x, 1)).over(w)
+        levels.append(materialise(c.select("model", "g", "c", F.sum("c").over(w).alias("all"), count(F.col("c") == 1).alias("m1"), count(F.col("c") == 2).alias("m2"), count(F.col("c") > 2).alias("m3"), (F.row_number().over(w.orderBy("g")) == 1).alias("head"))))
+    below, out = None, None
+    for n, level in enumerate(reversed(levels), 1):
+        own = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        left = (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("all")
+        t = level.join(F.broadcast(_discounts(level)), "model").select("model", "g", "head", ((F.col("c") - own) / F.col("all")).alias("a"), left.alias("w"), "kinds")
+        part = lambda df, n, g, lp, lb: df.select("model", F.lit(n).alias("n"), g.alias("g"), lp.cast("float").alias("lp"), lb.cast("float").alias("lb"))
+        if n == 1:
+            p = t.select("model", "g", (F.col("a") + F.col("w") / (F.col("kinds") + 1)).alias("p"))
+            out = part(t.where("head"), 0, F.lit(""), F.log(F.col("w") / (F.col("kinds") + 1)), F.lit(None))
+        else:
+            low = below.select("model", F.col("g").alias("s"), F.col("p").alias("low"))
+            p = t.withColumn("s", F.substring("g", 2, n - 1)).join(low, ["model", "s"]).select("model", "g", (F.col("a") + F.col("w") * F.col("low")).alias("p"))
+            out = out.unionByName(part(t.where("head"), n - 1, F.substring("g", 1, n - 1), F.lit(None), F.log("w")))
+        below = materialise(p) if n < order else p
+        out = out.unionByName(part(below, n, F.col("g"), F.log("p"), F.lit(None)))
+    return materialise(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            used, h, top, keep = _judge(quality, b.column(1).to_pylist(), texts)
-            e = lambda xs: pa.array([None if x is None else float(np.exp(x)) for x in xs], pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(used, pa.string()), pa.array([len(t) for t in texts], pa.int64()), e(h), e(top), pa.array(keep, pa.bool_())], ["doc_id", "model", "n_chars", "perplexity", "threshold", "keep"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    t = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit(POOLED)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return t.mapInArrow(run, f"doc_id {kind}, model string, n_chars long, perplexity double, threshold double, keep boolean")
+# ---- scoring ------------------------------------------------------------------------------------------------------
 
 
-def filter_quality(docs: DataFrame, quality: Quality, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `docs`, with all their columns, that `score_quality` keeps."""
-    at_text, at_lang = docs.columns.index(text_col), docs.columns.index(lang_col)
+def _sharded(table: DataFrame, shards: int, salts: int) -> DataFrame:
+    """The model's rows in each shard and salt that asks for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(at_text).to_pylist()]
-            yield b.filter(pa.array(_judge(quality, b.column(at_lang).to_pylist(), texts)[3], pa.bool_()))
+            n, at = b.column("n").to_numpy(), np.zeros(b.num_rows, np.int32)
+            for k in np.unique(n):
+                i = np.flatnonzero(n == k)
+                at[i] = shard_of(_codes(b.column("g").take(pa.array(i)), int(k)), shards)
+            yield b.append_column("shard", pa.array(at))
+
+    out = table.mapInArrow(run, T.StructType([*table.schema.fields, T.StructField("shard", T.IntegerType())]))
+    return out.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+class _Table:
+    """The n-grams of one model in a shard, by their hashes."""
+
+    def __init__(self, t: pa.Table):
+        n = t.column("n").to_numpy()
+        self.p: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.b: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k in np.unique(n).tolist():
+            own = t.filter(pa.array(n == k))
+            for name, held in (("lp", self.p), ("lb", self.b)):
+                some = own.filter(pc.is_valid(own.column(name)))
+                h = gram_hashes(_codes(some.column("g").combine_chunks(), k))
+                o = np.argsort(h)
+                held[k] = h[o], some.column(name).to_numpy()[o]
+
+    @staticmethod
+    def find(held: tuple[np.ndarray, np.ndarray] | None, h: np.ndarray, default: float) -> np.ndarray:
+        if held is None or not len(held[0]):
+            return np.full(len(h), default, np.float16)
+        at = np.minimum(np.searchsorted(held[0], h), len(held[0]) - 1)
+        return np.where(held[0][at] == h, held[1][at], default).astype(np.float16)
+
+
+def _answers(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
+    """Of each chunk's questions to a shard: log probabilities of all orders and log weights of all but the highest, in half precision."""
+    models = {m: _Table(table.filter(pc.equal(table.column("model"), m))) for m in pc.unique(table.column("model")).to_pylist()}
+    none = _Table(table.slice(0, 0))
+    out = []
+    for m, numbers, grams in zip(asked.column("model").to_pylist(), asked.column("numbers").to_pylist(), asked.column("grams")):
+        t = models.get(m, none)
+        hashes = [gram_hashes(c) for c in _unpacked(grams.as_py(), numbers)]
+        p = [_Table.find(t.p.get(n), h, np.nan) for n, h in enumerate(hashes)]
+        b = [_Table.find(t.b.get(n), h, 0.0) for n, h in enumerate(hashes[:-1])]
+        out.append(_squeezed(np.concatenate(p + b)))
+    return pa.table([asked.column("chunk"), pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["chunk", "shard", "answers"])
+
+
+def _log_probabilities(g: Grams, answers: dict[int, bytes], shards: int) -> np.ndarray:
+    """The log probability of each n-gram of the highest order in a chunk."""
+    order = len(g.codes) - 1
+    p = [np.full(len(c), np.nan, np.float32) for c in g.codes]
+    b = [np.zeros(len(c), np.float32) for c in g.codes[:-1]]
+    at = [shard_of(c, shards) for c in g.codes]
+    for s, raw in answers.items():
+        a, k = _unsqueezed(raw, np.float16), 0
+        for held in (p, b):
+            for n in range(len(held)):
+                i = np.flatnonzero(at[n] == s)
+                held[n][i] = a[k : k + len(i)]
+                k += len(i)
+    lp = p[0]
+    for n in range(1, order + 1):
+        lp = np.where(np.isnan(p[n]), b[n - 1][g.context[n]] + lp[g.suffix[n]], p[n])
+    return lp
+
+
+def distinct_share(texts: list[str]) -> np.ndarray:
+    """The share of different ones among the sequences of three words of each text; 1 for shorter ones. Characters of scripts without blanks count as words."""
+    data, at = joined(texts)
+    word = (data > 32) | (data < 9) | ((data > 13) & (data < 32))
+    bare = (data >= 0xE0) & (data <= 0xED)
+    begins = word & bare
+    begins[1:] |= word[1:] & ~word[:-1]
+    begins[:1] |= word[:1]
+    begins[3:] |= word[3:] & bare[:-3]
+    starts = np.flatnonzero(begins)
+    stops = np.flatnonzero(~word)
+    ends = np.minimum(np.append(starts[1:], len(data)), stops[np.searchsorted(stops, starts)]) if len(starts) else starts
+    doc = np.searchsorted(at, starts, "right") - 1
+    with np.errstate(over="ignore"):
+        h = span_hashes(data, starts, ends)
+        three = mix64(mix64(h[:-2] * _P + h[1:-1]) * _P + h[2:])
+        whole = doc[:-2] == doc[2:]
+        three, of = three[whole], doc[:-2][whole]
+        _, first = np.unique(mix64(three ^ mix64(of.astype(np.uint64) + np.uint64(1))), return_index=True)
+    n, kinds = np.bincount(of, minlength=len(texts)), np.bincount(of[first], minlength=len(texts))
+    return np.where(n > 0, kinds / np.maximum(n, 1), 1.0)
+
+
+def _chunk_id(model: str, texts: list[str]) -> int:
+    h = hashlib.blake2b(model.encode(), digest_size=8)
+    for t in texts:
+        h.update(t.encode("utf-8", "surrogatepass") + b"\xff")
+    return int.from_bytes(h.digest(), "little", signed=True)
+
+
+def score_texts(rows: DataFrame, table: DataFrame, order: int, text_at: int, shards: int, salts: int, keep_text: bool) -> DataFrame:
+    """`rows` (row, a struct whose field `text_at` is the text; model; and any others) with n, the number of characters, h, the mean negative log probability of one, and share, that of `distinct_share`; these two null for texts without characters.
+
+    Without `keep_text` the texts come back as null. `rows` is read twice and has to give the same rows in the same order, as a stored table does.
+    """
 
-    return docs.mapInArrow(run, docs.schema)
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str], list]]:
+        buffers = _Buffers()
+        for b in batches:
+            texts = b.column(0).field(text_at).to_pylist()
+            for i, (m, t) in enumerate(zip(b.column(1).to_pylist(), texts)):
+                for m2, of in buffers.add(m, t or "", (b, i)):
+                    yield m2, [t for t, _ in of], [r for _, r in of]
+        for m2, of in buffers.rest():
+            yield m2, [t for t, _ in of], [r for _, r in of]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for model, texts, _ in chunks(batches):
+            if not any(texts):
+                continue
+            g, chunk = grams_of(texts, order), _chunk_id(model, texts)
+            at = [shard_of(c, shards) for c in g.codes]
+            out = []
+            for s in np.unique(np.concatenate(at)).tolist():
+                own = [c[a == s] for c, a in zip(g.codes, at)]
+                out.append((s, chunk % salts, chunk, model, [len(c) for c in own], _packed(own)))
+            c = list(zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string()), pa.array(c[4], pa.list_(pa.int32())), pa.array(c[5], pa.binary())], ["shard", "salt", "chunk", "model", "numbers", "grams"])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for model, texts, held in chunks(batches):
+            parts: list[tuple[pa.RecordBatch, list[int]]] = []
+            for b, i in held:
+                if not parts or parts[-1][0] is not b:
+                    parts.append((b, []))
+                parts[-1][1].append(i)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, parts[0][0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as w:
+                for b, i in parts:
+                    w.write_batch(b.take(pa.array(i)))
+            yield pa.RecordBatch.from_arrays([pa.array([_chunk_id(model, texts)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
+
+    fields = rows.schema.fields
+    result = T.StructType([*fields, T.StructField("n", T.LongType()), T.StructField("h", T.DoubleType()), T.StructField("share", T.DoubleType())])
+
+    def score(key: tuple, stored: pa.Table, answered: pa.Table) -> pa.Table:
+        answers = dict(zip(answered.column("shard").to_pylist(), (x.as_py() for x in answered.column("answers"))))
+        out = []
+        for raw in stored.column("rows"):
+            t = pa.ipc.open_stream(raw.as_buffer()).read_all()
+            texts = [x or "" for x in pc.struct_field(t.column("row"), [text_at]).to_pylist()]
+            g = grams_of(texts, order)
+            used = set(np.concatenate([shard_of(c, shards) for c in g.codes]).tolist())
+            if any(texts) and used != answers.keys():
+                raise RuntimeError("the texts differ between two reads; store them first")
+            n = np.diff(g.bounds)
+            sums = np.concatenate([[0.0], np.cumsum(_log_probabilities(g, answers, shards)[g.top], dtype=np.float64)]) if any(texts) else np.zeros(1)
+            h = np.where(n > 0, -np.diff(sums[g.bounds]) / np.maximum(n, 1), np.nan)
+            if not keep_text:
+                row = t.column("row").combine_chunks()
+                parts = [pa.nulls(len(row), row.field(i).type) if i == text_at else row.field(i) for i in range(row.type.num_fields)]
+                t = t.set_column(0, "row", pa.StructArray.from_arrays(parts, fields=list(row.type)))
+            t = t.append_column("n", pa.array(n, pa.int64()))
+            for name, x in (("h", h), ("share", np.where(n > 0, distinct_share(texts), np.nan))):
+                t = t.append_column(name, pa.array(x, pa.float64(), from_pandas=True))
+            out.append(t)
+        return pa.concat_tables(out) if out else _empty
+
+    _empty = pa.table([pa.array([], f) for f in (pa.null(),) * len(result.fields)], names=result.names)
+    questions = rows.mapInArrow(ask, "shard int, salt int, chunk long, model string, numbers array<int>, grams binary")
+    answers = _sharded(table, shards, salts).groupBy("shard", "salt").cogroup(questions.groupBy("shard", "salt")).applyInArrow(_answers, "chunk long, shard int, answers binary")
+    stored = rows.mapInArrow(keep, "chunk long, rows binary")
+    return stored.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, result)
+
+
+# ---- limits -------------------------------------------------------------------------------------------------------
+
+#: The share of a group's trusted texts that may lie beyond a limit, and the fewest texts of which such a quantile is taken.
+TAIL, ENOUGH = 0.005, 400
+
+
+def _limits(trusted: DataFrame, group: list[str], tail: float) -> DataFrame:
+    """Limits for each group of `trusted`: top, the 1 - tail quantile of h, and new, the tail quantile of share, to 3 digits. Fewer than ENOUGH texts do not
+    determine these; there the mean and 4 standard deviations (at least 0.05 together) stand for them."""
+    w = lambda x: W.partitionBy(*group).orderBy(x)
+    out = None
+    for x, name, sign, q in (("h", "top", 1, 1 - tail), ("share", "new", -1, tail)):
+        bins = trusted.groupBy(*group, F.round(x, 3).alias("x")).agg(F.count(F.lit(1)).alias("c"))
+        bins = bins.withColumn("upto", F.sum("c").over(w("x"))).withColumn("all", F.sum("c").over(W.partitionBy(*group)))
+        n, mean = F.sum("c"), F.sum(F.col("c") * F.col("x")) / F.sum("c")
+        wide = 4 * F.sqrt(F.greatest(F.sum(F.col("c") * F.col("x") * F.col("x")) / n - mean * mean, F.lit(0.05 / 4) ** 2))
+        at = F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("x")))
+        part = bins.groupBy(*group).agg(F.when(n < ENOUGH, mean + sign * wide).otherwise(at).alias(name), n.alias(f"of_{x}"))
+        out = part if out is None else out.join(part, group)
+    return out.select(*group, "top", "new", F.col("of_h").alias("of"))
+
+
+def judged(docs: DataFrame, trusted: DataFrame, order: int = ORDER, tail: float = TAIL, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep_text: bool = True) -> DataFrame:
+    """row (a struct of the columns of `docs`, the text null without `keep_text`), model, n, h, share, top, keep. The texts whose id is in the first column of `trusted` train the models.
+
+    A language with trusted texts in both halves has its own model; the others, and null, share that of all trusted texts.
+    A text is rejected where its mean negative log probability lies above the 1 - tail quantile of the trusted texts of its language and
+    length (powers of 2 of characters; where those are fewer than ENOUGH, of its language), or its share of distinct word trigrams below
+    the tail quantile of theirs, as in repetitive text. A text without characters has no perplexity and is kept; so are all
+    without any trusted text. Nulls and repeats among the trusted ids do not matter; repeated rows give repeated rows.
+    """
+    text, lang = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(lang_col), F.lit(POOLED))
+    ids, few_ids = checked_broadcast(materialise(trusted.select(F.col(trusted.columns[0]).alias("_id")).where("_id IS NOT NULL").distinct()), 2_000_000)
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), lang.alias("lang"), F.pmod(F.xxhash64(text, F.lit(5)), F.lit(2)).cast("string").alias("half"))
+    inner = F.col("row").getField(text_col)
+    d = d.join(ids, d["id"] == ids["_id"], "left").select("row", "lang", "half", (F.col("_id").isNotNull() & (inner != "")).alias("good"))
+    sizes = d.groupBy("lang").agg(F.sum(F.length(inner)).alias("chars"), F.max("good").alias("any"), F.countDistinct(F.when(F.col("good"), F.col("half"))).alias("halves"), F.sum(F.when(F.col("good"), F.length(inner))).alias("learnt"))
+    sizes = materialise(sizes)
+    total = sizes.agg(F.sum("chars"), F.sum("learnt"), F.max(F.when((F.col("halves") < 2) | (F.col("lang") == POOLED), 1)))
+    chars, learnt, pooled = total.first()
+    own, few_own = checked_broadcast(sizes.where((F.col("halves") == 2) & (F.col("lang") != POOLED)).select(F.col("lang").alias("own")), 50_000)
+    d = d.join(own, d["lang"] == own["own"], "left").drop("lang")
+    if not (few_ids and few_own):
+        d = materialise(d)  # a shuffle may give rows in another order each time
+    name = lambda half: F.concat(F.coalesce("own", F.lit(POOLED)), F.lit(":"), half)
+    good = d.where("good").select(inner.alias("text"), name(F.col("half")).alias("model"), F.concat(F.lit(POOLED + ":"), "half").alias("all"), F.col("own").isNotNull().alias("has"))
+    teach = good.where("has").select("model", "text")
+    if pooled:
+        teach = teach.unionByName(good.select(F.col("all").alias("model"), "text"))
+    top = materialise(count_ngrams(teach, order, min(4096, -(-(learnt or 0) // 64_000_000) or 1)))
+    table = model_table(top, order)
+    shards = max(1, -(-table.count() // 400_000))
+    salts = max(1, -(-(chars or 0) // (shards * 300_000_000)))
+    rows = d.select("row", name((1 - F.col("half").cast("int")).cast("string")).alias("model"), "good")
+    text_at = docs.columns.index(text_col)
+    scored = materialise(score_texts(rows, table, order, text_at, shards, salts, keep_text))
+    return _verdict(scored.withColumn("model", F.split("model", ":(?=[01]$)")[0]), tail)
+
+
+def _verdict(scored: DataFrame, tail: float) -> DataFrame:
+    scored = scored.withColumn("size", F.floor(F.log2("n")))
+    known = scored.where(F.col("good") & F.col("h").isNotNull())
+    like = materialise(_limits(known, ["model", "size"], tail).where(F.col("of") >= ENOUGH).select(F.col("model").alias("m1"), F.col("size").alias("s1"), F.col("top").alias("top1"), F.col("new").alias("new1")))
+    every = materialise(_limits(known, ["model"], tail).select(F.col("model").alias("m2"), F.col("top").alias("top2"), F.col("new").alias("new2")))
+    # some tens of rows a language
+    like, every = checked_broadcast(like, 1_000_000)[0], checked_broadcast(every, 1_000_000)[0]
+    out = scored.join(like, (F.col("model") == F.col("m1")) & (F.col("size") == F.col("s1")), "left").join(every, F.col("model") == F.col("m2"), "left")
+    top, new = F.coalesce("top1", "top2"), F.coalesce("new1", "new2")
+    keep = F.coalesce((F.round("h", 3) <= top) & (F.round("share", 3) >= new), F.lit(True))
+    return out.select("row", "model", "n", "h", "share", top.alias("top"), keep.alias("keep"))
+
+
+def score_quality(docs: DataFrame, trusted: DataFrame, order: int = ORDER, tail: float = TAIL, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """doc_id, model, n_chars, perplexity (of a character), threshold, new_share (of distinct word trigrams), keep for each row, by `judged`.
+
+    Other columns are ignored; an empty table gives no rows.
+    """
+    out = judged(docs.select(id_col, text_col, lang_col), trusted, order, tail, id_col, text_col, lang_col, keep_text=False)
+    return out.select(F.col("row").getField(id_col).alias("doc_id"), "model", F.col("n").alias("n_chars"), F.exp("h").alias("perplexity"), F.exp("top").alias("threshold"), F.col("share").alias("new_share"), "keep")
 
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    """The ids that are labelled good and not toxic, and never otherwise."""
-    return labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0").select("doc_id")
+def filter_quality(docs: DataFrame, trusted: DataFrame, order: int = ORDER, tail: float = TAIL, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of `docs`, with all their columns, that `judged` keeps."""
+    return judged(docs, trusted, order, tail, id_col, text_col, lang_col).where("keep").select("row.*")

@@ -1,7 +1,7 @@
 """Operator 5: main text of web pages by minimum-cut labelling.
 
-Blocks of text are the nodes. What a classifier says against calling a block content or boilerplate becomes the
-capacity of its arcs to the two terminals; neighbours in page order and blocks that stand close in the document tree
+Blocks of text are the nodes. What a classifier, fitted on labelled pages, says against calling a block content or
+boilerplate becomes the capacity of its arcs to the two terminals; neighbours in page order and blocks that stand close in the document tree
 get smoothness arcs. The minimum cut separates content from boilerplate.
 """
 
@@ -9,106 +9,208 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|title|textarea|iframe|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
-_ATTR = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_BLOCK = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul dialog center".split())
-_VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
-_BAD_TAG = frozenset("nav footer aside form header menu dialog".split())
-_GOOD_TAG = frozenset("article main".split())
-_BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|cookie\w*|consent|notice|alert|promo\w*|sponsor\w*|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|comments?|disqus|replies|social|share|sharing|related|recommend\w*|footer|header|masthead|subscribe|newsletter|signup|login|popup|modal|overlay|widget|toolbar|pagination|pager|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
-_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|respond)(?:$|[\s_-])", re.I)
-_GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?:$|[\s_-])", re.I)
-_DROPPED = frozenset("head".split())
+from cohortmill.llm import page_sample
+from cohortmill.llm.common import text_blocks
+
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>""")
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>")
+_ATTR = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_NAME = re.compile(r"[a-z0-9]+(?:[_-]+[a-z0-9]+)*")
+#: Elements that begin and end blocks.
+_BLOCK = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html ins li main nav ol p pre section summary table tbody td tfoot th thead tr ul dialog center".split())
+#: Elements whose text is never shown as such. Where one is left open, it ends with the element it stands in.
+_DROPPED = frozenset("head script style noscript template svg title textarea iframe select button object canvas audio video math".split())
+_RAW = frozenset("script style title textarea iframe".split())
+_CLOSES = frozenset("li dt dd tr td th h1 h2 h3 h4 h5 h6".split())
+_TELLING = frozenset("article main nav footer aside header form dialog".split())
 
 
 class Block(NamedTuple):
     text: str
     path: tuple[int, ...]  # numbers of the open elements, from the outside in
-    verdict: int  # of the nearest telling element: 1 content, -1 boilerplate, 0 none
-    comments: bool
-    tag: str
+    around: tuple[tuple[str, tuple[str, ...]], ...]  # their tags and names
     linked: float  # share of the characters that are in links
+    label: int | None  # of the nearest marked element, on pages to learn from
+
+
+def _names(attributes: str) -> tuple[tuple[str, ...], int | None]:
+    """The words of class, id, role and aria-label, and the mark data-l."""
+    out, mark = [], None
+    for name, a, b, c in _ATTR.findall(attributes):
+        name = name.lower()
+        if name in ("class", "id", "role", "aria-label"):
+            out += _NAME.findall((a or b or c).lower())
+        elif name == "data-l":
+            mark = int(a or b or c)
+    return tuple(dict.fromkeys(out)), mark
+
+
+def _pieces(page: str) -> Iterator[tuple[str, str, str]]:
+    """('text', text, ''), ('open', tag, attributes) and ('close', tag, '') in order. Comments and the text of raw elements are left out."""
+    at, n, missing = 0, len(page), set()
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield "text", page[at:], ""
+            return
+        if lt > at:
+            yield "text", page[at:lt], ""
+        if page.startswith("<!--", lt) and "-->" not in missing:
+            end = page.find("-->", lt + 4)
+            if end >= 0:
+                at = end + 3
+                continue
+            missing.add("-->")
+        m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
+        if m:
+            tag, at = m[2].lower(), m.end()
+            if m[1]:
+                yield "close", tag, ""
+                continue
+            yield "open", tag, m[3]
+            if tag in _RAW and tag not in missing and not m[3].endswith("/"):
+                end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                    yield "close", tag, ""
+                else:
+                    missing.add(tag)
+            continue
+        gt = page.find(">", lt) if page[lt + 1 : lt + 2] in ("!", "?", "/") else -1
+        if gt >= 0:
+            at = gt + 1
+        else:
+            yield "text", "<", ""
+            at = lt + 1
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of text of a page, in order. Elements that are left open end with their parents."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, bool]] = []  # tag, number, verdict, in comments
+    stack: list[tuple[str, int, tuple[str, ...], int | None]] = []  # tag, number, names, mark
     held: list[str] = []
-    count = linked = links = 0
+    count = linked = links = dropped = 0
 
     def flush() -> None:
         nonlocal held, linked
         if held:
             raw = "".join(held)
             text = " ".join(html_lib.unescape(raw).split())
-            if text and not any(s[0] in _DROPPED for s in stack):
-                tag = stack[-1][0] if stack else ""
-                out.append(Block(text, tuple(s[1] for s in stack), stack[-1][2] if stack else 0, bool(stack) and stack[-1][3], tag, linked / max(1, len(raw))))
+            if text:
+                out.append(Block(text, tuple(s[1] for s in stack), tuple((s[0], s[2]) for s in stack), linked / max(1, len(raw)), stack[-1][3] if stack else None))
             held, linked = [], 0
 
-    for m in _PIECE.finditer(page):
-        tag = m.group(3)
-        if tag is None:
-            piece = m.group()
-            if piece[0] != "<" or piece == "<":
-                held.append(piece)
-                linked += len(piece) * bool(links)
+    def cut(i: int) -> None:
+        nonlocal dropped
+        del stack[i:]
+        dropped = sum(s[0] in _DROPPED for s in stack)
+
+    for kind, tag, attributes in _pieces(page):
+        if kind == "text":
+            if not dropped:
+                held.append(tag)
+                linked += len(tag) * bool(links)
             continue
-        tag = tag.lower()
         if tag == "a":
-            links = 0 if m.group(2) else 1
-        if tag == "br":
+            links = int(kind == "open")
+        elif tag == "br" and not dropped:
             held.append(" ")
-        if tag not in _BLOCK:
+        if tag not in _BLOCK and tag not in _DROPPED:
             continue
-        flush()
-        links = 0
-        if m.group(2):
+        if tag in _BLOCK:
+            flush()
+            links = 0
+        if kind == "close":
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    cut(i)
                     break
             continue
-        if tag == "hr":
+        if tag == "hr" or attributes.endswith("/") and tag in _DROPPED:
             continue
-        while stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6")):
-            stack.pop()
-        if stack and stack[-1][0] == "head" and tag != "head":
-            stack.pop()
-        verdict, comments = (stack[-1][2], stack[-1][3]) if stack else (0, False)
-        names = " ".join(a or b or c for a, b, c in _ATTR.findall(m.group(4))) if m.group(4) else ""
-        if names and _COMMENTS.search(names):
-            comments = True
-        if tag in _GOOD_TAG:
-            verdict = -1 if names and _BAD_NAME.search(names) else 1
-        elif tag in _BAD_TAG or names and _BAD_NAME.search(names):
-            verdict = -1
-        elif verdict == 0 and names and _GOOD_NAME.search(names):
-            verdict = 1
-        if tag in ("h1", "h2") and stack and stack[-1][0] == "header" and any(s[0] in _GOOD_TAG for s in stack):
-            verdict = 1
+        if tag in _BLOCK:
+            if tag == "body":
+                cut(next((i for i, s in enumerate(stack) if s[0] == "head"), len(stack)))
+            while stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in _CLOSES):
+                cut(len(stack) - 1)
+            if stack and stack[-1][0] == "head":
+                cut(len(stack) - 1)
+        names, mark = _names(attributes) if attributes else ((), None)
         count += 1
-        stack.append((tag, count, verdict, comments))
+        stack.append((tag, count, names, mark if mark is not None or not stack else stack[-1][3]))
+        dropped += tag in _DROPPED
     flush()
     return out
 
 
-def costs(b: Block) -> tuple[float, float]:
-    """What speaks against boilerplate and against content: a block classifier on names, length and links."""
+def features(b: Block, at: float) -> dict[str, float]:
+    """What the classifier looks at: length, links, marks, the place `at` in the page (0 to 1), the tags around, and names of elements around, fading with distance."""
     n = len(b.text)
-    score = 4.0 * b.verdict + min(n, 400) / 200 - 0.7 - 3.0 * b.linked + (0.5 if b.tag == "p" else 0.0)
-    if b.comments:
-        score = -6.0
-    return (score, 0.0) if score > 0 else (0.0, -score)
+    x = {"one": 1.0, "length": min(n, 400) / 200, "short": float(n < 25), "linked": b.linked, "all linked": float(b.linked > 0.8), "sentence": float(b.text[-1] in ".!?:" and n > 20), "copyright": float("©" in b.text), "place": at}
+    near, fade = True, 1.0
+    for tag, names in reversed(b.around):
+        if tag in _TELLING:
+            x[f"in {tag}"] = 1.0
+            if near:
+                x[f"nearest {tag}"] = 1.0
+                near = False
+        elif tag not in ("div", "section", "body", "html"):
+            x.setdefault(f"tag {tag}", fade)
+        for name in names:
+            x[f"name {name}"] = max(x.get(f"name {name}", 0.0), fade)
+            parts = re.split("[_-]+", name)
+            if len(parts) > 1:
+                for i, p in enumerate(parts):
+                    key = f"{'last' if i == len(parts) - 1 else 'part'} {p}"
+                    x[key] = max(x.get(key, 0.0), fade)
+        fade *= 0.85
+    return x
+
+
+_FITTED: dict[tuple[int, int], dict[str, float]] = {}
+
+
+def fit_costs(pages: int = 600, seed: int = 1, rounds: int = 250) -> dict[str, float]:
+    """Weights of the block classifier: regularised logistic regression on `pages` labelled pages of `page_sample`."""
+    if (pages, seed) not in _FITTED:
+        rows, labels = [], []
+        for page in page_sample.pages(pages, seed):
+            blocks = blocks_of(page)
+            for i, b in enumerate(blocks):
+                rows.append(features(b, i / len(blocks)))
+                labels.append(b.label or 0)
+        seen = Counter(k for x in rows for k in x)
+        index = {k: i for i, k in enumerate(sorted(k for k, c in seen.items() if c >= 4))}
+        x, y = np.zeros((len(rows), len(index)), np.float32), np.array(labels, np.float32)
+        for i, r in enumerate(rows):
+            for k, v in r.items():
+                if k in index:
+                    x[i, index[k]] = v
+        w, m = np.zeros(len(index), np.float32), np.zeros(len(index), np.float32)
+        for _ in range(rounds):  # with momentum
+            p = 1 / (1 + np.exp(-(x @ w)))
+            m = 0.9 * m + x.T @ (y - p) / len(y) - 2e-5 * w
+            w = w + 1.5 * m
+        _FITTED[pages, seed] = {k: float(w[i]) for k, i in index.items()}
+    return _FITTED[pages, seed]
+
+
+def costs(blocks: list[Block], weights: dict[str, float]) -> list[tuple[float, float]]:
+    """What speaks against calling each block boilerplate and against calling it content: the two sides of the classifier's log odds, 8 at most."""
+    out = []
+    for i, b in enumerate(blocks):
+        score = sum(weights.get(k, 0.0) * v for k, v in features(b, i / len(blocks)).items())
+        out.append((min(score, 8.0), 0.0) if score > 0 else (0.0, min(-score, 8.0)))
+    return out
 
 
 def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -174,9 +276,9 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
                 break
 
 
-def label(blocks: list[Block], adjacency: float = 0.4, proximity: float = 0.6) -> list[bool]:
+def label(blocks: list[Block], weights: dict[str, float], adjacency: float = 0.5, proximity: float = 1.5) -> list[bool]:
     """True for content. Neighbours in page order are tied by `adjacency`, and by up to `proximity` more the deeper their common ancestor is; the last block that had the same parent is a neighbour too."""
-    pairs = [costs(b) for b in blocks]
+    pairs = costs(blocks, weights)
     edges = []
     seen: dict[int, int] = {}
     for i, b in enumerate(blocks):
@@ -194,25 +296,30 @@ def label(blocks: list[Block], adjacency: float = 0.4, proximity: float = 0.6) -
     return min_cut([a for a, _ in pairs], [b for _, b in pairs], edges)
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
     """The content blocks of a page, joined by line ends; empty for null, empty or pure boilerplate."""
     blocks = blocks_of(page) if page else []
     if not blocks:
         return ""
-    return "\n".join(b.text for b, keep in zip(blocks, label(blocks)) if keep)
+    return "\n".join(b.text for b, keep in zip(blocks, label(blocks, weights or fit_costs())) if keep)
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_pages(pages: DataFrame, sample_pages: int = 600, seed: int = 1, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: the main text of each whole page.
 
-    A null or empty page, or one without content, has an empty text. Repeated rows give repeated rows, null ids and urls
+    The classifier is fitted on `sample_pages` labelled pages of `page_sample`. A null or empty page, or one without content, has an empty
+    text. Repeated rows give repeated rows, null ids and urls
     stay, other columns are ignored, an empty table gives no rows.
     """
+    weights = fit_costs(sample_pages, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            start, urls = 0, b.column(2)
+            for ids, block in text_blocks(iter([b.select([0, 1])]), 2_000_000):
+                texts = [main_text(x, weights) for x in block]
+                yield pa.RecordBatch.from_arrays([ids, urls.slice(start, len(block)), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+                start += len(block)
 
-    t = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    t = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.col(url_col).alias("url"))
     return t.mapInArrow(run, f"page_id {t.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,8 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\s\"'<>()|,;]*[0-9@][^\s\"'<>()|,;]*")
+_STOP = re.compile(r"[\s\"'<>()|,;]")
+_STOPS = frozenset("\"'<>()|,;")
 _ACTIVE = re.compile("[0-9@]")
 
 
@@ -84,16 +86,35 @@ def features(text: str, start: int, end: int) -> list[float]:
 
 
 def tokens_of(text: str) -> list[tuple[int, int]]:
-    out = []
-    for m in _TOKEN.finditer(text):
-        a, b = m.span()
-        while b > a and text[b - 1] in ".!?:*#$%&":
+    """Runs with a digit or an at sign between blanks, quotes, brackets and the like, found from the digits on: each character is looked at once."""
+    out, done = [], 0
+    while m := _ACTIVE.search(text, done):
+        a = m.start()
+        while a > done and text[a - 1] not in _STOPS and not text[a - 1].isspace():
+            a -= 1
+        stop = _STOP.search(text, m.end())
+        b = done = stop.start() if stop else len(text)
+        while text[b - 1] in ".!?:*#$%&":
             b -= 1
-        if b > a and _ACTIVE.search(text, a, b):
-            out.append((a, b))
+        out.append((a, b))
     return out
 
 
+def links(text: str, toks: list[tuple[int, int]], gap: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Pairs of neighbours at most `gap` characters apart, and pairs of each token with the last one before that is equal, has the same seven digits or more, or the same name before the at sign."""
+    chain, skip = [], []
+    seen: dict[str, int] = {}
+    for i, (a, b) in enumerate(toks):
+        if i and a - toks[i - 1][1] <= gap:
+            chain.append((i - 1, i))
+        word = text[a:b].lower()
+        digits = re.sub("[^0-9]", "", word)
+        keys = {"=" + word} | ({"#" + digits} if len(digits) >= 7 else set()) | ({"@" + word.partition("@")[0]} if len(word) >= 6 and "@" in word else set())
+        skip += [(j, i) for j in sorted({seen[k] for k in keys if k in seen})]
+        seen.update(dict.fromkeys(keys, i))
+    return chain, skip
+
+
 def weak_labels(text: str, toks: list[tuple[int, int]], base: list[tuple[int, int, str]]) -> list[int]:
     """For training: 0 for none, else 1 + the kind of a base span over the token; long hexadecimal tokens after a telling word count as secrets."""
     out = []
@@ -105,29 +126,58 @@ def weak_labels(text: str, toks: list[tuple[int, int]], base: list[tuple[int, in
     return out
 
 
-def train(texts: list[str], rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the field: node weights by regularised softmax regression, chain potentials as smoothed log ratios of neighbouring labels."""
-    x, y, pairs = [], [], np.ones((len(KINDS) + 1,) * 2)
+class Field(NamedTuple):
+    """Weights of the features (features, kinds), potentials of neighbours (kinds, kinds), and what it is worth that linked tokens agree."""
+
+    weights: np.ndarray
+    chain: np.ndarray
+    skip: float
+
+
+#: The features that tell a kind by themselves.
+_TELLING = [1, 2, 3, 9, 10, 11, 13]
+
+
+def train(texts: list[str], rounds: int = 1500, gap: int = 24, lone: float = 0.3) -> Field:
+    """All weights at once, by regularised pseudo-likelihood: each token's label given its features and its neighbours' labels.
+
+    Weak labels rest on features that tell a kind by themselves, so nothing else would be learnt from the texts as they are.
+    Each text stands there twice more without those features: linked to its own clear mentions, with their labels, and on its
+    own, where what is not clear is none; these count `lone` times, as a mention without a clear one beside it says little.
+    """
+    k = len(KINDS) + 1
+    x, y, prev, nxt, skip, much = ([np.zeros((0, n))] for n in (_FEATURES, k, k, k, k, 1))
     for t in texts:
         toks = tokens_of(t)
-        labels = weak_labels(t, toks, base_spans(t))
-        x += [features(t, a, b) for a, b in toks]
-        y += labels
-        for p, q in zip(labels, labels[1:]):
-            pairs[p, q] += 1
-    k = len(KINDS) + 1
-    w = np.zeros((_FEATURES, k))
+        if not toks:
+            continue
+        f, labels = np.array([features(t, a, b) for a, b in toks]), np.eye(k)[weak_labels(t, toks, base_spans(t))]
+        chain, far = links(t, toks, gap)
+        before, after, same = np.zeros((3, len(toks), k))
+        for i, j in chain:
+            before[j] += labels[i]
+            after[i] += labels[j]
+        for i, j in far:
+            same[j] += labels[i]
+            same[i] += labels[j]
+        unclear = f.copy()
+        unclear[:, _TELLING] = 0
+        alone = np.tile(np.eye(k)[0], (len(toks), 1))
+        for parts, new in ((x, (f, unclear, unclear)), (y, (labels, labels, alone)), (prev, (before, before, 0 * before)), (nxt, (after, after, 0 * after)), (skip, (same, same + labels, 0 * same)), (much, [np.full((len(toks), 1), m) for m in (1.0, 1.0, lone)])):
+            parts += new
+    x, y, prev, nxt, skip, much = map(np.concatenate, (x, y, prev, nxt, skip, much))
+    w, c, s = np.zeros((_FEATURES, k)), np.zeros((k, k)), 0.0
     w[0, 0] = 2.0
-    if y:
-        xs, ys = np.array(x), np.eye(k)[y]
-        for _ in range(rounds):
-            z = xs @ w
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            w += 2.0 * (xs.T @ (ys - p) / len(xs) - 1e-4 * w)
-    joint = pairs / pairs.sum()
-    chain = np.clip(np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True))), -1, 1)
-    return w, chain
+    moves = [np.zeros_like(w), np.zeros_like(c), 0.0]
+    for _ in range(rounds if len(x) else 0):
+        z = x @ w + prev @ c + nxt @ c.T + s * skip
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        d = much * (y - p) / len(x)
+        steps = x.T @ d - 1e-5 * w, prev.T @ d + d.T @ nxt - 1e-2 * c, float((d * skip).sum() - 1e-4 * s)
+        moves = [0.9 * m + g for m, g in zip(moves, steps)]
+        w, c, s = w + moves[0], c + moves[1], s + moves[2]
+    return Field(w, c, s)
 
 
 def marginals(nodes: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds: int = 8) -> np.ndarray:
@@ -155,36 +205,26 @@ def marginals(nodes: np.ndarray, edges: np.ndarray, potentials: np.ndarray, roun
     return p / p.sum(1, keepdims=True)
 
 
-def field_spans(text: str, base: list[tuple[int, int, str]], weights: np.ndarray, chain: np.ndarray, skip: float, gap: int) -> list[tuple[int, int, str]]:
-    """Spans that the field adds to the base spans: tokens more likely an entity than not that overlap no base span."""
+def field_spans(text: str, base: list[tuple[int, int, str]], field: Field, gap: int) -> list[tuple[int, int, str]]:
+    """Spans that the field adds to the base spans: tokens more likely an entity than not that overlap no base span. Tokens in base spans have their labels for sure."""
     toks = tokens_of(text)
     if not toks:
         return []
-    nodes = np.array([features(text, a, b) for a, b in toks]) @ weights
-    for i, y in enumerate(weak_labels(text, toks, base)):
-        if y:
-            nodes[i, y] += 3.0
-    edges, pots = [], []
-    agree = skip * np.eye(len(KINDS) + 1)
-    seen: dict[str, int] = {}
+    nodes = np.array([features(text, a, b) for a, b in toks]) @ field.weights
+    k = 0
     for i, (a, b) in enumerate(toks):
-        if i and a - toks[i - 1][1] <= gap:
-            edges.append((i - 1, i))
-            pots.append(chain)
-        word = text[a:b].lower()
-        digits = re.sub("[^0-9]", "", word)
-        keys = {"=" + word} | ({"#" + digits} if len(digits) >= 7 else set()) | ({"@" + word.partition("@")[0]} if len(word) >= 6 and "@" in word else set())
-        near = {seen[k] for k in keys if k in seen}
-        for j in near:
-            edges.append((j, i))
-            pots.append(agree)
-        seen.update(dict.fromkeys(keys, i))
-    p = marginals(nodes, np.array(edges, np.int64).reshape(-1, 2), np.array(pots).reshape(-1, len(KINDS) + 1, len(KINDS) + 1))
+        while k < len(base) and base[k][1] <= a:
+            k += 1
+        if k < len(base) and base[k][0] < b:
+            nodes[i, 1 + _ORDER[base[k][2]]] += 30.0
+    chain, far = links(text, toks, gap)
+    pots = [field.chain] * len(chain) + [field.skip * np.eye(len(KINDS) + 1)] * len(far)
+    p = marginals(nodes, np.array(chain + far, np.int64).reshape(-1, 2), np.array(pots).reshape(-1, len(KINDS) + 1, len(KINDS) + 1))
     out, k = [], 0
     for (a, b), y, most in zip(toks, p.argmax(1), p.max(1)):
         while k < len(base) and base[k][1] <= a:
             k += 1
-        if y and most > 0.5 and not any(s < b and a < e for s, e, _ in base):
+        if y and most > 0.5 and not (k < len(base) and base[k][0] < b):
             out.append((a, b, KINDS[y - 1]))
     return out
 
@@ -200,7 +240,7 @@ def training_sample(docs: DataFrame, sample_docs: int, id_col: str = "doc_id", t
     return [r[0] for r in t.orderBy("_h").select("text").limit(sample_docs).collect()]
 
 
-def find_pii(docs: DataFrame, sample_docs: int = 300, skip: float = 2.5, gap: int = 24, model=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, sample_docs: int = 300, gap: int = 24, model: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added.
 
     Spans are kind:start:end in code points, the end exclusive, by start and then kind, joined by commas; base_sha256 is
@@ -208,7 +248,7 @@ def find_pii(docs: DataFrame, sample_docs: int = 300, skip: float = 2.5, gap: in
     labelled by the base patterns) unless a `model` from `train` is given; every text is searched whole. A null or empty
     text has no spans. Repeated rows give repeated rows, other columns are ignored, an empty table gives no rows.
     """
-    weights, chain = model or train(training_sample(docs, sample_docs, id_col, text_col))
+    field = model or train(training_sample(docs, sample_docs, id_col, text_col), gap=gap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         say = lambda spans: ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
@@ -216,7 +256,7 @@ def find_pii(docs: DataFrame, sample_docs: int = 300, skip: float = 2.5, gap: in
             rows = []
             for t in texts:
                 base = base_spans(t) if _ACTIVE.search(t) else []
-                more = field_spans(t, base, weights, chain, skip, gap) if _ACTIVE.search(t) else []
+                more = field_spans(t, base, field, gap) if _ACTIVE.search(t) else []
                 n = [sum(k == kind for _, _, k in base) for kind in KINDS[:4]]
                 rows.append((*n, hashlib.sha256(say(base).encode()).hexdigest(), say(sorted(base + more, key=lambda x: (x[0], _ORDER[x[2]]))), len(more)))
             c = list(zip(*rows))

@@ -1,7 +1,7 @@
 """Operator 9: license scan by template markup.
 
-A template is wording with `<<opt>> ... <<end>>` around what may be left out and `<<any n>>` where up to n words may
-stand. It is compiled into an automaton over words; a text is accepted where all mandatory words match exactly.
+A template is wording with `<<opt>> ... <<end>>` around what may be left out, nested at will, and `<<any n>>` where up to n
+words may stand. It is compiled into an automaton over words; a text is accepted where all mandatory words match exactly.
 """
 
 from __future__ import annotations
@@ -14,22 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cohortmill.llm.common import LOWER, joined, text_blocks, text_of, word_spans
+from cohortmill.llm.license_texts import TEMPLATES
 
 #: The phrases whose places are counted, and their labels.
 BASE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Wording of common notices.
-TEMPLATES = (
-    ("mit", "<<opt>>this work is<<end>> released under the <<opt>>terms of the<<end>> mit license"),
-    ("mit", "<<opt>>this work is<<end>> licensed under the <<opt>>terms of the<<end>> mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this <<any 3>> and associated documentation files <<opt>>the software<<end>> to deal in the software without restriction"),
-    ("apache-2", "licensed under the apache license version 2 0 <<opt>>the license you may not use this file except in compliance with the license<<end>>"),
-    ("cc-by-nc", "licensed under <<opt>>a<<end>> cc by nc <<any 2>> <<opt>>license<<end>>"),
-    ("cc-by-nc", "licensed under <<opt>>a<<end>> <<opt>>the<<end>> creative commons attribution noncommercial <<any 2>> <<opt>>international<<end>> license"),
-    ("gpl-3", "<<opt>>this work is<<end>> licensed under the <<opt>>terms of the<<end>> gnu general public license <<opt>>as published by the free software foundation<<end>> <<opt>>either<<end>> version 3"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-)
-
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[0x30:0x3A] = _IS_WORD[0x61:0x7B] = _IS_WORD[0x80:] = True
@@ -43,32 +32,30 @@ class Automaton:
         self.arcs: list[list[tuple[bytes | None, int]]] = [[]]
         self.free: list[list[int]] = [[]]
         self.need: list[int] = [0]
-        mandatory: list[bytes] = []
-        opened = -1
-        for item in re.findall(r"<<any \d+>>|<<opt>>|<<end>>|[^\s<]+", template):
+        self.n_mandatory = 0
+        opened: list[int] = []
+        for item in re.findall(r"<<any \d+>>|<<opt>>|<<end>>|[^<]+", template):
             here = len(self.arcs) - 1
             if item == "<<opt>>":
-                opened = here
+                opened.append(here)
             elif item == "<<end>>":
-                self.free[opened].append(here)
-                opened = -1
+                self.free[opened.pop()].append(here)
             elif item.startswith("<<any"):
-                at, n = here, int(item[6:-2])
-                stops = [at]
-                for _ in range(n):
+                stops = [here]
+                for _ in range(int(item[6:-2])):
                     stops.append(self.add(stops[-1], None, 0))
                 for s in stops[:-1]:
                     self.free[s].append(stops[-1])
             else:
-                word = item.encode()
-                self.add(here, word, int(opened < 0))
-                if opened < 0:
-                    mandatory.append(word)
+                for word in WORD.findall(item.lower().encode()):
+                    here = self.add(here, word, int(not opened))
+                    self.n_mandatory += not opened
+        if opened or not self.n_mandatory:
+            raise ValueError(f"a region without an end, or no mandatory word: {template[:80]}")
         self.last = len(self.arcs) - 1
-        self.n_mandatory = len(mandatory)
-        self.words = set(mandatory)
-        self.rarest = max(mandatory, key=len)
         self.starts = {w for s in self.closure({0: 0}) for w, _ in self.arcs[s]}
+        if None in self.starts:
+            raise ValueError(f"a template must begin with a word: {template[:80]}")
 
     def add(self, state: int, word: bytes | None, counts: int) -> int:
         new = len(self.arcs)
@@ -107,14 +94,16 @@ class Automaton:
 
 def scan_text(low: bytes, automata: list[Automaton], phrases) -> tuple[int, int | None, int | None, list[str], list[str], float]:
     """Of one text in lower case: count, first and last word of base places, base labels, all labels, score."""
-    likely = [a for a in automata if a.rarest in low]
     near = [p for p in phrases if all(w in low for w in p[0])]
+    likely = [a for a in automata if any(w in low for w in a.starts)]
     if not likely and not near:
         return 0, None, None, [], [], 0.0
     words = WORD.findall(low)
+    wanted = {w for a in likely for w in a.starts} | {p[0][0] for p in near}
     places: dict[bytes, list[int]] = {}
     for i, w in enumerate(words):
-        places.setdefault(w, []).append(i)
+        if w in wanted:
+            places.setdefault(w, []).append(i)
     found, base = [], set()
     for phrase, label in near:
         for i in places.get(phrase[0], ()):
@@ -123,13 +112,12 @@ def scan_text(low: bytes, automata: list[Automaton], phrases) -> tuple[int, int
                 base.add(label)
     labels, score = set(base), float(bool(base))
     for a in likely:
-        if a.words <= places.keys() or score < 1:
-            for w in a.starts:
-                for i in range(len(words)) if w is None else places.get(w, ()):
-                    end, most = a.match(words, i)
-                    if end >= 0:
-                        labels.add(a.label)
-                    score = max(score, 1.0 if end >= 0 else most / a.n_mandatory)
+        for w in a.starts:
+            for i in places.get(w, ()):
+                end, most = a.match(words, i)
+                if end >= 0:
+                    labels.add(a.label)
+                score = max(score, 1.0 if end >= 0 else most / a.n_mandatory)
     return len(found), min(found, default=None), max(found, default=None), sorted(base), sorted(labels), score
 
 
@@ -138,7 +126,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES, id_
 
     Words are those of the whole text with A-Z in lower case. Base places are where the words of a phrase stand
     consecutively, also where two overlap; `labels` adds those of accepted templates. `score` is 1 where anything was
-    found, else the largest share of a template's mandatory words that matched in order. A null or empty text has no
+    found, else the largest share of a template's mandatory words that matched in order from one of its first words on. A null or empty text has no
     words, no labels and a score of 0. Repeated rows give repeated rows, other columns are ignored, an empty table gives
     no rows.
     """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -35,6 +36,12 @@ def text_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def checked_broadcast(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
+    """`df` with a broadcast hint where it has at most `rows` rows, and whether it has."""
+    small = df.limit(rows + 1).count() <= rows
+    return (F.broadcast(df) if small else df), small
+
+
 # ---- numpy kernels over the bytes of a batch of texts -------------------------------------------------------------
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -86,6 +93,26 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix64(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, eight bytes at a time through `mix64`; no sums, so no words are made to collide by their structure. Words of over 256 bytes by BLAKE2."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))
+    with np.errstate(over="ignore"):
+        h = mix64(size.astype(np.uint64) + _P)
+        left = np.flatnonzero(size <= 256)
+        for j in range(0, 256, 8):
+            left = left[size[left] > j]
+            if not len(left):
+                break
+            rest = np.minimum(size[left] - j, 8).astype(np.uint64)
+            lane = lanes[starts[left] + j] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * rest))
+            h[left] = mix64((h[left] ^ lane) * _P + np.uint64(j + 1))
+    for i in np.flatnonzero(size > 256):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the distinct n-word shingles, sorted; a shorter sequence counts as one shingle; no words, none."""
     if len(words) < n:

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortmill.llm.common import joined, materialise, mix64, span_hashes
+from cohortmill.llm.common import checked_broadcast, joined, materialise, mix64, span_hashes
 
 ORDER = 5
 #: The model of all trusted texts, for texts whose language has none of its own.
@@ -40,12 +40,6 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0").select("doc_id")
 
 
-def checked_broadcast(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
-    """`df` with a broadcast hint where it has at most `rows` rows, and whether it has."""
-    small = df.limit(rows + 1).count() <= rows
-    return (F.broadcast(df) if small else df), small
-
-
 # ---- n-grams of a chunk -------------------------------------------------------------------------------------------
 
 

@@ -1,14 +1,17 @@
 """Operator 2: n-gram Jaccard join as a blocked sparse matrix product.
 
-Rows of the matrix are the distinct shingle sets, columns are shingles. Two sets that are similar enough share an entry
-among the first few of their shingles in any fixed order, so only those entries are multiplied; the order puts shingles
-that are known to be frequent last, which matters for speed alone. Products are summed to overlap
-counts in tiles of at most `tile` rows of a column, and pairs are given up as soon as a bound on sizes, or on the
-symmetric difference that a parity bitmap proves, shows that they cannot link. What remains is compared exactly.
+Rows of the matrix are the distinct shingle sets, columns are shingles. Only the entries of the product that can reach the
+limit are computed. Which ones these are is known from few columns: two sets that are similar enough share an entry
+among the first few of their shingles in any fixed order, which puts shingles that are known to be frequent last, for
+speed alone. In tiles of at most `tile` rows of such a column, pairs are given up that a bound on their sizes, or on the
+symmetric difference that a parity bitmap proves, rules out. For all others, overlap counts are accumulated over two
+blocks of columns: after the first, a pair goes unless its count so far and the sizes of what is left can reach the
+limit; the sum over both decides.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortmill.llm.common import LOWER, joined, materialise, mix64, shingle_hashes, span_hashes, text_blocks, word_spans
+from cohortmill.llm.common import LOWER, checked_broadcast, joined, materialise, shingle_hashes, text_blocks, word_hashes, word_spans
 from cohortmill.llm.components import connected_components
 
 #: Words are runs of bytes other than white space.
@@ -33,15 +36,14 @@ def _sets(texts: list[str], n: int) -> list[np.ndarray]:
     low = LOWER[data]
     starts, ends = word_spans(low, _IS_WORD)
     with np.errstate(over="ignore"):
-        words = span_hashes(low, starts, ends)
+        words = word_hashes(low, starts, ends)
         cut = np.searchsorted(starts, at)
         return [shingle_hashes(words[cut[i] : cut[i + 1]], n) for i in range(len(texts))]
 
 
-def _node(s: np.ndarray) -> int:
-    """A hash of the whole set, the same for equal sets."""
-    with np.errstate(over="ignore"):
-        return int(mix64(np.uint64([int(np.add.reduce(mix64(s))) ^ len(s)]))[0].astype(np.int64))
+def _digest(s: np.ndarray) -> bytes:
+    """A digest of 128 bits of the whole set, the same for equal sets."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def _bitmap(s: np.ndarray, bits: int = 64 * BITS) -> np.ndarray:
@@ -84,7 +86,7 @@ def _frequent(docs: DataFrame, n: int, share: float, sample_docs: int, most: int
 
 
 def _signatures(docs: DataFrame, n: int, num: int, den: int, frequent) -> DataFrame:
-    """doc_id, rid, n_shingles, node, prefix, bitmap, wide of each row."""
+    """doc_id, rid (the row's digest), n_shingles, digest (of its set), prefix, bitmap, wide of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, count = frequent.value
@@ -109,14 +111,14 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int, frequent) -> DataFr
                         weight = np.where(heavy[at] == s, count[at], 0)
                         if weight.any():
                             first = s[np.argsort(weight, kind="stable")[:p]]
-                    nodes.append(_node(s))
+                    nodes.append(_digest(s))
                     prefixes.append(first.view(np.int64))
                     bitmaps.append(_bitmap(s))
                     wide.append(_bitmap(s, WIDE_BITS).tobytes() if len(s) >= WIDE_FROM else None)
-                yield pa.RecordBatch.from_arrays([ids, rid, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.list_(pa.int64())), pa.array(wide, pa.binary())], ["doc_id", "rid", "n_shingles", "node", "prefix", "bitmap", "wide"])
+                yield pa.RecordBatch.from_arrays([ids, rid, pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.list_(pa.int64())), pa.array(wide, pa.binary())], ["doc_id", "rid", "n_shingles", "digest", "prefix", "bitmap", "wide"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "rid", "text").mapInArrow(run, f"doc_id {kind}, rid long, n_shingles long, node long, prefix array<long>, bitmap array<long>, wide binary")
+    return docs.select("doc_id", "rid", "text").mapInArrow(run, f"doc_id {kind}, rid binary, n_shingles long, digest binary, prefix array<long>, bitmap array<long>, wide binary")
 
 
 def _may_link(num: int, den: int):
@@ -141,33 +143,63 @@ def _close(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
+#: Of 256 parts of the range of hashes, those of the first block of columns.
+FIRST = 32
+
+
+def _overlaps(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """The overlap counts of pairs of sorted sets: of each run of pairs with one left side, all products at once."""
+    out, i = np.zeros(len(a), np.int64), 0
+    while i < len(a):
+        j = i + 1
+        while j < len(a) and a[j] == a[i]:
+            j += 1
+        x = np.frombuffer(a[i], np.uint64)
+        y = np.frombuffer(b"".join(b[i:j]), np.uint64)
+        if len(x) and len(y):
+            hits = np.concatenate([[0], np.cumsum(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)])
+            ends = np.cumsum([len(z) // 8 for z in b[i:j]])
+            out[i:j] = hits[ends] - hits[np.concatenate([[0], ends[:-1]])]
+        i = j
+    return out
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link, by the exact overlap of their sets."""
+    """The pairs (a, b) of nodes that link, by the overlap counts of their sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rids = nodes.join(wanted, "node", "left_semi").select("rid")
-    texts = docs.join(rids, "rid", "left_semi").select("rid", "text").dropDuplicates(["rid"])
+    rids, _ = checked_broadcast(materialise(nodes.join(wanted, "node", "left_semi").select("rid")), 1_000_000)
+    texts = docs.join(rids, "rid", "left_semi").select("rid", "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in text_blocks(batches):
             s = _sets(block, n)
-            yield pa.RecordBatch.from_arrays([pa.array([_node(x) if len(x) else None for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], ["node", "members"])
+            cut = [int(np.searchsorted(x, np.uint64(FIRST << 56))) for x in s]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in s], pa.binary()), pa.array([len(x) for x in s], pa.int64()), pa.array(cut, pa.int64()), pa.array([x[:c].tobytes() for x, c in zip(s, cut)], pa.binary()), pa.array([x[c:].tobytes() for x, c in zip(s, cut)], pa.binary())], ["digest", "size", "cut", "first", "rest"])
 
-    sets = materialise(texts.mapInArrow(to_sets, "node long, members binary"))
+    own, _ = checked_broadcast(materialise(nodes.join(wanted, "node", "left_semi").select("digest", "node")), 1_000_000)
+    sets = texts.mapInArrow(to_sets, "digest binary, size long, cut long, first binary, rest binary").join(own, "digest").drop("digest")
+    # a row that stands several times gives its set several times
+    sets = materialise(sets.dropDuplicates(["node"]))
 
-    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                o = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(den * o >= num * (len(x) + len(y) - o))
-            b = pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"])
-            yield b.filter(pa.array(keep, pa.bool_()))
+            o = _overlaps(b.column(2).to_pylist(), b.column(3).to_pylist())
+            na, nb, ca, cb = (b.column(i).to_numpy() for i in range(4, 8))
+            most = o + np.minimum(na - ca, nb - cb)
+            keep = (num + den) * most >= num * (na + nb)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(o), pa.array(na + nb)], ["a", "b", "o", "sizes"]).filter(pa.array(keep))
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            o = b.column(2).to_numpy() + _overlaps(b.column(4).to_pylist(), b.column(5).to_pylist())
+            keep = (num + den) * o >= num * b.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
-    return full.select("a", "b", "ma", "mb").mapInArrow(overlap, "a long, b long")
+    side = lambda x, part: sets.select(F.col("node").alias(x), F.col(part).alias("m" + x), F.col("size").alias("n" + x), F.col("cut").alias("c" + x))
+    joined_first = pairs.join(side("b", "first"), "b").join(side("a", "first"), "a").select("a", "b", "ma", "mb", "na", "nb", "ca", "cb")
+    left = materialise(joined_first.mapInArrow(first, "a long, b long, o long, sizes long"))
+    joined_rest = left.join(side("b", "rest").select("b", "mb"), "b").join(side("a", "rest").select("a", "ma"), "a").select("a", "b", "o", "sizes", "ma", "mb")
+    return joined_rest.mapInArrow(rest, "a long, b long")
 
 
 def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sample_docs: int = 4096, most_frequent: int = 2_000_000, tile: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,19 +209,20 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sampl
     text is one shingle. component_id is the smallest doc_id that links reach, the own one included. Texts without words,
     null or empty, have no shingles and link with nothing. Rows with equal sets link, also those with equal ids, each row
     by its own text; a null id never is a component_id unless no other is reached. Other columns are ignored; an empty
-    table gives no rows. Shingles are told apart by 64-bit hashes.
+    table gives no rows. Shingles are told apart by 64-bit hashes within a pair, whole sets and rows by 128-bit digests.
 
-    Equal sets are one node. Links are looked for in two passes: each member of a column against the column's smallest
+    Equal sets are one node, numbered on the stored table. Links are looked for in two passes: each member of a column against the column's smallest
     node, then all pairs of a column that those links have not joined yet. `sample_docs` and `most_frequent` bound what
     is gathered to order the shingles, not what is compared.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("text"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    d = d.withColumn("rid", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("\0"), F.col("text")))))
     frequent = spark.sparkContext.broadcast(_frequent(d, n, min(1.0, 2 * (1 - num / den)), sample_docs, most_frequent))
     sig = materialise(_signatures(d, n, num, den, frequent))
-    nodes = sig.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.min("n_shingles").alias("size"), F.min("doc_id").alias("min_id"))
-    nodes = materialise(nodes)
-    one = sig.join(nodes.select("node", "rid"), ["node", "rid"], "left_semi").dropDuplicates(["node"])
+    nodes = sig.where("digest IS NOT NULL").groupBy("digest").agg(F.min("rid").alias("rid"), F.min("n_shingles").alias("size"), F.min("doc_id").alias("min_id"), F.count(F.lit(1)).alias("copies"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
+    one = materialise(sig.join(nodes.select("digest", "rid", "node"), ["digest", "rid"]).drop("digest", "rid", "doc_id").dropDuplicates(["node"]))
     entries = one.select(F.explode("prefix").alias("s"), "node")
     shared = entries.groupBy("s").agg(F.count(F.lit(1)).alias("block"), F.min("node").alias("leader")).where("block > 1")
     entries = materialise(entries.join(shared, "s"))
@@ -226,7 +259,10 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sampl
 
     groups = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = groups.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    by_node = groups.join(smallest, "root").select("node", "component_id")
-    return sig.join(by_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-
-
+    by_set = materialise(groups.join(smallest, "root").select("digest", "component_id", "copies"))
+    # sets of a thousandth of all rows each, at most a thousand, are joined as a broadcast, so that no task gets all copies of one
+    hot = F.broadcast(by_set.where(F.col("copies") > max(1000, sig.count() // 1000)).select("digest", F.col("component_id").alias("of_hot"), F.lit(True).alias("hot")))
+    rows = sig.select("doc_id", "n_shingles", "digest").join(hot, "digest", "left")
+    done = rows.where("hot OR digest IS NULL").select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("of_hot")).alias("component_id"))
+    rest = rows.where("hot IS NULL AND digest IS NOT NULL").select("doc_id", "n_shingles", "digest").join(by_set.drop("copies"), "digest")
+    return done.unionByName(rest.select("doc_id", "n_shingles", "component_id"))

@@ -90,6 +90,10 @@ def test_ngram_join(spark, n, num, tile):
         texts[i] = " ".join(w)
     for i in range(60, 90):  # a passage that many share
         texts[i] = prose(i, rng.randint(0, 60)) + " the passage that stands in many of these texts " + prose(100 + i, 5)
+    a, b = "a", "b"
+    for _ in range(10):  # two words of 1024 letters that sums modulo a power of two can't tell apart
+        a, b = a + b, b + a
+    texts |= {95: f"{a} x y", 96: f"{b} x y", 97: f"{a} x Y"}
     long = prose(3, 1500).split()
     for i in range(90, 94):
         texts[i] = " ".join([*long[: 1500 - 40 * (i - 90)], *prose(i, 40 * (i - 90)).split()])
@@ -98,6 +102,7 @@ def test_ngram_join(spark, n, num, tile):
     assert len(got) == len(texts) + sum(i < 25 for i in texts)
     want = components(texts, n, num)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert want[96][1] == 96 and want[97][1] == 95
     if n == 5:
         assert ngram_join(df.limit(0)).count() == 0
         assert ngram_join(df.where("doc_id < 2")).count() == 2
@@ -105,6 +110,21 @@ def test_ngram_join(spark, n, num, tile):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join(df, n, num, 100, most_frequent=0).collect()} == want
 
 
+def test_overlap_counts():
+    from cohortmill.llm.common import joined, word_hashes, word_spans
+    from cohortmill.llm.ngram_join import _IS_WORD, _overlaps
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64) for _ in range(30)]
+    pairs = [(i, int(j)) for i in range(30) for j in rng.integers(0, 30, 5)]
+    got = _overlaps([sets[i].tobytes() for i, _ in pairs], [sets[j].tobytes() for _, j in pairs])
+    assert got.tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in pairs]
+    words = ["a" * n for n in (*range(1, 40), 256, 257, 300)] + ["é", "日本", "a\x00", "ab" * 200]
+    data, _ = joined([" ".join(words) + " " + " ".join(reversed(words))])
+    h = word_hashes(data, *word_spans(data, _IS_WORD))
+    assert len(set(h[: len(words)].tolist())) == len(words) and (h[: len(words)] == h[: len(words) - 1 : -1]).all()
+
+
 def test_components_of_a_chain(spark):
     from cohortmill.llm.components import connected_components
 

@@ -32,7 +32,7 @@ class Context:
     rules: tuple[GeneRule, ...]
     aliases: dict[str, tuple[str, ...]] = field(default_factory=dict)  # metadata column -> values
     lineage: tuple[str, str] | None = None  # column and value that must hold besides
-    other_ambiguous: bool = True
+    other_ambiguous: bool | None = None  # whether other events of the gene make a model ambiguous; unset, not in the exact mode
 
     @property
     def context_status(self) -> str:
@@ -104,7 +104,7 @@ def classify(events: DataFrame, contexts: Sequence[Context], flags: Sequence[str
 
 
 def status_of(context: Context, i: int) -> Column:
-    other = F.coalesce(F.col(f"o{i}"), F.lit(False)) & F.lit(context.other_ambiguous)
+    other = F.coalesce(F.col(f"o{i}"), F.lit(False)) & F.lit(context.mode != EXACT if context.other_ambiguous is None else context.other_ambiguous)
     return F.when(F.coalesce(F.col(f"d{i}"), F.lit(False)), PRESENT).when(other, AMBIGUOUS).otherwise(ABSENT)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortmill.operators.cohorts import duplicate_models
+from cohortmill.operators.cohorts import Context, duplicate_models
 
 FIELDS = ("severity", "check", "entity_id", "field", "observed", "expected")
 
@@ -62,13 +62,21 @@ def qc_targets(seeds: DataFrame, identities: DataFrame) -> DataFrame:
     return with_all_passed(out.unionByName(findings(j, rules)), "target_normalization", ("ERROR", "WARNING", "INFO"))
 
 
-def qc_inputs(models: DataFrame, profiles: DataFrame, matrix_genes: DataFrame, pairs: DataFrame, diagnostics: DataFrame, min_context: int = 5, min_comparator: int = 5) -> DataFrame:
-    """Unique models, metadata and profile columns, genes of the pairs in the matrix, and for each context whether it can be studied."""
+def qc_inputs(models: DataFrame, profiles: DataFrame, matrix_genes: DataFrame, pairs: DataFrame, diagnostics: DataFrame, min_context: int = 5, min_comparator: int = 5, events: DataFrame | None = None, contexts: Sequence[Context] = (), flags: Sequence[str] = ()) -> DataFrame:
+    """Unique models, metadata and profile columns, genes of the pairs in the matrix, and for each context whether it can be studied.
+
+    With `events`: whether they name the changes that rules of `contexts` ask for (else how many are of their genes), and whether any of the driver columns `flags` is there.
+    """
     out = findings(duplicate_models(models), [finding(F.lit(True), "ERROR", "model_id_unique", F.col("model_id"), F.col("n"), "1")])
     known = [c for c in ("code", "subtype", "primary_disease", "lineage") if c in models.columns]
     n = profiles.agg(F.count_distinct("model_id").alias("n"))
     out = out.unionByName(findings(n, [finding(F.lit(not known), "ERROR", "disease_columns", "models"), finding(F.col("n") == 0, "ERROR", "profiles", "profiles", F.col("n"), ">0"), finding(F.col("n") > 0, "INFO", "profiles", "profiles", F.col("n"), ">0"), finding(F.lit("is_default" not in profiles.columns), "WARNING", "default_flag", "profiles")]))
     out = out.unionByName(findings(pairs.select("gene").distinct().join(matrix_genes, "gene", "left_anti"), [finding(F.lit(True), "ERROR", "matrix_has_gene", F.col("gene"))]))
+    if events is not None:
+        genes = sorted({x.gene.upper() for c in contexts for x in c.rules})
+        lacks = "change" not in events.columns and any(x.changes for c in contexts for x in c.rules)
+        own = events.where(F.upper(F.trim("gene")).isin(genes)).agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(findings(own, [finding(F.lit(lacks), "ERROR", "event_change_column", "events", "not found", "change"), finding(F.lit(not lacks), "INFO", "event_columns", "events", F.col("n"), "relevant rows"), finding(F.lit(not any(f in events.columns for f in flags)), "WARNING", "event_driver_flags", "events", "none", "driver columns")]))
     c, r, who = F.col("context_n"), F.col("comparator_n"), F.col("cancer_id")
     return with_all_passed(out.unionByName(findings(diagnostics, [
         finding(c == 0, "ERROR", "context_feasible", who, c, ">0"), finding(r == 0, "WARNING", "comparator_feasible", who, r, ">0"),
@@ -143,12 +151,12 @@ def qc_screen(results: DataFrame) -> DataFrame:
     return findings(g, rules)
 
 
-def qc_associations(rows: DataFrame, expected: int, prefix: str = "ENSG", json_cols: Sequence[str] = ("datatype_scores_json",)) -> DataFrame:
+def qc_associations(rows: DataFrame, expected: int, prefix: str = "ENSG", json_cols: Sequence[str] = ("datatype_scores_json", "datasource_scores_json", "tractability_json")) -> DataFrame:
     """Association rows: count, uniqueness, target ids, score range, claims of a molecular context, absence, readable JSON."""
     e = F.col("evidence_id")
     out = row_count(rows, expected).unionByName(duplicates(rows, ["cancer_id", "target_id"], "unique_cancer_target"))
     broken = F.lit(False)
-    for c in json_cols:
+    for c in (x for x in json_cols if x in rows.columns):
         broken = broken | (F.col(c).isNotNull() & F.try_parse_json(c).isNull())
     claim = F.col("context_encoded") if "context_encoded" in rows.columns else F.lit(False)
     out = out.unionByName(findings(rows, [

@@ -24,9 +24,8 @@ def matrix_gene_intersection(effects: DataFrame, probs: DataFrame) -> DataFrame:
 def gene_statistics(cells: DataFrame, members: DataFrame, keys: Sequence[str] = S.KEYS, min_n: int = 2) -> DataFrame:
     """Counts, location, fractions and the rank test of each key; low_sample and delta_median too."""
     keys = list(keys)
-    c = cells.withColumn("_eff", F.col("effect"))
-    out = S.group_counts(c, members, keys).join(S.group_location(c, keys), keys).join(S.dependency_fraction(c, keys), keys)
-    out = out.join(S.mann_whitney(S.rank_sum(c, keys), min_n).drop("n1", "n2"), keys, "left").withColumn("performed", F.coalesce("performed", F.lit(False)))
+    out = S.group_summary(cells, members, keys)
+    out = out.join(S.mann_whitney(S.rank_sum(cells, keys), min_n).drop("n1", "n2"), keys, "left").withColumn("performed", F.coalesce("performed", F.lit(False)))
     out = out.withColumn("delta_median", F.col("context_median") - F.col("comparator_median"))
     return out.withColumn("low_sample", S.low_sample_flag(F.col("context_effect_n"), F.col("comparator_effect_n"), F.col("comparator_models_n")))
 

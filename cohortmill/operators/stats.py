@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -41,6 +43,47 @@ def u_distribution(n1: int, n2: int) -> np.ndarray:
     return np.clip(f, 0.0, None)
 
 
+@lru_cache(maxsize=None)
+def _small_counts(parts: int) -> list[int]:
+    """For n up to _PERIOD * (parts + 1), in how many ways n is a sum of ones of two kinds and of parts 2 .. `parts`: the partitions of at most n into parts of at most that size."""
+    out = [1] + [0] * (_PERIOD * (parts + 1) - 1)
+    for part in (1, *range(1, parts + 1)):
+        for n in range(part, len(out)):
+            out[n] += out[n - part]
+    return out
+
+
+def _counts_up_to(parts: int, n: int) -> int:
+    """The same for any n: along n modulo _PERIOD it is a polynomial of degree `parts`, given by its differences."""
+    if n < 0:
+        return 0
+    small = _small_counts(parts)
+    if n < len(small):
+        return small[n]
+    x, r = divmod(n, _PERIOD)
+    y, out = [small[r + _PERIOD * j] for j in range(parts + 1)], 0
+    for j in range(parts + 1):
+        out += math.comb(x, j) * y[0]
+        y = [b - a for a, b in zip(y, y[1:])]
+    return out
+
+
+#: The least common multiple of 1 .. EXACT_MAX.
+_PERIOD = math.lcm(*range(1, EXACT_MAX + 1))
+
+
+def exact_tail(n1: int, n2: int, u: int) -> float:
+    """P(U >= u) without ties, in whole numbers however large the greater group is: at most n1 * n2 - u is shared by n1 ranks of at most n2 each; ranks above n2 are taken out again by their sizes."""
+    a, b = min(n1, n2), max(n1, n2)
+    k, total = n1 * n2 - u, 0
+    for size in range(a + 1):
+        for over in combinations(range(1, a + 1), size):
+            total += (-1) ** size * _counts_up_to(a, k - sum(over) - size * b)
+    return total / math.comb(a + b, a)
+
+
+#: Tables of tails are kept for sizes up to this many cells; beyond, each value is computed by itself.
+_TABLE = 100_000
 _TAILS: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -53,46 +96,71 @@ def exact_two_sided(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
             out.append(None)
             continue
         key = (min(int(a), int(b)), max(int(a), int(b)))
+        m = key[0] * key[1]
+        at = int(round(max(x, m - x)))
+        if m > _TABLE:
+            out.append(min(1.0, 2.0 * exact_tail(*key, at)))
+            continue
         if key not in _TAILS:
-            if len(_TAILS) > 4096:
+            if len(_TAILS) > 256:
                 _TAILS.clear()
             _TAILS[key] = np.cumsum(u_distribution(*key)[::-1])[::-1]
-        m = key[0] * key[1]
-        out.append(min(1.0, 2.0 * float(_TAILS[key][int(round(max(x, m - x)))])))
+        out.append(min(1.0, 2.0 * float(_TAILS[key][at])))
     return pd.Series(out, dtype="float64")
 
 
-def group_counts(cells: DataFrame, members: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Of each key, how many context and comparator models have an effect and a probability; *_models_n counts members whether the matrix has them or not; *_missing_n what is lacking."""
+def _count_columns() -> list[Column]:
     of = lambda g, c: F.count(F.when(F.col("analysis_group") == g, F.col(c)))
-    got = cells.groupBy(*keys).agg(*(of(g, c).alias(f"{g}_{c}_n") for g in ("context", "comparator") for c in ("effect", "prob")))
+    return [of(g, c).alias(f"{g}_{c}_n") for g in ("context", "comparator") for c in ("effect", "prob")]
+
+
+def _with_members(got: DataFrame, members: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A row of sizes for each comparison is broadcast; there are some hundreds of those."""
     who = [k for k in keys if k in ("cancer_id", "comparison_type")]
     n = members.groupBy(*who).agg(*(F.count_if(F.col("analysis_group") == g).alias(f"{g}_models_n") for g in ("context", "comparator")))
     out = got.join(F.broadcast(n), who)
     return out.select("*", *(F.greatest(F.lit(0), F.col(f"{g}_models_n") - F.col(f"{g}_effect_n")).alias(f"{g}_missing_n") for g in ("context", "comparator")))
 
 
-def group_location(cells: DataFrame, keys: Sequence[str] = KEYS, value: str = "effect") -> DataFrame:
-    """Median, mean, inter-quartile range, least and greatest value of both groups."""
+def group_counts(cells: DataFrame, members: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Of each key, how many context and comparator models have an effect and a probability; *_models_n counts members whether the matrix has them or not; *_missing_n what is lacking."""
+    return _with_members(cells.groupBy(*keys).agg(*_count_columns()), members, keys)
+
+
+def _location_columns(value: str) -> list[Column]:
     aggs = []
     for g in ("context", "comparator"):
         v = F.when(F.col("analysis_group") == g, F.col(value))
         q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         aggs += [q[1].alias(f"{g}_median"), F.avg(v).alias(f"{g}_mean"), (q[2] - q[0]).alias(f"{g}_iqr"), F.min(v).alias(f"{g}_min"), F.max(v).alias(f"{g}_max")]
-    return cells.groupBy(*keys).agg(*aggs)
+    return aggs
+
+
+def group_location(cells: DataFrame, keys: Sequence[str] = KEYS, value: str = "effect") -> DataFrame:
+    """Median, mean, inter-quartile range, least and greatest value of both groups. The exact median holds a key's distinct values: as many as a comparison has models."""
+    return cells.groupBy(*keys).agg(*_location_columns(value))
 
 
 def fraction(n: Column, of: Column) -> Column:
     return n / F.nullif(of.cast("double"), F.lit(0.0))
 
 
-def dependency_fraction(cells: DataFrame, keys: Sequence[str] = KEYS, threshold: float = 0.5) -> DataFrame:
-    """Of both groups, how many and what share have a probability above the threshold; null without any."""
+def _dependency_columns(threshold: float) -> list[Column]:
     aggs = []
     for g in ("context", "comparator"):
         own = F.col("analysis_group") == g
         aggs += [F.count_if(own & (F.col("prob") > threshold)).alias(f"{g}_dependent_n"), fraction(F.count_if(own & (F.col("prob") > threshold)), F.count(F.when(own, F.col("prob")))).alias(f"{g}_dependency_fraction")]
-    return cells.groupBy(*keys).agg(*aggs)
+    return aggs
+
+
+def dependency_fraction(cells: DataFrame, keys: Sequence[str] = KEYS, threshold: float = 0.5) -> DataFrame:
+    """Of both groups, how many and what share have a probability above the threshold; null without any."""
+    return cells.groupBy(*keys).agg(*_dependency_columns(threshold))
+
+
+def group_summary(cells: DataFrame, members: DataFrame, keys: Sequence[str] = KEYS, threshold: float = 0.5) -> DataFrame:
+    """`group_counts`, `group_location` and `dependency_fraction` in one grouping of the cells."""
+    return _with_members(cells.groupBy(*keys).agg(*_count_columns(), *_location_columns("effect"), *_dependency_columns(threshold)), members, keys)
 
 
 def background_fraction(cells: DataFrame, threshold: float = 0.5, warn: float = 0.8) -> DataFrame:
@@ -123,15 +191,15 @@ def asymptotic_z(u1: Column, n1: Column, n2: Column, ties: Column) -> Column:
     return F.when(var > 0, (F.greatest(u1, m - u1) - m / 2 - 0.5) / F.sqrt(var))
 
 
-def mann_whitney(ranks: DataFrame, min_n: int = 2, exact_cells: float = 1e6) -> DataFrame:
+def mann_whitney(ranks: DataFrame, min_n: int = 2) -> DataFrame:
     """`rank_sum` rows with performed, test, p_value, cliffs_delta, z.
 
     A test needs `min_n` values in both groups. It is exact where the smaller group has at most 8 values and no values are
-    tied, and the table has at most `exact_cells` entries; `test` names which it was.
+    tied, however many the other group has; `test` names which it was.
     """
     n1, n2, u1 = F.col("n1"), F.col("n2"), F.col("u1")
     gate = (n1 >= min_n) & (n2 >= min_n)
-    exact = gate & (F.least(n1, n2) <= EXACT_MAX) & (F.col("ties") == 0) & (n1 * n2 <= exact_cells)
+    exact = gate & (F.least(n1, n2) <= EXACT_MAX) & (F.col("ties") == 0)
     r = ranks.withColumn("performed", gate).withColumn("test", F.when(exact, "exact").when(gate, "asymptotic"))
     r = r.withColumn("z", F.when(gate, asymptotic_z(u1, n1, n2, F.col("ties"))))
     one = F.when(F.col("test") == "exact", F.lit(1.0))

@@ -76,10 +76,10 @@ def dictionary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def withdrawn(spark: SparkSession, sf: str) -> DataFrame:
-    """Every seventh part had another name; every fourteenth was split into two."""
-    p = table(spark, sf, "part").where("p_partkey % 7 = 0")
+    """Parts of the ten smallest sizes had another name; those of the five smallest were split into two."""
+    p = table(spark, sf, "part").where("p_size <= 10")
     own = F.concat(F.lit("ID:"), F.col("p_partkey").cast("string"), F.lit("|"), F.concat_ws("-", "p_brand", F.col("p_partkey").cast("string")), F.lit("|Approved"))
-    return p.select(F.concat(F.lit("OLD"), F.col("p_partkey").cast("string")).alias("withdrawn_symbol"), F.when(F.col("p_partkey") % 14 == 0, F.concat(own, F.lit(",ID:0|OTHER|Approved"))).otherwise(own).alias("merged_into"))
+    return p.select(F.concat(F.lit("OLD"), F.col("p_partkey").cast("string")).alias("withdrawn_symbol"), F.when(F.col("p_size") <= 5, F.concat(own, F.lit(",ID:0|OTHER|Approved"))).otherwise(own).alias("merged_into"))
 
 
 def seeds(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,7 +93,7 @@ def seeds(spark: SparkSession, sf: str) -> DataFrame:
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """Association pages: nations are diseases, brands are targets; shares of the nation's customers' line items by segment are the scores."""
     c, o, li, p = (table(spark, sf, t) for t in ("customer", "orders", "lineitem", "part"))
-    j = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(p, li["l_partkey"] == p["p_partkey"]).where("p_partkey % 3 <> 0 OR c_nationkey % 2 = 0")
+    j = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(p, li["l_partkey"] == p["p_partkey"])
     per = j.groupBy("c_nationkey", "p_brand", "c_mktsegment").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = per.groupBy("c_nationkey", "p_brand").agg(F.sum("n").alias("all"), F.array_sort(F.collect_list(F.struct(F.col("c_mktsegment").alias("id"), (F.least(F.col("n"), F.lit(64)) / 64).alias("score")))).alias("scores"))
     row = F.struct(F.struct(F.concat(F.lit("ENSG"), F.col("p_brand")).alias("id"), F.col("p_brand").alias("approvedSymbol")).alias("target"), (F.least(F.col("all"), F.lit(256)) / 256).alias("score"), F.col("scores").alias("datatypeScores"), F.col("scores").alias("datasourceScores"))
@@ -169,7 +169,7 @@ CTES = {
     "prs": "SELECT cancer_id || ':' || gene AS evidence_id, cancer_id, 'T-' || gene AS target_id, gene FROM (SELECT DISTINCT p_brand AS gene FROM part), ctxs",
     "dict": """SELECT p_partkey AS row, 'ID:' || p_partkey AS hgnc_id, p_brand || '-' || p_partkey AS symbol, CASE WHEN p_partkey % 50 = 0 THEN 'Pending' ELSE 'Approved' END AS status, replace(p_name, ' ', '|') AS alias_symbol,
         p_brand || p_type || p_size AS prev_symbol, 'ENSG' || p_partkey AS ensembl_gene_id, CAST(p_partkey AS VARCHAR) AS entrez_id, 'U' || p_partkey || '|V' || p_size AS uniprot_ids FROM part""",
-    "wdr": "SELECT 'OLD' || p_partkey AS withdrawn_symbol, CASE WHEN p_partkey % 14 = 0 THEN 'ID:' || p_partkey || '|' || p_brand || '-' || p_partkey || '|Approved,ID:0|OTHER|Approved' ELSE 'ID:' || p_partkey || '|' || p_brand || '-' || p_partkey || '|Approved' END AS merged_into FROM part WHERE p_partkey % 7 = 0",
+    "wdr": "SELECT 'OLD' || p_partkey AS withdrawn_symbol, CASE WHEN p_size <= 5 THEN 'ID:' || p_partkey || '|' || p_brand || '-' || p_partkey || '|Approved,ID:0|OTHER|Approved' ELSE 'ID:' || p_partkey || '|' || p_brand || '-' || p_partkey || '|Approved' END AS merged_into FROM part WHERE p_size <= 10",
     "sds": """SELECT 'S' || p_partkey AS target_id, CASE p_partkey % 6 WHEN 0 THEN lower(p_brand || '-' || p_partkey) WHEN 1 THEN p_brand || p_type || p_size WHEN 2 THEN split_part(p_name, ' ', 1) WHEN 3 THEN 'OLD' || p_partkey WHEN 4 THEN 'none' || p_partkey ELSE ' ' END AS input_symbol,
         'ENSG' || (p_partkey + CASE WHEN p_partkey % 12 = 0 THEN 1 ELSE 0 END) AS existing_ensembl_gene_id FROM part""",
     "lk": """SELECT 'approved' AS class, upper(symbol) AS key, symbol FROM dict UNION ALL SELECT 'previous', upper(prev_symbol), symbol FROM dict
@@ -181,7 +181,7 @@ CTES = {
         CASE WHEN trim(input_symbol) = '' THEN NULL WHEN g.a IS NOT NULL THEN g.a WHEN np = 1 THEN sp WHEN np > 1 THEN NULL WHEN na = 1 THEN sa WHEN na > 1 THEN NULL WHEN nw = 1 THEN o.symbol END AS resolved_symbol
         FROM sds s LEFT JOIN agg g ON g.key = upper(trim(input_symbol)) AND trim(input_symbol) <> '' LEFT JOIN dict o ON nw = 1 AND o.symbol = sw""",
     "idn": "SELECT r.target_id, input_symbol, existing_ensembl_gene_id, mapping_status, d.symbol AS hgnc_symbol, d.hgnc_id, d.status AS hgnc_status, d.ensembl_gene_id, d.entrez_id AS ncbi_gene_id, split_part(d.uniprot_ids, '|', 1) AS uniprot_id FROM rsv r LEFT JOIN dict d ON d.symbol = resolved_symbol",
-    "apr": "SELECT c_nationkey AS nk, p_brand AS b, c_mktsegment AS seg, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey WHERE p_partkey % 3 <> 0 OR c_nationkey % 2 = 0 GROUP BY ALL HAVING count(*) > 1",
+    "apr": "SELECT c_nationkey AS nk, p_brand AS b, c_mktsegment AS seg, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey GROUP BY ALL HAVING count(*) > 1",
     "asc0": "SELECT 'EFO_' || nk AS disease_id, 'NATION_' || nk AS disease_name, 'ENSG' || b AS target_id, b AS symbol, least(sum(n), 256) / 256.0 AS score FROM apr GROUP BY ALL",
     "ont": "SELECT 'EFO_' || n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 'REG_' || n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
     "mps": "SELECT 'C' || n_nationkey AS cancer_id, CASE WHEN n_nationkey % 5 IN (0, 3) THEN 'EFO_' ELSE 'OLD_' END || n_nationkey AS disease_id, CASE n_nationkey % 5 WHEN 2 THEN 'ASIA' WHEN 3 THEN 'another name' WHEN 4 THEN 'unknown' ELSE lower(' ' || n_name || ' ') END AS expected_disease_name FROM nation",

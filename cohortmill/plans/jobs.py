@@ -17,6 +17,12 @@ from cohortmill.plans import bind as B
 from cohortmill.sources import tables as T
 
 Tables = dict[str, DataFrame]
+IDENTITY_FIELDS = ("input_symbol", "hgnc_symbol", "hgnc_id", "hgnc_status", "ensembl_gene_id", "ncbi_gene_id", "uniprot_id", "mapping_status", "record_hash", "notes")
+#: Source, nature and file of each field of the evidence of a pair.
+EVIDENCE_FIELDS = (
+    {c: ("effects", "Derived", "effects.csv") for c in ("delta_median", "cliffs_delta", "p_value", "q_value")} | {"context_median": ("effects", "Observed", "effects.csv"), "context_effect_n": ("effects", "Observed", "effects.csv")}
+    | {"context_models_n": ("models and profiles", "Derived", "models.csv"), "context_dependency_fraction": ("probabilities", "Observed", "probabilities.csv"), "broad_dependency_fraction": ("probabilities", "Derived", "probabilities.csv")}
+)
 
 
 def cached(df: DataFrame) -> DataFrame:
@@ -29,8 +35,7 @@ def cached(df: DataFrame) -> DataFrame:
 def job_normalize_targets(seeds: DataFrame, dictionary: DataFrame, withdrawn: DataFrame, release: str = "r1") -> Tables:
     ids = I.normalize_targets(seeds, dictionary, withdrawn)
     src = ("dictionary", "Observed", "dictionary.tsv")
-    fields = ("hgnc_symbol", "hgnc_id", "hgnc_status", "ensembl_gene_id", "ncbi_gene_id", "uniprot_id", "mapping_status", "input_symbol", "notes")
-    return {"identities": ids, "qc": Q.qc_targets(seeds, ids), "status": I.mapping_status_counts(ids), "provenance": P.unpivot_fields(ids, "target", "target_id", {f: src for f in fields}, release, "1", "record_hash")}
+    return {"identities": ids, "qc": Q.qc_targets(seeds, ids), "status": I.mapping_status_counts(ids), "provenance": P.unpivot_fields(ids, "target", "target_id", {f: src for f in IDENTITY_FIELDS}, release, "1", "record_hash")}
 
 
 def job_validate_diseases(mappings: DataFrame, ontology: DataFrame) -> Tables:
@@ -38,31 +43,40 @@ def job_validate_diseases(mappings: DataFrame, ontology: DataFrame) -> Tables:
     return {"resolved": resolved, "validation": O.disease_validate(resolved), "qc": Q.qc_disease_mapping(resolved)}
 
 
-def job_associations(pairs: DataFrame, identities: DataFrame, mappings: DataFrame, ontology: DataFrame, assoc: DataFrame, tractability: DataFrame | None, datatypes: list[str], expected: int) -> Tables:
+def job_associations(pairs: DataFrame, identities: DataFrame, mappings: DataFrame, ontology: DataFrame, assoc: DataFrame, tractability: DataFrame | None, datatypes: list[str], expected: int, release: str = "r1") -> Tables:
     """From landed pages or a bulk export. The mapping's findings stand beside the rows' own, a pass record included."""
     resolved = O.disease_resolve(mappings, ontology)
     rows = A.pair_association_join(pairs, identities, resolved, assoc, datatypes)
     rows = A.attach_tractability(rows, tractability) if tractability is not None else rows
-    return {"rows": rows, "qc": Q.qc_associations(rows, expected).unionByName(Q.qc_disease_mapping(resolved))}
-
-
-def job_validate_inputs(models: DataFrame, profiles: DataFrame, matrix_genes: DataFrame, pairs: DataFrame, audit: DataFrame, gate: bool = False) -> Tables:
+    rows = cached(rows)
+    validation = O.disease_validate(resolved)
+    record = F.to_json(F.struct(F.col("disease_id").alias("configured_id"), "resolved_id", F.col("resolved_name").alias("name"), "resolution_method"))
+    # of each context six fields of its mapping, two of them found and the others given, and a record of its validation
+    mapped = resolved.select("cancer_id", F.col("disease_id").alias("configured_disease_id"), F.col("resolved_id").alias("resolved_disease_id"), "resolution_method", *(F.col(c).cast("string").alias(c) if c in resolved.columns else F.lit(None).cast("string").alias(c) for c in ("mapping_scope", "mapping_confidence", "rationale")), record.alias("disease_validation"))
+    found = ("resolved_disease_id", "resolution_method", "disease_validation")
+    own = {c: ("disease mapping", "Observed" if c in found else "Inferred", "mappings.tsv") for c in mapped.columns if c != "cancer_id"}
+    scores = {c: ("associations", "Aggregated evidence", "pages.json") for c in ("association_score", *(f"score_{d}" for d in datatypes))} | ({"tractability_json": ("associations", "Aggregated evidence", "tractability.json")} if tractability is not None else {})
+    provenance = P.unpivot_fields(rows, "cancer_target_pair", "evidence_id", scores, release, "1").unionByName(P.unpivot_fields(mapped, "cancer_context", "cancer_id", own, release, "1"))
+    return {"rows": rows, "validation": validation, "qc": Q.qc_associations(rows, expected).unionByName(Q.qc_disease_mapping(resolved)), "provenance": provenance}
+
+
+def job_validate_inputs(models: DataFrame, profiles: DataFrame, matrix_genes: DataFrame, pairs: DataFrame, audit: DataFrame, gate: bool = False, events: DataFrame | None = None, contexts=(), flags=()) -> Tables:
     """With `gate`, any finding of severity ERROR ends the job."""
     d = C.cohort_diagnostics(audit)
-    q = Q.qc_inputs(models, profiles, matrix_genes, pairs, d)
+    q = Q.qc_inputs(models, profiles, matrix_genes, pairs, d, events=events, contexts=contexts, flags=flags)
     if gate and (bad := q.where("severity = 'ERROR'").limit(5).collect()):
         raise ValueError("inputs are not fit: " + "; ".join(f"{r['check']} {r['entity_id']}" for r in bad))
     return {"qc": q, "diagnostics": d, "feasibility": d.select("cancer_id", (F.col("context_n") > 0).alias("feasible"))}
 
 
-def job_pair_evidence(pairs: DataFrame, cells: DataFrame, members: DataFrame, audit: DataFrame) -> Tables:
+def job_pair_evidence(pairs: DataFrame, cells: DataFrame, members: DataFrame, audit: DataFrame, release: str = "r1") -> Tables:
     """Only the genes of the pairs are compared; q is over the whole table of pairs."""
     genes = R.symbol_union_distinct(pairs)
-    c = cells.join(F.broadcast(genes), "gene", "left_semi")
+    c = cells.join(genes, "gene", "left_semi")
     primary = members.where("comparison_type = 'primary'")
     s = R.gene_statistics(cached(R.matrix_select_models(c, primary)), members).join(S.background_fraction(c), "gene")
     rows = cached(R.pair_evidence_join(pairs, s, members))
-    return {"evidence": rows, "qc": Q.qc_evidence(rows, audit, pairs.count())}
+    return {"evidence": rows, "qc": Q.qc_evidence(rows, audit, pairs.count()), "provenance": P.unpivot_fields(rows, "cancer_target_evidence", "evidence_id", EVIDENCE_FIELDS, release, "1")}
 
 
 def job_sensitivity(pairs: DataFrame, cells: DataFrame, members: DataFrame, split: DataFrame) -> Tables:

@@ -63,14 +63,14 @@ def _wide(spark, sf) -> str:
     """The vectors as a wide file: an id and a column for each component, every seventh cell not a number."""
     path = T.shared_path(spark, "matrix")
     e = B.table(spark, sf, "embeddings")
-    cell = [F.when((F.col("vec_id") + i) % 7 == 0, F.lit("NA")).otherwise(F.round(F.col("embedding")[i].cast("double") * 1000, 0).cast("int").cast("string")) for i in range(8)]
+    cell = [F.when((F.col("vec_id") + i) % 7 == 0, F.lit("NA")).otherwise(F.round(F.col("embedding")[i].cast("double") * 1000, 0).cast("int").cast("string")) for i in range(64)]
     body = e.select(F.concat_ws(",", F.concat(F.lit("V"), F.col("vec_id").cast("string")), *cell).alias("value"), F.col("vec_id").alias("_o"))
-    head = spark.range(1).select(F.lit("ModelID," + ",".join(f"DIM{i} ({100 + i})" if i % 2 == 0 else f"DIM{i}" for i in range(8))).alias("value"), F.lit(-1).cast("long").alias("_o"))
+    head = spark.range(1).select(F.lit("ModelID," + ",".join(f"DIM{i} ({100 + i})" if i % 2 == 0 else f"DIM{i}" for i in range(64))).alias("value"), F.lit(-1).cast("long").alias("_o"))
     head.unionByName(body).repartition(1).sortWithinPartitions("_o").select("value").write.text(path)
     return path
 
 
-_LONG = "SELECT 'V' || vec_id AS model_id, 'DIM' || i AS gene, CASE WHEN i % 2 = 0 THEN CAST(100 + i AS VARCHAR) END AS entrez, CASE WHEN (vec_id + i) % 7 <> 0 THEN round(CAST(embedding[i + 1] AS DOUBLE) * 1000, 0) + 0.0 END AS value FROM embeddings, range(8) t(i)"
+_LONG = "SELECT 'V' || vec_id AS model_id, 'DIM' || i AS gene, CASE WHEN i % 2 = 0 THEN CAST(100 + i AS VARCHAR) END AS entrez, CASE WHEN (vec_id + i) % 7 <> 0 THEN round(CAST(embedding[i + 1] AS DOUBLE) * 1000, 0) + 0.0 END AS value FROM embeddings, range(64) t(i)"
 
 
 @query(_LONG)
@@ -223,6 +223,12 @@ def score_map(spark, sf):
     return a.select("disease_id", "target_id", F.size("m").cast("long").alias("entries"), X.score_get(F.col("m"), ["absent", "BUILDING", "MACHINERY"]).alias("score"))
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice WHEN o_orderpriority = '1-URGENT' THEN -1.0 END AS score FROM orders")
+def score_get(spark, sf):
+    o = B.table(spark, sf, "orders").withColumn("m", F.create_map("o_orderstatus", "o_totalprice", "o_orderpriority", F.lit(-1.0)))
+    return o.select("o_orderkey", X.score_get(F.col("m"), ["absent", "F", "1-URGENT"]).alias("score"))
+
+
 @query("""SELECT o_custkey, '{' || string_agg('"' || o_orderpriority || '":' || n, ',' ORDER BY o_orderpriority) || '}' AS json FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) GROUP BY ALL""")
 def sorted_json(spark, sf):
     o = B.table(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
@@ -308,7 +314,7 @@ _ANY = "bool_or(gene = 'F' AND regexp_matches(change, '(?i)^1-URGENT$')) AS d, b
 
 @query(f"SELECT model_id, CASE WHEN d THEN 'defining_present' WHEN o THEN 'ambiguous' ELSE 'defining_absent' END AS status FROM models LEFT JOIN (SELECT model_id, {_ANY} FROM evts GROUP BY ALL) USING (model_id)")
 def classify_exact_change(spark, sf):
-    c = C.Context("X", C.EXACT, (C.GeneRule("F", (B.URGENT,)),))
+    c = C.Context("X", C.EXACT, (C.GeneRule("F", (B.URGENT,)),), other_ambiguous=True)
     return B.models(spark, sf).join(C.classify(B.events(spark, sf), [c]), "model_id", "left").select("model_id", C.status_of(c, 0).alias("status"))
 
 
@@ -383,7 +389,7 @@ def matrix_gene_intersection(spark, sf):
 
 
 def _screen(spark, sf):
-    return J.cached(J.screen_tables(spark, sf)["results"])
+    return J.screen_tables(spark, sf)["results"]
 
 
 _PAIRQ = """SELECT p.evidence_id, p.cancer_id, p.target_id, p.gene, coalesce(context_effect_n, 0) AS context_effect_n, coalesce(comparator_effect_n, 0) AS comparator_effect_n, coalesce(n.context_models_n, 0) AS context_models_n, coalesce(n.comparator_models_n, 0) AS comparator_models_n,
@@ -392,8 +398,12 @@ _PAIRS = f"SELECT *, CASE WHEN p_value IS NOT NULL THEN round(least(1.0, min(raw
 _PAIRCOLS = ["evidence_id", "cancer_id", "target_id", "gene", "context_effect_n", "comparator_effect_n", "context_models_n", "comparator_models_n", "delta_median", "cliffs_delta", "performed", "low_sample", "p_value"]
 
 
+def _evidence_tables(spark, sf):
+    return J.job_pair_evidence(B.pairs(spark, sf), J.cached(B.cells(spark, sf)), J.cached(B.members(spark, sf)), B.audit(spark, sf))
+
+
 def _evidence(spark, sf):
-    return J.job_pair_evidence(B.pairs(spark, sf), J.cached(B.cells(spark, sf)), J.cached(B.members(spark, sf)), B.audit(spark, sf))["evidence"]
+    return _evidence_tables(spark, sf)["evidence"]
 
 
 def _p9(df):
@@ -413,10 +423,15 @@ def pair_comparison_expand(spark, sf):
     return R.pair_comparison_expand(B.pairs(spark, sf), B.split(spark, sf)).select("evidence_id", "cancer_id", "target_id", "gene", "comparison_type", "sensitivity_id")
 
 
+def _assoc_pairs(spark, sf):
+    """Every brand with every nation, whose keys run from 0 to 24, and the brands' ids."""
+    g = B.pairs(spark, sf).select("target_id", "gene").distinct()
+    pairs = g.withColumn("cancer_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda n: F.concat(F.lit("C"), n.cast("string"))))).withColumn("evidence_id", F.concat_ws(":", "cancer_id", "gene"))
+    return pairs, g.select("target_id", F.concat(F.lit("ENSG"), F.col("gene")).alias("ensembl_gene_id"))
+
+
 def _assoc_rows(spark, sf):
-    n = B.table(spark, sf, "nation").select(F.concat(F.lit("C"), F.col("n_nationkey").cast("string")).alias("cancer_id"))
-    pairs = B.pairs(spark, sf).select("target_id", "gene").distinct().crossJoin(F.broadcast(n)).withColumn("evidence_id", F.concat_ws(":", "cancer_id", "gene"))
-    ids = pairs.select("target_id", F.concat(F.lit("ENSG"), F.col("gene")).alias("ensembl_gene_id")).distinct()
+    pairs, ids = _assoc_pairs(spark, sf)
     return A.pair_association_join(pairs, ids, O.disease_resolve(B.mappings(spark, sf), B.ontology(spark, sf)), T.flatten_assoc(B.pages(spark, sf)), ["BUILDING", "MACHINERY"])
 
 
@@ -589,22 +604,53 @@ def core_candidates(spark, sf):
 # ---- reshapes -----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT 'target' AS entity_type, target_id AS entity_id, field_name, CASE field_name WHEN 'hgnc_symbol' THEN hgnc_symbol WHEN 'ensembl_gene_id' THEN ensembl_gene_id ELSE mapping_status END AS value, 'dictionary' AS source_name FROM idn, (VALUES ('hgnc_symbol'), ('ensembl_gene_id'), ('mapping_status')) t(field_name)")
+_ID_VALUES = ", ".join(f"('{f}')" for f in J.IDENTITY_FIELDS)
+_ID_CASE = " ".join(f"WHEN '{f}' THEN {f}" for f in J.IDENTITY_FIELDS if f not in ("record_hash", "notes"))
+
+
+@query(f"""SELECT 'target' AS entity_type, target_id AS entity_id, field_name, CASE field_name {_ID_CASE} WHEN 'notes' THEN CASE WHEN trim(input_symbol) = '' THEN 'empty symbol' WHEN mapping_status = 'manual_review_required' THEN 'several candidate records' WHEN mapping_status = 'not_found' THEN 'no record of this name' END
+    ELSE CASE WHEN hgnc_id IS NOT NULL THEN '64' END END AS value, 'dictionary' AS source_name FROM idn, (VALUES {_ID_VALUES}) t(field_name)""")
 def provenance_unpivot_identity(spark, sf):
-    src = ("dictionary", "Observed", "dictionary.tsv")
-    return P.unpivot_fields(_identities(spark, sf), "target", "target_id", {f: src for f in ("hgnc_symbol", "ensembl_gene_id", "mapping_status")}, "r1", "1", "record_hash").select("entity_type", "entity_id", "field_name", "value", "source_name")
+    """All ten fields; of the record's hash the length is compared."""
+    p = J.job_normalize_targets(B.seeds(spark, sf), B.dictionary(spark, sf), B.withdrawn(spark, sf))["provenance"]
+    value = F.when(F.col("field_name") == "record_hash", F.length("value").cast("string")).otherwise(F.col("value"))
+    return p.select("entity_type", "entity_id", "field_name", value.alias("value"), "source_name")
+
 
+_EV_NUMBER = "CASE field_name " + " ".join(f"WHEN '{f}' THEN {f}" for f in J.EVIDENCE_FIELDS) + " END"
+_EV_SOURCE = "CASE field_name " + " ".join(f"WHEN '{f}' THEN '{s[0]}:{s[1]}:{s[2]}'" for f, s in J.EVIDENCE_FIELDS.items()) + " END"
 
-@query("SELECT evidence_id AS entity_id, field_name, CAST(CASE field_name WHEN 'context_effect_n' THEN context_effect_n ELSE comparator_effect_n END AS VARCHAR) AS value, 'matrix' AS source_name FROM " + f"({_PAIRQ})" + ", (VALUES ('context_effect_n'), ('comparator_effect_n')) t(field_name)")
+
+@query(f"""WITH e AS ({_PAIRS}), x AS (SELECT e.*, s.context_median, s.context_dependency_fraction, s.broad_dependency_fraction FROM e LEFT JOIN (SELECT * FROM res WHERE comparison_type = 'primary') s USING (cancer_id, gene))
+    SELECT evidence_id AS entity_id, field_name, round(CAST({_EV_NUMBER} AS DOUBLE), 6) + 0.0 AS number, {_EV_SOURCE} AS source FROM x, (VALUES {", ".join(f"('{f}')" for f in J.EVIDENCE_FIELDS)}) t(field_name)""")
 def provenance_unpivot_evidence(spark, sf):
-    src = ("matrix", "Calculated", "effects.csv")
-    return P.unpivot_fields(_evidence(spark, sf), "pair", "evidence_id", {f: src for f in ("context_effect_n", "comparator_effect_n")}, "r1", "1").select("entity_id", "field_name", "value", "source_name")
+    """All nine fields, each from a source of its own."""
+    p = _evidence_tables(spark, sf)["provenance"]
+    return p.select("entity_id", "field_name", (F.round(F.col("value").cast("double"), 6) + 0.0).alias("number"), F.concat_ws(":", "source_name", "evidence_nature", "raw_file").alias("source"))
+
+
+_DATATYPES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY"]
+_ASSOC_SCORES = f"""SELECT d.cancer_id || ':' || g.gene AS id, {", ".join(f"(SELECT least(n, 64) / 64.0 FROM apr WHERE 'EFO_' || nk = resolved_id AND b = g.gene AND seg = '{t}') AS score_{t}" for t in _DATATYPES)} FROM dsr d CROSS JOIN (SELECT DISTINCT p_brand AS gene FROM part) g"""
+
 
+def _association_tables(spark, sf):
+    pairs, ids = _assoc_pairs(spark, sf)
+    return J.job_associations(pairs, ids, B.mappings(spark, sf), B.ontology(spark, sf), T.flatten_assoc(B.pages(spark, sf)), _tract(spark, sf), _DATATYPES, 625)
 
-@query(f"SELECT evidence_id AS entity_id, field_name, CASE field_name WHEN 'disease_id' THEN disease_id ELSE CAST(association_found AS VARCHAR) END AS value FROM ({_ASSOC}), (VALUES ('disease_id'), ('association_found')) t(field_name)")
+
+@query(f"""WITH a AS ({_ASSOC}), s AS ({_ASSOC_SCORES}) SELECT evidence_id AS entity_id, field_name, CAST(CASE field_name WHEN 'association_score' THEN association_score {" ".join(f"WHEN 'score_{t}' THEN score_{t}" for t in _DATATYPES)} END AS DOUBLE) AS number, NULL AS value, 'Aggregated evidence' AS nature
+    FROM a JOIN s ON id = evidence_id, (VALUES ('association_score'), {", ".join(f"('score_{t}')" for t in _DATATYPES)}) t(field_name)
+    UNION ALL SELECT evidence_id, 'tractability_json', CAST((SELECT count(*) FROM (SELECT DISTINCT p_type, p_size % 2 = 0 FROM part WHERE p_size > 25 AND p_brand = target_id[3:] AND p_brand <> 'Brand#5')) AS DOUBLE), NULL, 'Aggregated evidence' FROM a
+    UNION ALL SELECT cancer_id, field_name, NULL, CASE field_name WHEN 'configured_disease_id' THEN disease_id WHEN 'resolved_disease_id' THEN resolved_id WHEN 'resolution_method' THEN resolution_method WHEN 'disease_validation'
+      THEN '{{' || concat_ws(',', '"configured_id":"' || disease_id || '"', '"resolved_id":"' || resolved_id || '"', '"name":"' || resolved_name || '"', '"resolution_method":"' || resolution_method || '"') || '}}' END,
+      CASE WHEN field_name IN ('resolved_disease_id', 'resolution_method', 'disease_validation') THEN 'Observed' ELSE 'Inferred' END
+    FROM dsr, (VALUES ('configured_disease_id'), ('resolved_disease_id'), ('resolution_method'), ('mapping_scope'), ('mapping_confidence'), ('rationale'), ('disease_validation')) t(field_name)""")
 def provenance_unpivot_association(spark, sf):
-    src = ("associations", "Observed", "pages.json")
-    return P.unpivot_fields(_assoc_rows(spark, sf), "pair", "evidence_id", {f: src for f in ("disease_id", "association_found")}, "r1", "1").select("entity_id", "field_name", "value")
+    """Six fields of each pair, six of each context's mapping and its validation; of tractability lists the length is compared."""
+    p = _association_tables(spark, sf)["provenance"]
+    pair, tract = F.col("entity_type") == "cancer_target_pair", F.col("field_name") == "tractability_json"
+    size = F.size(F.from_json("value", "array<struct<label:string>>")).cast("double")
+    return p.select("entity_id", "field_name", F.when(pair, F.when(tract, size).otherwise(F.col("value").cast("double"))).alias("number"), F.when(~pair, F.col("value")).alias("value"), F.col("evidence_nature").alias("nature"))
 
 
 @query("SELECT DISTINCT gene FROM prs UNION SELECT gene FROM evts")
@@ -626,13 +672,14 @@ def qc_targets(spark, sf):
 
 
 @query(f"""WITH d AS ({_DIAG}), g AS (SELECT DISTINCT gene FROM cells WHERE gene <> 'Brand#9'), q AS (SELECT 'INFO' AS severity, 'profiles' AS "check", 'profiles' AS entity_id, CAST(count(DISTINCT model_id) AS VARCHAR) AS observed FROM profs
-    UNION ALL SELECT DISTINCT 'ERROR', 'matrix_has_gene', gene, '' FROM prs WHERE gene NOT IN (SELECT gene FROM g)
+    UNION ALL SELECT 'INFO', 'event_columns', 'events', CAST(count(*) AS VARCHAR) FROM evts WHERE gene = 'F' UNION ALL SELECT DISTINCT 'ERROR', 'matrix_has_gene', gene, '' FROM prs WHERE gene NOT IN (SELECT gene FROM g)
     UNION ALL SELECT 'ERROR', 'context_feasible', cancer_id, '0' FROM d WHERE context_n = 0 UNION ALL SELECT 'WARNING', 'comparator_feasible', cancer_id, '0' FROM d WHERE comparator_n = 0
     UNION ALL SELECT 'WARNING', 'context_size', cancer_id, CAST(context_n AS VARCHAR) FROM d WHERE context_n BETWEEN 1 AND 4 UNION ALL SELECT 'WARNING', 'comparator_size', cancer_id, CAST(comparator_n AS VARCHAR) FROM d WHERE comparator_n BETWEEN 1 AND 4
     UNION ALL SELECT 'INFO', 'context_models', cancer_id, context_n || '/' || comparator_n || '/' || excluded_n FROM d) SELECT * FROM q UNION ALL SELECT 'INFO', 'inputs', '', '' WHERE NOT EXISTS (SELECT 1 FROM q WHERE severity <> 'INFO')""")
 def qc_inputs(spark, sf):
     g = B.cells(spark, sf).select("gene").distinct().where("gene <> 'Brand#9'")
-    return Q.qc_inputs(B.models(spark, sf), B.profiles(spark, sf), g, B.pairs(spark, sf), C.cohort_diagnostics(B.audit(spark, sf))).select("severity", "check", "entity_id", "observed")
+    q = Q.qc_inputs(B.models(spark, sf), B.profiles(spark, sf), g, B.pairs(spark, sf), C.cohort_diagnostics(B.audit(spark, sf)), events=B.events(spark, sf), contexts=B.CONTEXTS, flags=["driver_flag"])
+    return q.select("severity", "check", "entity_id", "observed")
 
 
 @query(f"""WITH e AS ({_PAIRQ}) SELECT 'ERROR' AS severity, 'row_count' AS "check", '' AS entity_id FROM e GROUP BY ALL HAVING count(*) <> 100
@@ -689,9 +736,11 @@ def qc_severity_counts(spark, sf):
 # ---- jobs ---------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT target_id, mapping_status, hgnc_symbol, ensembl_gene_id FROM idn")
+@query(f"""SELECT r.target_id, r.input_symbol, r.existing_ensembl_gene_id, r.mapping_status, hgnc_symbol, r.hgnc_id, hgnc_status, r.ensembl_gene_id, ncbi_gene_id, uniprot_id, array_to_string(list_transform(string_split(d.alias_symbol, '|'), lambda x: trim(x)), ';') AS aliases, d.prev_symbol AS previous_symbols,
+    CASE WHEN trim(r.input_symbol) = '' THEN 'empty symbol' WHEN r.mapping_status = 'manual_review_required' THEN 'several candidate records' WHEN r.mapping_status = 'not_found' THEN 'no record of this name' END AS notes FROM idn r LEFT JOIN dict d ON d.hgnc_id = r.hgnc_id""")
 def job_normalize_targets(spark, sf):
-    return J.job_normalize_targets(B.seeds(spark, sf), B.dictionary(spark, sf), B.withdrawn(spark, sf))["identities"].select("target_id", "mapping_status", "hgnc_symbol", "ensembl_gene_id")
+    ids = J.job_normalize_targets(B.seeds(spark, sf), B.dictionary(spark, sf), B.withdrawn(spark, sf))["identities"]
+    return ids.drop("record_hash").withColumns({c: F.array_join(c, ";") for c in ("aliases", "previous_symbols")})
 
 
 @query(_VALID)
@@ -699,9 +748,10 @@ def job_validate_diseases(spark, sf):
     return J.job_validate_diseases(B.mappings(spark, sf), B.ontology(spark, sf))["validation"]
 
 
-@query(f"SELECT disease_id, count(*) AS pairs, count(*) FILTER (association_found) AS found FROM ({_ASSOC}) GROUP BY ALL")
+@query(f"""WITH a AS ({_ASSOC}), s AS ({_ASSOC_SCORES}) SELECT a.*, {", ".join(f"CAST(score_{t} AS DOUBLE) AS score_{t}" for t in _DATATYPES)}, (SELECT count(*) FROM (SELECT DISTINCT p_type, p_size % 2 = 0 FROM part WHERE p_size > 25 AND p_brand = target_id[3:] AND p_brand <> 'Brand#5')) AS tractability_n FROM a JOIN s ON id = evidence_id""")
 def job_associations(spark, sf):
-    return _assoc_rows(spark, sf).groupBy("disease_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_if("association_found").alias("found"))
+    rows = _association_tables(spark, sf)["rows"]
+    return rows.select("evidence_id", "cancer_id", "target_id", "target_ensembl_id", "disease_id", "association_found", "association_score", *(f"score_{t}" for t in _DATATYPES), F.size("tractability").cast("long").alias("tractability_n"))
 
 
 @query(f"SELECT cancer_id, context_n > 0 AS feasible FROM ({_DIAG})")
@@ -714,9 +764,14 @@ def job_pair_evidence(spark, sf):
     return _p9(_evidence(spark, sf).select(*_PAIRCOLS, "q_value"))
 
 
-@query(f"SELECT sensitivity_id, context_effect_n, comparator_effect_n, context_models_n, comparator_models_n, low_sample, round(p_value, 9) AS p_value FROM ({_SENS})")
+_SENS_ALL = f"""SELECT x.*, context_median, comparator_median, delta_median, cliffs_delta FROM ({_SENS}) x LEFT JOIN (SELECT cancer_id, comparison_type, gene, context_median, comparator_median, delta_median, cliffs_delta FROM res) r USING (cancer_id, comparison_type, gene)"""
+
+
+@query(f"""SELECT sensitivity_id, context_effect_n, comparator_effect_n, context_models_n, comparator_models_n, low_sample, {_rounded('context_median comparator_median delta_median cliffs_delta')}, round(p_value, 9) AS p_value, CASE WHEN p_value IS NOT NULL THEN round(least(1.0, min(raw) OVER (PARTITION BY p_value IS NULL ORDER BY p_value DESC)), 6) END AS q_value
+    FROM (SELECT *, p_value * count(p_value) OVER () / count(p_value) OVER (PARTITION BY p_value IS NULL ORDER BY p_value) AS raw FROM ({_SENS_ALL}))""")
 def job_sensitivity(spark, sf):
-    return _p9(J.sensitivity_tables(spark, sf)["rows"].select("sensitivity_id", "context_effect_n", "comparator_effect_n", "context_models_n", "comparator_models_n", "low_sample", "p_value"))
+    cols = ["context_effect_n", "comparator_effect_n", "context_models_n", "comparator_models_n", "low_sample", "context_median", "comparator_median", "delta_median", "cliffs_delta", "p_value", "q_value"]
+    return _p9(J.sensitivity_tables(spark, sf)["rows"].select("sensitivity_id", *cols))
 
 
 _GW = "context_effect_n comparator_effect_n"
@@ -728,6 +783,6 @@ def job_genomewide(spark, sf):
     return _p9(J.screen_tables(spark, sf)["results"].select(*cols))
 
 
-@query(f"SELECT {_REC_COLS} FROM rec")
+@query(f"SELECT {_REC_COLS}, round(mean_rank, 2) AS mean_rank, round(mean_delta, 4) AS mean_delta FROM rec")
 def job_recurrence(spark, sf):
-    return r6(J.job_recurrence(_screen(spark, sf), 10)["recurrence"]).select("gene", "comparisons_n", "comparisons", "best_rank")
+    return r6(J.job_recurrence(J.screen_tables(spark, sf)["results"], 10)["recurrence"])

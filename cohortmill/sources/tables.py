@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import re
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
@@ -57,14 +59,15 @@ def read_matrix_long(spark: SparkSession, path: str, genes: Sequence[str] | None
 
     The file is read as lines, so its tens of thousands of columns never become columns of a plan; with `genes`, other
     positions are dropped before the cells are exploded, and genes that the header lacks are an error. Values that are
-    no numbers are null. Ids or symbols that stand twice are an error.
+    no numbers are null; values in quotes may hold the separator. Ids or symbols that stand twice are an error, and so are files of one folder
+    whose headers differ. The first fields are read once before for that.
     """
     lines = spark.read.text(path)
     head = lines.limit(1).collect()
     if not head:
         raise ValueError("empty matrix file")
-    first = head[0][0].removeprefix("﻿")
-    names = spark.createDataFrame([(i, x.strip().strip('"')) for i, x in enumerate(first.split(sep)) if i], "pos int, label string")
+    labels = next(csv.reader([head[0][0].removeprefix("﻿")], delimiter=sep))
+    names = spark.createDataFrame([(i, x.strip()) for i, x in enumerate(labels) if i], "pos int, label string")
     names = names.select("pos", label_symbol(F.col("label")).alias("gene"), label_number(F.col("label")).alias("entrez"))
     _guard_unique(names, "gene", "gene symbols in the header")
     if genes is not None:
@@ -73,9 +76,14 @@ def read_matrix_long(spark: SparkSession, path: str, genes: Sequence[str] | None
         if absent:
             raise ValueError("genes missing from the matrix: " + ", ".join(sorted(absent)))
         names = names.where(F.col("gene").isin(list(genes)))
-    rows = lines.where((F.col("value") != head[0][0]) & (F.trim("value") != "")).select(F.split("value", sep).alias("v"))
-    rows = rows.select(F.trim(F.regexp_replace(F.col("v")[0], '"', "")).alias("model_id"), "v")
-    _guard_unique(rows, "model_id", "model ids")
+    mark = re.escape(sep)
+    quoted = F.transform(F.regexp_extract_all("value", F.lit(f'(?:^|{mark})("(?:[^"]|"")*"|[^{mark}]*)'), 1), lambda x: F.regexp_replace(x, '^"|"$', ""))
+    rows = lines.where((F.col("value") != head[0][0]) & (F.trim("value") != "")).select(F.when(F.contains("value", F.lit('"')), quoted).otherwise(F.split("value", mark)).alias("v"))
+    rows = rows.select(F.trim(F.col("v")[0]).alias("model_id"), "v")
+    known = rows.select(F.regexp_replace("model_id", "^\ufeff", "").alias("model_id"))
+    if not known.where(F.col("model_id") == labels[0].strip()).isEmpty():
+        raise ValueError("the headers of the files differ")
+    _guard_unique(known, "model_id", "model ids")
     if genes is not None:
         keep = [r[0] for r in names.select("pos").collect()]
         cells = rows.select("model_id", F.explode(F.array(*(F.struct(F.lit(p).alias("pos"), F.get("v", F.lit(p)).alias("x")) for p in keep))).alias("c")).select("model_id", "c.pos", "c.x")

@@ -104,6 +104,61 @@ def test_ontology(spark):
     assert {x["cancer_id"]: x["status"] for x in O.disease_validate(O.disease_resolve(m, o)).collect()} == {"a": "PASS", "b": "WARNING", "c": "ERROR", "d": "WARNING", "e": "ERROR"}
 
 
+def test_matrix_quotes_and_headers(spark, tmp_path):
+    d = tmp_path / "m"
+    d.mkdir()
+    (d / "a.csv").write_text('ModelID,"K, 1 (7)",G2\n"A",1.5,"2"\n"B, x",,3\n')
+    (d / "b.csv").write_text('ModelID,"K, 1 (7)",G2\nC,"4",5\n')
+    got = {(r["model_id"], r["gene"]): (r["entrez"], r["value"]) for r in T.read_matrix_long(spark, str(d)).collect()}
+    assert got == {("A", "K, 1"): ("7", 1.5), ("A", "G2"): (None, 2.0), ("B, x", "K, 1"): ("7", None), ("B, x", "G2"): (None, 3.0), ("C", "K, 1"): ("7", 4.0), ("C", "G2"): (None, 5.0)}
+    (d / "b.csv").write_text("ModelID,G2,K\nC,4,5\n")
+    with pytest.raises(ValueError, match="headers"):
+        T.read_matrix_long(spark, str(d))
+
+
+def test_ambiguity_defaults(spark):
+    events = [("1", "KRAS", "p.G12C", "")]
+    rules = (C.GeneRule("KRAS", (r"^p\.G12D$",)),)
+    for mode, want in ((C.EXACT, C.ABSENT), (C.ABSENCE, C.AMBIGUOUS), (C.DRIVER, C.AMBIGUOUS)):
+        got = C.cohort_assign(*cohort(spark, rules, mode, events, models=("1",), profiled=("1",), other=None)).collect()
+        assert [r["molecular_status"] for r in got] == [want]
+
+
+def test_input_checks(spark):
+    m = spark.createDataFrame([("1", "AAA")], "model_id string, code string")
+    p = spark.createDataFrame([("1", "wes")], "model_id string, datatype string")
+    g, pairs = spark.createDataFrame([("KRAS",)], "gene string"), spark.createDataFrame([("X", "KRAS")], "cancer_id string, gene string")
+    ctx = [C.Context("X", C.EXACT, (C.GeneRule("KRAS", ("G12D",)),))]
+    d = spark.createDataFrame([("X", 6, 6, 0)], "cancer_id string, context_n int, comparator_n int, excluded_n int")
+    bare = spark.createDataFrame([("1", "KRAS")], "model_id string, gene string")
+    found = lambda e, flags: {(r["severity"], r["check"]) for r in Q.qc_inputs(m, p, g, pairs, d, events=e, contexts=ctx, flags=flags).collect()}
+    assert {("ERROR", "event_change_column"), ("WARNING", "event_driver_flags"), ("WARNING", "default_flag")} <= found(bare, ["hotspot"])
+    full = bare.withColumn("change", F.lit("p.G12D")).withColumn("hotspot", F.lit("Y"))
+    got = found(full, ["hotspot"])
+    assert ("INFO", "event_columns") in got and not {c for _, c in got} & {"event_change_column", "event_driver_flags"}
+
+
+def test_association_job(spark):
+    from cohortmill.plans import jobs as J
+
+    pairs = spark.createDataFrame([("e1", "c1", "t1"), ("e2", "c1", "t2"), ("e3", "c2", "t1")], "evidence_id string, cancer_id string, target_id string")
+    ids = spark.createDataFrame([("t1", "ENSG1"), ("t2", "ENSG2")], "target_id string, ensembl_gene_id string")
+    maps = spark.createDataFrame([("c1", "EFO_1", "one", "broad"), ("c2", "OLD", "two", "exact")], "cancer_id string, disease_id string, expected_disease_name string, mapping_scope string")
+    onto = spark.createDataFrame([("EFO_1", "One"), ("EFO_2", "Two")], "id string, name string")
+    score = "array<struct<id:string,score:double>>"
+    assoc = spark.createDataFrame([("EFO_1", "ENSG1", 0.9, [("drug", 0.5)], [("src", 0.25)]), ("EFO_2", "ENSG1", 0.0, [], [])], f"disease_id string, target_id string, score double, datatype_scores {score}, datasource_scores {score}")
+    tract = spark.createDataFrame([("ENSG1", "x", "SM", True)], "target_ensembl_id string, label string, modality string, value boolean")
+    out = J.job_associations(pairs, ids, maps, onto, assoc, tract, ["drug", "rna"], 3)
+    rows = {r["evidence_id"]: r for r in out["rows"].collect()}
+    assert [(rows[e]["association_found"], rows[e]["association_score"], rows[e]["score_drug"], rows[e]["score_rna"]) for e in ("e1", "e2", "e3")] == [(True, 0.9, 0.5, None), (False, None, None, None), (True, 0.0, None, None)]
+    assert rows["e1"]["datasource_scores_json"] == '{"src":0.25}' and rows["e2"]["tractability_json"] == "[]" and rows["e1"]["tractability_json"] == '[{"label":"x","modality":"SM","value":true}]'
+    assert {(r["severity"], r["check"]) for r in out["qc"].collect()} == {("INFO", "association_absent"), ("WARNING", "disease_identifier_drift"), ("INFO", "associations")}
+    p = {(r["entity_id"], r["field_name"]): (r["value"], r["evidence_nature"]) for r in out["provenance"].collect()}
+    assert len(p) == 3 * 4 + 2 * 7 and p["e2", "association_score"] == (None, "Aggregated evidence") and p["c1", "mapping_scope"] == ("broad", "Inferred") and p["c2", "resolved_disease_id"] == ("EFO_2", "Observed")
+    assert p["c2", "disease_validation"][0] == '{"configured_id":"OLD","resolved_id":"EFO_2","name":"Two","resolution_method":"exact_name"}'
+    assert {r["cancer_id"]: r["status"] for r in out["validation"].collect()} == {"c1": "PASS", "c2": "WARNING"}
+
+
 def test_association_checks(spark):
     rows = spark.createDataFrame([("e1", "c", "t", "ENSG1", True, 1.5, "{}"), ("e2", "c", "t", "ENSG1", False, None, "{bad")], "evidence_id string, cancer_id string, target_id string, target_ensembl_id string, association_found boolean, association_score double, datatype_scores_json string")
     got = {(r["severity"], r["check"]) for r in Q.qc_associations(rows, 2).collect()}

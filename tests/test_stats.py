@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 
 from cohortmill.operators import stats as S
@@ -94,3 +95,21 @@ def test_bh_qvalues(spark):
 def test_absent_comparator_is_not_low_sample(spark):
     df = spark.createDataFrame([(66, 0, 0), (3, 9, 9), (9, 2, 4)], "c int, r int, m int")
     assert [x[0] for x in df.select(S.low_sample_flag(df.c, df.r, df.m)).collect()] == [False, True, True]
+
+
+def test_exact_tail_of_any_size(spark):
+    """Whole-number tails against the table, and far beyond it against the normal distribution; the test is exact however large a group is."""
+    from pyspark.sql import functions as F
+
+    for n1, n2 in ((1, 5), (2, 2), (3, 7), (8, 8), (8, 120), (5, 900)):
+        table = np.cumsum(S.u_distribution(n1, n2)[::-1])[::-1]
+        for u in {0, 1, n1 * n2 // 3, n1 * n2 // 2, n1 * n2 - 1, n1 * n2}:
+            assert S.exact_tail(n1, n2, u) == pytest.approx(float(table[u]), rel=1e-9, abs=1e-15)
+    n = 2_000_000
+    assert S.exact_tail(8, n, 8 * n) == pytest.approx(1 / math.comb(n + 8, 8))
+    z = 1.5
+    assert S.exact_tail(8, n, int(8 * n / 2 + z * math.sqrt(8 * n * (n + 9) / 12))) == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), abs=0.01)
+    ranks = spark.createDataFrame([(1.0 * a, 1.0 * b, 1.0 * u, t) for a, b, u, t in ((8, 10**5, 1000, 0.0), (8, 200_001, 10**6, 0.0), (9, 10**6, 5, 0.0), (8, 10**6, 5, 6.0))], "n1 double, n2 double, u1 double, ties double")
+    got = S.mann_whitney(ranks).collect()
+    assert [r["test"] for r in got] == ["exact", "exact", "asymptotic", "asymptotic"]
+    assert got[1]["p_value"] == pytest.approx(2 * S.exact_tail(8, 200_001, 10**6))

@@ -1,10 +1,11 @@
 """Operator 1: document fingerprints as invertible Bloom lookup sketches, with DataFrame functions only.
 
-A text is the set of the digests of its paragraphs, a line or a sentence each. A sketch has three subtables; each digest
-stands in one cell of each, which keeps the count and the exclusive ors of digests and of their checks. Cells of two
-versions subtract to a sketch of the difference. A cell of one digest gives it away; taking it out of its other cells
-frees further ones. Subtables take turns, so no digest comes out twice in a turn. Where something is left at the end, the pair is
-tried again with larger subtables.
+A text is the set of the digests of its paragraphs, a line or a sentence each; a paragraph that stands in it several times counts
+once. A sketch has three subtables; each digest stands in one cell of each, which keeps the count and the exclusive ors of
+digests and of their checks. The fingerprint of a text is its sketch. Cells of two versions' fingerprints subtract to a
+sketch of the difference. A cell of one digest gives it away; taking it out of its other cells frees further ones.
+Subtables take turns, so no digest comes out twice in a turn. Where something is left at the end, the pair is tried again
+with sketches of larger subtables.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortmill.llm.common import materialise, shared_dir
+from cohortmill.llm.common import materialise, new_path
 
 PARAGRAPH = r"\n+|(?<=[.!?]) +"
-#: Cells of each of the three subtables of the fingerprint column.
-PRINT_CELLS = 4
+#: Cells of each of the three subtables of a fingerprint, and of the larger sketches of pairs whose difference it can't tell; ever larger ones follow.
+PRINT_CELLS, LARGER = 64, (512, 4096, 32768)
 
 
 def digests(text: Column) -> Column:
@@ -36,30 +37,28 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(17))
 
 
-def fingerprint(digest_array: Column, cells: int = PRINT_CELLS) -> Column:
-    """The sketch with `cells` cells in each subtable as text: count:digests:checks of each cell in hexadecimal."""
-    def cell(table: int, i: int) -> Column:
-        here = F.filter(digest_array, lambda d: F.pmod(F.xxhash64(d, F.lit(101 + table)), F.lit(cells)) == i)
-        zero = F.lit(0).cast("long")
-        return F.concat_ws(":", F.hex(F.size(here).cast("long")), F.hex(F.aggregate(here, zero, lambda a, d: a.bitwiseXOR(d))), F.hex(F.aggregate(here, zero, lambda a, d: a.bitwiseXOR(_check(d)))))
+_WHERE = ("key", "row")
 
-    return F.concat_ws(",", *(cell(table, i) for table in range(3) for i in range(cells)))
 
+def sketch(sets: DataFrame, size: int, keys: tuple[str, ...]) -> DataFrame:
+    """keys, cell, n, d, c: the cells of the sketch of each array `set` of digests, with `size` cells in each subtable; cells that no digest is in are left out."""
+    one = sets.select(*keys, F.explode("set").alias("d"))
+    one = one.select(*keys, "d", F.explode(F.array(*(_cell(F.col("d"), t, size) for t in range(3)))).alias("cell"))
+    return one.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("d").alias("d"), F.bit_xor(_check(F.col("d"))).alias("c"))
 
-def subtract_and_peel(pairs: DataFrame, size: int, turns: int) -> DataFrame:
-    """key, which, found, left: of each pair of digest arrays a, b the differing digests recovered and the cells left over.
 
-    `pairs` is partitioned by key, and every grouping here keeps to that.
-    """
-    one = lambda arr, sign: F.transform(arr, lambda d: F.struct(d.alias("d"), F.lit(sign).cast("long").alias("s")))
-    rows = pairs.select("key", "which", F.explode(F.concat(one(F.col("a"), 1), one(F.col("b"), -1))).alias("x")).select("key", "which", F.col("x.d").alias("d"), F.col("x.s").alias("s"))
-    rows = rows.select("key", "which", "d", "s", F.explode(F.array(*(_cell(F.col("d"), t, size) for t in range(3)))).alias("cell"))
+def _difference(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Cells with the same place joined, those that come to nothing left out."""
+    g = cells.groupBy(*keys, "cell").agg(F.sum("n").alias("n"), F.bit_xor("d").alias("d"), F.bit_xor("c").alias("c"))
+    return g.where((F.col("n") != 0) | (F.col("d") != 0) | (F.col("c") != 0) | (F.col("cell") < 0))
+
 
-    def group(df: DataFrame) -> DataFrame:
-        g = df.groupBy("key", "which", "cell").agg(F.sum("n").alias("n"), F.bit_xor("d").alias("d"), F.bit_xor("c").alias("c"))
-        return g.where((F.col("n") != 0) | (F.col("d") != 0) | (F.col("c") != 0) | (F.col("cell") < 0))
+def peel(cells: DataFrame, size: int, turns: int) -> DataFrame:
+    """key, row, which, found, left: of each subtracted sketch the number of digests recovered and of cells left over.
 
-    cells = group(rows.select("key", "which", "cell", F.col("s").alias("n"), "d", _check(F.col("d")).alias("c")))
+    `cells` is partitioned by key, and every grouping here keeps to that.
+    """
+    keys = (*_WHERE, "which")
     for turn in range(turns):
         table = turn % 3
         pure = (F.col("cell") >= table * size) & (F.col("cell") < (table + 1) * size) & (F.abs("n") == 1) & (F.col("c") == _check(F.col("d")))
@@ -68,41 +67,68 @@ def subtract_and_peel(pairs: DataFrame, size: int, turns: int) -> DataFrame:
         out = [item(_cell(F.col("d"), t, size), -F.col("n"), F.col("d"), F.col("c")) for t in range(3) if t != table]
         out.append(item(F.lit(-1).cast("long"), F.lit(1).cast("long"), zero, zero))
         x = F.explode(F.when(pure, F.array(*out)).otherwise(F.array(item(F.col("cell"), F.col("n"), F.col("d"), F.col("c")))))
-        cells = group(cells.select("key", "which", x.alias("x")).select("key", "which", "x.cell", "x.n", "x.d", "x.c"))
-    return cells.groupBy("key", "which").agg(F.sum(F.when(F.col("cell") < 0, F.col("n")).otherwise(0)).alias("found"), F.count(F.when(F.col("cell") >= 0, 1)).alias("left"))
+        cells = _difference(cells.select(*keys, x.alias("x")).select(*keys, "x.cell", "x.n", "x.d", "x.c"), keys)
+    return cells.groupBy(*keys).agg(F.sum(F.when(F.col("cell") < 0, F.col("n")).otherwise(0)).alias("found"), F.count(F.when(F.col("cell") >= 0, 1)).alias("left"))
+
+
+def _pairs(cells: DataFrame) -> DataFrame:
+    """The cells of own, edited and next text as those of the two subtracted pairs: own less edited, own less next."""
+    to = F.when(F.col("kind") == "own", F.array(F.lit("edited"), F.lit("next"))).otherwise(F.array(F.col("kind")))
+    n = F.when(F.col("kind") == "own", F.col("n")).otherwise(-F.col("n"))
+    return _difference(cells.select(*_WHERE, F.explode(to).alias("which"), "cell", n.alias("n"), "d", "c"), (*_WHERE, "which"))
+
+
+def fingerprints(sets: DataFrame, size: int = PRINT_CELLS) -> DataFrame:
+    """key, row, kind, print: the sketch of each as text, cell=count:digests:checks for each cell that is not empty, numbers in hexadecimal."""
+    cells = sketch(sets, size, (*_WHERE, "kind"))
+    say = F.concat_ws(":", F.hex("n"), F.hex("d"), F.hex("c"))
+    cell = F.struct("cell", F.concat(F.hex("cell"), F.lit("="), say).alias("s"))
+    return cells.groupBy(*_WHERE).agg(*(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, cell))), lambda x: x["s"]), ",").alias(k) for k in ("own", "edited")))
 
 
 def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    """`df` written to the shared folder as a table that is dealt out by `key`."""
+    """`df` written to the shared folder, dealt out by `key`. Only a table in the catalog can say that it is, so it stands there until it has been looked up."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = "t" + uuid.uuid4().hex
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{name}"
-    df.write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    df.write.format("parquet").bucketBy(n, key).option("path", new_path(spark)).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def _sets(one: DataFrame) -> DataFrame:
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("set")) for k, c in (("own", "own"), ("edited", "edit"), ("next", "next_set"))))
+    return one.select(*_WHERE, F.explode(kinds).alias("x")).select(*_WHERE, "x.kind", "x.set")
 
 
-def likeness(pairs: DataFrame, sizes: tuple[int, ...] = (64, 512, 4096, 32768), turns: int = 15) -> DataFrame:
-    """key, which, likeness: shared digests as a part of all digests of both, from what peeling recovers.
+def likeness(one: DataFrame, sizes: tuple[int, ...] = (PRINT_CELLS, *LARGER), turns: int = 15) -> DataFrame:
+    """key, row, which, likeness: shared digests as a part of all digests of both, from what peeling the subtracted fingerprints recovers.
 
-    `pairs` has key, which and digest arrays a and b, and is bucketed by key. Equal sets, two empty ones too, are 1. The
-    last size is followed by ever larger ones as long as pairs fail.
+    `one` has key, row and digest arrays own, edit and next_set, and is bucketed by key. Equal sets, two empty ones too, are
+    1. Larger sketches than fingerprints are made only of the texts of pairs that fail, as long as there are such.
     """
-    total = F.size("a") + F.size("b")
-    todo, done = pairs, None
-    level = 0
+    all_of = F.explode(F.array(*(F.struct(F.lit(w).alias("which"), (F.size("own") + F.size(c)).alias("total")) for w, c in (("edited", "edit"), ("next", "next_set")))))
+    totals = one.select(*_WHERE, all_of.alias("x")).select(*_WHERE, "x.which", "x.total")
+    todo, done, level = one, None, 0
     while True:
         size = sizes[level] if level < len(sizes) else sizes[-1] * 8 ** (level - len(sizes) + 1)
-        peeled = materialise(todo.select("key", "which", total.alias("total")).join(subtract_and_peel(todo, size, turns), ["key", "which"], "left").withColumn("found", F.coalesce("found", F.lit(0))).withColumn("left", F.coalesce("left", F.lit(0))))
+        found = peel(_pairs(sketch(_sets(todo), size, (*_WHERE, "kind"))), size, turns)
+        want = totals if not level else todo.select(*_WHERE, F.explode("again").alias("again")).select(*_WHERE, "again.which", "again.total")
+        keys = [*_WHERE, "which"]
+        peeled = materialise(want.join(found, keys, "left").withColumn("found", F.coalesce("found", F.lit(0))).withColumn("left", F.coalesce("left", F.lit(0))))
         shared = (F.col("total") - F.col("found")) / 2
-        good = peeled.where("left = 0").select("key", "which", F.when(F.col("total") == 0, F.lit(1.0)).otherwise(shared / (shared + F.col("found"))).alias("likeness"))
+        good = peeled.where("left = 0").select(*keys, F.when(F.col("total") == 0, F.lit(1.0)).otherwise(shared / (shared + F.col("found"))).alias("likeness"))
         done = good if done is None else done.unionByName(good)
         failed = peeled.where("left > 0")
         if failed.isEmpty():
             return done
-        # dealt out as `pairs` is, so neither the digests nor later their cells are shuffled
-        failed = _bucketed(failed.groupBy("key").agg(F.collect_set("which").alias("again")), "key")
-        todo = _bucketed(todo.join(failed, "key").where(F.array_contains("again", F.col("which"))).drop("again"), "key")
+        # dealt out as `one` is, so neither the digests nor later their cells are shuffled
+        failed = _bucketed(failed.groupBy(*_WHERE).agg(F.collect_list(F.struct("which", "total")).alias("again")), "key")
+        # of a text that has one pair left, the other pair's set is not needed again
+        still = lambda c, w: F.when(F.exists("again", lambda x: x["which"] == w), F.col(c)).otherwise(F.array().cast("array<bigint>")).alias(c)
+        todo = todo.drop("again").join(failed, list(_WHERE)).select(*_WHERE, "own", still("edit", "edited"), still("next_set", "next"), "again")
+        todo = _bucketed(todo, "key")
         level += 1
 
 
@@ -140,11 +166,11 @@ def version_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def _finish(both: DataFrame) -> DataFrame:
-    which = lambda kind: F.struct(F.lit(kind).alias("k"), F.col("row").alias("row"))
-    one = both.dropDuplicates(["key", "row"])
-    pairs = one.select("key", F.explode(F.array(F.struct(which("edited").alias("which"), F.col("edit").alias("b")), F.struct(which("next").alias("which"), F.col("next_set").alias("b")))).alias("p"), F.col("own").alias("a"))
-    pairs = pairs.select("key", F.col("p.which").alias("which"), "a", F.col("p.b").alias("b"))
-    near = likeness(pairs).select("key", F.col("which.row").alias("row"), F.col("which.k").alias("k"), "likeness").groupBy("key", "row").agg(F.max(F.when(F.col("k") == "edited", F.col("likeness"))).alias("near_edited"), F.max(F.when(F.col("k") == "next", F.col("likeness"))).alias("near_next"))
-    out = both.join(near, ["key", "row"])
+    # the sets of both pairs stand in one row for each different text of an id
+    one = both.dropDuplicates([*_WHERE]).select(*_WHERE, "own", "edit", "next_set")
+    near = likeness(one).groupBy(*_WHERE).agg(*(F.max(F.when(F.col("which") == w, F.col("likeness"))).alias(f"near_{w}") for w in ("edited", "next")))
+    prints = fingerprints(_sets(one).where("kind <> 'next'")).withColumnsRenamed({"own": "fingerprint", "edited": "edited_fingerprint"})
+    out = both.drop("own", "edit", "next_set").join(near, list(_WHERE)).join(prints, list(_WHERE), "left")
     doc_id = F.when(F.col("key") != F.lit(-(1 << 63)).cast("long"), F.col("key"))
-    return out.select(doc_id.alias("doc_id"), "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("edit")).alias("edited_fingerprint"), "near_edited", "near_next")
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return out.select(doc_id.alias("doc_id"), "n_chars", "edited_sha256", blank("fingerprint"), blank("edited_fingerprint"), "near_edited", "near_next")

@@ -100,6 +100,25 @@ QUERIES = {
     "op10_source_mix": op10_source_mix,
 }
 
+#: All pairs that share a shingle are counted, and components found by following links: for small tables.
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])) WHEN len(w) > 0 THEN [concat_ws(' ', w[1], w[2])] ELSE [] END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 90 * (a.n + b.n - o)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM w UNION SELECT y, root FROM r JOIN e ON x = doc_id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(root) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.doc_id = w.doc_id GROUP BY ALL
+"""
+
+#: For the test pages, which have one layout: the main text is what stands in the article element, a block for each heading and paragraph.
+PAGES_SQL = r"""
+WITH b AS (SELECT page_id, url, regexp_split_to_array(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?b>|<br>', ' ', 'g'), '</?(?:p|h1)>') AS parts FROM pages),
+t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(x, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""
+
 DOMAIN_SQL = "CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) = '' THEN 'other' ELSE 'domain' || (CAST(regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) AS BIGINT) % 4) END"
 
 
@@ -110,7 +129,9 @@ def _oracles() -> dict[str, str]:
     say = lambda x: "CAST(NULL AS VARCHAR)" if x is None else f"'{x}'"
     targets = "(VALUES " + ", ".join(f"({', '.join(map(say, t[:3]))}, {t[3]}, CAST({t[4]} AS DOUBLE))" for t in MIX_TARGETS) + ") AS t(domain, lang, source, depth, weight)"
     return {
+        "op2_ngram_jaccard": JACCARD_SQL,
         "op3_threshold_topk": TOPK_SQL,
+        "op5_html_text": PAGES_SQL,
         "op10_source_mix": MIX_SQL.format(docs="documents", fraction=0.75, alpha=0.5, epochs=2, seed=7, domain=DOMAIN_SQL, targets=targets) + "SELECT doc_id, lang, source, CAST(unnest(range(n)) AS BIGINT) AS mix_epoch FROM n",
     }
 

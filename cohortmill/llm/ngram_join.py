@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortmill.llm.common import LOWER, checked_broadcast, joined, materialise, shingle_hashes, text_blocks, word_hashes, word_spans
@@ -202,22 +203,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num:
     return joined_rest.mapInArrow(rest, "a long, b long")
 
 
-def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sample_docs: int = 4096, most_frequent: int = 2_000_000, tile: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row: documents link when den * overlap >= num * union of their shingle sets.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row (all columns), doc_id, text, and rid, a digest of these two."""
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return d.withColumn("rid", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("\0"), F.col("text")))))
 
-    Words are runs other than ASCII white space with A-Z in lower case; a shingle is n consecutive words, and a shorter
-    text is one shingle. component_id is the smallest doc_id that links reach, the own one included. Texts without words,
-    null or empty, have no shingles and link with nothing. Rows with equal sets link, also those with equal ids, each row
-    by its own text; a null id never is a component_id unless no other is reached. Other columns are ignored; an empty
-    table gives no rows. Shingles are told apart by 64-bit hashes within a pair, whole sets and rows by 128-bit digests.
 
-    Equal sets are one node, numbered on the stored table. Links are looked for in two passes: each member of a column against the column's smallest
-    node, then all pairs of a column that those links have not joined yet. `sample_docs` and `most_frequent` bound what
-    is gathered to order the shingles, not what is compared.
-    """
-    spark = docs.sparkSession
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = d.withColumn("rid", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("\0"), F.col("text")))))
+def _groups(d: DataFrame, n: int, num: int, den: int, sample_docs: int, most_frequent: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of the rows of `d` (doc_id, text, rid), and for each set (digest) its component's root and smallest doc_id and its number of rows."""
+    spark = d.sparkSession
     frequent = spark.sparkContext.broadcast(_frequent(d, n, min(1.0, 2 * (1 - num / den)), sample_docs, most_frequent))
     sig = materialise(_signatures(d, n, num, den, frequent))
     nodes = sig.where("digest IS NOT NULL").groupBy("digest").agg(F.min("rid").alias("rid"), F.min("n_shingles").alias("size"), F.min("doc_id").alias("min_id"), F.count(F.lit(1)).alias("copies"))
@@ -259,10 +253,44 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sampl
 
     groups = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = groups.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    by_set = materialise(groups.join(smallest, "root").select("digest", "component_id", "copies"))
+    return sig, materialise(groups.join(smallest, "root").select("digest", "root", "component_id", "copies"))
+
+
+def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sample_docs: int = 4096, most_frequent: int = 2_000_000, tile: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for each row: documents link when den * overlap >= num * union of their shingle sets.
+
+    Words are runs other than ASCII white space with A-Z in lower case; a shingle is n consecutive words, and a shorter
+    text is one shingle. component_id is the smallest doc_id that links reach, the own one included. Texts without words,
+    null or empty, have no shingles and link with nothing. Rows with equal sets link, also those with equal ids, each row
+    by its own text; a null id never is a component_id unless no other is reached. Other columns are ignored; an empty
+    table gives no rows. Shingles are told apart by 64-bit hashes within a pair, whole sets and rows by 128-bit digests.
+
+    Equal sets are one node, numbered on the stored table. Links are looked for in two passes: each member of a column against the column's smallest
+    node, then all pairs of a column that those links have not joined yet. `sample_docs` and `most_frequent` bound what
+    is gathered to order the shingles, not what is compared.
+    """
+    sig, by_set = _groups(_rows(docs, id_col, text_col).drop("row"), n, num, den, sample_docs, most_frequent, tile)
+    by_set = by_set.drop("root")
     # sets of a thousandth of all rows each, at most a thousand, are joined as a broadcast, so that no task gets all copies of one
     hot = F.broadcast(by_set.where(F.col("copies") > max(1000, sig.count() // 1000)).select("digest", F.col("component_id").alias("of_hot"), F.lit(True).alias("hot")))
     rows = sig.select("doc_id", "n_shingles", "digest").join(hot, "digest", "left")
     done = rows.where("hot OR digest IS NULL").select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("of_hot")).alias("component_id"))
     rest = rows.where("hot IS NULL AND digest IS NOT NULL").select("doc_id", "n_shingles", "digest").join(by_set.drop("copies"), "digest")
     return done.unionByName(rest.select("doc_id", "n_shingles", "component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sample_docs: int = 4096, most_frequent: int = 2_000_000, tile: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all columns, of which one of each component of `ngram_join` stays: that of the smallest id (null last), of equal ids one, of equal rows one. Texts without words all stay."""
+    d = _rows(docs, id_col, text_col)
+    sig, by_set = _groups(d.drop("row"), n, num, den, sample_docs, most_frequent, tile)
+    firsts = sig.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first"))
+    best = by_set.select("digest", "root").join(firsts, "digest").groupBy("root").agg(F.min("first").alias("first")).select("first.rid")
+    best = materialise(best)
+    keep, _ = checked_broadcast(materialise(best.unionByName(sig.where("digest IS NULL").select("rid")).distinct()), 1_000_000)
+    out = d.join(keep, "rid", "left_semi")
+    twice = materialise(sig.where("digest IS NOT NULL").groupBy("rid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(best, "rid", "left_semi").select("rid", F.lit(True).alias("twice")))
+    if not twice.isEmpty():
+        out = out.join(twice, "rid", "left")
+        one = out.where("twice").withColumn("_n", F.row_number().over(W.partitionBy("rid").orderBy("rid"))).where("_n = 1")
+        out = out.where("twice IS NULL").select("row").unionByName(one.select("row"))
+    return out.select("row.*")

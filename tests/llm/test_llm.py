@@ -110,6 +110,21 @@ def test_ngram_join(spark, n, num, tile):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join(df, n, num, 100, most_frequent=0).collect()} == want
 
 
+def test_keep_one(spark):
+    from cohortmill.llm.ngram_join import keep_one
+    from pyspark.sql import functions as F
+
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60).replace("é", "e")
+    rows = [(5, a), (3, a + " end"), (3, a + " end"), (7, b), (7, b), (None, b), (None, c), (2, c.upper()), (1, None), (1, None), (9, ""), (7, prose(4, 40)), (None, prose(5, 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.lit(f"own {x}").alias(x) for x in ("row", "rid", "digest", "twice", "_n")))
+    out = keep_one(df)
+    assert out.columns == df.columns and all(r["rid"] == "own rid" for r in out.collect())
+    want = [(3, a + " end"), (7, b), (2, c.upper()), (1, None), (1, None), (9, ""), (7, prose(4, 40)), (None, prose(5, 40))]
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=key) == sorted(want, key=key)
+    assert keep_one(df.limit(0)).count() == 0
+
+
 def test_overlap_counts():
     from cohortmill.llm.common import joined, word_hashes, word_spans
     from cohortmill.llm.ngram_join import _IS_WORD, _overlaps

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortmill.llm.common import text_of
+from cohortmill.llm.common import text_blocks, text_of, tidied
 
 ROOT = 0
 
@@ -43,7 +43,7 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 class Transducer:
     """The lazily determinised transducer for one rank table. `max_states` bounds the memory: beyond it all states are forgotten."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 80_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.length = {v: len(k) for k, v in ranks.items()}
@@ -102,7 +102,7 @@ class Transducer:
                 known = merge_by_rank(b, self.ranks) == [b]
             else:
                 known = self.compatible(-1, right) and self.seam_holds(left, right)
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 250_000:
                 self.fits.clear()
             self.fits[key] = known
         return known
@@ -221,18 +221,25 @@ class StreamDecoder:
 class Codec:
     """A pattern, a transducer and bounded caches of what the pattern finds.
 
-    Where every run of white space is one space or one line end, no match crosses the place before it, so words can be
-    looked up without matching the pattern again; other texts are matched as a whole.
+    With `words`, the pattern is one whose matches never reach from a word past the blank behind it, as those that put a
+    blank before a word do. Then, where every run of white space is one space or one line end, words can be looked up without matching the pattern again; other texts are matched as a whole.
     """
 
-    def __init__(self, rank_path: str, pattern: str, cache: int = 500_000):
+    def __init__(self, rank_path: str, pattern: str, cache: int = 120_000, words: bool = True):
         import regex
 
         self.fst = Transducer(load_ranks(rank_path))
         self.split = regex.compile(pattern).findall
         self.plain: dict[str, tuple[int, ...]] = {}
         self.spaced: dict[str, tuple[int, ...]] = {}
-        self.size = cache
+        self.size, self.words = cache, words
+
+    def forget(self) -> None:
+        """Empties what grows with the texts, for the worker may go on with other work."""
+        self.plain.clear()
+        self.spaced.clear()
+        self.fst.fits.clear()
+        self.fst.reset()
 
     def fresh(self, cache: dict, word: str, piece: str) -> tuple[int, ...]:
         if len(cache) >= self.size:
@@ -242,7 +249,7 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         plain, spaced, fresh, out = self.plain, self.spaced, self.fresh, []
-        if " ".join(text.split()) != text.replace("\n", " "):
+        if not self.words or " ".join(text.split()) != text.replace("\n", " "):
             for piece in self.split(text):
                 out += plain.get(piece) or fresh(plain, piece, piece)
             return out
@@ -271,26 +278,26 @@ class Codec:
         return h.hexdigest()
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple[str, str, bool], Codec] = {}
 
 
-def codec(rank_path: str, pattern: str) -> Codec:
+def codec(rank_path: str, pattern: str, words: bool = True) -> Codec:
     """One codec for each Python worker."""
-    key = (rank_path, pattern)
+    key = (rank_path, pattern, words)
     if key not in _CODECS:
-        _CODECS[key] = Codec(rank_path, pattern)
+        _CODECS[key] = Codec(rank_path, pattern, words=words)
     return _CODECS[key]
 
 
-def bpe_encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", words: bool = True) -> DataFrame:
     """doc_id, ids array<int>: the BPE ids of each whole text, without special tokens.
 
-    `rank_path` is read on the executors (a file that each of them has, such as one of an installed package). A null or
+    `rank_path` is read on the executors (a file that each of them has, such as one of an installed package). `words` is false for patterns that `Codec` can't split at blanks. A null or
     empty text has no ids. Repeated rows give repeated rows; other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(rank_path, pattern)
+        c = codec(rank_path, pattern, words)
         for b in batches:
             ids = [c.encode(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -310,7 +317,7 @@ def bpe_decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def bpe_digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", words: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: `bpe_encode` and the streaming decode in one pass, the ids not kept.
 
     ids_sha256 is of the decimal ids joined by one space, decoded_sha256 of the decoded bytes. Cases as in `bpe_encode`;
@@ -318,16 +325,17 @@ def bpe_digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "do
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(rank_path, pattern)
+        c = codec(rank_path, pattern, words)
         names = {i: str(i) for i in c.fst.bytes_of}
-        for b in batches:
+        for keys, texts in text_blocks(batches):
             n, a, d = [], [], []
-            for text in b.column(1).to_pylist():
+            for text in texts:
                 ids = c.encode(text)
                 n.append(len(ids))
                 a.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
                 d.append(c.decoded_sha256(ids))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()
 
     t = text_of(docs, id_col, text_col).select(F.col("doc_id"), F.col("text"))
-    return t.mapInArrow(run, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return t.mapInArrow(tidied(run), f"doc_id {t.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

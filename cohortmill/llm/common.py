@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
+from contextlib import suppress
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +27,27 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def new_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, which goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back, so that a lost executor costs no recomputation of its lineage."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path, rows = new_path(spark), spark.conf.get(_BATCH_ROWS)
+    # whole texts go through Python workers: small batches keep the memory of executors down
+    spark.conf.set(_BATCH_ROWS, "1000")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_ROWS, rows)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -125,18 +145,39 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(mix64(h))
 
 
+def tidy() -> None:
+    """Gives back what a finished piece of work leaves in the pools of a Python worker, which goes on with other stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(work):
+    """A function on batches that tidies up when it ends."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            tidy()
+
+    return run
+
+
 def text_blocks(batches, chars: int = 300_000):
     """Batches of (id, text) as runs of whole rows of about `chars` characters: (id column slice, texts). A longer text stands alone."""
-    for b in batches:
-        texts = b.column(1).to_pylist()
-        start, held = 0, 0
-        for i, t in enumerate(texts):
-            if i > start and held + len(t) > chars:
-                yield b.column(0).slice(start, i - start), texts[start:i]
-                start, held = i, 0
-            held += len(t)
-        if start < len(texts):
-            yield b.column(0).slice(start), texts[start:]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            b = batch.slice(at, 1000)
+            texts = b.column(1).to_pylist()
+            start, held = 0, 0
+            for i, t in enumerate(texts):
+                if i > start and held + len(t) > chars:
+                    yield b.column(0).slice(start, i - start), texts[start:i]
+                    start, held = i, 0
+                held += len(t)
+            if start < len(texts):
+                yield b.column(0).slice(start), texts[start:]
 
 
 def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortmill.llm.common import checked_broadcast, joined, materialise, mix64, span_hashes
+from cohortmill.llm.common import checked_broadcast, joined, materialise, mix64, span_hashes, tidied, tidy
 
 ORDER = 5
 #: The model of all trusted texts, for texts whose language has none of its own.
@@ -31,7 +31,7 @@ POOLED = "*"
 #: The noncharacter that stands before a text.
 PAD = 0x10FFFF
 #: Characters of a chunk, and of all chunks that a task holds open.
-CHUNK, HELD = 3_000_000, 16_000_000
+CHUNK, HELD = 1_000_000, 4_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -207,7 +207,7 @@ def count_ngrams(texts: DataFrame, order: int, shards: int) -> DataFrame:
 
         for g, n in zip(t.column("grams"), t.column("counts")):
             held.append((_unsqueezed(g.as_py(), np.uint32).reshape(order, -1).T, _unsqueezed(n.as_py(), np.int64)))
-            if sum(len(p[1]) for p in held[1:]) > 2_000_000:
+            if sum(len(p[1]) for p in held[1:]) > 500_000:
                 held = [summed(held)]
         if held:
             codes, c = summed(held)
@@ -217,7 +217,7 @@ def count_ngrams(texts: DataFrame, order: int, shards: int) -> DataFrame:
         per = lambda x: np.add.reduceat(x.astype(np.int64), first)[group] if len(c) else x.astype(np.int64)
         return pa.table([pa.array([key[0].as_py()] * len(c), pa.string()), _strings(codes), pa.array(c), pa.array(per(c)), *(pa.array(per(x)) for x in (c == 1, c == 2, c > 2)), pa.array(head)], names=["model", "g", "c", "all", "m1", "m2", "m3", "head"])
 
-    packed = texts.select("model", "text").mapInArrow(run, "model string, shard int, grams binary, counts binary")
+    packed = texts.select("model", "text").mapInArrow(tidied(run), "model string, shard int, grams binary, counts binary")
     return packed.groupBy("model", "shard").applyInArrow(merge, "model string, g string, c long, all long, m1 long, m2 long, m3 long, head boolean")
 
 
@@ -272,7 +272,7 @@ def _sharded(table: DataFrame, shards: int, salts: int) -> DataFrame:
                 at[i] = shard_of(_codes(b.column("g").take(pa.array(i)), int(k)), shards)
             yield b.append_column("shard", pa.array(at))
 
-    out = table.mapInArrow(run, T.StructType([*table.schema.fields, T.StructField("shard", T.IntegerType())]))
+    out = table.mapInArrow(tidied(run), T.StructType([*table.schema.fields, T.StructField("shard", T.IntegerType())]))
     return out.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
@@ -310,6 +310,7 @@ def _answers(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
         p = [_Table.find(t.p.get(n), h, np.nan) for n, h in enumerate(hashes)]
         b = [_Table.find(t.b.get(n), h, 0.0) for n, h in enumerate(hashes[:-1])]
         out.append(_squeezed(np.concatenate(p + b)))
+    tidy()
     return pa.table([asked.column("chunk"), pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["chunk", "shard", "answers"])
 
 
@@ -428,12 +429,13 @@ def score_texts(rows: DataFrame, table: DataFrame, order: int, text_at: int, sha
             for name, x in (("h", h), ("share", np.where(n > 0, distinct_share(texts), np.nan))):
                 t = t.append_column(name, pa.array(x, pa.float64(), from_pandas=True))
             out.append(t)
+        tidy()
         return pa.concat_tables(out) if out else _empty
 
     _empty = pa.table([pa.array([], f) for f in (pa.null(),) * len(result.fields)], names=result.names)
-    questions = rows.mapInArrow(ask, "shard int, salt int, chunk long, model string, numbers array<int>, grams binary")
+    questions = rows.mapInArrow(tidied(ask), "shard int, salt int, chunk long, model string, numbers array<int>, grams binary")
     answers = _sharded(table, shards, salts).groupBy("shard", "salt").cogroup(questions.groupBy("shard", "salt")).applyInArrow(_answers, "chunk long, shard int, answers binary")
-    stored = rows.mapInArrow(keep, "chunk long, rows binary")
+    stored = rows.mapInArrow(tidied(keep), "chunk long, rows binary")
     return stored.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, result)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortmill.llm.common import _powers, joined, materialise, mix64, span_hashes, text_blocks
+from cohortmill.llm.common import _powers, joined, materialise, mix64, span_hashes, text_blocks, tidied
 
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
@@ -166,7 +166,7 @@ def line_dedup(docs: DataFrame, min_units: int = 2, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([ids.take(of), keys.take(of), pa.array(np.concatenate(place), pa.int64()), pa.array(np.concatenate(h).view(np.int64))], ["doc_id", "_key", "place", "h"])
 
     source = keyed.select("doc_id", "_key", F.coalesce("text", F.lit("")).alias("text"))
-    places = materialise(source.mapInArrow(all_chunks, f"doc_id {kind}, _key long, place long, h long").select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key", "place", "h"))
+    places = materialise(source.mapInArrow(tidied(all_chunks), f"doc_id {kind}, _key long, place long, h long").select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key", "place", "h"))
     repeated = materialise(places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("no_id", "doc_id", "_key", "place")).alias("first")).where("n > 1").select("h", F.col("first._key").alias("first_key"), F.col("first.place").alias("first_place")))
     # how many units of a run lie past its first place in the same text: all, if they do not overlap
     past = F.shiftright(F.col("place") - F.col("first_place"), 20)
@@ -202,7 +202,7 @@ def line_dedup(docs: DataFrame, min_units: int = 2, id_col: str = "doc_id", text
                 start += len(texts)
 
     one = keyed.select("_key", "text", "doc_id").join(found.groupBy("_key").agg(F.collect_list("place").alias("want")), "_key").select("_key", "text", "want", "doc_id")
-    compared = one.mapInArrow(bytes_of, "h long, chunk binary").groupBy("h").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
+    compared = one.mapInArrow(tidied(bytes_of), "h long, chunk binary").groupBy("h").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     differ = materialise(compared.where("low <> high").select("h"))
     if not differ.isEmpty():
         # chunks of one hash and different bytes: each kind has a first place of its own
@@ -242,4 +242,4 @@ def line_dedup(docs: DataFrame, min_units: int = 2, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=list(row.type)), pa.array(n_chunks, pa.int64()), pa.array(n_removed, pa.int64())], ["row", "n_chunks", "n_removed"])
 
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("n_chunks", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return full.mapInArrow(remove, schema).select("row.*", "n_chunks", "n_removed")
+    return full.mapInArrow(tidied(remove), schema).select("row.*", "n_chunks", "n_removed")

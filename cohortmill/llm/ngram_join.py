@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortmill.llm.common import LOWER, checked_broadcast, joined, materialise, shingle_hashes, text_blocks, word_hashes, word_spans
+from cohortmill.llm.common import LOWER, checked_broadcast, joined, materialise, shingle_hashes, text_blocks, tidied, word_hashes, word_spans
 from cohortmill.llm.components import connected_components
 
 #: Words are runs of bytes other than white space.
@@ -72,7 +72,7 @@ def _frequent(docs: DataFrame, n: int, share: float, sample_docs: int, most: int
             h, c = np.unique(np.concatenate(s), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64()), pa.array(h >= limit)], ["h", "c", "high"])
 
-    counted = docs.select(drawn < int(1_000_000 * part), "text").mapInArrow(run, "h long, c long, high boolean").groupBy("h", "high").agg(F.sum("c").alias("c")).where("c > 1")
+    counted = docs.select(drawn < int(1_000_000 * part), "text").mapInArrow(tidied(run), "h long, c long, high boolean").groupBy("h", "high").agg(F.sum("c").alias("c")).where("c > 1")
     counted = materialise(counted.select("h", F.when(F.col("high"), F.col("c") / part).otherwise(F.col("c")).cast("long").alias("c")))
     least, held = 1 << 62, 0
     for r in sorted(counted.groupBy(F.least("c", F.lit(10_000)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["c"]):
@@ -119,7 +119,7 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int, frequent) -> DataFr
                 yield pa.RecordBatch.from_arrays([ids, rid, pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.list_(pa.int64())), pa.array(wide, pa.binary())], ["doc_id", "rid", "n_shingles", "digest", "prefix", "bitmap", "wide"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "rid", "text").mapInArrow(run, f"doc_id {kind}, rid binary, n_shingles long, digest binary, prefix array<long>, bitmap array<long>, wide binary")
+    return docs.select("doc_id", "rid", "text").mapInArrow(tidied(run), f"doc_id {kind}, rid binary, n_shingles long, digest binary, prefix array<long>, bitmap array<long>, wide binary")
 
 
 def _may_link(num: int, den: int):
@@ -141,7 +141,7 @@ def _close(pairs: DataFrame, num: int, den: int) -> DataFrame:
                 keep.append((num + den) * (na + nb - differ) >= 2 * num * (na + nb))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(tidied(run), "a long, b long")
 
 
 #: Of 256 parts of the range of hashes, those of the first block of columns.
@@ -178,7 +178,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num:
             yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in s], pa.binary()), pa.array([len(x) for x in s], pa.int64()), pa.array(cut, pa.int64()), pa.array([x[:c].tobytes() for x, c in zip(s, cut)], pa.binary()), pa.array([x[c:].tobytes() for x, c in zip(s, cut)], pa.binary())], ["digest", "size", "cut", "first", "rest"])
 
     own, _ = checked_broadcast(materialise(nodes.join(wanted, "node", "left_semi").select("digest", "node")), 1_000_000)
-    sets = texts.mapInArrow(to_sets, "digest binary, size long, cut long, first binary, rest binary").join(own, "digest").drop("digest")
+    sets = texts.mapInArrow(tidied(to_sets), "digest binary, size long, cut long, first binary, rest binary").join(own, "digest").drop("digest")
     # a row that stands several times gives its set several times
     sets = materialise(sets.dropDuplicates(["node"]))
 
@@ -198,9 +198,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num:
 
     side = lambda x, part: sets.select(F.col("node").alias(x), F.col(part).alias("m" + x), F.col("size").alias("n" + x), F.col("cut").alias("c" + x))
     joined_first = pairs.join(side("b", "first"), "b").join(side("a", "first"), "a").select("a", "b", "ma", "mb", "na", "nb", "ca", "cb")
-    left = materialise(joined_first.mapInArrow(first, "a long, b long, o long, sizes long"))
+    left = materialise(joined_first.mapInArrow(tidied(first), "a long, b long, o long, sizes long"))
     joined_rest = left.join(side("b", "rest").select("b", "mb"), "b").join(side("a", "rest").select("a", "ma"), "a").select("a", "b", "o", "sizes", "ma", "mb")
-    return joined_rest.mapInArrow(rest, "a long, b long")
+    return joined_rest.mapInArrow(tidied(rest), "a long, b long")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -217,7 +217,7 @@ def _groups(d: DataFrame, n: int, num: int, den: int, sample_docs: int, most_fre
     nodes = sig.where("digest IS NOT NULL").groupBy("digest").agg(F.min("rid").alias("rid"), F.min("n_shingles").alias("size"), F.min("doc_id").alias("min_id"), F.count(F.lit(1)).alias("copies"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
     one = materialise(sig.join(nodes.select("digest", "rid", "node"), ["digest", "rid"]).drop("digest", "rid", "doc_id").dropDuplicates(["node"]))
-    entries = one.select(F.explode("prefix").alias("s"), "node")
+    entries = one.select(F.posexplode("prefix").alias("pos", "s"), "node")
     shared = entries.groupBy("s").agg(F.count(F.lit(1)).alias("block"), F.min("node").alias("leader")).where("block > 1")
     entries = materialise(entries.join(shared, "s"))
     words = [F.col("bitmap")[i] for i in range(BITS)]
@@ -231,21 +231,23 @@ def _groups(d: DataFrame, n: int, num: int, den: int, sample_docs: int, most_fre
     # what links to one leader is joined already; chains of leaders are left to the end
     roots = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
-    marked = entries.join(roots, "node", "left").select("s", "block", "node", F.coalesce("root", "node").alias("root"))
+    marked = entries.join(roots, "node", "left").select("s", "pos", "block", "node", F.coalesce("root", "node").alias("root"))
     mixed = marked.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("s")
     rest = materialise(marked.join(mixed, "s", "left_semi"))
-    # a pair is made at the smallest of the columns that both are in; sets in very many columns do without
-    lists = rest.groupBy("node").agg(F.collect_list("s").alias("all")).select("node", F.when(F.size("all") <= 64, F.col("all")).alias("all"))
+    # a pair is made at the first of the columns that both are in; sets in very many columns do without
+    lists = rest.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("all")).select("node", F.when(F.size("all") <= 64, F.col("all")).alias("all"))
     rest = rest.join(lists, "node").join(side("node").drop("wnode"), "node")
     rest = rest.withColumn("tiles", F.ceil(F.col("block") / tile)).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")))
     rest = materialise(rest)
 
     def tiled(x: str) -> DataFrame:
         other = F.explode(F.sequence(F.col("t"), F.col("tiles") - 1) if x == "a" else F.sequence(F.lit(0).cast("long"), F.col("t"))).alias("u")
-        r = rest.select("s", "t", other, F.col("node").alias(x), F.col("root").alias(f"root{x}"), F.col("nnode").alias(f"n{x}"), F.col("all").alias(f"all{x}"), *(F.col(f"wnode{i}").alias(f"w{x}{i}") for i in range(BITS)))
+        r = rest.select("s", "t", other, F.col("node").alias(x), F.col("pos").alias(f"p{x}"), F.col("root").alias(f"root{x}"), F.col("nnode").alias(f"n{x}"), F.col("all").alias(f"all{x}"), *(F.col(f"wnode{i}").alias(f"w{x}{i}") for i in range(BITS)))
         return r.withColumnsRenamed({"t": "ta", "u": "tb"} if x == "a" else {"t": "tb", "u": "ta"})
 
-    cross = tiled("a").join(tiled("b"), ["s", "ta", "tb"]).where((F.col("roota") != F.col("rootb")) & ((F.col("ta") < F.col("tb")) | (F.col("a") < F.col("b"))) & _may_link(num, den) & F.coalesce(F.array_min(F.array_intersect("alla", "allb")) == F.col("s"), F.lit(True)))
+    # nothing before the first column is shared, so what stands from there on in both bounds the overlap; at later columns a pair may be lost, as it is made at the first
+    at_first = (num + den) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= num * (F.col("na") + F.col("nb"))
+    cross = tiled("a").join(tiled("b"), ["s", "ta", "tb"]).where((F.col("roota") != F.col("rootb")) & ((F.col("ta") < F.col("tb")) | (F.col("a") < F.col("b"))) & _may_link(num, den) & at_first & F.coalesce(F.get(F.array_intersect("alla", "allb"), F.lit(0)) == F.col("s"), F.lit(True)))
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs2 = materialise(_close(cross.join(side("a"), "a").join(side("b"), "b"), num, den))
     links2 = _verified(pairs2, d, nodes, n, num, den)

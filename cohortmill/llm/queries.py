@@ -87,6 +87,12 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lang", "source", "mix_epoch")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortmill.llm.conversations import repair_conversations
+
+    return repair_conversations(_table(spark, sf_dir, "conversations"), damage=True)
+
+
 QUERIES = {
     "op1_iblt_fingerprints": op1_iblt_fingerprints,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -98,6 +104,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_license_scan": op9_license_scan,
     "op10_source_mix": op10_source_mix,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 #: All pairs that share a shingle are counted, and components found by following links: for small tables.

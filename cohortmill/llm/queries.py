@@ -93,6 +93,18 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(_table(spark, sf_dir, "conversations"), damage=True)
 
 
+def op12_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortmill.llm.neighbours import nearest_by_collisions
+
+    return nearest_by_collisions(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortmill.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_iblt_fingerprints": op1_iblt_fingerprints,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -105,6 +117,8 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_source_mix": op10_source_mix,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_collision_neighbours": op12_collision_neighbours,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 #: All pairs that share a shingle are counted, and components found by following links: for small tables.

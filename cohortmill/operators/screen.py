@@ -11,9 +11,23 @@ from pyspark.sql import functions as F
 from cohortmill.operators import stats as S
 
 
-def matrix_select_models(cells: DataFrame, members: DataFrame) -> DataFrame:
-    """The cells of cohort models, once for each comparison a model is in; members the matrix lacks give nothing here."""
-    return cells.join(members, "model_id").select("cancer_id", "comparison_type", "analysis_group", "model_id", "gene", "effect", "prob")
+#: The comparison that holds every model of the matrix as context; no context has it.
+ALL = "all models"
+
+
+def matrix_select_models(cells: DataFrame, members: DataFrame, background: bool = False) -> DataFrame:
+    """The cells of cohort models, once for each comparison a model is in; members the matrix lacks give nothing here.
+
+    With `background`, every cell once more under the comparison `ALL`: one pass over the matrix then serves both.
+    """
+    cols = ("cancer_id", "comparison_type", "analysis_group")
+    if not background:
+        return cells.join(members, "model_id").select(*cols, "model_id", "gene", "effect", "prob")
+    # as many entries for a model as it has comparisons
+    own = members.groupBy("model_id").agg(F.collect_list(F.struct(*cols)).alias("_in"))
+    every = F.array(F.struct(F.lit("").alias("cancer_id"), F.lit(ALL).alias("comparison_type"), F.lit("context").alias("analysis_group")))
+    x = cells.join(own, "model_id", "left").select(F.explode(F.when(F.col("_in").isNull(), every).otherwise(F.concat(every, F.col("_in")))).alias("x"), "model_id", "gene", "effect", "prob")
+    return x.select(*(f"x.{c}" for c in cols), "model_id", "gene", "effect", "prob")
 
 
 def matrix_gene_intersection(effects: DataFrame, probs: DataFrame) -> DataFrame:
@@ -21,24 +35,36 @@ def matrix_gene_intersection(effects: DataFrame, probs: DataFrame) -> DataFrame:
     return effects.select("gene").distinct().join(probs.select("gene").distinct(), "gene")
 
 
+def _finished(summary: DataFrame, members: DataFrame, keys: Sequence[str]) -> DataFrame:
+    out = S.with_members(summary, members, keys).withColumn("delta_median", F.col("context_median") - F.col("comparator_median"))
+    return out.withColumn("low_sample", S.low_sample_flag(F.col("context_effect_n"), F.col("comparator_effect_n"), F.col("comparator_models_n")))
+
+
 def gene_statistics(cells: DataFrame, members: DataFrame, keys: Sequence[str] = S.KEYS, min_n: int = 2) -> DataFrame:
     """Counts, location, fractions and the rank test of each key; low_sample and delta_median too."""
     keys = list(keys)
-    out = S.group_summary(cells, members, keys)
-    out = out.join(S.mann_whitney(S.rank_sum(cells, keys), min_n).drop("n1", "n2"), keys, "left").withColumn("performed", F.coalesce("performed", F.lit(False)))
-    out = out.withColumn("delta_median", F.col("context_median") - F.col("comparator_median"))
-    return out.withColumn("low_sample", S.low_sample_flag(F.col("context_effect_n"), F.col("comparator_effect_n"), F.col("comparator_models_n")))
+    summary = S.group_summary(cells, keys, cuts=S.value_ranges(cells, keys))
+    return _finished(S.mann_whitney(summary, min_n).drop("n1", "n2"), members, keys)
 
 
-def genomewide_screen(cells: DataFrame, members: DataFrame, genes: DataFrame | None = None, keep=None) -> DataFrame:
-    """All genes in all comparisons in one pass: `gene_statistics`, q within each comparison, background and flags.
+def screen_statistics(cells: DataFrame, members: DataFrame, keep=None, min_n: int = 2) -> tuple[DataFrame, DataFrame]:
+    """`gene_statistics` of all comparisons, and the background of each gene, from one grouping of the cells.
 
-    `keep` may write the selected cells, which several aggregates read, and read them back.
+    `keep` may write the selected cells and the statistics, which several results are taken from, and read them back.
     """
-    own = matrix_select_models(cells, members)
+    own = matrix_select_models(cells, members, background=True)
     own = keep(own) if keep else own
-    out = S.bh_qvalues(gene_statistics(own, members), ["cancer_id", "comparison_type"])
-    out = out.join(S.background_fraction(cells), "gene").withColumn("fdr_0_05", F.coalesce(F.col("q_value") < 0.05, F.lit(False)))
+    summary = S.mann_whitney(S.group_summary(own, cuts=S.value_ranges(own)), min_n).drop("n1", "n2")
+    summary = keep(summary) if keep else summary
+    every = F.col("comparison_type") == ALL
+    return _finished(summary.where(~every), members, S.KEYS), S.background_of(summary.where(every))
+
+
+def genomewide_screen(cells: DataFrame, members: DataFrame, genes: DataFrame | None = None, keep=None) -> DataFrame:
+    """All genes in all comparisons in one pass: `screen_statistics`, q within each comparison, background and flags."""
+    statistics, background = screen_statistics(cells, members, keep)
+    out = S.bh_qvalues(statistics, ["cancer_id", "comparison_type"])
+    out = out.join(background, "gene").withColumn("fdr_0_05", F.coalesce(F.col("q_value") < 0.05, F.lit(False)))
     return gene_metadata_join(out, genes) if genes is not None else out
 
 

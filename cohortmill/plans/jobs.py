@@ -74,8 +74,8 @@ def job_pair_evidence(pairs: DataFrame, cells: DataFrame, members: DataFrame, au
     genes = R.symbol_union_distinct(pairs)
     c = cells.join(genes, "gene", "left_semi")
     primary = members.where("comparison_type = 'primary'")
-    s = R.gene_statistics(cached(R.matrix_select_models(c, primary)), members).join(S.background_fraction(c), "gene")
-    rows = cached(R.pair_evidence_join(pairs, s, members))
+    statistics, background = R.screen_statistics(c, primary, cached)
+    rows = cached(R.pair_evidence_join(pairs, statistics.join(background, "gene"), members))
     return {"evidence": rows, "qc": Q.qc_evidence(rows, audit, pairs.count()), "provenance": P.unpivot_fields(rows, "cancer_target_evidence", "evidence_id", EVIDENCE_FIELDS, release, "1")}
 
 
@@ -83,7 +83,7 @@ def job_sensitivity(pairs: DataFrame, cells: DataFrame, members: DataFrame, spli
     """Pairs of eligible contexts against both other cohorts; q is over all rows together."""
     expanded = R.pair_comparison_expand(pairs, split)
     own = cached(R.matrix_select_models(cells, members.where("comparison_type <> 'primary'")))
-    s = R.gene_statistics(own, members)
+    s = cached(R.gene_statistics(own, members))
     n = members.groupBy("cancer_id", "comparison_type").agg(*(F.count_if(F.col("analysis_group") == g).alias(f"{g}_members_n") for g in ("context", "comparator")))
     out = expanded.join(s, ["cancer_id", "comparison_type", "gene"], "left").join(n, ["cancer_id", "comparison_type"], "left")
     counts = [c for c in s.columns if c.endswith("_n")]

@@ -543,7 +543,7 @@ def low_sample_flag(spark, sf):
 
 @query(f"SELECT {_K}, round(p_value, 9) AS p_value, round(q_value, 6) AS q_value FROM qs")
 def bh_qvalues(spark, sf):
-    m = S.mann_whitney(S.rank_sum(_own(spark, sf))).select("cancer_id", "comparison_type", "gene", "p_value")
+    m = J.cached(S.mann_whitney(S.rank_sum(_own(spark, sf))).select("cancer_id", "comparison_type", "gene", "p_value"))
     return _p9(S.bh_qvalues(m, ["cancer_id", "comparison_type"]))
 
 

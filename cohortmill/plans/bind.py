@@ -47,7 +47,7 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def audit(spark: SparkSession, sf: str) -> DataFrame:
-    return C.cohort_assign(models(spark, sf), events(spark, sf), profiled(spark, sf), CONTEXTS)
+    return C.cohort_assign(models(spark, sf), events(spark, sf), profiled(spark, sf), CONTEXTS, columns=("change", "driver_flag"))
 
 
 def split(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,14 +125,19 @@ CTES = {
     "profs": "SELECT user_id AS model_id, event_type AS datatype, CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 2 = 0 THEN 'true' ELSE 'false' END AS is_default FROM events",
     "profiled": "SELECT DISTINCT model_id FROM profs WHERE datatype IN ('purchase', 'view') AND is_default = 'true'",
     "cells": "SELECT o_custkey AS model_id, p_brand AS gene, max(l_extendedprice) AS effect, min(l_tax) / 0.08 AS prob FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL",
-    "per": "SELECT model_id, bool_or(gene = 'F' AND change = '1-URGENT') AS t, bool_or(gene = 'F') AS a, bool_or(gene = 'F' AND change <> '1-URGENT' AND driver_flag = 'Y') AS v FROM evts GROUP BY ALL",
-    "audit": f"""SELECT 'CTX-' || code AS cancer_id, m.model_id, name, p.model_id IS NOT NULL AS sequenced, CASE WHEN coalesce(t, false) THEN 'defining_present' ELSE 'defining_absent' END AS molecular_status,
+    "recs": """SELECT model_id, gene = 'F' AND change = '1-URGENT' AS hit, '{"change":"' || change || '","driver_flag":"' || driver_flag || '"}' AS rec, driver_flag FROM evts WHERE gene = 'F'""",
+    "per": "SELECT model_id, bool_or(hit) AS t, true AS a, bool_or(NOT hit AND driver_flag = 'Y') AS v, coalesce(string_agg(rec, ' ' ORDER BY rec) FILTER (hit), '') AS ql, coalesce(string_agg(rec, ' ' ORDER BY rec) FILTER (NOT hit), '') AS ol FROM recs GROUP BY ALL",
+    "audit": f"""SELECT 'CTX-' || code AS cancer_id, m.model_id, name, p.model_id IS NOT NULL AS sequenced, CASE WHEN p.model_id IS NULL THEN 'unsequenced' WHEN coalesce(t, false) THEN 'defining_present' ELSE 'defining_absent' END AS molecular_status,
         CASE WHEN p.model_id IS NULL THEN 'excluded' WHEN coalesce(t, false) THEN 'context' ELSE 'comparator' END AS assigned_group,
-        CASE WHEN p.model_id IS NULL THEN 'unsequenced' WHEN coalesce(t, false) THEN 'defining_present' ELSE 'defining_absent' END AS reason
+        CASE WHEN p.model_id IS NULL THEN 'no default profile of a covered type' WHEN coalesce(t, false) THEN 'a defining variant' ELSE 'no defining variant' END AS reason,
+        CASE WHEN p.model_id IS NULL THEN '' ELSE coalesce(ql, '') END AS qualifying, CASE WHEN p.model_id IS NULL THEN '' ELSE coalesce(ol, '') END AS other
         FROM models m LEFT JOIN per USING (model_id) LEFT JOIN profiled p ON p.model_id = m.model_id WHERE code IN ({_IN})""",
-    "split": f"""SELECT 'CTX-' || code AS cancer_id, m.model_id, name, p.model_id IS NOT NULL AS sequenced,
-        CASE WHEN p.model_id IS NULL THEN 'excluded' WHEN coalesce(t, false) THEN 'target_variant' WHEN NOT coalesce(a, false) THEN 'wildtype_proxy' WHEN coalesce(v, false) THEN 'other_driver_hotspot' ELSE 'excluded' END AS assigned_group
+    "split0": f"""SELECT 'CTX-' || code AS cancer_id, '1-URGENT' AS target_label, m.model_id, name, p.model_id IS NOT NULL AS sequenced,
+        CASE WHEN p.model_id IS NULL THEN 'unsequenced' WHEN coalesce(t, false) THEN 'target_variant' WHEN NOT coalesce(a, false) THEN 'wildtype_proxy' WHEN coalesce(v, false) THEN 'other_driver_hotspot' ELSE 'ambiguous_variant' END AS molecular_status,
+        CASE WHEN p.model_id IS NULL THEN '' ELSE coalesce(ql, '') END AS qualifying, CASE WHEN p.model_id IS NULL THEN '' ELSE coalesce(ol, '') END AS other
         FROM models m LEFT JOIN per USING (model_id) LEFT JOIN profiled p ON p.model_id = m.model_id WHERE code IN ({_IN})""",
+    "split": """SELECT *, CASE WHEN molecular_status IN ('unsequenced', 'ambiguous_variant') THEN 'excluded' ELSE molecular_status END AS assigned_group,
+        CASE molecular_status WHEN 'unsequenced' THEN 'no default profile of a covered type' WHEN 'target_variant' THEN 'target variant 1-URGENT' WHEN 'wildtype_proxy' THEN 'no record of the gene' WHEN 'other_driver_hotspot' THEN 'another variant with a driver mark' ELSE 'another variant without a driver mark' END AS reason FROM split0""",
     "members": """SELECT cancer_id, 'primary' AS comparison_type, model_id, assigned_group AS analysis_group FROM audit WHERE assigned_group <> 'excluded'
         UNION ALL SELECT cancer_id, 'wildtype', model_id, CASE assigned_group WHEN 'target_variant' THEN 'context' ELSE 'comparator' END FROM split WHERE assigned_group IN ('target_variant', 'wildtype_proxy')
         UNION ALL SELECT cancer_id, 'other-driver', model_id, CASE assigned_group WHEN 'target_variant' THEN 'context' ELSE 'comparator' END FROM split WHERE assigned_group IN ('target_variant', 'other_driver_hotspot')""",

@@ -295,7 +295,8 @@ def disease_validate(spark, sf):
 def disease_match(spark, sf):
     m = B.models(spark, sf)
     c = C.Context("X", C.EXACT, (), {"code": ("Building ",), "subtype": ("nation_3",), "absent": ("x",)}, ("lineage", "Asia"))
-    return m.select("model_id", C.disease_match(c, m.columns).alias("hit"))
+    found = C.disease_match(m, [c]).select("model_id", F.lit(True).alias("hit"))
+    return m.select("model_id").join(found, "model_id", "left").select("model_id", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
 @query("SELECT model_id FROM profiled")
@@ -312,24 +313,30 @@ def assert_unique_models(spark, sf):
 _ANY = "bool_or(gene = 'F' AND regexp_matches(change, '(?i)^1-URGENT$')) AS d, bool_or(gene = 'F' AND NOT regexp_matches(change, '(?i)^1-URGENT$')) AS o"
 
 
+def _status(spark, sf, c, flags=(), texts=()):
+    """The status of every model in one context, whatever its metadata."""
+    m = B.models(spark, sf).select("model_id", F.lit(c.cancer_id).alias("cancer_id"))
+    return m.join(C.classify(B.events(spark, sf), [c], flags, texts), ["cancer_id", "model_id"], "left").join(C.context_rules(spark, [c]), "cancer_id").select("model_id", C.status_of().alias("status"))
+
+
 @query(f"SELECT model_id, CASE WHEN d THEN 'defining_present' WHEN o THEN 'ambiguous' ELSE 'defining_absent' END AS status FROM models LEFT JOIN (SELECT model_id, {_ANY} FROM evts GROUP BY ALL) USING (model_id)")
 def classify_exact_change(spark, sf):
     c = C.Context("X", C.EXACT, (C.GeneRule("F", (B.URGENT,)),), other_ambiguous=True)
-    return B.models(spark, sf).join(C.classify(B.events(spark, sf), [c]), "model_id", "left").select("model_id", C.status_of(c, 0).alias("status"))
+    return _status(spark, sf, c)
 
 
 @query("""SELECT model_id, CASE WHEN d THEN 'defining_present' WHEN o THEN 'ambiguous' ELSE 'defining_absent' END AS status FROM models LEFT JOIN
     (SELECT model_id, bool_or(gene = 'F' AND change LIKE '1-%' OR gene = 'P' AND change LIKE '5-%') AS d, bool_or(gene = 'F' AND change NOT LIKE '1-%' OR gene = 'P' AND change NOT LIKE '5-%') AS o FROM evts GROUP BY ALL) USING (model_id)""")
 def classify_absence(spark, sf):
     c = C.Context("X", C.ABSENCE, (C.GeneRule("F", ("^1-",)), C.GeneRule("P", ("^5-",))))
-    return B.models(spark, sf).join(C.classify(B.events(spark, sf), [c]), "model_id", "left").select("model_id", C.status_of(c, 0).alias("status"))
+    return _status(spark, sf, c)
 
 
 @query("""SELECT model_id, CASE WHEN d THEN 'defining_present' WHEN o THEN 'ambiguous' ELSE 'defining_absent' END AS status FROM models LEFT JOIN
     (SELECT model_id, bool_or(gene = 'O' AND (driver_flag = 'Y' OR change LIKE '1-%' OR note LIKE '%MEDIUM%')) AS d, bool_or(gene = 'O' AND NOT (driver_flag = 'Y' OR change LIKE '1-%' OR note LIKE '%MEDIUM%')) AS o FROM evts GROUP BY ALL) USING (model_id)""")
 def classify_driver(spark, sf):
     c = C.Context("X", C.DRIVER, (C.GeneRule("O", ("^1-",), ("medium",)),))
-    return B.models(spark, sf).join(C.classify(B.events(spark, sf), [c], ["driver_flag"], ["note"]), "model_id", "left").select("model_id", C.status_of(c, 0).alias("status"))
+    return _status(spark, sf, c, ["driver_flag"], ["note"])
 
 
 _REC = """'{"change":"' || change || '","driver_flag":"' || driver_flag || '"}'"""
@@ -341,23 +348,27 @@ def variant_lists(spark, sf):
     return v.select("model_id", F.array_join("qualifying", " ").alias("qualifying"), F.array_join("other", " ").alias("other"))
 
 
+def _listed(audit):
+    return audit.withColumns({c: F.array_join(c, " ") for c in ("qualifying", "other")})
+
+
 @query("SELECT * FROM audit")
 def cohort_assign(spark, sf):
-    return B.audit(spark, sf)
+    return _listed(B.audit(spark, sf))
 
 
 @query("SELECT * FROM split")
 def cohort_split_variant(spark, sf):
-    return B.split(spark, sf)
+    return _listed(B.split(spark, sf))
 
 
-@query("SELECT cancer_id, 'wildtype' AS comparison_type, model_id, name, sequenced, assigned_group, CASE assigned_group WHEN 'target_variant' THEN 'context' WHEN 'wildtype_proxy' THEN 'comparator' ELSE 'excluded' END AS analysis_group FROM split")
+@query("SELECT cancer_id, 'wildtype' AS comparison_type, model_id, name, sequenced, molecular_status, reason, assigned_group, CASE assigned_group WHEN 'target_variant' THEN 'context' WHEN 'wildtype_proxy' THEN 'comparator' ELSE 'excluded' END AS analysis_group FROM split")
 def cohort_project(spark, sf):
     return C.cohort_project(B.split(spark, sf), "wildtype")
 
 
 _DIAG = """SELECT cancer_id, count(*) AS matched_n, count(*) FILTER (sequenced) AS sequenced_n, count(*) FILTER (molecular_status = 'defining_present') AS defining_present_n, count(*) FILTER (molecular_status = 'defining_absent') AS defining_absent_n,
-    count(*) FILTER (molecular_status = 'ambiguous') AS ambiguous_n, count(*) FILTER (assigned_group = 'context') AS context_n, count(*) FILTER (assigned_group = 'comparator') AS comparator_n, count(*) FILTER (assigned_group = 'excluded') AS excluded_n FROM audit GROUP BY ALL"""
+    count(*) FILTER (molecular_status = 'ambiguous') AS ambiguous_n, count(*) FILTER (molecular_status = 'unsequenced') AS unsequenced_n, count(*) FILTER (assigned_group = 'context') AS context_n, count(*) FILTER (assigned_group = 'comparator') AS comparator_n, count(*) FILTER (assigned_group = 'excluded') AS excluded_n FROM audit GROUP BY ALL"""
 
 
 @query(_DIAG)

@@ -44,7 +44,9 @@ def cohort(spark, rules, mode, events, models=("1", "2", "3"), profiled=("1", "2
 def test_cohort_rules(spark):
     got = C.cohort_assign(*cohort(spark, (C.GeneRule("KRAS", (r"^p\.G12D$",)),), C.EXACT, [("1", "KRAS", "p.G12D", ""), ("2", "KRAS", "p.G12C", "")], other=False), ["hotspot"]).collect()
     assert {r["model_id"]: r["assigned_group"] for r in got} == {"1": "context", "2": "comparator", "3": "excluded"}
-    assert next(r for r in got if r["model_id"] == "3")["reason"] == "unsequenced"
+    by = {r["model_id"]: r for r in got}
+    assert by["3"]["molecular_status"] == "unsequenced" and by["3"]["qualifying"] == by["3"]["other"] == []
+    assert (by["1"]["molecular_status"], by["1"]["qualifying"], by["1"]["other"]) == ("defining_present", ['{"change":"p.G12D"}'], []) and by["2"]["other"] == ['{"change":"p.G12C"}']
     rules = (C.GeneRule("IDH1", (r"^p\.R132",)), C.GeneRule("IDH2", (r"^p\.R172",)))
     got = C.cohort_assign(*cohort(spark, rules, C.ABSENCE, [("2", "IDH1", "p.R132H", ""), ("3", "IDH1", "p.A100T", "")], profiled=("1", "2", "3"))).collect()
     assert {r["model_id"]: r["assigned_group"] for r in got} == {"1": "context", "2": "comparator", "3": "excluded"}
@@ -53,8 +55,10 @@ def test_cohort_rules(spark):
 def test_three_way_split(spark):
     events = [("T", "KRAS", "p.G12D", "Y"), ("O", "KRAS", "p.G12V", "Y"), ("A", "KRAS", "p.M188V", "False"), ("U", "KRAS", "p.G12D", "Y")]
     args = cohort(spark, (C.GeneRule("KRAS", (r"^p\.G12D$",)),), C.EXACT, events, tuple("TOAWU"), tuple("TOAW"))
-    got = {r["model_id"]: r["assigned_group"] for r in C.cohort_split_variant(*args, flags=["hotspot"]).collect()}
-    assert got == {"T": "target_variant", "O": "other_driver_hotspot", "A": "excluded", "W": "wildtype_proxy", "U": "excluded"}
+    rows = {r["model_id"]: r for r in C.cohort_split_variant(*args, flags=["hotspot"]).collect()}
+    assert {k: r["assigned_group"] for k, r in rows.items()} == {"T": "target_variant", "O": "other_driver_hotspot", "A": "excluded", "W": "wildtype_proxy", "U": "excluded"}
+    assert {k: r["molecular_status"] for k, r in rows.items()} == {"T": "target_variant", "O": "other_driver_hotspot", "A": "ambiguous_variant", "W": "wildtype_proxy", "U": "unsequenced"}
+    assert rows["T"]["reason"] == "target variant p.G12D" and rows["T"]["qualifying"] == ['{"change":"p.G12D","hotspot":"Y"}'] and rows["O"]["other"] == ['{"change":"p.G12V","hotspot":"Y"}'] and rows["U"]["qualifying"] == []
     m = args[0]
     with pytest.raises(ValueError, match="duplicate"):
         C.assert_unique_models(m.union(m))
@@ -171,3 +175,36 @@ def test_registered(spark):
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q)
     assert e.entry(spark).count() > 0
+
+
+def test_thousands_of_contexts(spark):
+    """The plan is as large for 5000 contexts as for two, and the cohorts are those of each context alone."""
+    import random
+
+    rng = random.Random(8)
+    codes, genes, modes = [f"C{i}" for i in range(40)], [f"G{i}" for i in range(30)], (C.EXACT, C.ABSENCE, C.DRIVER)
+    contexts = [C.Context(f"X{i}", rng.choice(modes), tuple(C.GeneRule(rng.choice(genes), (f"^{rng.choice('ABC')}",), ("odd",) if rng.random() < 0.3 else ()) for _ in range(rng.randint(1, 3))), {rng.choice(("code", "subtype")): tuple(rng.sample(codes, 2))}, ("lineage", rng.choice("ab")) if rng.random() < 0.4 else None, rng.choice((None, True, False))) for i in range(5000)]
+    models = [(f"M{i}", f"n{i}", rng.choice(codes).upper(), f" {rng.choice(codes)} ", rng.choice("AB")) for i in range(30)]
+    events = [(f"M{rng.randrange(32)}", rng.choice(genes).lower(), rng.choice("ABCD") + str(rng.randrange(9)), rng.choice(("Y", "no", None)), rng.choice(("odd", "even", None))) for _ in range(300)]
+    profiled = [m[0] for m in models if rng.random() < 0.8]
+    m = spark.createDataFrame(models, "model_id string, name string, code string, subtype string, lineage string")
+    e = spark.createDataFrame(events, "model_id string, gene string, change string, hotspot string, note string")
+    p = spark.createDataFrame([(x,) for x in profiled], "model_id string")
+    size = lambda cs: len(C.cohort_assign(m, e, p, cs, ["hotspot"], ["note"])._jdf.queryExecution().optimizedPlan().toString())
+    assert size(contexts) < 1.2 * size(contexts[:2]) + 4000
+    want = {}
+    for c in contexts:
+        for mid, _, code, subtype, lineage in models:
+            own = {"code": code.lower(), "subtype": subtype.strip().lower()}
+            if not any(own[k] in [v.lower() for v in vs] for k, vs in c.aliases.items()) or (c.lineage and c.lineage[1] != lineage.lower()):
+                continue
+            there = [x for x in events if x[0] == mid and x[1].upper() in [r.gene for r in c.rules]]
+            of = lambda x: [r for r in c.rules if r.gene == x[1].upper()]  # noqa: E731, B023
+            hit = lambda x: any(x[2].startswith(r.changes[0][1:]) for r in of(x)) or (c.mode == C.DRIVER and (x[3] == "Y" or any("odd" in r.texts and x[4] == "odd" for r in of(x))))  # noqa: E731, B023
+            hits = [x for x in there if hit(x)]
+            counts = c.mode != C.EXACT if c.other_ambiguous is None else c.other_ambiguous
+            status = C.UNSEQUENCED if mid not in profiled else C.PRESENT if hits else C.AMBIGUOUS if there and counts else C.ABSENT
+            seen = mid in profiled
+            want[c.cancer_id, mid] = (status, "context" if status == c.context_status else "comparator" if status == c.comparator_status else "excluded", len(hits) * seen, (len(there) - len(hits)) * seen)
+    got = {(r["cancer_id"], r["model_id"]): (r["molecular_status"], r["assigned_group"], len(r["qualifying"]), len(r["other"])) for r in C.cohort_assign(m, e, p, contexts, ["hotspot"], ["note"]).collect()}
+    assert got == want and len(got) > 5000

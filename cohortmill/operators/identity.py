@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,6 +34,11 @@ def dict_lookup_build(dictionary: DataFrame, withdrawn: DataFrame) -> DataFrame:
     return approved.unionByName(lists[0]).unionByName(lists[1]).unionByName(into)
 
 
+def _spread(key: str) -> Column:
+    """The key for a join that it has to find; nulls, which find nothing, each become a text of their own that no name has, so they don't meet in one task."""
+    return F.coalesce(key, F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string")))
+
+
 def resolve_symbols(seeds: DataFrame, lookup: DataFrame, symbol_col: str = "input_symbol") -> DataFrame:
     """`seeds` with mapping_status, resolved_symbol and notes.
 
@@ -45,11 +50,12 @@ def resolve_symbols(seeds: DataFrame, lookup: DataFrame, symbol_col: str = "inpu
         *(x for k in ("previous", "alias") for x in (F.count(F.when(F.col("class") == k, 1)).alias(f"n_{k}"), F.max(F.when(F.col("class") == k, F.col("symbol"))).alias(f"s_{k}"))),
         F.collect_set(F.when(F.col("class") == "withdrawn", F.col("symbol"))).alias("w"),
     )
-    s = seeds.withColumn("_key", F.nullif(_key(F.col(symbol_col)), F.lit("")))
-    j = s.join(agg, s["_key"] == agg["key"], "left")
+    # what a withdrawn name has become is found among the names, so each seed is looked up once
     ok = lookup.where("class = 'approved'").select(F.col("key").alias("_wkey"), F.col("symbol").alias("_wsym"))
-    j = j.withColumn("_into", F.when(F.size("w") == 1, _key(F.col("w")[0])))
-    j = j.join(ok, j["_into"] == ok["_wkey"], "left")
+    agg = agg.withColumn("_into", F.when(F.size("w") == 1, _key(F.col("w")[0])))
+    agg = agg.join(ok, agg["_into"] == ok["_wkey"], "left")
+    s = seeds.withColumn("_key", F.nullif(_key(F.col(symbol_col)), F.lit(""))).withColumn("_at", _spread("_key"))
+    j = s.join(agg, s["_at"] == agg["key"], "left")
     n_w = F.coalesce(F.size("w"), F.lit(0))
     status = (
         F.when(F.col("_key").isNull(), "not_found")
@@ -74,7 +80,8 @@ def normalize_targets(seeds: DataFrame, dictionary: DataFrame, withdrawn: DataFr
     rec = approved_records(dictionary)
     cols = [c for c in dictionary.columns if c != "row"]
     rec = rec.select(F.col("key").alias("_k"), F.col("symbol").alias("hgnc_symbol"), "hgnc_id", F.col("status").alias("hgnc_status"), first_present([F.col("ensembl_gene_id")]).alias("ensembl_gene_id"), first_present([F.col("entrez_id")]).alias("ncbi_gene_id"), first_present([F.col("uniprot_ids")]).alias("uniprot_id"), split_multi(F.col("alias_symbol")).alias("aliases"), split_multi(F.col("prev_symbol")).alias("previous_symbols"), record_hash(cols).alias("record_hash"))
-    return r.join(rec, _key(F.col("resolved_symbol")) == rec["_k"], "left").drop("_k", "resolved_symbol")
+    r = r.withColumn("_of", _key(F.col("resolved_symbol"))).withColumn("_of", _spread("_of"))
+    return r.join(rec, r["_of"] == rec["_k"], "left").drop("_k", "_of", "resolved_symbol")
 
 
 def mapping_status_counts(identities: DataFrame) -> DataFrame:

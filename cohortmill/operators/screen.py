@@ -65,7 +65,7 @@ def genomewide_screen(cells: DataFrame, members: DataFrame, genes: DataFrame | N
     statistics, background = screen_statistics(cells, members, keep)
     out = S.bh_qvalues(statistics, ["cancer_id", "comparison_type"])
     out = out.join(background, "gene").withColumn("fdr_0_05", F.coalesce(F.col("q_value") < 0.05, F.lit(False)))
-    return gene_metadata_join(out, genes) if genes is not None else out
+    return gene_metadata_join(out, genes) if genes is not None else out.withColumn("entrez", F.lit(None).cast("string"))
 
 
 def gene_metadata_join(results: DataFrame, genes: DataFrame) -> DataFrame:

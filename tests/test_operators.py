@@ -208,3 +208,65 @@ def test_thousands_of_contexts(spark):
             want[c.cancer_id, mid] = (status, "context" if status == c.context_status else "comparator" if status == c.comparator_status else "excluded", len(hits) * seen, (len(there) - len(hits)) * seen)
     got = {(r["cancer_id"], r["model_id"]): (r["molecular_status"], r["assigned_group"], len(r["qualifying"]), len(r["other"])) for r in C.cohort_assign(m, e, p, contexts, ["hotspot"], ["note"]).collect()}
     assert got == want and len(got) > 5000
+
+
+def test_rejected_records(spark, tmp_path):
+    path = tmp_path / "t.tsv"
+    path.write_text("a\tn\tc\n1\t2.5\tx\n2\n3\tabc\ty\tmore\n4\tNA\tz\n5\t\t\n6\t1e3\tx\n", encoding="utf-8")
+    df = T.read_delimited(spark, str(path), rejected="bad")
+    got = {r["a"]: (r["n"], r["c"], r["bad"]) for r in df.collect()}
+    assert got["1"] == ("2.5", "x", None) and got["2"][2] == "2" and got["3"][2] == "3\tabc\ty\tmore" and got["5"] == (None, None, None) and len(got) == 6
+    n = {(r["source"], r["kind"], r["field"]): r["n"] for r in T.rejections(df, "events", "bad", ["n"]).collect()}
+    assert n == {("events", "width", ""): 2, ("events", "number", "n"): 1}
+    m = tmp_path / "m.csv"
+    m.write_text('ModelID,K (1),"G, 2"\nA,1,2\nB,1\nC,1,2,3\nD,odd,NA\n"E, x",,"7"\n')
+    assert {r["kind"]: r["n"] for r in T.matrix_rejections(spark, str(m), "effects").collect()} == {"width": 2, "number": 1}
+    bad = T.rejections(df, "events", "bad", ["n"])
+    models = spark.createDataFrame([("1", "AAA")], "model_id string, code string")
+    profiles = spark.createDataFrame([("1", "wes", "true")], "model_id string, datatype string, is_default string")
+    d = spark.createDataFrame([("X", 6, 6, 0)], "cancer_id string, context_n int, comparator_n int, excluded_n int")
+    genes = spark.createDataFrame([("K",)], "gene string")
+    q = Q.qc_inputs(models, profiles, genes, genes.withColumn("cancer_id", F.lit("X")), d, rejected=bad).collect()
+    assert {(r["entity_id"], r["field"], r["observed"]) for r in q if r["check"] == "rejected_records"} == {("events", "width:", "2"), ("events", "number:n", "1")} and "inputs" not in {r["check"] for r in q}
+
+
+def test_landed_matrix(spark, tmp_path):
+    path = tmp_path / "m.csv"
+    genes = [f"G{i:03d}" for i in range(600)]
+    path.write_text("ModelID," + ",".join(f"{g} ({i})" for i, g in enumerate(genes)) + "\n" + "".join(f"M{m}," + ",".join(str(m + i / 8) if (m + i) % 5 else "" for i in range(600)) + "\n" for m in range(20)))
+    cells = T.read_matrix_long(spark, str(path))
+    T.land_matrix(cells, str(tmp_path / "landed"))
+    key = lambda df: sorted((r["model_id"], r["gene"], r["entrez"], r["value"]) for r in df.collect() if r["value"] is not None)
+    few = T.read_matrix_genes(spark, str(tmp_path / "landed"), ["G007", "G300"], landed=True)
+    assert key(few) == key(T.read_matrix_genes(spark, str(path), ["G300", "G007"])) and len(key(few)) == 32
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(gene, [G007,G300])]" in plan
+    many = T.read_landed(spark, str(tmp_path / "landed"), genes[20:580])
+    assert key(many) == [x for x in key(cells) if "G020" <= x[1] <= "G579"]
+    with pytest.raises(ValueError, match="NOPE"):
+        T.read_landed(spark, str(tmp_path / "landed"), ["G001", "NOPE"])
+    # a plan of the text file is as large for many genes as for few
+    size = lambda g: len(T.read_matrix_genes(spark, str(path), g)._jdf.queryExecution().optimizedPlan().toString())
+    assert size(genes[:500]) < size(genes[:2]) + 4000
+
+
+def test_wide_export(spark, tmp_path):
+    rows = [(m, g, e, v) for m in ("A", "B") for g, e, v in (("K", "7", 1.5), ("G, x", None, -2e-9))] + [("C", "K", "7", None)]
+    cells = spark.createDataFrame(rows, "model_id string, gene string, entrez string, value double")
+    T.write_matrix_wide(cells, str(tmp_path / "w"))
+    back = {(r["model_id"], r["gene"], r["entrez"], r["value"]) for r in T.read_matrix_long(spark, str(tmp_path / "w")).collect()}
+    assert back == {*rows, ("C", "G, x", None, None)}
+    with pytest.raises(ValueError, match="more than 1 genes"):
+        T.write_matrix_wide(cells, str(tmp_path / "x"), max_genes=1)
+    with pytest.raises(Exception, match="two values"):
+        T.write_matrix_wide(cells.union(cells), str(tmp_path / "y"))
+
+
+def test_contracts(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, [1])], "k string, n int, l array<int>")
+    T.write_table(df, str(tmp_path / "t"), ["k"], contract="l array<int>, k string, n long")
+    assert spark.read.parquet(str(tmp_path / "t/parquet")).schema["n"].dataType.simpleString() == "bigint"
+    assert [tuple(r) for r in T.read_delimited(spark, str(tmp_path / "t/tsv")).collect()] == [("[1]", "a", "1")]
+    for contract, what in (("k string, n int", "unknown: l"), ("k string, n int, l array<int>, m int", "missing: m"), ("k string, n boolean, l array<int>", "not as agreed")):
+        with pytest.raises(ValueError, match=what):
+            T.write_table(df, str(tmp_path / "u"), contract=contract)

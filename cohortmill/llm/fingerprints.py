@@ -4,19 +4,18 @@ A text is the set of the digests of its paragraphs, a line or a sentence each; a
 once. A sketch has three subtables; each digest stands in one cell of each, which keeps the count and the exclusive ors of
 digests and of their checks. The fingerprint of a text is its sketch. Cells of two versions' fingerprints subtract to a
 sketch of the difference. A cell of one digest gives it away; taking it out of its other cells frees further ones.
-Subtables take turns, so no digest comes out twice in a turn. Where something is left at the end, the pair is tried again
-with sketches of larger subtables.
+Subtables take turns, so no digest comes out twice in a turn. What is left after a turn of each subtable is written and dealt
+out anew; it is a small part of the cells, and after some rounds nothing. Where something is left at the end, the pair is
+tried again with sketches of larger subtables.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortmill.llm.common import materialise, new_path
+from cohortmill.llm.common import materialise
 
 PARAGRAPH = r"\n+|(?<=[.!?]) +"
 #: Cells of each of the three subtables of a fingerprint, and of the larger sketches of pairs whose difference it can't tell; ever larger ones follow.
@@ -53,14 +52,10 @@ def _difference(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return g.where((F.col("n") != 0) | (F.col("d") != 0) | (F.col("c") != 0) | (F.col("cell") < 0))
 
 
-def peel(cells: DataFrame, size: int, turns: int) -> DataFrame:
-    """key, row, which, found, left: of each subtracted sketch the number of digests recovered and of cells left over.
-
-    `cells` is partitioned by key, and every grouping here keeps to that.
-    """
+def _round(cells: DataFrame, size: int) -> DataFrame:
+    """One turn of each subtable. `cells` is dealt out by key and row, and every grouping here keeps to that. The cell -1 of a pair counts the digests that have come out."""
     keys = (*_WHERE, "which")
-    for turn in range(turns):
-        table = turn % 3
+    for table in range(3):
         pure = (F.col("cell") >= table * size) & (F.col("cell") < (table + 1) * size) & (F.abs("n") == 1) & (F.col("c") == _check(F.col("d")))
         item = lambda cell, n, d, c: F.struct(cell.alias("cell"), n.alias("n"), d.alias("d"), c.alias("c"))
         zero = F.lit(0).cast("long")
@@ -68,7 +63,18 @@ def peel(cells: DataFrame, size: int, turns: int) -> DataFrame:
         out.append(item(F.lit(-1).cast("long"), F.lit(1).cast("long"), zero, zero))
         x = F.explode(F.when(pure, F.array(*out)).otherwise(F.array(item(F.col("cell"), F.col("n"), F.col("d"), F.col("c")))))
         cells = _difference(cells.select(*keys, x.alias("x")).select(*keys, "x.cell", "x.n", "x.d", "x.c"), keys)
-    return cells.groupBy(*keys).agg(F.sum(F.when(F.col("cell") < 0, F.col("n")).otherwise(0)).alias("found"), F.count(F.when(F.col("cell") >= 0, 1)).alias("left"))
+    return cells
+
+
+def peel(cells: DataFrame, size: int, rounds: int) -> DataFrame:
+    """key, row, which, found, left: of each subtracted sketch the number of digests recovered and of cells left over. `cells` is dealt out by key and row."""
+    left = materialise(_round(cells, size))
+    for _ in range(rounds - 1):
+        if left.where("cell >= 0").isEmpty():
+            break
+        left = materialise(_round(left.repartition(*_WHERE), size))
+    # a pair of which no cell is left is its count alone
+    return left.groupBy(*_WHERE, "which").agg(F.sum(F.when(F.col("cell") < 0, F.col("n")).otherwise(0)).alias("found"), F.count(F.when(F.col("cell") >= 0, 1)).alias("left"))
 
 
 def _pairs(cells: DataFrame) -> DataFrame:
@@ -86,36 +92,25 @@ def fingerprints(sets: DataFrame, size: int = PRINT_CELLS) -> DataFrame:
     return cells.groupBy(*_WHERE).agg(*(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, cell))), lambda x: x["s"]), ",").alias(k) for k in ("own", "edited")))
 
 
-def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    """`df` written to the shared folder, dealt out by `key`. Only a table in the catalog can say that it is, so it stands there until it has been looked up."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = "t" + uuid.uuid4().hex
-    df.write.format("parquet").bucketBy(n, key).option("path", new_path(spark)).saveAsTable(name)
-    out = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")
-    return out
-
-
 def _sets(one: DataFrame) -> DataFrame:
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("set")) for k, c in (("own", "own"), ("edited", "edit"), ("next", "next_set"))))
     return one.select(*_WHERE, F.explode(kinds).alias("x")).select(*_WHERE, "x.kind", "x.set")
 
 
-def likeness(one: DataFrame, sizes: tuple[int, ...] = (PRINT_CELLS, *LARGER), turns: int = 15) -> DataFrame:
+def likeness(one: DataFrame, sizes: tuple[int, ...] = (PRINT_CELLS, *LARGER), rounds: int = 5) -> DataFrame:
     """key, row, which, likeness: shared digests as a part of all digests of both, from what peeling the subtracted fingerprints recovers.
 
-    `one` has key, row and digest arrays own, edit and next_set, and is bucketed by key. Equal sets, two empty ones too, are
+    `one` has key, row and digest arrays own, edit and next_set, and is stored. Equal sets, two empty ones too, are
     1. Larger sketches than fingerprints are made only of the texts of pairs that fail, as long as there are such.
     """
     all_of = F.explode(F.array(*(F.struct(F.lit(w).alias("which"), (F.size("own") + F.size(c)).alias("total")) for w, c in (("edited", "edit"), ("next", "next_set")))))
     totals = one.select(*_WHERE, all_of.alias("x")).select(*_WHERE, "x.which", "x.total")
-    todo, done, level = one, None, 0
+    keys, todo, done, level = [*_WHERE, "which"], one, None, 0
     while True:
         size = sizes[level] if level < len(sizes) else sizes[-1] * 8 ** (level - len(sizes) + 1)
-        found = peel(_pairs(sketch(_sets(todo), size, (*_WHERE, "kind"))), size, turns)
+        # digests are dealt out once; their cells, which are many more, stay where they are made
+        found = peel(_pairs(sketch(_sets(todo.repartition(*_WHERE)), size, (*_WHERE, "kind"))), size, rounds)
         want = totals if not level else todo.select(*_WHERE, F.explode("again").alias("again")).select(*_WHERE, "again.which", "again.total")
-        keys = [*_WHERE, "which"]
         peeled = materialise(want.join(found, keys, "left").withColumn("found", F.coalesce("found", F.lit(0))).withColumn("left", F.coalesce("left", F.lit(0))))
         shared = (F.col("total") - F.col("found")) / 2
         good = peeled.where("left = 0").select(*keys, F.when(F.col("total") == 0, F.lit(1.0)).otherwise(shared / (shared + F.col("found"))).alias("likeness"))
@@ -123,12 +118,10 @@ def likeness(one: DataFrame, sizes: tuple[int, ...] = (PRINT_CELLS, *LARGER), tu
         failed = peeled.where("left > 0")
         if failed.isEmpty():
             return done
-        # dealt out as `one` is, so neither the digests nor later their cells are shuffled
-        failed = _bucketed(failed.groupBy(*_WHERE).agg(F.collect_list(F.struct("which", "total")).alias("again")), "key")
+        failed = failed.groupBy(*_WHERE).agg(F.collect_list(F.struct("which", "total")).alias("again"))
         # of a text that has one pair left, the other pair's set is not needed again
         still = lambda c, w: F.when(F.exists("again", lambda x: x["which"] == w), F.col(c)).otherwise(F.array().cast("array<bigint>")).alias(c)
-        todo = todo.drop("again").join(failed, list(_WHERE)).select(*_WHERE, "own", still("edit", "edited"), still("next_set", "next"), "again")
-        todo = _bucketed(todo, "key")
+        todo = materialise(todo.drop("again").join(failed, list(_WHERE)).select(*_WHERE, "own", still("edit", "edited"), still("next_set", "next"), "again"))
         level += 1
 
 
@@ -161,15 +154,14 @@ def version_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     edited = F.concat(F.col("text").substr(F.lit(1), n - cut), F.col("given.head").substr(F.lit(1), cut))
     both = t.join(give, "key").select("key", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), F.col("given.set").alias("next_set"))
     both = both.select("key", "n_chars", F.xxhash64("text").alias("row"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("edit"), "next_set")
-    both = _bucketed(both, "key")
-    return _finish(both)
+    return _finish(materialise(both))
 
 
 def _finish(both: DataFrame) -> DataFrame:
     # the sets of both pairs stand in one row for each different text of an id
-    one = both.dropDuplicates([*_WHERE]).select(*_WHERE, "own", "edit", "next_set")
+    one = materialise(both.dropDuplicates([*_WHERE]).select(*_WHERE, "own", "edit", "next_set"))
     near = likeness(one).groupBy(*_WHERE).agg(*(F.max(F.when(F.col("which") == w, F.col("likeness"))).alias(f"near_{w}") for w in ("edited", "next")))
-    prints = fingerprints(_sets(one).where("kind <> 'next'")).withColumnsRenamed({"own": "fingerprint", "edited": "edited_fingerprint"})
+    prints = fingerprints(_sets(one.repartition(*_WHERE)).where("kind <> 'next'")).withColumnsRenamed({"own": "fingerprint", "edited": "edited_fingerprint"})
     out = both.drop("own", "edit", "next_set").join(near, list(_WHERE)).join(prints, list(_WHERE), "left")
     doc_id = F.when(F.col("key") != F.lit(-(1 << 63)).cast("long"), F.col("key"))
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)

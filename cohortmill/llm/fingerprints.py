@@ -4,18 +4,20 @@ A text is the set of the digests of its paragraphs, a line or a sentence each; a
 once. A sketch has three subtables; each digest stands in one cell of each, which keeps the count and the exclusive ors of
 digests and of their checks. The fingerprint of a text is its sketch. Cells of two versions' fingerprints subtract to a
 sketch of the difference. A cell of one digest gives it away; taking it out of its other cells frees further ones.
-Subtables take turns, so no digest comes out twice in a turn. What is left after a turn of each subtable is written and dealt
-out anew; it is a small part of the cells, and after some rounds nothing. Where something is left at the end, the pair is
+Subtables take turns, so no digest comes out twice in a turn. What is left after two turns of each subtable is written and
+goes on; it is a small part of the cells, and after some more turns nothing. Where something is left at the end, the pair is
 tried again with sketches of larger subtables.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortmill.llm.common import materialise
+from cohortmill.llm.common import materialise, new_path
 
 PARAGRAPH = r"\n+|(?<=[.!?]) +"
 #: Cells of each of the three subtables of a fingerprint, and of the larger sketches of pairs whose difference it can't tell; ever larger ones follow.
@@ -66,15 +68,33 @@ def _round(cells: DataFrame, size: int) -> DataFrame:
     return cells
 
 
+#: A pair that has more than this part of its cells left after two rounds holds more digests than peeling can tell apart.
+_FULL = 0.8
+
+
 def peel(cells: DataFrame, size: int, rounds: int) -> DataFrame:
-    """key, row, which, found, left: of each subtracted sketch the number of digests recovered and of cells left over. `cells` is dealt out by key and row."""
-    left = materialise(_round(cells, size))
-    for _ in range(rounds - 1):
-        if left.where("cell >= 0").isEmpty():
+    """key, row, which, found, left: of each subtracted sketch the number of digests recovered and of cells left over. `cells` is dealt out by key and row.
+
+    Two rounds are done where the cells are made; of what they leave only the pairs with some cells left, and not nearly all, go on.
+    """
+    keys = [*_WHERE, "which"]
+    first = _round(_round(cells, size), size)
+    pair = W.partitionBy(*keys)
+    first = first.withColumns({"_n": F.count(F.when(F.col("cell") >= 0, 1)).over(pair), "_last": F.max("cell").over(pair)})
+    # of the cells of a hopeless pair one stays, which says that something is left
+    left, done = materialise(first.where((F.col("cell") < 0) | (F.col("_n") <= int(_FULL * 3 * size)) | (F.col("cell") == F.col("_last"))).drop("_n", "_last")), None
+    for i in range(rounds - 1):
+        per = left.groupBy(*keys).agg(F.sum(F.when(F.col("cell") < 0, F.col("n")).otherwise(0)).alias("found"), F.count(F.when(F.col("cell") >= 0, 1)).alias("left"))
+        if i == rounds - 2:
+            break
+        per = materialise(per)
+        goes_on = per.where("left > 1").select(*keys)
+        if goes_on.isEmpty():
             break
-        left = materialise(_round(left.repartition(*_WHERE), size))
-    # a pair of which no cell is left is its count alone
-    return left.groupBy(*_WHERE, "which").agg(F.sum(F.when(F.col("cell") < 0, F.col("n")).otherwise(0)).alias("found"), F.count(F.when(F.col("cell") >= 0, 1)).alias("left"))
+        ended = per.join(goes_on, keys, "left_anti")
+        done = ended if done is None else done.unionByName(ended)
+        left = materialise(_round(left.join(goes_on, keys, "left_semi"), size))
+    return per if done is None else done.unionByName(per)
 
 
 def _pairs(cells: DataFrame) -> DataFrame:
@@ -92,15 +112,24 @@ def fingerprints(sets: DataFrame, size: int = PRINT_CELLS) -> DataFrame:
     return cells.groupBy(*_WHERE).agg(*(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, cell))), lambda x: x["s"]), ",").alias(k) for k in ("own", "edited")))
 
 
+def _dealt(df: DataFrame, rows: int) -> DataFrame:
+    """`df` written to the shared folder, dealt out by key into parts of some thousand of `rows`. Only a table in the catalog can say that it is, so it stands there until it has been looked up."""
+    spark, name = df.sparkSession, "t" + uuid.uuid4().hex
+    df.write.format("parquet").bucketBy(max(4, -(-rows // 5000)), "key").option("path", new_path(spark)).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def _sets(one: DataFrame) -> DataFrame:
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("set")) for k, c in (("own", "own"), ("edited", "edit"), ("next", "next_set"))))
     return one.select(*_WHERE, F.explode(kinds).alias("x")).select(*_WHERE, "x.kind", "x.set")
 
 
-def likeness(one: DataFrame, sizes: tuple[int, ...] = (PRINT_CELLS, *LARGER), rounds: int = 5) -> DataFrame:
+def likeness(one: DataFrame, rows: int, sizes: tuple[int, ...] = (PRINT_CELLS, *LARGER), rounds: int = 6) -> DataFrame:
     """key, row, which, likeness: shared digests as a part of all digests of both, from what peeling the subtracted fingerprints recovers.
 
-    `one` has key, row and digest arrays own, edit and next_set, and is stored. Equal sets, two empty ones too, are
+    `one`, of about `rows` rows, has key, row and digest arrays own, edit and next_set, and is dealt out by key. Equal sets, two empty ones too, are
     1. Larger sketches than fingerprints are made only of the texts of pairs that fail, as long as there are such.
     """
     all_of = F.explode(F.array(*(F.struct(F.lit(w).alias("which"), (F.size("own") + F.size(c)).alias("total")) for w, c in (("edited", "edit"), ("next", "next_set")))))
@@ -108,8 +137,8 @@ def likeness(one: DataFrame, sizes: tuple[int, ...] = (PRINT_CELLS, *LARGER), ro
     keys, todo, done, level = [*_WHERE, "which"], one, None, 0
     while True:
         size = sizes[level] if level < len(sizes) else sizes[-1] * 8 ** (level - len(sizes) + 1)
-        # digests are dealt out once; their cells, which are many more, stay where they are made
-        found = peel(_pairs(sketch(_sets(todo.repartition(*_WHERE)), size, (*_WHERE, "kind"))), size, rounds)
+        # digests were dealt out once; their cells, which are many more, stay where they are made
+        found = peel(_pairs(sketch(_sets(todo), size, (*_WHERE, "kind"))), size, rounds)
         want = totals if not level else todo.select(*_WHERE, F.explode("again").alias("again")).select(*_WHERE, "again.which", "again.total")
         peeled = materialise(want.join(found, keys, "left").withColumn("found", F.coalesce("found", F.lit(0))).withColumn("left", F.coalesce("left", F.lit(0))))
         shared = (F.col("total") - F.col("found")) / 2
@@ -118,10 +147,11 @@ def likeness(one: DataFrame, sizes: tuple[int, ...] = (PRINT_CELLS, *LARGER), ro
         failed = peeled.where("left > 0")
         if failed.isEmpty():
             return done
-        failed = failed.groupBy(*_WHERE).agg(F.collect_list(F.struct("which", "total")).alias("again"))
+        failed = materialise(failed.groupBy(*_WHERE).agg(F.collect_list(F.struct("which", "total")).alias("again")))
+        rows = failed.count()
         # of a text that has one pair left, the other pair's set is not needed again
         still = lambda c, w: F.when(F.exists("again", lambda x: x["which"] == w), F.col(c)).otherwise(F.array().cast("array<bigint>")).alias(c)
-        todo = materialise(todo.drop("again").join(failed, list(_WHERE)).select(*_WHERE, "own", still("edit", "edited"), still("next_set", "next"), "again"))
+        todo = _dealt(todo.drop("again").join(failed, list(_WHERE)).select(*_WHERE, "own", still("edit", "edited"), still("next_set", "next"), "again"), rows)
         level += 1
 
 
@@ -144,7 +174,7 @@ def version_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     paragraphs; two such are alike by 1, one and another text by 0. Other columns are ignored, an empty table gives no rows.
     """
     t = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = materialise(t.groupBy("key").agg(F.max(F.length("text")).alias("n")))
+    ids = materialise(t.groupBy("key").agg(F.max(F.length("text")).alias("n"), F.count(F.lit(1)).alias("rows")))
     after = next_ids(ids)
     wants = materialise(after.join(ids, "key").select(F.col("next").alias("key"), F.col("key").alias("to"), F.floor(F.col("n") / 3).cast("int").alias("need")))
     give = t.join(wants, "key").select("to", F.struct(F.col("text").substr(F.lit(1), F.col("need")).alias("head"), digests(F.col("text")).alias("set")).alias("given"))
@@ -154,14 +184,15 @@ def version_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     edited = F.concat(F.col("text").substr(F.lit(1), n - cut), F.col("given.head").substr(F.lit(1), cut))
     both = t.join(give, "key").select("key", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), F.col("given.set").alias("next_set"))
     both = both.select("key", "n_chars", F.xxhash64("text").alias("row"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("edit"), "next_set")
-    return _finish(materialise(both))
+    rows = ids.agg(F.sum("rows")).first()[0] or 0
+    return _finish(_dealt(both, rows), rows)
 
 
-def _finish(both: DataFrame) -> DataFrame:
+def _finish(both: DataFrame, rows: int) -> DataFrame:
     # the sets of both pairs stand in one row for each different text of an id
-    one = materialise(both.dropDuplicates([*_WHERE]).select(*_WHERE, "own", "edit", "next_set"))
-    near = likeness(one).groupBy(*_WHERE).agg(*(F.max(F.when(F.col("which") == w, F.col("likeness"))).alias(f"near_{w}") for w in ("edited", "next")))
-    prints = fingerprints(_sets(one.repartition(*_WHERE)).where("kind <> 'next'")).withColumnsRenamed({"own": "fingerprint", "edited": "edited_fingerprint"})
+    one = both.dropDuplicates([*_WHERE]).select(*_WHERE, "own", "edit", "next_set")
+    near = likeness(one, rows).groupBy(*_WHERE).agg(*(F.max(F.when(F.col("which") == w, F.col("likeness"))).alias(f"near_{w}") for w in ("edited", "next")))
+    prints = fingerprints(_sets(one).where("kind <> 'next'")).withColumnsRenamed({"own": "fingerprint", "edited": "edited_fingerprint"})
     out = both.drop("own", "edit", "next_set").join(near, list(_WHERE)).join(prints, list(_WHERE), "left")
     doc_id = F.when(F.col("key") != F.lit(-(1 << 63)).cast("long"), F.col("key"))
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)

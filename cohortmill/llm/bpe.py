@@ -14,6 +14,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,11 @@ from pyspark.sql import functions as F
 from cohortmill.llm.common import text_blocks, text_of, tidied
 
 ROOT = 0
+#: A hypothesis is one number: the node of the trie, and in the last _BITS bits the token before plus 1.
+_BITS = 20
+_TOKEN = (1 << _BITS) - 1
+#: Characters of texts whose new words are encoded together.
+BLOCK = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -43,10 +49,12 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 class Transducer:
     """The lazily determinised transducer for one rank table. `max_states` bounds the memory: beyond it all states are forgotten."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 80_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.length = {v: len(k) for k, v in ranks.items()}
+        self.lengths = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        self.lengths[list(self.length)] = list(self.length.values())
         self.child: dict[int, int] = {}
         self.token_at, self.leaf, self.depth = [-1], [True], [0]
         for token, rank in ranks.items():
@@ -62,14 +70,16 @@ class Transducer:
                     self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.token_at[node] = rank
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.spines: dict[tuple[int, bool], list[tuple[int, bytes]]] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.states: list[tuple[tuple[int, int], ...]] = [((ROOT, -1),)]
+        self.states: list[tuple[int, ...]] = [(ROOT << _BITS,)]
         self.number = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, int]] = {}
+        # transitions by state << 8 | byte, sorted for many at once: the next state and the token that then comes last
+        self.keys, self.to, self.last = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.fresh: dict[int, tuple[int, int]] = {}
 
     def spine(self, token: int, right: bool) -> list[tuple[int, bytes]]:
         """The nodes of the token's merge tree along one edge, from the byte up, each with the time at which it stands: the highest rank merged below it."""
@@ -94,7 +104,7 @@ class Transducer:
         two nodes that stand side by side join before either goes into its own parent. Equal times are left to
         `merge_by_rank`.
         """
-        key = (left, right)
+        key = left + 1 << _BITS | right
         known = self.fits.get(key)
         if known is None:
             b = self.bytes_of[right]
@@ -102,7 +112,7 @@ class Transducer:
                 known = merge_by_rank(b, self.ranks) == [b]
             else:
                 known = self.compatible(-1, right) and self.seam_holds(left, right)
-            if len(self.fits) > 250_000:
+            if len(self.fits) > 150_000:
                 self.fits.clear()
             self.fits[key] = known
         return known
@@ -130,27 +140,77 @@ class Transducer:
     def move(self, key: int) -> tuple[int, int]:
         """The transition of state key >> 8 on byte key & 255: the next state and the token that now comes last."""
         alive, last, b = [], -1, key & 255
-        for node, before in self.states[key >> 8]:
-            nxt = self.child.get(node << 8 | b)
+        child, token_at, leaf, fits = self.child, self.token_at, self.leaf, self.fits
+        for h in self.states[key >> 8]:
+            nxt = child.get(h >> _BITS << 8 | b)
             if nxt is None:
                 continue
-            t = self.token_at[nxt]
-            if t >= 0 and last < 0 and self.compatible(before, t):
-                last = t
-            if not self.leaf[nxt]:
-                alive.append((nxt, before))
-        state = (*alive, (ROOT, last))
+            before = h & _TOKEN
+            if last < 0:
+                t = token_at[nxt]
+                if t >= 0:
+                    fit = fits.get(before << _BITS | t)
+                    if fit or fit is None and self.compatible(before - 1, t):
+                        last = t
+            if not leaf[nxt]:
+                alive.append(nxt << _BITS | before)
+        alive.append(ROOT << _BITS | last + 1)
+        state = tuple(alive)
         number = self.number.get(state)
         if number is None:
             number = self.number[state] = len(self.states)
             self.states.append(state)
-        out = self.moves[key] = (number, last)
-        return out
+        return number, last
+
+    def end(self, key: int) -> int:
+        """The token that comes last after state key >> 8 and the byte key & 255, where nothing follows: no state is made."""
+        child, token_at, fits, b = self.child, self.token_at, self.fits, key & 255
+        for h in self.states[key >> 8]:
+            nxt = child.get(h >> _BITS << 8 | b)
+            if nxt is not None and (t := token_at[nxt]) >= 0:
+                before = h & _TOKEN
+                fit = fits.get(before << _BITS | t)
+                if fit or fit is None and self.compatible(before - 1, t):
+                    return t
+        return -1
+
+    def step(self, states: np.ndarray, data: np.ndarray, more: int) -> tuple[np.ndarray, np.ndarray]:
+        """The next state and the last token for each state and byte. Transitions that are not known yet are determined once each; only the first `more` need a state, as for the others nothing follows."""
+        key = states.astype(np.int64) << 8 | data
+        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
+        to, last = (self.to[at], self.last[at]) if len(self.keys) else (np.zeros(len(key), np.int32), np.zeros(len(key), np.int32))
+        fresh = self.fresh
+        new, which = np.unique(key[:more][~known[:more]], return_inverse=True)
+        if len(new):
+            made = []
+            for k in new.tolist():
+                m = fresh.get(k)
+                if m is None:
+                    m = fresh[k] = self.move(k)
+                made.append(m)
+            made = np.array(made, np.int32)
+            open_ = np.flatnonzero(~known[:more])
+            to[open_], last[open_] = made[which, 0], made[which, 1]
+        new, which = np.unique(key[more:][~known[more:]], return_inverse=True)
+        if len(new):
+            closed = more + np.flatnonzero(~known[more:])
+            last[closed] = np.array([m[1] if (m := fresh.get(k)) else self.end(k) for k in new.tolist()], np.int32)[which]
+        return to, last
+
+    def store(self) -> None:
+        """Puts the new transitions among the sorted ones."""
+        if self.fresh:
+            new = np.array(sorted(self.fresh), np.int64)
+            made = np.array([self.fresh[k] for k in new.tolist()], np.int32)
+            place = np.searchsorted(self.keys, new)
+            self.keys, self.to, self.last = np.insert(self.keys, place, new), np.insert(self.to, place, made[:, 0]), np.insert(self.last, place, made[:, 1])
+            self.fresh = {}
 
     def settled(self, state: int, lasts: list[int]) -> int:
         """The end of the tokens on which all hypotheses agree."""
         here, length = len(lasts), self.length
-        ends = {here - self.depth[node] for node, _ in self.states[state]}
+        ends = {here - self.depth[h >> _BITS] for h in self.states[state]}
         while len(ends) > 1:
             far = max(ends)
             ends.remove(far)
@@ -168,7 +228,7 @@ class Transducer:
         return out
 
     def encode(self, piece: bytes, step: int = 1024) -> list[int]:
-        """The ids of one pre-token; a piece that is itself a token is that token."""
+        """The ids of one pre-token of any length, put out while it is read; a piece that is itself a token is that token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
@@ -176,9 +236,13 @@ class Transducer:
             self.reset()
         out: list[int] = []
         lasts: list[int] = []
-        state, moves, move = 0, self.moves, self.move
+        state, moves = 0, {}
         for b in piece:
-            state, last = moves.get(state << 8 | b) or move(state << 8 | b)
+            key = state << 8 | b
+            known = moves.get(key)
+            if known is None:
+                known = moves[key] = self.move(key)
+            state, last = known
             lasts.append(last)
             if len(lasts) == step:
                 end = self.settled(state, lasts)
@@ -187,6 +251,44 @@ class Transducer:
                 step = len(lasts) + 1024
         return out + self.trace(lasts, len(lasts))
 
+    def encode_all(self, pieces: list[bytes], longest: int = 64) -> list[list[int]]:
+        """`encode` of each piece. Those of at most `longest` bytes advance together, a byte at a time; the tokens of each are then traced back from its end, all pieces at once."""
+        out: list[list[int]] = [[]] * len(pieces)
+        size = np.array([len(p) for p in pieces], np.int64)
+        for i in np.flatnonzero(size > longest).tolist():
+            out[i] = self.encode(pieces[i])
+        short = np.flatnonzero((size > 0) & (size <= longest))
+        # the longest first, so that those still being read are the first ones
+        short = short[np.argsort(-size[short], kind="stable")]
+        n = size[short]
+        if not len(short):
+            return out
+        if len(self.states) > self.max_states:
+            self.reset()
+        wide = int(n[0])
+        data = np.frombuffer(b"".join(pieces[i].ljust(wide, b"\0") for i in short.tolist()), np.uint8).reshape(-1, wide)
+        lasts = np.full((wide, len(short)), -1, np.int32)
+        states = np.zeros(len(short), np.int32)
+        for k in range(wide):
+            live, more = (int(np.searchsorted(-n, -x, "left")) for x in (k, k + 1))  # pieces of more than so many bytes
+            states[:live], lasts[k, :live] = self.step(states[:live], data[:live, k], more)
+        self.store()
+        end, every = n.copy(), np.arange(len(short))
+        tokens: list[np.ndarray] = []
+        while (left := every[end > 0]).size:
+            t = np.full(len(short), -1, np.int32)
+            t[left] = lasts[end[left] - 1, left]
+            tokens.append(t)
+            end[left] -= self.lengths[t[left]]
+        rows = np.stack(tokens[::-1], 1).tolist()
+        for i, row in zip(short.tolist(), rows):
+            out[i] = [x for x in row if x >= 0]
+        for i in short.tolist():
+            whole = self.ranks.get(pieces[i])
+            if whole is not None:
+                out[i] = [whole]
+        return out
+
 
 #: Number of bytes that a UTF-8 lead byte asks for.
 _NEED = bytes([1] * 0x80 + [0] * 0x42 + [2] * 0x1E + [3] * 0x10 + [4] * 5 + [0] * 11)
@@ -225,51 +327,59 @@ class Codec:
     blank before a word do. Then, where every run of white space is one space or one line end, words can be looked up without matching the pattern again; other texts are matched as a whole.
     """
 
-    def __init__(self, rank_path: str, pattern: str, cache: int = 120_000, words: bool = True):
+    def __init__(self, rank_path: str, pattern: str, cache: int = 60_000, words: bool = True):
         import regex
 
         self.fst = Transducer(load_ranks(rank_path))
         self.split = regex.compile(pattern).findall
-        self.plain: dict[str, tuple[int, ...]] = {}
-        self.spaced: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, list[int]] = {}
         self.size, self.words = cache, words
 
     def forget(self) -> None:
         """Empties what grows with the texts, for the worker may go on with other work."""
-        self.plain.clear()
-        self.spaced.clear()
+        self.known.clear()
         self.fst.fits.clear()
+        self.fst.spines.clear()
         self.fst.reset()
 
-    def fresh(self, cache: dict, word: str, piece: str) -> tuple[int, ...]:
-        if len(cache) >= self.size:
-            cache.clear()
-        out = cache[word] = tuple(i for p in self.split(piece) for i in self.fst.encode(p.encode("utf-8")))
+    def parts(self, text: str) -> list[str]:
+        """What is looked up: words with the blank before them where those can stand for the pattern's matches, else the matches."""
+        if not self.words or " ".join(text.split()) != text.replace("\n", " "):
+            return self.split(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in text else self.split(text)
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text; parts that are new are encoded together."""
+        parts = [self.parts(t) for t in texts]
+        new = list({p for own in parts for p in own if p and p not in self.known})
+        if len(self.known) + len(new) > self.size:
+            self.known.clear()
+            new = list({p for own in parts for p in own if p})
+        split, pieces, number = self.split, [], []
+        for p in new:
+            own = split(p)
+            number.append(len(own))
+            pieces += own
+        found = iter(self.fst.encode_all([p.encode("utf-8") for p in pieces]))
+        known = self.known
+        for p, n in zip(new, number):
+            known[p] = next(found) if n == 1 else [i for _ in range(n) for i in next(found)]
+        known[""] = []
+        out = []
+        for own in parts:
+            ids: list[int] = []
+            for p in own:
+                ids += known[p]
+            out.append(ids)
         return out
 
     def encode(self, text: str) -> list[int]:
-        plain, spaced, fresh, out = self.plain, self.spaced, self.fresh, []
-        if not self.words or " ".join(text.split()) != text.replace("\n", " "):
-            for piece in self.split(text):
-                out += plain.get(piece) or fresh(plain, piece, piece)
-            return out
-        if not text:
-            return out
-        end = plain.get("\n") or fresh(plain, "\n", "\n")
-        for line in text.split("\n"):
-            words = line.split(" ")
-            out += plain.get(words[0]) or fresh(plain, words[0], words[0])
-            for w in words[1:]:
-                out += spaced.get(w) or fresh(spaced, w, " " + w)
-            out += end
-        del out[-len(end) :]
-        return out
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int], step: int = 65_536) -> str:
         d = StreamDecoder(self.fst.bytes_of)
         return "".join([*(d.feed(ids[i : i + step]) for i in range(0, len(ids), step)), d.finish()])
 
-
     def decoded_sha256(self, ids: list[int], step: int = 65_536) -> str:
         d, h = StreamDecoder(self.fst.bytes_of), hashlib.sha256()
         for i in range(0, len(ids), step):
@@ -298,12 +408,12 @@ def bpe_encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(rank_path, pattern, words)
-        for b in batches:
-            ids = [c.encode(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for keys, texts in text_blocks(batches, BLOCK):
+            yield pa.RecordBatch.from_arrays([keys, pa.array(c.encode_all(texts), pa.list_(pa.int32()))], ["doc_id", "ids"])
+        c.forget()
 
     t = text_of(docs, id_col, text_col)
-    return t.mapInArrow(run, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return t.mapInArrow(tidied(run), f"doc_id {t.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
@@ -312,9 +422,11 @@ def bpe_decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(rank_path, pattern)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+            for at in range(0, b.num_rows, 200):
+                few = b.slice(at, 200)
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array([c.decode(x or []) for x in few.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidied(run), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def bpe_digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", words: bool = True) -> DataFrame:
@@ -327,10 +439,9 @@ def bpe_digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(rank_path, pattern, words)
         names = {i: str(i) for i in c.fst.bytes_of}
-        for keys, texts in text_blocks(batches):
+        for keys, texts in text_blocks(batches, BLOCK):
             n, a, d = [], [], []
-            for text in texts:
-                ids = c.encode(text)
+            for ids in c.encode_all(texts):
                 n.append(len(ids))
                 a.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
                 d.append(c.decoded_sha256(ids))

@@ -31,7 +31,7 @@ POOLED = "*"
 #: The noncharacter that stands before a text.
 PAD = 0x10FFFF
 #: Characters of a chunk, and of all chunks that a task holds open.
-CHUNK, HELD = 1_000_000, 4_000_000
+CHUNK, HELD = 600_000, 2_400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,6 +116,21 @@ def _unsqueezed(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).reshape(-1)
 
 
+def _narrowed(a: np.ndarray) -> bytes:
+    """Floats to 16 bits of their significand, as `_squeezed` bytes: the three leading bytes of each, rounded."""
+    bits = np.ascontiguousarray(a, np.float32).view(np.uint32) + np.uint32(0x80)
+    raw = np.ascontiguousarray(bits).view(np.uint8).reshape(-1, 4)[:, 1:].T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _widened(b: bytes) -> np.ndarray:
+    size = int.from_bytes(b[:8], "little")
+    raw = np.frombuffer(pa.decompress(b[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8).reshape(3, -1)
+    out = np.zeros((raw.shape[1], 4), np.uint8)
+    out[:, 1:] = raw.T
+    return out.view(np.float32).reshape(-1)
+
+
 def _packed(codes: list[np.ndarray]) -> bytes:
     """n-grams of all orders, symbol by symbol, so that those with common beginnings cost little."""
     return _squeezed(np.concatenate([c.T.ravel() for c in codes])) if sum(c.size for c in codes) else b""
@@ -294,13 +309,13 @@ class _Table:
     @staticmethod
     def find(held: tuple[np.ndarray, np.ndarray] | None, h: np.ndarray, default: float) -> np.ndarray:
         if held is None or not len(held[0]):
-            return np.full(len(h), default, np.float16)
+            return np.full(len(h), default, np.float32)
         at = np.minimum(np.searchsorted(held[0], h), len(held[0]) - 1)
-        return np.where(held[0][at] == h, held[1][at], default).astype(np.float16)
+        return np.where(held[0][at] == h, held[1][at], default).astype(np.float32)
 
 
 def _answers(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
-    """Of each chunk's questions to a shard: log probabilities of all orders and log weights of all but the highest, in half precision."""
+    """Of each chunk's questions to a shard: log probabilities of all orders and log weights of all but the highest, to 1 part in 100,000."""
     models = {m: _Table(table.filter(pc.equal(table.column("model"), m))) for m in pc.unique(table.column("model")).to_pylist()}
     none = _Table(table.slice(0, 0))
     out = []
@@ -309,7 +324,7 @@ def _answers(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
         hashes = [gram_hashes(c) for c in _unpacked(grams.as_py(), numbers)]
         p = [_Table.find(t.p.get(n), h, np.nan) for n, h in enumerate(hashes)]
         b = [_Table.find(t.b.get(n), h, 0.0) for n, h in enumerate(hashes[:-1])]
-        out.append(_squeezed(np.concatenate(p + b)))
+        out.append(_narrowed(np.concatenate(p + b)))
     tidy()
     return pa.table([asked.column("chunk"), pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["chunk", "shard", "answers"])
 
@@ -321,7 +336,7 @@ def _log_probabilities(g: Grams, answers: dict[int, bytes], shards: int) -> np.n
     b = [np.zeros(len(c), np.float32) for c in g.codes[:-1]]
     at = [shard_of(c, shards) for c in g.codes]
     for s, raw in answers.items():
-        a, k = _unsqueezed(raw, np.float16), 0
+        a, k = _widened(raw), 0
         for held in (p, b):
             for n in range(len(held)):
                 i = np.flatnonzero(at[n] == s)
@@ -441,33 +456,31 @@ def score_texts(rows: DataFrame, table: DataFrame, order: int, text_at: int, sha
 
 # ---- limits -------------------------------------------------------------------------------------------------------
 
-#: The share of a group's trusted texts that may lie beyond a limit, and the fewest texts of which such a quantile is taken.
-TAIL, ENOUGH = 0.005, 400
+#: The share of a group's trusted texts that may lie beyond a limit, and how many standard errors a limit allows for the number of texts it comes from.
+TAIL, ERRORS = 0.005, 3.0
 
 
 def _limits(trusted: DataFrame, group: list[str], tail: float) -> DataFrame:
-    """Limits for each group of `trusted`: top, the 1 - tail quantile of h, and new, the tail quantile of share, to 3 digits. Fewer than ENOUGH texts do not
-    determine these; there the mean and 4 standard deviations (at least 0.05 together) stand for them."""
+    """For each group of `trusted`: top, the 1 - tail quantile of h, and new, the tail quantile of share, to 3 digits; the number of texts, and the standard deviations of both (at least 0.01)."""
     w = lambda x: W.partitionBy(*group).orderBy(x)
     out = None
-    for x, name, sign, q in (("h", "top", 1, 1 - tail), ("share", "new", -1, tail)):
+    for x, name, q in (("h", "top", 1 - tail), ("share", "new", tail)):
         bins = trusted.groupBy(*group, F.round(x, 3).alias("x")).agg(F.count(F.lit(1)).alias("c"))
         bins = bins.withColumn("upto", F.sum("c").over(w("x"))).withColumn("all", F.sum("c").over(W.partitionBy(*group)))
         n, mean = F.sum("c"), F.sum(F.col("c") * F.col("x")) / F.sum("c")
-        wide = 4 * F.sqrt(F.greatest(F.sum(F.col("c") * F.col("x") * F.col("x")) / n - mean * mean, F.lit(0.05 / 4) ** 2))
-        at = F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("x")))
-        part = bins.groupBy(*group).agg(F.when(n < ENOUGH, mean + sign * wide).otherwise(at).alias(name), n.alias(f"of_{x}"))
+        spread = F.sqrt(F.greatest(F.sum(F.col("c") * F.col("x") * F.col("x")) / n - mean * mean, F.lit(1e-4)))
+        part = bins.groupBy(*group).agg(F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("x"))).alias(name), n.alias(f"of_{x}"), spread.alias(f"sd_{x}"))
         out = part if out is None else out.join(part, group)
-    return out.select(*group, "top", "new", F.col("of_h").alias("of"))
+    return out.select(*group, "top", "new", F.col("of_h").alias("of"), "sd_h", "sd_share")
 
 
-def judged(docs: DataFrame, trusted: DataFrame, order: int = ORDER, tail: float = TAIL, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep_text: bool = True) -> DataFrame:
+def judged(docs: DataFrame, trusted: DataFrame, order: int = ORDER, tail: float = TAIL, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep_text: bool = True, repetition: bool = True) -> DataFrame:
     """row (a struct of the columns of `docs`, the text null without `keep_text`), model, n, h, share, top, keep. The texts whose id is in the first column of `trusted` train the models.
 
     A language with trusted texts in both halves has its own model; the others, and null, share that of all trusted texts.
     A text is rejected where its mean negative log probability lies above the 1 - tail quantile of the trusted texts of its language and
-    length (powers of 2 of characters; where those are fewer than ENOUGH, of its language), or its share of distinct word trigrams below
-    the tail quantile of theirs, as in repetitive text. A text without characters has no perplexity and is kept; so are all
+    length (powers of 2 of characters; where there are none, of its language) by more than ERRORS standard errors of their number; with
+    `repetition`, also where its share of distinct word trigrams lies as far below the tail quantile of theirs, as in repetitive text. A text without characters has no perplexity and is kept; so are all
     without any trusted text. Nulls and repeats among the trusted ids do not matter; repeated rows give repeated rows.
     """
     text, lang = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(lang_col), F.lit(POOLED))
@@ -488,38 +501,41 @@ def judged(docs: DataFrame, trusted: DataFrame, order: int = ORDER, tail: float
     teach = good.where("has").select("model", "text")
     if pooled:
         teach = teach.unionByName(good.select(F.col("all").alias("model"), "text"))
-    top = materialise(count_ngrams(teach, order, min(4096, -(-(learnt or 0) // 64_000_000) or 1)))
+    top = materialise(count_ngrams(teach, order, -(-(learnt or 0) // 64_000_000) or 1))
     table = model_table(top, order)
     shards = max(1, -(-table.count() // 400_000))
     salts = max(1, -(-(chars or 0) // (shards * 300_000_000)))
     rows = d.select("row", name((1 - F.col("half").cast("int")).cast("string")).alias("model"), "good")
     text_at = docs.columns.index(text_col)
     scored = materialise(score_texts(rows, table, order, text_at, shards, salts, keep_text))
-    return _verdict(scored.withColumn("model", F.split("model", ":(?=[01]$)")[0]), tail)
+    return _verdict(scored.withColumn("model", F.split("model", ":(?=[01]$)")[0]), tail, repetition)
 
 
-def _verdict(scored: DataFrame, tail: float) -> DataFrame:
+def _verdict(scored: DataFrame, tail: float, repetition: bool) -> DataFrame:
     scored = scored.withColumn("size", F.floor(F.log2("n")))
     known = scored.where(F.col("good") & F.col("h").isNotNull())
-    like = materialise(_limits(known, ["model", "size"], tail).where(F.col("of") >= ENOUGH).select(F.col("model").alias("m1"), F.col("size").alias("s1"), F.col("top").alias("top1"), F.col("new").alias("new1")))
-    every = materialise(_limits(known, ["model"], tail).select(F.col("model").alias("m2"), F.col("top").alias("top2"), F.col("new").alias("new2")))
+    every = _limits(known, ["model"], tail)
+    like = _limits(known, ["model", "size"], tail).drop("sd_h", "sd_share").join(every.select("model", "sd_h", "sd_share"), "model")
+    # a quantile of few texts is known less well; the error falls with their number and is the same rule at any
+    some = lambda df, tag, keys: materialise(df.select(*(F.col(k).alias(k[0] + tag) for k in keys), *((F.col(x) + sign * ERRORS * F.col(sd) / F.sqrt("of")).alias(x + tag) for x, sign, sd in (("top", 1, "sd_h"), ("new", -1, "sd_share")))))
     # some tens of rows a language
-    like, every = checked_broadcast(like, 1_000_000)[0], checked_broadcast(every, 1_000_000)[0]
+    like, every = checked_broadcast(some(like, "1", ["model", "size"]), 1_000_000)[0], checked_broadcast(some(every, "2", ["model"]), 1_000_000)[0]
     out = scored.join(like, (F.col("model") == F.col("m1")) & (F.col("size") == F.col("s1")), "left").join(every, F.col("model") == F.col("m2"), "left")
     top, new = F.coalesce("top1", "top2"), F.coalesce("new1", "new2")
-    keep = F.coalesce((F.round("h", 3) <= top) & (F.round("share", 3) >= new), F.lit(True))
-    return out.select("row", "model", "n", "h", "share", top.alias("top"), keep.alias("keep"))
+    keep = F.round("h", 3) <= top
+    keep = keep & (F.round("share", 3) >= new) if repetition else keep
+    return out.select("row", "model", "n", "h", "share", top.alias("top"), F.coalesce(keep, F.lit(True)).alias("keep"))
 
 
-def score_quality(docs: DataFrame, trusted: DataFrame, order: int = ORDER, tail: float = TAIL, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def score_quality(docs: DataFrame, trusted: DataFrame, order: int = ORDER, tail: float = TAIL, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", repetition: bool = True) -> DataFrame:
     """doc_id, model, n_chars, perplexity (of a character), threshold, new_share (of distinct word trigrams), keep for each row, by `judged`.
 
     Other columns are ignored; an empty table gives no rows.
     """
-    out = judged(docs.select(id_col, text_col, lang_col), trusted, order, tail, id_col, text_col, lang_col, keep_text=False)
+    out = judged(docs.select(id_col, text_col, lang_col), trusted, order, tail, id_col, text_col, lang_col, keep_text=False, repetition=repetition)
     return out.select(F.col("row").getField(id_col).alias("doc_id"), "model", F.col("n").alias("n_chars"), F.exp("h").alias("perplexity"), F.exp("top").alias("threshold"), F.col("share").alias("new_share"), "keep")
 
 
-def filter_quality(docs: DataFrame, trusted: DataFrame, order: int = ORDER, tail: float = TAIL, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def filter_quality(docs: DataFrame, trusted: DataFrame, order: int = ORDER, tail: float = TAIL, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", repetition: bool = True) -> DataFrame:
     """The rows of `docs`, with all their columns, that `judged` keeps."""
-    return judged(docs, trusted, order, tail, id_col, text_col, lang_col).where("keep").select("row.*")
+    return judged(docs, trusted, order, tail, id_col, text_col, lang_col, repetition=repetition).where("keep").select("row.*")

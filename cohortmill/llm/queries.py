@@ -55,7 +55,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortmill.llm.kneser_ney import score_quality, trusted_ids
 
-    return score_quality(_table(spark, sf_dir, "documents"), trusted_ids(_table(spark, sf_dir, "labels")))
+    return score_quality(_table(spark, sf_dir, "documents"), trusted_ids(_table(spark, sf_dir, "labels")), repetition=False)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

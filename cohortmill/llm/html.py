@@ -34,14 +34,39 @@ _CLOSES = frozenset("li dt dd tr td th h1 h2 h3 h4 h5 h6".split())
 _TELLING = frozenset("article main nav footer aside header form dialog".split())
 
 
+#: What a heading or paragraph inside ends where it is left open.
+_ENDED = frozenset("button select".split())
+#: Elements around a block that are looked at, from the inside out. Names further out count for less than a thousandth.
+_AROUND = 40
+
+
+class _Element(NamedTuple):
+    tag: str
+    number: int
+    names: tuple[str, ...]
+    mark: int | None
+    parent: _Element | None
+    telling: tuple[str, ...]  # the telling tags from here out, the innermost first
+
+
 class Block(NamedTuple):
     text: str
-    path: tuple[int, ...]  # numbers of the open elements, from the outside in
-    around: tuple[tuple[str, tuple[str, ...]], ...]  # their tags and names
+    element: _Element | None  # the innermost open one
+    depth: int  # how many are open
+    shared: int  # how many of those the block before stands in too
     linked: float  # share of the characters that are in links
     label: int | None  # of the nearest marked element, on pages to learn from
 
 
+def _around(b: Block) -> Iterator[_Element]:
+    e = b.element
+    for _ in range(_AROUND):
+        if e is None:
+            return
+        yield e
+        e = e.parent
+
+
 def _names(attributes: str) -> tuple[tuple[str, ...], int | None]:
     """The words of class, id, role and aria-label, and the mark data-l."""
     out, mark = [], None
@@ -54,16 +79,31 @@ def _names(attributes: str) -> tuple[tuple[str, ...], int | None]:
     return tuple(dict.fromkeys(out)), mark
 
 
-def _pieces(page: str) -> Iterator[tuple[str, str, str]]:
-    """('text', text, ''), ('open', tag, attributes) and ('close', tag, '') in order. Comments and the text of raw elements are left out."""
+class _Ahead:
+    """Where texts stand next in a page, whatever their case; each is looked for once from one of its places to the next."""
+
+    def __init__(self, page: str):
+        self.page, self.at = page.lower(), {}
+
+    def find(self, text: str, start: int) -> int:
+        """The next place from `start` on; beyond the page if there is none."""
+        known = self.at.get(text, -1)
+        if known < start:
+            known = self.page.find(text, start)
+            self.at[text] = known = known if known >= 0 else len(self.page) + 1
+        return known
+
+
+def _pieces(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """('text', text, '', end), ('open', tag, attributes, end) and ('close', tag, '', end) in order, with the place where each ends. Comments and the text of raw elements are left out."""
     at, n, missing = 0, len(page), set()
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
-            yield "text", page[at:], ""
+            yield "text", page[at:], "", n
             return
         if lt > at:
-            yield "text", page[at:lt], ""
+            yield "text", page[at:lt], "", lt
         if page.startswith("<!--", lt) and "-->" not in missing:
             end = page.find("-->", lt + 4)
             if end >= 0:
@@ -74,14 +114,14 @@ def _pieces(page: str) -> Iterator[tuple[str, str, str]]:
         if m:
             tag, at = m[2].lower(), m.end()
             if m[1]:
-                yield "close", tag, ""
+                yield "close", tag, "", at
                 continue
-            yield "open", tag, m[3]
+            yield "open", tag, m[3], at
             if tag in _RAW and tag not in missing and not m[3].endswith("/"):
                 end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
                 if end:
                     at = end.end()
-                    yield "close", tag, ""
+                    yield "close", tag, "", at
                 else:
                     missing.add(tag)
             continue
@@ -89,32 +129,36 @@ def _pieces(page: str) -> Iterator[tuple[str, str, str]]:
         if gt >= 0:
             at = gt + 1
         else:
-            yield "text", "<", ""
+            yield "text", "<", "", lt + 1
             at = lt + 1
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of text of a page, in order. Elements that are left open end with their parents."""
     out: list[Block] = []
-    stack: list[tuple[str, int, tuple[str, ...], int | None]] = []  # tag, number, names, mark
+    stack: list[_Element] = []
     held: list[str] = []
-    count = linked = links = dropped = 0
+    ahead = _Ahead(page)
+    count = linked = links = dropped = low = 0
 
     def flush() -> None:
-        nonlocal held, linked
+        nonlocal held, linked, low
         if held:
             raw = "".join(held)
             text = " ".join(html_lib.unescape(raw).split())
             if text:
-                out.append(Block(text, tuple(s[1] for s in stack), tuple((s[0], s[2]) for s in stack), linked / max(1, len(raw)), stack[-1][3] if stack else None))
+                out.append(Block(text, stack[-1] if stack else None, len(stack), min(low, len(stack)), linked / max(1, len(raw)), stack[-1].mark if stack else None))
+                low = len(stack)
             held, linked = [], 0
 
     def cut(i: int) -> None:
-        nonlocal dropped
+        nonlocal dropped, low
+        dropped -= sum(e.tag in _DROPPED for e in stack[i:])
         del stack[i:]
-        dropped = sum(s[0] in _DROPPED for s in stack)
+        low = min(low, i)
 
-    for kind, tag, attributes in _pieces(page):
+    open_of: Counter[str] = Counter()
+    for kind, tag, attributes, end in _pieces(page):
         if kind == "text":
             if not dropped:
                 held.append(tag)
@@ -130,23 +174,36 @@ def blocks_of(page: str) -> list[Block]:
             flush()
             links = 0
         if kind == "close":
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    cut(i)
-                    break
+            i = len(stack) - 1 if open_of[tag] else -1
+            while i >= 0 and stack[i].tag != tag:
+                i -= 1
+            if i >= 0:
+                open_of.subtract(e.tag for e in stack[i:])
+                cut(i)
             continue
         if tag == "hr" or attributes.endswith("/") and tag in _DROPPED:
             continue
+        ends = len(stack)
         if tag in _BLOCK:
-            if tag == "body":
-                cut(next((i for i, s in enumerate(stack) if s[0] == "head"), len(stack)))
-            while stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in _CLOSES):
-                cut(len(stack) - 1)
-            if stack and stack[-1][0] == "head":
-                cut(len(stack) - 1)
+            if tag == "body" and open_of["head"]:
+                ends = next(i for i, e in enumerate(stack) if e.tag == "head")
+            while ends and (stack[ends - 1].tag == "p" or stack[ends - 1].tag == tag and tag in _CLOSES):
+                ends -= 1
+            if ends and stack[ends - 1].tag == "head":
+                ends -= 1
+            if dropped and ends and (name := stack[ends - 1].tag) in _ENDED and ahead.find(f"</{name}", end) > min(len(page), ahead.find(f"<{name}", end)):
+                ends -= 1  # its end tag is missing
+        if ends < len(stack):
+            open_of.subtract(e.tag for e in stack[ends:])
+            cut(ends)
         names, mark = _names(attributes) if attributes else ((), None)
         count += 1
-        stack.append((tag, count, names, mark if mark is not None or not stack else stack[-1][3]))
+        parent = stack[-1] if stack else None
+        telling = parent.telling if parent else ()
+        if tag in _TELLING:
+            telling = (tag, *(t for t in telling if t != tag))
+        stack.append(_Element(tag, count, names, mark if mark is not None or parent is None else parent.mark, parent, telling))
+        open_of[tag] += 1
         dropped += tag in _DROPPED
     flush()
     return out
@@ -156,14 +213,12 @@ def features(b: Block, at: float) -> dict[str, float]:
     """What the classifier looks at: length, links, marks, the place `at` in the page (0 to 1), the tags around, and names of elements around, fading with distance."""
     n = len(b.text)
     x = {"one": 1.0, "length": min(n, 400) / 200, "short": float(n < 25), "linked": b.linked, "all linked": float(b.linked > 0.8), "sentence": float(b.text[-1] in ".!?:" and n > 20), "copyright": float("©" in b.text), "place": at}
-    near, fade = True, 1.0
-    for tag, names in reversed(b.around):
-        if tag in _TELLING:
-            x[f"in {tag}"] = 1.0
-            if near:
-                x[f"nearest {tag}"] = 1.0
-                near = False
-        elif tag not in ("div", "section", "body", "html"):
+    telling = b.element.telling if b.element else ()
+    x |= {f"in {t}": 1.0 for t in telling} | {f"nearest {t}": 1.0 for t in telling[:1]}
+    fade = 1.0
+    for e in _around(b):
+        tag, names = e.tag, e.names
+        if tag not in _TELLING and tag not in ("div", "section", "body", "html"):
             x.setdefault(f"tag {tag}", fade)
         for name in names:
             x[f"name {name}"] = max(x.get(f"name {name}", 0.0), fade)
@@ -179,7 +234,7 @@ def features(b: Block, at: float) -> dict[str, float]:
 _FITTED: dict[tuple[int, int], dict[str, float]] = {}
 
 
-def fit_costs(pages: int = 600, seed: int = 1, rounds: int = 250) -> dict[str, float]:
+def fit_costs(pages: int = 700, seed: int = 1, rounds: int = 12, ridge: float = 0.3) -> dict[str, float]:
     """Weights of the block classifier: regularised logistic regression on `pages` labelled pages of `page_sample`."""
     if (pages, seed) not in _FITTED:
         rows, labels = [], []
@@ -189,17 +244,20 @@ def fit_costs(pages: int = 600, seed: int = 1, rounds: int = 250) -> dict[str, f
                 rows.append(features(b, i / len(blocks)))
                 labels.append(b.label or 0)
         seen = Counter(k for x in rows for k in x)
-        index = {k: i for i, k in enumerate(sorted(k for k, c in seen.items() if c >= 4))}
+        index = {k: i for i, k in enumerate(sorted(k for k, c in seen.items() if c >= 8))}
         x, y = np.zeros((len(rows), len(index)), np.float32), np.array(labels, np.float32)
         for i, r in enumerate(rows):
             for k, v in r.items():
                 if k in index:
                     x[i, index[k]] = v
-        w, m = np.zeros(len(index), np.float32), np.zeros(len(index), np.float32)
-        for _ in range(rounds):  # with momentum
+        w = np.zeros(len(index), np.float32)
+        for _ in range(rounds):  # Newton's steps
             p = 1 / (1 + np.exp(-(x @ w)))
-            m = 0.9 * m + x.T @ (y - p) / len(y) - 2e-5 * w
-            w = w + 1.5 * m
+            curve = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(index), dtype=np.float32)
+            step = np.linalg.solve(curve, x.T @ (y - p) - ridge * w)
+            w = w + step
+            if np.abs(step).max() < 0.05:
+                break
         _FITTED[pages, seed] = {k: float(w[i]) for k, i in index.items()}
     return _FITTED[pages, seed]
 
@@ -276,22 +334,18 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
                 break
 
 
-def label(blocks: list[Block], weights: dict[str, float], adjacency: float = 0.5, proximity: float = 1.5) -> list[bool]:
+def label(blocks: list[Block], weights: dict[str, float], adjacency: float = 0.2, proximity: float = 0.8) -> list[bool]:
     """True for content. Neighbours in page order are tied by `adjacency`, and by up to `proximity` more the deeper their common ancestor is; the last block that had the same parent is a neighbour too."""
     pairs = costs(blocks, weights)
     edges = []
     seen: dict[int, int] = {}
     for i, b in enumerate(blocks):
-        parent = b.path[-2] if len(b.path) > 1 else 0
+        parent = b.element.parent.number if b.element and b.element.parent else 0
         for j in {i - 1, seen.get(parent, i - 1)}:
             if j >= 0:
-                other = blocks[j].path
-                common = 0
-                for x, y in zip(b.path, other):
-                    if x != y:
-                        break
-                    common += 1
-                edges.append((j, i, adjacency * (j == i - 1) + proximity * common / max(len(b.path), len(other), 1)))
+                # a block with the same parent shares all elements but the innermost
+                common = b.shared if j == i - 1 else b.depth - 1
+                edges.append((j, i, adjacency * (j == i - 1) + proximity * (common / max(b.depth, blocks[j].depth, 1)) ** 2))
         seen[parent] = i
     return min_cut([a for a, _ in pairs], [b for _, b in pairs], edges)
 
@@ -304,7 +358,7 @@ def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
     return "\n".join(b.text for b, keep in zip(blocks, label(blocks, weights or fit_costs())) if keep)
 
 
-def extract_pages(pages: DataFrame, sample_pages: int = 600, seed: int = 1, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_pages(pages: DataFrame, sample_pages: int = 700, seed: int = 1, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: the main text of each whole page.
 
     The classifier is fitted on `sample_pages` labelled pages of `page_sample`. A null or empty page, or one without content, has an empty

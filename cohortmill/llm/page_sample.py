@@ -103,8 +103,8 @@ def page(r: random.Random) -> str:
     inside = [f"<h1>{_title(r, 9)}</h1>"] if r.random() < 0.85 else []
     for _ in range(r.randint(1, 9)):
         inside.append(_content(r))
-        if r.random() < 0.1:
-            inside.append(_boilerplate(r, r.choice(("advert", "side", "form", "notice"))))
+        if r.random() < 0.2:
+            inside.append(_boilerplate(r, r.choice(("advert", "side", "form", "notice", "notice"))))
     if r.random() < 0.1:
         inside.append(_boilerplate(r, "comments"))
     if r.random() < 0.12:
@@ -113,6 +113,9 @@ def page(r: random.Random) -> str:
     main = f"<{tag}{_attributes(r, CONTENT, 1, 0.8 if tag in ('div', 'section', 'td') else 0.4)}>{''.join(inside)}</{tag}>"
     for _ in range(r.choice((0, 0, 1, 2))):
         main = f"<{(w := r.choice(('div', 'main', 'section', 'div')))}{_attributes(r, CONTENT + ' ' + _NEUTRAL, 1, 0.6)}>{main}</{w}>"
+    bare = r.random() < 0.12  # nothing stands around the text but what the whole page stands in
+    if bare:
+        main = "".join(inside)
     before = [_boilerplate(r, k) for k in ("notice", "head", "menu", "advert", "form", "side") if r.random() < 0.45]
     after = [_boilerplate(r, k) for k in ("side", "comments", "advert", "form", "menu", "notice") if r.random() < 0.35]
     r.shuffle(before)
@@ -124,7 +127,7 @@ def page(r: random.Random) -> str:
         body = f'<div class="{r.choice(_NEUTRAL.split())}">{body}</div>'
     part = r.choice(PARTS[r.choice(list(PARTS))][1].split())
     names = r.choice(("", ' class="home"', ' class="single no-js"', f' class="has-{part}"', f' class="with-{part} page"', f' class="{part}-{_title(r, 1).lower()}"', f' class="{_title(r, 1).lower()}-{part}"'))
-    return f"<html><head><title>{_title(r)}</title></head><body{names}>{body}</body></html>"
+    return f"<html><head><title>{_title(r)}</title></head><body{names}{' data-l="1"' * bare}>{body}</body></html>"
 
 
 def pages(n: int, seed: int = 1) -> list[str]:

@@ -396,3 +396,34 @@ def repair_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
     """`repair_messages` of a table of messages, under the name of its id column; with `damage`, of its damaged rows. Other columns are ignored."""
     messages = (damaged if damage else as_messages)(rows, conv, turn, role, text)
     return repair_messages(messages).withColumnRenamed("conv", conv)
+
+
+#: For DuckDB: the damage, the faults, and the least (cost, audit) of each state message by message.
+REPAIR_SQL = r"""
+WITH RECURSIVE
+m0 AS (SELECT conv_id, turn, coalesce(CAST(role AS VARCHAR), ' ') AS role, coalesce(text, ' ') AS text, encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')) AS k FROM conversations),
+c0 AS (SELECT DISTINCT k, list_transform(range(0, octet_length(k)), lambda i: CAST(('0x' || substr(hex(k), CAST(2 * i + 1 AS BIGINT), 2)) AS BIGINT)) AS b FROM m0),
+crc AS (SELECT k, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda a, x: list_reduce(list_prepend(xor(a, x), CAST(range(0, 8) AS BIGINT[])), lambda y, i: xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 20 AS kind FROM c0),
+m1 AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, kind FROM m0 JOIN crc USING (k)),
+m2 AS (SELECT conv_id, turn, role, text, sha256(length(role) || ':' || role || text) AS d, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM m1),
+m3 AS (SELECT *, row_number() OVER o AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, lag(role[1]) OVER o AS before,
+       CASE WHEN role[1] IN ('u', 'a', 's') THEN role[1] ELSE 'x' END AS r, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM m2 WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, d, copy)),
+m AS (SELECT conv_id, turn, role, text, i, r, before, CASE WHEN t = '' THEN 'b' WHEN again THEN 'd' WHEN t[-1] IN ('.', '!', '?') THEN 'n' ELSE 't' END AS f FROM m3),
+ids AS (SELECT DISTINCT conv_id FROM m0),
+stats AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated,
+          count(*) FILTER (i > 1 AND before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal FROM m GROUP BY conv_id),
+nx AS (SELECT * FROM (VALUES ('e', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')) t(st, w)),
+ins AS (SELECT st, 0 AS k, '' AS ia, st AS st2, [] :: VARCHAR[] AS io FROM nx UNION ALL SELECT i.st, k + 1, ia || 'I', w, list_append(io, CASE w WHEN 'u' THEN 'user:' ELSE 'assistant:' END) FROM ins i JOIN nx ON nx.st = i.st2 WHERE k < 3),
+dp AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 'e' AS st, {'c': CAST(0 AS BIGINT), 'a': '', 'o': [] :: VARCHAR[]} AS best FROM ids
+  UNION ALL
+  SELECT dp.conv_id, m.i, e.st3, min({'c': dp.best.c + 5 * ins.k + e.c, 'a': dp.best.a || ins.ia || e.a, 'o': list_concat(dp.best.o, list_concat(ins.io, e.o))})
+  FROM dp JOIN m ON m.conv_id IS NOT DISTINCT FROM dp.conv_id AND m.i = dp.i + 1 JOIN ins ON ins.st = dp.st JOIN nx ON nx.st = ins.st2,
+    (SELECT unnest(list_filter([
+       {'c': 2, 'a': 'D', 'st3': ins.st2, 'o': [] :: VARCHAR[], 'ok': true},
+       {'c': CASE m.f WHEN 't' THEN 5 ELSE 0 END, 'a': 'K', 'st3': m.r, 'o': [m.role || ':' || m.text], 'ok': m.f IN ('n', 't') AND (m.r = nx.w OR m.r = 's' AND ins.st2 = 'e')},
+       {'c': CASE m.f WHEN 't' THEN 6 ELSE 1 END, 'a': 'R', 'st3': nx.w, 'o': [CASE nx.w WHEN 'u' THEN 'user:' ELSE 'assistant:' END || m.text], 'ok': m.f IN ('n', 't')}], lambda z: z.ok), recursive := true)) e
+  GROUP BY dp.conv_id, m.i, e.st3),
+fin AS (SELECT dp.conv_id, min({'c': dp.best.c + 5 * ins.k, 'a': dp.best.a || ins.ia, 'o': list_concat(dp.best.o, ins.io)}) AS best FROM dp LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM dp.conv_id JOIN ins ON ins.st = dp.st WHERE dp.i = coalesce(s.n, 0) AND ins.st2 IN ('e', 'a') GROUP BY dp.conv_id)
+SELECT f.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit, sha256(array_to_string(best.o, chr(10))) AS repaired_sha256
+FROM fin f LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM f.conv_id
+"""

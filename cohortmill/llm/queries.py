@@ -144,6 +144,7 @@ DOMAIN_SQL = "CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1)
 
 
 def _oracles() -> dict[str, str]:
+    from cohortmill.llm.conversations import REPAIR_SQL
     from cohortmill.llm.mixing import MIX_SQL
     from cohortmill.llm.topk import TOPK_SQL
 
@@ -153,6 +154,7 @@ def _oracles() -> dict[str, str]:
         "op2_ngram_jaccard": JACCARD_SQL,
         "op3_threshold_topk": TOPK_SQL,
         "op5_html_text": PAGES_SQL,
+        "op11_conversation_repair": REPAIR_SQL,
         "op10_source_mix": MIX_SQL.format(docs="documents", fraction=0.75, alpha=0.5, epochs=2, seed=7, domain=DOMAIN_SQL, targets=targets) + "SELECT doc_id, lang, source, CAST(unnest(range(n)) AS BIGINT) AS mix_epoch FROM n",
     }
 

@@ -38,7 +38,8 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(17))
 
 
-_WHERE = ("key", "row")
+#: What a text is known by: its id, a hash of it, and a hash of both by which rows are dealt out.
+_WHERE = ("at", "key", "row")
 
 
 def sketch(sets: DataFrame, size: int, keys: tuple[str, ...]) -> DataFrame:
@@ -55,7 +56,7 @@ def _difference(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def _round(cells: DataFrame, size: int) -> DataFrame:
-    """One turn of each subtable. `cells` is dealt out by key and row, and every grouping here keeps to that. The cell -1 of a pair counts the digests that have come out."""
+    """One turn of each subtable. `cells` is dealt out by `at`, and every grouping here keeps to that. The cell -1 of a pair counts the digests that have come out."""
     keys = (*_WHERE, "which")
     for table in range(3):
         pure = (F.col("cell") >= table * size) & (F.col("cell") < (table + 1) * size) & (F.abs("n") == 1) & (F.col("c") == _check(F.col("d")))
@@ -73,7 +74,7 @@ _FULL = 0.8
 
 
 def peel(cells: DataFrame, size: int, rounds: int) -> DataFrame:
-    """key, row, which, found, left: of each subtracted sketch the number of digests recovered and of cells left over. `cells` is dealt out by key and row.
+    """key, row, which, found, left: of each subtracted sketch the number of digests recovered and of cells left over. `cells` is dealt out by `at`.
 
     Two rounds are done where the cells are made; of what they leave only the pairs with some cells left, and not nearly all, go on.
     """
@@ -112,10 +113,17 @@ def fingerprints(sets: DataFrame, size: int = PRINT_CELLS) -> DataFrame:
     return cells.groupBy(*_WHERE).agg(*(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, cell))), lambda x: x["s"]), ",").alias(k) for k in ("own", "edited")))
 
 
-def _dealt(df: DataFrame, rows: int) -> DataFrame:
-    """`df` written to the shared folder, dealt out by key into parts of some thousand of `rows`. Only a table in the catalog can say that it is, so it stands there until it has been looked up."""
+def _beside(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """A join of rows that stand for the same text. Spark deals both sides out by all columns that are compared for equality, so only `at` is, by which they already are; the others are compared otherwise."""
+    right = right.withColumnsRenamed({c: f"_r_{c}" for c in _WHERE})
+    same = lambda c: F.col(c).bitwiseXOR(F.col(f"_r_{c}")) == 0
+    return left.join(right, (F.col("at") == F.col("_r_at")) & same("key") & same("row"), how).drop(*(f"_r_{c}" for c in _WHERE))
+
+
+def _dealt(df: DataFrame, rows: int, part: int) -> DataFrame:
+    """`df` written to the shared folder, dealt out by `at` into parts of about `part` of `rows`. Only a table in the catalog can say that it is, so it stands there until it has been looked up."""
     spark, name = df.sparkSession, "t" + uuid.uuid4().hex
-    df.write.format("parquet").bucketBy(max(4, -(-rows // 5000)), "key").option("path", new_path(spark)).saveAsTable(name)
+    df.write.format("parquet").bucketBy(max(4, -(-rows // part)), "at").option("path", new_path(spark)).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return out
@@ -129,7 +137,7 @@ def _sets(one: DataFrame) -> DataFrame:
 def likeness(one: DataFrame, rows: int, sizes: tuple[int, ...] = (PRINT_CELLS, *LARGER), rounds: int = 6) -> DataFrame:
     """key, row, which, likeness: shared digests as a part of all digests of both, from what peeling the subtracted fingerprints recovers.
 
-    `one`, of about `rows` rows, has key, row and digest arrays own, edit and next_set, and is dealt out by key. Equal sets, two empty ones too, are
+    `one`, of about `rows` rows, has key, row and digest arrays own, edit and next_set, and is dealt out by `at`. Equal sets, two empty ones too, are
     1. Larger sketches than fingerprints are made only of the texts of pairs that fail, as long as there are such.
     """
     all_of = F.explode(F.array(*(F.struct(F.lit(w).alias("which"), (F.size("own") + F.size(c)).alias("total")) for w, c in (("edited", "edit"), ("next", "next_set")))))
@@ -151,7 +159,7 @@ def likeness(one: DataFrame, rows: int, sizes: tuple[int, ...] = (PRINT_CELLS, *
         rows = failed.count()
         # of a text that has one pair left, the other pair's set is not needed again
         still = lambda c, w: F.when(F.exists("again", lambda x: x["which"] == w), F.col(c)).otherwise(F.array().cast("array<bigint>")).alias(c)
-        todo = _dealt(todo.drop("again").join(failed, list(_WHERE)).select(*_WHERE, "own", still("edit", "edited"), still("next_set", "next"), "again"), rows)
+        todo = _dealt(_beside(todo.drop("again"), failed).select(*_WHERE, "own", still("edit", "edited"), still("next_set", "next"), "again"), rows, 500)
         level += 1
 
 
@@ -183,9 +191,10 @@ def version_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - cut), F.col("given.head").substr(F.lit(1), cut))
     both = t.join(give, "key").select("key", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), F.col("given.set").alias("next_set"))
-    both = both.select("key", "n_chars", F.xxhash64("text").alias("row"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("edit"), "next_set")
+    row = F.xxhash64("text")
+    both = both.select(F.xxhash64("key", row).alias("at"), "key", "n_chars", row.alias("row"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("edit"), "next_set")
     rows = ids.agg(F.sum("rows")).first()[0] or 0
-    return _finish(_dealt(both, rows), rows)
+    return _finish(_dealt(both, rows, 5000), rows)
 
 
 def _finish(both: DataFrame, rows: int) -> DataFrame:
@@ -193,7 +202,7 @@ def _finish(both: DataFrame, rows: int) -> DataFrame:
     one = both.dropDuplicates([*_WHERE]).select(*_WHERE, "own", "edit", "next_set")
     near = likeness(one, rows).groupBy(*_WHERE).agg(*(F.max(F.when(F.col("which") == w, F.col("likeness"))).alias(f"near_{w}") for w in ("edited", "next")))
     prints = fingerprints(_sets(one).where("kind <> 'next'")).withColumnsRenamed({"own": "fingerprint", "edited": "edited_fingerprint"})
-    out = both.drop("own", "edit", "next_set").join(near, list(_WHERE)).join(prints, list(_WHERE), "left")
+    out = _beside(_beside(both.drop("own", "edit", "next_set"), near), prints, "left")
     doc_id = F.when(F.col("key") != F.lit(-(1 << 63)).cast("long"), F.col("key"))
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return out.select(doc_id.alias("doc_id"), "n_chars", "edited_sha256", blank("fingerprint"), blank("edited_fingerprint"), "near_edited", "near_next")

@@ -83,6 +83,37 @@ def read_matrix_genes(spark, sf):
     return T.read_matrix_genes(spark, _wide(spark, sf), ["DIM2", "DIM5"])
 
 
+@query(f"SELECT * FROM ({_LONG}) WHERE gene IN ('DIM2', 'DIM5', 'DIM63')")
+def read_landed(spark, sf):
+    """Some columns of the wide file from its landed copy."""
+    path = T.shared_path(spark, "landed")
+    T.land_matrix(T.read_matrix_long(spark, _wide(spark, sf)), path)
+    return T.read_matrix_genes(spark, path, ["DIM63", "DIM2", "DIM5"], landed=True)
+
+
+@query(_LONG)
+def write_matrix_wide(spark, sf):
+    """The cells as a wide file again, and read back."""
+    path = T.shared_path(spark, "wide")
+    T.write_matrix_wide(T.read_matrix_long(spark, _wide(spark, sf)), path)
+    return T.read_matrix_long(spark, path)
+
+
+@query("""SELECT 'orders' AS source, 'width' AS kind, '' AS field, count(*) FILTER (o_orderkey % 10 IN (1, 2)) AS n FROM orders
+    UNION ALL SELECT 'orders', 'number', 'price', count(*) FILTER (o_orderkey % 10 <> 1 AND o_orderkey % 4 = 2) FROM orders
+    UNION ALL SELECT 'matrix', 'width', '', 0 UNION ALL SELECT 'matrix', 'number', '', 0""")
+def rejections(spark, sf):
+    """A file of orders with short lines, long lines and prices that are words; and the wide file, in which only missing values are no numbers."""
+    path, key = T.shared_path(spark, "orders"), F.col("o_orderkey")
+    price = F.when(key % 4 == 2, "odd").when(key % 4 == 3, "NA").otherwise(F.col("o_totalprice").cast("string"))
+    line = F.when(key % 10 == 1, key.cast("string")).otherwise(F.concat_ws("\t", key.cast("string"), price, *(F.when(key % 10 == 2, F.lit(x)) for x in ("more",))))
+    body = B.table(spark, sf, "orders").select(line.alias("value"), key.alias("_o"))
+    head = spark.range(1).select(F.lit("id\tprice").alias("value"), F.lit(-1).cast("long").alias("_o"))
+    head.unionByName(body).repartition(1).sortWithinPartitions("_o").select("value").write.text(path)
+    found = T.rejections(T.read_delimited(spark, path, rejected="bad"), "orders", "bad", ["price"])
+    return found.unionByName(T.matrix_rejections(spark, _wide(spark, sf), "matrix"))
+
+
 @query("SELECT model_id, gene, change FROM evts WHERE gene IN ('F', 'P')")
 def read_events_filtered(spark, sf):
     return T.read_events_filtered(B.events(spark, sf), ["f", "P"], "gene", ["model_id", "gene", "change"])
@@ -774,6 +805,17 @@ def job_pair_evidence(spark, sf):
     return _p9(_evidence(spark, sf).select(*_PAIRCOLS, "q_value"))
 
 
+_EV_QC = f"""SELECT 'ERROR' AS s FROM e WHERE context_models_n = 0 UNION ALL SELECT 'WARNING' FROM e WHERE comparator_models_n = 0 UNION ALL SELECT 'ERROR' FROM e WHERE context_effect_n = 0 UNION ALL SELECT 'ERROR' FROM e WHERE context_effect_n = 0
+    UNION ALL SELECT 'WARNING' FROM e WHERE low_sample UNION ALL SELECT 'ERROR' FROM (SELECT cancer_id FROM audit GROUP BY ALL HAVING count(*) FILTER (assigned_group = 'context') = 0)"""
+
+
+@query(f"""WITH e AS ({_PAIRQ}), q AS ({_EV_QC}) SELECT 'pair_evidence' AS job, 'evidence' AS counter, count(*) AS n FROM e UNION ALL SELECT 'pair_evidence', 'audit', count(*) FROM audit
+    UNION ALL SELECT 'pair_evidence', 'qc_errors', count(*) FILTER (s = 'ERROR') FROM q UNION ALL SELECT 'pair_evidence', 'qc_warnings', count(*) FILTER (s = 'WARNING') FROM q""")
+def run_counts(spark, sf):
+    """What the job of pair evidence counted while it wrote."""
+    return _evidence_tables(spark, sf)["counts"]
+
+
 _SENS_ALL = f"""SELECT x.*, context_median, comparator_median, delta_median, cliffs_delta FROM ({_SENS}) x LEFT JOIN (SELECT cancer_id, comparison_type, gene, context_median, comparator_median, delta_median, cliffs_delta FROM res) r USING (cancer_id, comparison_type, gene)"""
 
 

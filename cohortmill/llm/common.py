@@ -38,21 +38,24 @@ def new_path(spark: SparkSession) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends at most 1000 rows at once to Python workers, as whole texts go there; a smaller number stays."""
+    if int(spark.conf.get(_BATCH_ROWS)) not in range(1, 1001):
+        spark.conf.set(_BATCH_ROWS, "1000")
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back, so that a lost executor costs no recomputation of its lineage."""
     spark = df.sparkSession
-    path, rows = new_path(spark), spark.conf.get(_BATCH_ROWS)
-    # whole texts go through Python workers: small batches keep the memory of executors down
-    spark.conf.set(_BATCH_ROWS, "1000")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH_ROWS, rows)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    small_batches(spark)
+    path = new_path(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator works on, a null text read as empty; all other columns are left out."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

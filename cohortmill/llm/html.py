@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortmill.llm import page_sample
-from cohortmill.llm.common import text_blocks
+from cohortmill.llm.common import small_batches, text_blocks
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>")
@@ -365,6 +365,7 @@ def extract_pages(pages: DataFrame, sample_pages: int = 700, seed: int = 1, id_c
     text. Repeated rows give repeated rows, null ids and urls
     stay, other columns are ignored, an empty table gives no rows.
     """
+    small_batches(pages.sparkSession)
     weights = fit_costs(sample_pages, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The words that flags and driver marks are written with.
 TRUTHY = ("1", "true", "yes", "y", "t")
 DRIVER_WORDS = ("likely", "oncogenic", "hotspot")
 DRIVER_PARTS = ("oncogenic", "driver", "hotspot", "likely")

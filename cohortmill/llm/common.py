@@ -50,7 +50,16 @@ def materialise(df: DataFrame) -> DataFrame:
     small_batches(spark)
     path = new_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of materialised tables that nothing will read again, as all that was made of them is materialised."""
+    for t in tables:
+        p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def text_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortmill.llm.common import checked_broadcast, joined, materialise, mix64, span_hashes, tidied, tidy
+from cohortmill.llm.common import checked_broadcast, discard, joined, materialise, mix64, span_hashes, tidied, tidy
 
 ORDER = 5
 #: The model of all trusted texts, for texts whose language has none of its own.
@@ -255,7 +255,7 @@ def model_table(top: DataFrame, order: int) -> DataFrame:
         w = W.partitionBy("model", "x")
         count = lambda x: F.count(F.when(x, 1)).over(w)
         levels.append(materialise(c.select("model", "g", "c", F.sum("c").over(w).alias("all"), count(F.col("c") == 1).alias("m1"), count(F.col("c") == 2).alias("m2"), count(F.col("c") > 2).alias("m3"), (F.row_number().over(w.orderBy("g")) == 1).alias("head"))))
-    below, out = None, None
+    below, out, stored = None, None, []
     for n, level in enumerate(reversed(levels), 1):
         own = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         left = (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("all")
@@ -269,8 +269,11 @@ def model_table(top: DataFrame, order: int) -> DataFrame:
             p = t.withColumn("s", F.substring("g", 2, n - 1)).join(low, ["model", "s"]).select("model", "g", (F.col("a") + F.col("w") * F.col("low")).alias("p"))
             out = out.unionByName(part(t.where("head"), n - 1, F.substring("g", 1, n - 1), F.lit(None), F.log("w")))
         below = materialise(p) if n < order else p
+        stored += [below] if n < order else []
         out = out.unionByName(part(below, n, F.col("g"), F.log("p"), F.lit(None)))
-    return materialise(out)
+    table = materialise(out)
+    discard(*levels[1:], *stored)
+    return table
 
 
 # ---- scoring ------------------------------------------------------------------------------------------------------
@@ -503,11 +506,13 @@ def judged(docs: DataFrame, trusted: DataFrame, order: int = ORDER, tail: float
         teach = teach.unionByName(good.select(F.col("all").alias("model"), "text"))
     top = materialise(count_ngrams(teach, order, -(-(learnt or 0) // 64_000_000) or 1))
     table = model_table(top, order)
+    discard(top)
     shards = max(1, -(-table.count() // 400_000))
     salts = max(1, -(-(chars or 0) // (shards * 300_000_000)))
     rows = d.select("row", name((1 - F.col("half").cast("int")).cast("string")).alias("model"), "good")
     text_at = docs.columns.index(text_col)
     scored = materialise(score_texts(rows, table, order, text_at, shards, salts, keep_text))
+    discard(table)
     return _verdict(scored.withColumn("model", F.split("model", ":(?=[01]$)")[0]), tail, repetition)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortmill.llm.common import _powers, joined, materialise, mix64, span_hashes, text_blocks, tidied
+from cohortmill.llm.common import _powers, discard, joined, materialise, mix64, span_hashes, text_blocks, tidied
 
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
@@ -173,6 +173,7 @@ def line_dedup(docs: DataFrame, min_units: int = 2, id_col: str = "doc_id", text
     inside = (F.col("place") > RUN) & (F.col("_key") == F.col("first_key")) & (past < F.col("place").bitwiseAND(F.lit((1 << 20) - 1)))
     gone = F.when(inside, F.col("place") + F.shiftleft(F.col("place").bitwiseAND(F.lit((1 << 20) - 1)) - past, 20) - F.col("place").bitwiseAND(F.lit((1 << 20) - 1)) + past).otherwise(F.col("place"))
     found = materialise(places.join(repeated, "h").select("_key", "place", "h", ((F.col("_key") != F.col("first_key")) | (F.col("place") != F.col("first_place"))).alias("again"), gone.alias("gone")))
+    discard(places, repeated)
 
     def bytes_of(batches: Iterator[pa.RecordBatch], placed: bool = False) -> Iterator[pa.RecordBatch]:
         for b in batches:

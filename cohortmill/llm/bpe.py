@@ -49,7 +49,7 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 class Transducer:
     """The lazily determinised transducer for one rank table. `max_states` bounds the memory: beyond it all states are forgotten."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.length = {v: len(k) for k, v in ranks.items()}
@@ -112,7 +112,7 @@ class Transducer:
                 known = merge_by_rank(b, self.ranks) == [b]
             else:
                 known = self.compatible(-1, right) and self.seam_holds(left, right)
-            if len(self.fits) > 150_000:
+            if len(self.fits) > 500_000:
                 self.fits.clear()
             self.fits[key] = known
         return known

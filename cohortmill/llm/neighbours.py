@@ -27,6 +27,8 @@ from cohortmill.llm.common import materialise
 
 #: Projections, and the share of them in which a vector at the k-th distance is to collide.
 FUNCTIONS, NEAR, SURE = 64, 0.62, 0.93
+#: Windows are wide where they hold more than one part in so many of a block's entries.
+WIDE = 40
 _HUGE = np.finfo(float).max
 
 
@@ -54,8 +56,29 @@ class SortedProjections:
         h = (small / self.norm) @ self.axes[:-1] + rise[:, None] * self.axes[-1]
         self.order = np.argsort(h, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(h.T, self.order, 1)
+        # where each vector stands in each array, for wide windows
+        self.place = np.empty(self.order.shape, np.uint16 if len(ids) <= 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, self.order, np.arange(len(ids), dtype=self.place.dtype)[None], 1)
         self.verified = 0
 
+    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """In how many of the windows, places `low` to `high` - 1 of each array, each vector lies.
+
+        Narrow windows are read from the sorted arrays. Where together they hold more than a part in WIDE of all entries, places are
+        compared with them instead, as adding up in order is so much cheaper than by number.
+        """
+        n = len(self.x)
+        if (high - low).sum() * WIDE <= self.place.size:
+            return np.bincount(np.concatenate([o[i:j] for o, i, j in zip(self.order, low.tolist(), high.tolist())]), minlength=n)
+        counts = np.zeros(n, np.uint8 if len(low) < 256 else np.int64)
+        kind = self.place.dtype.type
+        own, inside = np.empty_like(self.place[0]), np.empty(n, bool)
+        for p, i, j in zip(self.place, low.tolist(), high.tolist()):
+            if j > i:  # places below the window wrap around and are too large
+                np.less_equal(np.subtract(p, kind(i), out=own), kind(j - i - 1), out=inside)
+                np.add(counts, inside.view(np.uint8), out=counts)
+        return counts
+
     def _distance(self, score: float, unit: tuple[float, float]) -> float:
         """Of a vector with this inner product with the query, on the sphere."""
         return sqrt(min(4.0, max(0.0, 2 - 2 * (score / self.largest / unit[0]) / (self.norm * unit[1]))))
@@ -64,43 +87,47 @@ class SortedProjections:
         """Rows that may be among the k best or reach the floor, and their inner products, each summed in the same way wherever it stands."""
         self.verified += len(rows)
         with np.errstate(over="ignore", invalid="ignore"):
-            rough = np.nan_to_num(self.x[rows] @ q, nan=-_HUGE)
+            rough = np.nan_to_num(self.x.take(rows, 0) @ q, nan=-_HUGE)
             if len(rough) > k:
                 floor = max(floor, np.partition(rough, len(rough) - k)[len(rough) - k])
             slack = 1e-12 * np.abs(q).max() * self.largest * len(q) if floor > -_HUGE else 0.0
             rows = rows[~(rough < floor - slack)]
             return rows, np.clip(np.nan_to_num((self.x[rows] * q).sum(1), nan=-_HUGE), -_HUGE, _HUGE)
 
-    def search(self, query_id: int, q: np.ndarray, k: int, known: float | None = None, begin: float = 0.7, grow: float = 1.25) -> list[tuple[float, int, int]]:
+    def search(self, query_id: int, q: np.ndarray, k: int, known: float | None = None) -> list[tuple[float, int, int]]:
         """(score, id, row) of the k best that are found, ties to smaller ids, without the query itself; scores below `known` may be left out."""
-        top = np.abs(q).max()
-        unit = (top, sqrt(float(((q / top) ** 2).sum())))
-        h = (q / top / unit[1]) @ self.axes[:-1]
-        n = len(self.x)
-        counts = np.zeros(n, np.int64)
-        done = self.ids == query_id
-        low = high = None
-        best: list[tuple[float, int, int]] = []
-        reach = begin if known is None else self._distance(known, unit)
-        while True:
-            r = reach * self.width * (1 + 1e-9) + 1e-9
-            a = [int(s.searchsorted(c - r)) for s, c in zip(self.sorted, h)]
-            z = [int(s.searchsorted(c + r, "right")) for s, c in zip(self.sorted, h)]
-            if low is None:
-                entered = [o[i:j] for o, i, j in zip(self.order, a, z)]
-            else:
-                entered = [o[i:j] for o, i, j in zip(self.order, a, low)] + [o[i:j] for o, i, j in zip(self.order, high, z)]
-            counts += np.bincount(np.concatenate(entered), minlength=n)
-            low, high = a, z
-            new = np.flatnonzero((counts >= self.least) & ~done)
-            done[new] = True
-            floor = best[-1][0] if len(best) == k else -_HUGE
-            rows, s = self._scores(new, q, k, max(floor, -_HUGE if known is None else known))
-            best = sorted([*best, *zip(s.tolist(), self.ids[rows].tolist(), rows.tolist())], key=lambda t: (-t[0], t[1], t[2]))[:k]
-            kth = self._distance(best[-1][0], unit) if len(best) == k else 2.0
-            if reach >= min(2.0, kth) or known is not None:
-                return best
-            reach = min(reach * grow, kth)
+        return self.search_all([query_id], q[None], k, [known])[0]
+
+    def search_all(self, query_ids: list[int], queries: np.ndarray, k: int, known: list[float | None], begin: float = 0.7, grow: float = 1.25) -> list[list[tuple[float, int, int]]]:
+        """`search` of each query. All ask a sorted array for their windows at once."""
+        tops = np.abs(queries).max(1)
+        units = [(top, sqrt(float(((q / top) ** 2).sum()))) for q, top in zip(queries, tops)]
+        h = np.stack([(q / top / length) @ self.axes[:-1] for q, (top, length) in zip(queries, units)])
+        done: list[np.ndarray | None] = [None] * len(queries)
+        best: list[list[tuple[float, int, int]]] = [[] for _ in done]
+        reach = np.array([begin if x is None else self._distance(x, u) for x, u in zip(known, units)])
+        left = list(range(len(queries)))
+        while left:
+            r = (reach[left] * self.width * (1 + 1e-9) + 1e-9)[:, None]
+            low = np.stack([s.searchsorted(x) for s, x in zip(self.sorted, (h[left] - r).T)], 1)
+            high = np.stack([s.searchsorted(x, "right") for s, x in zip(self.sorted, (h[left] + r).T)], 1)
+            wider = []
+            for i, a, z in zip(left, low, high):
+                if done[i] is None:
+                    done[i] = self.ids == query_ids[i]
+                new = np.flatnonzero((self.collisions(a, z) >= self.least) & ~done[i])
+                floor = best[i][-1][0] if len(best[i]) == k else -_HUGE
+                rows, s = self._scores(new, queries[i], k, max(floor, -_HUGE if known[i] is None else known[i]))
+                best[i] = sorted([*best[i], *zip(s.tolist(), self.ids[rows].tolist(), rows.tolist())], key=lambda t: (-t[0], t[1], t[2]))[:k]
+                kth = self._distance(best[i][-1][0], units[i]) if len(best[i]) == k else 2.0
+                if reach[i] >= min(2.0, kth) or known[i] is not None:
+                    done[i] = None
+                    continue
+                done[i][new] = True
+                reach[i] = min(reach[i] * grow, kth)
+                wider.append(i)
+            left = wider
+        return best
 
 
 def _clean(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -136,9 +163,11 @@ def nearest_by_collisions(vectors: DataFrame, is_query, k: int = 20, block_rows:
         if len(cand) and len(ask):
             block = SortedProjections(cand.id.to_numpy(), np.stack(cand.v.to_numpy()).astype(np.float64), functions, near, sure)
             times, rows = cand.times.tolist(), cand.row.tolist()
-            for qid, qv, known in zip(ask.id.tolist(), ask.v, ask.known.tolist()):
-                for s, i, at in block.search(qid, np.asarray(qv, np.float64), k, None if np.isnan(known) else known):
-                    out.append((qid, i, s, times[at], rows[at]))
+            for of in range(0, len(ask), 256):
+                some = ask.iloc[of : of + 256]
+                known = [None if np.isnan(x) else x for x in some.known.tolist()]
+                for qid, found in zip(some.id.tolist(), block.search_all(some.id.tolist(), np.stack(some.v.to_numpy()).astype(np.float64), k, known)):
+                    out += [(qid, i, s, times[at], rows[at]) for s, i, at in found]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "times", "row"]).astype({"query_id": "int64", "vec_id": "int64", "row": "int64", "score": "float64", "times": "int64"})
 
     def searched(c: DataFrame, q: DataFrame, blocks, parts: int) -> DataFrame:

@@ -69,6 +69,33 @@ def test_windows_leave_most_vectors_alone():
     assert block.verified < 0.1 * 20 * 4000
 
 
+@pytest.mark.parametrize("rows", [300, 70_000])
+def test_wide_windows_count_like_narrow_ones(monkeypatch, rows):
+    """Counts of places within wide windows are those of reading the sorted arrays, with empty and full windows too."""
+    from cohortmill.llm import neighbours
+
+    rng = np.random.default_rng(7)
+    block = neighbours.SortedProjections(np.arange(rows), rng.standard_normal((rows, 4)), functions=16)
+    low = rng.integers(0, rows // 2, 16)
+    high = low + rng.integers(0, rows // 2, 16)
+    low[0], high[0], low[1], high[1] = 0, rows, 5, 5
+    counts = {}
+    for wide in (0, 1 << 40):  # all narrow, all wide
+        monkeypatch.setattr(neighbours, "WIDE", wide)
+        counts[wide] = block.collisions(low, high)
+    brute = sum(np.isin(np.arange(rows), block.order[j, low[j] : high[j]]).astype(int) for j in range(16))
+    assert (counts[0] == brute).all() and (counts[1 << 40] == brute).all()
+
+
+def test_queries_together_find_what_each_finds_alone():
+    from cohortmill.llm.neighbours import SortedProjections
+
+    x = np.random.default_rng(8).standard_normal((900, 16))
+    block = SortedProjections(np.arange(900), x)
+    known = [None, 2.0, None, -1.0]
+    assert block.search_all([0, 1, 2, 3], x[:4], 9, known) == [block.search(i, x[i], 9, known[i]) for i in range(4)]
+
+
 def test_threshold():
     from cohortmill.llm.neighbours import threshold
 

@@ -11,8 +11,10 @@ longest token, which bounds the lookahead.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ ROOT = 0
 _BITS = 20
 _TOKEN = (1 << _BITS) - 1
 #: Characters of texts whose new words are encoded together.
-BLOCK = 500_000
+BLOCK = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -280,9 +282,10 @@ class Transducer:
             t[left] = lasts[end[left] - 1, left]
             tokens.append(t)
             end[left] -= self.lengths[t[left]]
-        rows = np.stack(tokens[::-1], 1).tolist()
-        for i, row in zip(short.tolist(), rows):
-            out[i] = [x for x in row if x >= 0]
+        rows = np.stack(tokens[::-1], 1)
+        flat, cuts = rows[rows >= 0].tolist(), [0, *np.cumsum((rows >= 0).sum(1)).tolist()]
+        for i, x, y in zip(short.tolist(), cuts, cuts[1:]):
+            out[i] = flat[x:y]
         for i in short.tolist():
             whole = self.ranks.get(pieces[i])
             if whole is not None:
@@ -320,24 +323,41 @@ class StreamDecoder:
         return held.decode("utf-8", "replace")
 
 
+@contextmanager
+def uncollected():
+    """Without the collector of cycles, which would go through all that is cached time and again; encoding makes no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Codec:
-    """A pattern, a transducer and bounded caches of what the pattern finds.
+    """A pattern, a transducer and a bounded cache of what the pattern finds.
+
+    The cache holds two generations of about `cache` parts and matches, or those of one block of texts. Those that are met again go to the younger one; when that
+    is full, the older one goes, with what was not met since. So frequent parts stay, however many rare ones pass.
 
     With `words`, the pattern is one whose matches never reach from a word past the blank behind it, as those that put a
     blank before a word do. Then, where every run of white space is one space or one line end, words can be looked up without matching the pattern again; other texts are matched as a whole.
     """
 
-    def __init__(self, rank_path: str, pattern: str, cache: int = 60_000, words: bool = True):
+    def __init__(self, rank_path: str, pattern: str, cache: int = 150_000, words: bool = True):
         import regex
 
         self.fst = Transducer(load_ranks(rank_path))
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.size, self.words = cache, words
 
     def forget(self) -> None:
         """Empties what grows with the texts, for the worker may go on with other work."""
         self.known.clear()
+        self.old.clear()
         self.fst.fits.clear()
         self.fst.spines.clear()
         self.fst.reset()
@@ -348,23 +368,40 @@ class Codec:
             return self.split(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in text else self.split(text)
 
+    def unknown(self, parts: set[str]) -> list[str]:
+        """Those of neither generation; those of the older one become those of the younger."""
+        known, old, new = self.known, self.old, []
+        for p in parts.difference(known):
+            ids = old.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                known[p] = ids
+        return new
+
+    @uncollected()
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text; parts that are new are encoded together."""
         parts = [self.parts(t) for t in texts]
-        new = list({p for own in parts for p in own if p and p not in self.known})
-        if len(self.known) + len(new) > self.size:
-            self.known.clear()
-            new = list({p for own in parts for p in own if p})
-        split, pieces, number = self.split, [], []
-        for p in new:
+        met = set().union(*parts)
+        met.discard("")
+        if len(self.known) + len(met) > self.size:
+            self.old, self.known = self.known, {}
+        known, split = self.known, self.split
+        wanted, several = set(), []
+        for p in self.unknown(met):
             own = split(p)
-            number.append(len(own))
-            pieces += own
-        found = iter(self.fst.encode_all([p.encode("utf-8") for p in pieces]))
-        known = self.known
-        for p, n in zip(new, number):
-            known[p] = next(found) if n == 1 else [i for _ in range(n) for i in next(found)]
-        known[""] = []
+            if len(own) == 1:
+                wanted.add(p)
+            else:
+                several.append((p, own))
+                wanted.update(own)
+        new = self.unknown(wanted)
+        for p, ids in zip(new, self.fst.encode_all([p.encode("utf-8") for p in new])):
+            known[p] = tuple(ids)  # tuples of numbers cost the garbage collector nothing
+        for p, own in several:
+            known[p] = tuple(i for w in own for i in known[w])
+        known[""] = ()
         out = []
         for own in parts:
             ids: list[int] = []

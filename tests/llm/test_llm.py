@@ -581,6 +581,25 @@ def test_bpe(spark):
     assert bpe_digests(df.limit(0), path, P.PATTERN).count() == 0
 
 
+def test_bpe_keeps_frequent_words():
+    """Words that are met again are encoded once, however many rare ones pass, and the cache stays small."""
+    import public_tokenizers as P
+    import tiktoken
+
+    from cohortmill.llm.bpe import Codec, load_ranks
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
+    c, sent, rng = Codec(path, P.PATTERN, cache=200), [], random.Random(9)
+    real = c.fst.encode_all
+    c.fst.encode_all = lambda pieces: (sent.extend(pieces), real(pieces))[1]
+    for _ in range(30):
+        t = "some frequentishly met wordlike " + " ".join("".join(rng.choice("abcdefé") for _ in range(9)) for _ in range(60))
+        assert c.encode_all([t, ""]) == [ref.encode_ordinary(t), []]
+        assert len(c.known) <= 300 and len(c.old) <= 300
+    assert sent.count(b" frequentishly") == 1 and sent.count(b" wordlike") == 1
+
+
 # ---- 9 ------------------------------------------------------------------------------------------------------------
 
 

@@ -113,15 +113,24 @@ def word_spans(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, the same wherever the span stands: differences of running sums of byte times power, moved to the origin."""
+def running_sums(data: np.ndarray) -> np.ndarray:
+    """Sums of byte times power up to each place, from which `span_hashes` takes differences."""
+    run = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        x = data.astype(np.uint64)
+        x += np.uint64(1)
+        x *= _powers(len(data) + 1)[0][: len(data)]
+        np.cumsum(x, out=run[1:])
+    return run
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, run: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, the same wherever the span stands: differences of running sums of byte times power, moved to the origin. `run`, of `running_sums`, can be given where several kinds of spans are hashed."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    run = running_sums(data) if run is None else run
     with np.errstate(over="ignore"):
-        up, down = _powers(len(data) + 1)
-        run = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=run[1:])
-        h = (run[ends] - run[starts]) * down[starts]
+        h = (run[ends] - run[starts]) * _powers(len(data) + 1)[1][starts]
         return mix64(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 

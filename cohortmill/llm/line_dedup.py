@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortmill.llm.common import _powers, discard, joined, materialise, mix64, span_hashes, text_blocks, tidied
+from cohortmill.llm.common import _powers, discard, joined, materialise, mix64, running_sums, span_hashes, text_blocks, tidied
 
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
@@ -47,12 +47,21 @@ def _split(data: np.ndarray, at: np.ndarray, sentences: bool) -> tuple[np.ndarra
     return starts[real], cut[real], doc[real]
 
 
-def chunks(texts: list[str]) -> tuple[bytes, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
-    """The bytes of all texts, and for each text the starts, ends, hashes and numbers of lines of its chunks, which cover it."""
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def block_of(texts: list[str]) -> Block:
+    """What `chunks` and `runs` both need of texts: their bytes, where each starts, and running sums for hashes."""
     data, at = joined(texts)
+    return data, at, running_sums(data)
+
+
+def chunks(texts: list[str], block: Block | None = None) -> tuple[bytes, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """The bytes of all texts, and for each text the starts, ends, hashes and numbers of lines of its chunks, which cover it."""
+    data, at, sums = block or block_of(texts)
     raw = data.tobytes()
     starts, cut, doc = _split(data, at, False)
-    r = mix64(span_hashes(data, starts, cut))
+    r = mix64(span_hashes(data, starts, cut, sums))
     n = len(r)
     first = np.ones(n, bool)
     first[1:] = doc[1:] != doc[:-1]
@@ -66,7 +75,7 @@ def chunks(texts: list[str]) -> tuple[bytes, list[tuple[np.ndarray, np.ndarray,
     tail = np.flatnonzero(edge)
     head = np.concatenate([[0], tail[:-1] + 1]) if len(tail) else tail
     a, b, units, of = starts[head], cut[tail], tail - head + 1, doc[head]
-    hashes = span_hashes(data, a, b)
+    hashes = span_hashes(data, a, b, sums)
     bounds = np.searchsorted(of, np.arange(len(texts) + 1))
     return raw, [(a[i:j], b[i:j], hashes[i:j], units[i:j]) for i, j in zip(bounds, bounds[1:])]
 
@@ -82,12 +91,12 @@ class Runs(NamedTuple):
     hashes: np.ndarray
 
 
-def runs(texts: list[str], words: int) -> tuple[bytes, list[Runs]]:
+def runs(texts: list[str], words: int, block: Block | None = None) -> tuple[bytes, list[Runs]]:
     """The bytes of all texts, and for each text the shortest runs of `words` words from each unit on and up to each unit.
 
     Blanks around a unit do not count. Where words are not set apart by blanks, 12 bytes count as one.
     """
-    data, at = joined(texts)
+    data, at, of_bytes = block or block_of(texts)
     starts, cut, doc = _split(data, at, True)
     inked = np.flatnonzero(~_BLANK[data])
     i, j = np.searchsorted(inked, starts), np.searchsorted(inked, cut)
@@ -110,12 +119,27 @@ def runs(texts: list[str], words: int) -> tuple[bytes, list[Runs]]:
     with np.errstate(over="ignore"):
         up, down = _powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix64(span_hashes(data, a, z)) * up[:n], out=sums[1:])
+        np.cumsum(mix64(span_hashes(data, a, z, of_bytes)) * up[:n], out=sums[1:])
         h = mix64((sums[stop] - sums[first]) * down[first] ^ (stop - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     cuts = np.searchsorted(first, bounds)
     return data.tobytes(), [Runs(a[x:y], z[x:y], upto[x:y], first[u:v] - x, (stop - first)[u:v], h[u:v]) for x, y, u, v in zip(bounds, bounds[1:], cuts, cuts[1:])]
 
 
+def _runs_where(texts: list[str], wanted: list[list[int] | None], words: int | None) -> tuple[bytes, list[Runs | None], list[int]]:
+    """`runs` of those texts of which the place of a run is wanted, None for the others: bytes, runs, and where each text starts in the bytes."""
+    own = [i for i, w in enumerate(wanted) if words and w and max(w) >= RUN]
+    found: list[Runs | None] = [None] * len(texts)
+    starts = [0] * len(texts)
+    if not own:
+        return b"", found, starts
+    raw, some = runs([texts[i] for i in own], words)
+    at = 0
+    for i, m in zip(own, some):
+        found[i], starts[i] = m, at
+        at += len(texts[i].encode("utf-8", "surrogatepass")) + 1
+    return raw, found, starts
+
+
 WHOLE = -1  # the place of a whole text
 RUN = 1 << 50  # the least place of a run; its first unit and number of units are added
 
@@ -148,8 +172,9 @@ def line_dedup(docs: DataFrame, min_units: int = 2, id_col: str = "doc_id", text
             for keys, texts in text_blocks(iter([b.select([1, 2])])):
                 ids, n = b.column(0).slice(start, len(texts)), len(texts)
                 start += n
-                _, found = chunks(texts)
-                more = runs(texts, run_words)[1] if run_words else None
+                block = block_of(texts)
+                _, found = chunks(texts, block)
+                more = runs(texts, run_words, block)[1] if run_words else None
                 of, h, place = [], [], []
                 for i, (a, z, hashes, units) in enumerate(found):
                     take = np.flatnonzero(units >= min_units)
@@ -180,12 +205,13 @@ def line_dedup(docs: DataFrame, min_units: int = 2, id_col: str = "doc_id", text
             start, wanted = 0, b.column(2)
             for keys, texts in text_blocks(iter([b.select([0, 1])])):
                 raw, parts = chunks(texts)
-                more = runs(texts, run_words)[1] if run_words else [None] * len(texts)
+                wants = wanted.slice(start, len(texts)).to_pylist()
+                of_runs, more, _ = _runs_where(texts, wants, run_words)
                 h, out = [], []
-                for (a, z, hashes, _u), m, want in zip(parts, more, wanted.slice(start, len(texts)).to_pylist()):
+                for (a, z, hashes, _u), m, want in zip(parts, more, wants):
                     if m:
                         at = {(f << 20 | u) + RUN: i for i, (f, u) in enumerate(zip(m.first.tolist(), m.units.tolist()))}
-                        units = [raw[x:y] for x, y in zip(m.start.tolist(), m.end.tolist())]
+                        units = [of_runs[x:y] for x, y in zip(m.start.tolist(), m.end.tolist())]
                     for i in want:
                         if i >= RUN:
                             f = i - RUN >> 20
@@ -194,7 +220,7 @@ def line_dedup(docs: DataFrame, min_units: int = 2, id_col: str = "doc_id", text
                             continue
                         h.append(_whole(hashes) if i == WHOLE else hashes[i])
                         out.append(raw[a[0] : z[-1]] if i == WHOLE else raw[a[i] : z[i]])
-                hs, at = pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(np.repeat(np.arange(len(texts)), [len(w) for w in wanted.slice(start, len(texts)).to_pylist()]))
+                hs, at = pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(np.repeat(np.arange(len(texts)), [len(w) for w in wants]))
                 if placed:
                     wide = pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in out], pa.binary())
                     yield pa.RecordBatch.from_arrays([b.column(3).slice(start, len(texts)).take(at), keys.take(at), wanted.slice(start, len(texts)).flatten(), hs, wide], ["doc_id", "_key", "place", "h", "chunk"])
@@ -224,13 +250,13 @@ def line_dedup(docs: DataFrame, min_units: int = 2, id_col: str = "doc_id", text
             start = 0
             for _, block in text_blocks(iter([pa.RecordBatch.from_arrays([b.column(1), pa.array([t or "" for t in texts], pa.string())], ["x", "t"])])):
                 raw, parts = chunks(block)
-                more = runs(block, run_words)[1] if run_words else None
+                _, more, begins = _runs_where(block, lists[start : start + len(block)], run_words)
                 for k, (a, z, _h, _u) in enumerate(parts):
                     lost = np.zeros(int(z[-1] - a[0]) if len(a) else 0, bool)
                     for i in set(lists[start + k] or ()):
                         if i >= RUN:
                             f, m = i - RUN >> 20, more[k]
-                            lost[m.start[f] - a[0] : m.upto[f + (i & 0xFFFFF) - 1] - a[0]] = True
+                            lost[m.start[f] - begins[k] : m.upto[f + (i & 0xFFFFF) - 1] - begins[k]] = True
                         elif i == WHOLE:
                             lost[:] = True
                         else:

@@ -256,6 +256,23 @@ def test_line_dedup_compares_bytes(spark):
     assert out == {0: texts[0], 1: texts[1], 2: "", 3: texts[3]}
 
 
+def test_runs_only_where_they_are_wanted():
+    """Runs are made of the texts of which one is wanted, and stand where they would among all texts; shared sums change no hash."""
+    from cohortmill.llm.line_dedup import RUN, _runs_where, block_of, chunks, runs
+
+    texts = ["", "\n" + prose(3, 200), "é\n\n" + prose(4, 120), prose(5, 90), "x"]
+    raw, found, starts = _runs_where(texts, [None, [3, RUN + (1 << 20 | 2)], [0], [RUN], []], 50)
+    assert [f is not None for f in found] == [False, True, False, True, False]
+    alone = {i: runs([texts[i]], 50) for i in (1, 3)}
+    for i, (own, (m,)) in alone.items():
+        assert all((x == y).all() for x, y in zip(found[i][3:], m[3:])) and (found[i].start - starts[i] == m.start).all() and (found[i].upto - starts[i] == m.upto).all()
+        assert [raw[a:z] for a, z in zip(found[i].start, found[i].end)] == [own[a:z] for a, z in zip(m.start, m.end)]
+    assert _runs_where(texts, [None, [0], None, [1], []], 50)[1] == [None] * 5 and _runs_where(texts, [None, [RUN], None, None, None], None)[1] == [None] * 5
+    block = block_of(texts)
+    for x, y in ((chunks(texts, block), chunks(texts)), (runs(texts, 50, block), runs(texts, 50))):
+        assert x[0] == y[0] and all((p == q).all() for u, v in zip(x[1], y[1]) for p, q in zip(u, v))
+
+
 def test_line_dedup_recall(spark):
     """Passages of 51 words and more planted between other texts, without a look at chunks()."""
     from cohortmill.llm.line_dedup import line_dedup

@@ -107,7 +107,7 @@ def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
 def _squeezed(a: np.ndarray) -> bytes:
     """The bytes of a number array by their place in a number, compressed."""
     raw = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
 def _unsqueezed(b: bytes, dtype) -> np.ndarray:
@@ -284,10 +284,11 @@ def _sharded(table: DataFrame, shards: int, salts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, at = b.column("n").to_numpy(), np.zeros(b.num_rows, np.int32)
-            for k in np.unique(n):
-                i = np.flatnonzero(n == k)
-                at[i] = shard_of(_codes(b.column("g").take(pa.array(i)), int(k)), shards)
+            n, at, weight = b.column("n").to_numpy(), np.zeros(b.num_rows, np.int32), b.column("lp").is_null().to_numpy(False)
+            for k in np.unique(n).tolist():
+                for i, of in ((np.flatnonzero((n == k) & ~weight), k), (np.flatnonzero((n == k) & weight), k + 1)):
+                    codes = _codes(b.column("g").take(pa.array(i)), k)
+                    at[i] = shard_of(codes if of == k else np.pad(codes, ((0, 0), (0, 1))), shards)  # a weight goes where the n-grams of its context are
             yield b.append_column("shard", pa.array(at))
 
     out = table.mapInArrow(tidied(run), T.StructType([*table.schema.fields, T.StructField("shard", T.IntegerType())]))
@@ -318,16 +319,24 @@ class _Table:
 
 
 def _answers(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
-    """Of each chunk's questions to a shard: log probabilities of all orders and log weights of all but the highest, to 1 part in 100,000."""
+    """Of each chunk's questions to a shard: one number for each n-gram, to 1 part in 100,000.
+
+    Of an n-gram seen, that is its log probability, with the sign bit set. Of one not seen, it is the log weight that its context leaves to the order
+    below, with the sign bit clear: nothing else of the context is ever used.
+    """
     models = {m: _Table(table.filter(pc.equal(table.column("model"), m))) for m in pc.unique(table.column("model")).to_pylist()}
     none = _Table(table.slice(0, 0))
     out = []
     for m, numbers, grams in zip(asked.column("model").to_pylist(), asked.column("numbers").to_pylist(), asked.column("grams")):
         t = models.get(m, none)
-        hashes = [gram_hashes(c) for c in _unpacked(grams.as_py(), numbers)]
-        p = [_Table.find(t.p.get(n), h, np.nan) for n, h in enumerate(hashes)]
-        b = [_Table.find(t.b.get(n), h, 0.0) for n, h in enumerate(hashes[:-1])]
-        out.append(_narrowed(np.concatenate(p + b)))
+        told = []
+        for n, codes in enumerate(_unpacked(grams.as_py(), numbers)):
+            p = _Table.find(t.p.get(n), gram_hashes(codes), np.nan)
+            new = np.flatnonzero(np.isnan(p)) if n else np.zeros(0, np.int64)
+            p = np.copysign(p, np.float32(-1))
+            p[new] = np.abs(_Table.find(t.b.get(n - 1), gram_hashes(codes[new, : n - 1]), 0.0)) if len(new) else p[new]
+            told.append(p)
+        out.append(_narrowed(np.concatenate(told)))
     tidy()
     return pa.table([asked.column("chunk"), pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["chunk", "shard", "answers"])
 
@@ -335,19 +344,17 @@ def _answers(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
 def _log_probabilities(g: Grams, answers: dict[int, bytes], shards: int) -> np.ndarray:
     """The log probability of each n-gram of the highest order in a chunk."""
     order = len(g.codes) - 1
-    p = [np.full(len(c), np.nan, np.float32) for c in g.codes]
-    b = [np.zeros(len(c), np.float32) for c in g.codes[:-1]]
+    told = [np.full(len(c), np.nan, np.float32) for c in g.codes]
     at = [shard_of(c, shards) for c in g.codes]
     for s, raw in answers.items():
         a, k = _widened(raw), 0
-        for held in (p, b):
-            for n in range(len(held)):
-                i = np.flatnonzero(at[n] == s)
-                held[n][i] = a[k : k + len(i)]
-                k += len(i)
-    lp = p[0]
+        for n in range(order + 1):
+            i = np.flatnonzero(at[n] == s)
+            told[n][i] = a[k : k + len(i)]
+            k += len(i)
+    lp = told[0]
     for n in range(1, order + 1):
-        lp = np.where(np.isnan(p[n]), b[n - 1][g.context[n]] + lp[g.suffix[n]], p[n])
+        lp = np.where(np.signbit(told[n]), told[n], lp[g.suffix[n]] - told[n])
     return lp
 
 

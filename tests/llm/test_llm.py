@@ -559,6 +559,24 @@ def test_grams_of_a_chunk():
     assert distinct_share(["a b", "a b c a b c", "水水水水水", ""]).tolist() == [1.0, 0.75, pytest.approx(1 / 3), 1.0]
 
 
+def test_kneser_ney_answers():
+    """A shard answers each n-gram with one number, its log probability or the weight of its context, and chunks make the same sums of them."""
+    import pyarrow as pa
+
+    from cohortmill.llm.kneser_ney import _answers, _log_probabilities, _packed, _widened, grams_of, shard_of
+
+    g = grams_of(["abab", "ac"], 2)
+    rows = [("m", 0, "", -3.0, None), ("m", 1, "a", -1.0, None), ("m", 1, "a", None, -0.5), ("m", 1, "b", -2.0, None), ("m", 2, "ab", -0.25, None)]
+    table = pa.table([pa.array(x) for x in zip(*rows)], names=["model", "n", "g", "lp", "lb"]).cast(pa.schema([("model", pa.string()), ("n", pa.int32()), ("g", pa.string()), ("lp", pa.float32()), ("lb", pa.float32())]))
+    assert (np.concatenate([shard_of(c, 1) for c in g.codes]) == 0).all()
+    asked = pa.table([pa.array([7]), pa.array(["m"]), pa.array([[len(c) for c in g.codes]], pa.list_(pa.int32())), pa.array([_packed(g.codes)], pa.binary())], names=["chunk", "model", "numbers", "grams"])
+    raw = _answers((pa.scalar(0),), table, asked).column("answers")[0].as_py()
+    assert len(_widened(raw)) == sum(len(c) for c in g.codes)
+    lp = dict(zip(("".join(map(chr, c)) for c in g.codes[2]), _log_probabilities(g, {0: raw}, 1).tolist()))
+    pad = chr(0x10FFFF)
+    assert {k: round(v, 4) for k, v in lp.items() if k[-1] != pad} == {pad + "a": -1.0, "ab": -0.25, "ba": -1.0, "ac": -3.5}
+
+
 # ---- 8 ------------------------------------------------------------------------------------------------------------
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortmill.llm.common import LOWER, checked_broadcast, joined, materialise, shingle_hashes, text_blocks, tidied, word_hashes, word_spans
+from cohortmill.llm.common import LOWER, checked_broadcast, discard, joined, materialise, shingle_hashes, text_blocks, tidied, word_hashes, word_spans
 from cohortmill.llm.components import connected_components
 
 #: Words are runs of bytes other than white space.
@@ -70,10 +70,12 @@ def _frequent(docs: DataFrame, n: int, share: float, sample_docs: int, most: int
             s = _sets(texts, n)
             s = [x if f else x[: np.searchsorted(x, limit)] for x, f in zip(s, few.to_pylist())]
             h, c = np.unique(np.concatenate(s), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64()), pa.array(h >= limit)], ["h", "c", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["h", "c"])
 
-    counted = docs.select(drawn < int(1_000_000 * part), "text").mapInArrow(tidied(run), "h long, c long, high boolean").groupBy("h", "high").agg(F.sum("c").alias("c")).where("c > 1")
-    counted = materialise(counted.select("h", F.when(F.col("high"), F.col("c") / part).otherwise(F.col("c")).cast("long").alias("c")))
+    counted = docs.select(drawn < int(1_000_000 * part), "text").mapInArrow(tidied(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
+    # hashes are unsigned: from `limit` on they were counted in the sample only
+    high = (F.col("h") >= int(limit)) | (F.col("h") < 0) if limit < 1 << 63 else (F.col("h") < 0) & (F.col("h") >= int(limit) - (1 << 64))
+    counted = materialise(counted.select("h", F.when(high, F.col("c") / part).otherwise(F.col("c")).cast("long").alias("c")))
     least, held = 1 << 62, 0
     for r in sorted(counted.groupBy(F.least("c", F.lit(10_000)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["c"]):
         held += r["n"]
@@ -81,6 +83,7 @@ def _frequent(docs: DataFrame, n: int, share: float, sample_docs: int, most: int
             break
         least = r["c"]
     t = counted.where(F.col("c") >= least).toArrow()
+    discard(counted)
     h, c = t.column("h").to_numpy().view(np.uint64), t.column("c").to_numpy()
     o = np.argsort(h)
     return h[o], c[o]
@@ -168,7 +171,9 @@ def _overlaps(a: list[bytes], b: list[bytes]) -> np.ndarray:
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes that link, by the overlap counts of their sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rids, _ = checked_broadcast(materialise(nodes.join(wanted, "node", "left_semi").select("rid")), 1_000_000)
+    asked = materialise(nodes.join(wanted, "node", "left_semi").select("digest", "node", "rid"))
+    asked_of, _ = checked_broadcast(asked, 1_000_000)
+    rids = asked_of.select("rid")
     texts = docs.join(rids, "rid", "left_semi").select("rid", "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +182,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num:
             cut = [int(np.searchsorted(x, np.uint64(FIRST << 56))) for x in s]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in s], pa.binary()), pa.array([len(x) for x in s], pa.int64()), pa.array(cut, pa.int64()), pa.array([x[:c].tobytes() for x, c in zip(s, cut)], pa.binary()), pa.array([x[c:].tobytes() for x, c in zip(s, cut)], pa.binary())], ["digest", "size", "cut", "first", "rest"])
 
-    own, _ = checked_broadcast(materialise(nodes.join(wanted, "node", "left_semi").select("digest", "node")), 1_000_000)
-    sets = texts.mapInArrow(tidied(to_sets), "digest binary, size long, cut long, first binary, rest binary").join(own, "digest").drop("digest")
+    sets = texts.mapInArrow(tidied(to_sets), "digest binary, size long, cut long, first binary, rest binary").join(asked_of.select("digest", "node"), "digest").drop("digest")
     # a row that stands several times gives its set several times
     sets = materialise(sets.dropDuplicates(["node"]))
 
@@ -200,7 +204,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num:
     joined_first = pairs.join(side("b", "first"), "b").join(side("a", "first"), "a").select("a", "b", "ma", "mb", "na", "nb", "ca", "cb")
     left = materialise(joined_first.mapInArrow(tidied(first), "a long, b long, o long, sizes long"))
     joined_rest = left.join(side("b", "rest").select("b", "mb"), "b").join(side("a", "rest").select("a", "ma"), "a").select("a", "b", "o", "sizes", "ma", "mb")
-    return joined_rest.mapInArrow(tidied(rest), "a long, b long")
+    links = materialise(joined_rest.mapInArrow(tidied(rest), "a long, b long"))
+    discard(asked, sets, left)
+    return links
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -213,10 +219,13 @@ def _groups(d: DataFrame, n: int, num: int, den: int, sample_docs: int, most_fre
     """The signatures of the rows of `d` (doc_id, text, rid), and for each set (digest) its component's root and smallest doc_id and its number of rows."""
     spark = d.sparkSession
     frequent = spark.sparkContext.broadcast(_frequent(d, n, min(1.0, 2 * (1 - num / den)), sample_docs, most_frequent))
-    sig = materialise(_signatures(d, n, num, den, frequent))
-    nodes = sig.where("digest IS NOT NULL").groupBy("digest").agg(F.min("rid").alias("rid"), F.min("n_shingles").alias("size"), F.min("doc_id").alias("min_id"), F.count(F.lit(1)).alias("copies"))
-    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
-    one = materialise(sig.join(nodes.select("digest", "rid", "node"), ["digest", "rid"]).drop("digest", "rid", "doc_id").dropDuplicates(["node"]))
+    wide = materialise(_signatures(d, n, num, den, frequent).withColumn("node", F.monotonically_increasing_id()))
+    sig = materialise(wide.select("doc_id", "rid", "n_shingles", "digest"))
+    # a set is known by the number of one of its rows as stored
+    nodes = wide.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("rid", "node")).alias("one"), F.min("n_shingles").alias("size"), F.min("doc_id").alias("min_id"), F.count(F.lit(1)).alias("copies"))
+    nodes = materialise(nodes.select("digest", "one.rid", "size", "min_id", "copies", "one.node"))
+    one = materialise(wide.select("node", "n_shingles", "prefix", "bitmap", "wide").join(nodes.select("node"), "node", "left_semi"))
+    discard(wide)
     entries = one.select(F.posexplode("prefix").alias("pos", "s"), "node")
     shared = entries.groupBy("s").agg(F.count(F.lit(1)).alias("block"), F.min("node").alias("leader")).where("block > 1")
     entries = materialise(entries.join(shared, "s"))
@@ -227,18 +236,22 @@ def _groups(d: DataFrame, n: int, num: int, den: int, sample_docs: int, most_fre
 
     star = entries.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     pairs = materialise(_close(star.join(side("a"), "a").join(side("b"), "b").where(_may_link(num, den)), num, den))
-    links = materialise(_verified(pairs, d, nodes, n, num, den))
+    links = _verified(pairs, d, nodes, n, num, den)
+    discard(pairs)
     # what links to one leader is joined already; chains of leaders are left to the end
     roots = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
     marked = entries.join(roots, "node", "left").select("s", "pos", "block", "node", F.coalesce("root", "node").alias("root"))
     mixed = marked.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("s")
-    rest = materialise(marked.join(mixed, "s", "left_semi"))
+    marked = materialise(marked.join(mixed, "s", "left_semi"))
+    discard(entries)
+    rest = marked
     # a pair is made at the first of the columns that both are in; sets in very many columns do without
     lists = rest.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("all")).select("node", F.when(F.size("all") <= 64, F.col("all")).alias("all"))
     rest = rest.join(lists, "node").join(side("node").drop("wnode"), "node")
     rest = rest.withColumn("tiles", F.ceil(F.col("block") / tile)).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")))
     rest = materialise(rest)
+    discard(marked)
 
     def tiled(x: str) -> DataFrame:
         other = F.explode(F.sequence(F.col("t"), F.col("tiles") - 1) if x == "a" else F.sequence(F.lit(0).cast("long"), F.col("t"))).alias("u")
@@ -250,12 +263,16 @@ def _groups(d: DataFrame, n: int, num: int, den: int, sample_docs: int, most_fre
     cross = tiled("a").join(tiled("b"), ["s", "ta", "tb"]).where((F.col("roota") != F.col("rootb")) & ((F.col("ta") < F.col("tb")) | (F.col("a") < F.col("b"))) & _may_link(num, den) & at_first & F.coalesce(F.get(F.array_intersect("alla", "allb"), F.lit(0)) == F.col("s"), F.lit(True)))
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs2 = materialise(_close(cross.join(side("a"), "a").join(side("b"), "b"), num, den))
+    discard(rest, one)
     links2 = _verified(pairs2, d, nodes, n, num, den)
+    discard(pairs2)
     roots = connected_components(links.unionByName(links2))
 
     groups = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = groups.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    return sig, materialise(groups.join(smallest, "root").select("digest", "root", "component_id", "copies"))
+    by_set = materialise(groups.join(smallest, "root").select("digest", "root", "component_id", "copies"))
+    discard(nodes, links, links2)
+    return sig, by_set
 
 
 def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, sample_docs: int = 4096, most_frequent: int = 2_000_000, tile: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -122,6 +122,23 @@ def test_keep_one(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=key) == sorted(want, key=key)
 
 
+def test_keep_one_leaves_small_tables(spark):
+    """Prefixes, bitmaps, sets and the tables of columns go as soon as nothing reads them; the result can still be read twice."""
+    from pathlib import Path
+
+    from cohortmill.llm.common import shared_dir
+    from cohortmill.llm.ngram_join import keep_one
+
+    folder = Path(shared_dir(spark).removeprefix("file://"), "tables")
+    df = frame(spark, {i: prose(i % 12, 60) + (" end" if i >= 12 else "") for i in range(24)})
+    df.count()
+    had = set(folder.glob("*"))
+    out = keep_one(df)
+    left = [set(spark.read.parquet(f"file://{p}").columns) for p in set(folder.glob("*")) - had]
+    assert left and not [c for c in left if c & {"prefix", "bitmap", "wide", "s", "first", "rest", "sizes", "c"}]
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in out.collect()) == list(range(12))
+
+
 def test_overlap_counts():
     from cohortmill.llm.common import joined, word_hashes, word_spans
     from cohortmill.llm.ngram_join import _IS_WORD, _overlaps

@@ -107,10 +107,10 @@ LOWER[65:91] += 32
 
 def word_spans(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes for which `is_word` (256 booleans) holds."""
-    w = np.zeros(len(data) + 2, np.int8)
+    w = np.zeros(len(data) + 2, bool)
     w[1:-1] = is_word[data]
-    d = np.diff(w)
-    return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
+    edges = np.flatnonzero(w[1:] != w[:-1])
+    return edges[::2], edges[1::2]
 
 
 def running_sums(data: np.ndarray) -> np.ndarray:

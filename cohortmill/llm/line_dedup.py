@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortmill.llm.common import _powers, discard, joined, materialise, mix64, running_sums, span_hashes, text_blocks, tidied
+from cohortmill.llm.common import _powers, discard, joined, materialise, mix64, running_sums, span_hashes, text_blocks, tidied, word_spans
 
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
@@ -33,11 +33,11 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[*range(9, 14), 32]] = True
 
 
-def _split(data: np.ndarray, at: np.ndarray, sentences: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and texts of the units: a unit ends with a line end, with `sentences` also with the space after a full stop."""
+def _split(data: np.ndarray, at: np.ndarray, word_ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and texts of the units: a unit ends with a line end, with `word_ends` also with the space after a full stop."""
     stop = data == 10
-    if sentences:
-        stop[1:] |= (data[1:] == 32) & _END[data[:-1]]
+    if word_ends is not None:
+        stop[word_ends[(data[word_ends] == 32) & _END[data[word_ends - 1]]]] = True
     stop[at[1:] - 1] = True
     ends = np.flatnonzero(stop) + 1
     starts = np.concatenate([[0], ends[:-1]])
@@ -60,7 +60,7 @@ def chunks(texts: list[str], block: Block | None = None) -> tuple[bytes, list[tu
     """The bytes of all texts, and for each text the starts, ends, hashes and numbers of lines of its chunks, which cover it."""
     data, at, sums = block or block_of(texts)
     raw = data.tobytes()
-    starts, cut, doc = _split(data, at, False)
+    starts, cut, doc = _split(data, at)
     r = mix64(span_hashes(data, starts, cut, sums))
     n = len(r)
     first = np.ones(n, bool)
@@ -97,14 +97,14 @@ def runs(texts: list[str], words: int, block: Block | None = None) -> tuple[byte
     Blanks around a unit do not count. Where words are not set apart by blanks, 12 bytes count as one.
     """
     data, at, of_bytes = block or block_of(texts)
-    starts, cut, doc = _split(data, at, True)
-    inked = np.flatnonzero(~_BLANK[data])
-    i, j = np.searchsorted(inked, starts), np.searchsorted(inked, cut)
+    begins, stops = word_spans(data, ~_BLANK)
+    starts, cut, doc = _split(data, at, stops)
+    # units end at blanks, so no word lies in two of them
+    i, j = np.searchsorted(begins, starts), np.searchsorted(begins, cut)
     full = j > i
     i, j, doc = i[full], j[full], doc[full]
-    a, z = inked[i], inked[j - 1] + 1
-    begins = inked[(inked == 0) | _BLANK[data[inked - 1]]]
-    long = np.maximum(np.searchsorted(begins, z) - np.searchsorted(begins, a), (z - a) // 12)
+    a, z = begins[i], stops[j - 1]
+    long = np.maximum(j - i, (z - a) // 12)
     n = len(a)
     upto = np.append(a[1:], 0)[:n]
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -114,7 +114,8 @@ def runs(texts: list[str], words: int, block: Block | None = None) -> tuple[byte
     after = np.searchsorted(total, total[:-1] + words)
     before = np.searchsorted(total, total[1:] - words, "right") - 1
     ahead, back = after <= bounds[doc + 1], before >= bounds[doc]
-    pairs = np.unique(np.concatenate([every[ahead] << 32 | after[ahead], before[back] << 32 | (every + 1)[back]]))
+    pairs = np.sort(np.concatenate([every[ahead] << 32 | after[ahead], before[back] << 32 | (every + 1)[back]]))
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
     first, stop = pairs >> 32, pairs & 0xFFFFFFFF
     with np.errstate(over="ignore"):
         up, down = _powers(n + 1)
@@ -125,13 +126,18 @@ def runs(texts: list[str], words: int, block: Block | None = None) -> tuple[byte
     return data.tobytes(), [Runs(a[x:y], z[x:y], upto[x:y], first[u:v] - x, (stop - first)[u:v], h[u:v]) for x, y, u, v in zip(bounds, bounds[1:], cuts, cuts[1:])]
 
 
-def _runs_where(texts: list[str], wanted: list[list[int] | None], words: int | None) -> tuple[bytes, list[Runs | None], list[int]]:
-    """`runs` of those texts of which the place of a run is wanted, None for the others: bytes, runs, and where each text starts in the bytes."""
+def _runs_where(texts: list[str], wanted: list[list[int] | None], words: int | None, block: Block | None = None) -> tuple[bytes, list[Runs | None], list[int]]:
+    """`runs` of those texts of which the place of a run is wanted, None for the others: bytes, runs, and where each text starts in the bytes. `block` is of all texts."""
     own = [i for i, w in enumerate(wanted) if words and w and max(w) >= RUN]
     found: list[Runs | None] = [None] * len(texts)
     starts = [0] * len(texts)
     if not own:
         return b"", found, starts
+    if block and 4 * len(own) >= 3 * len(texts):
+        raw, some = runs(texts, words, block)
+        for i in own:
+            found[i] = some[i]
+        return raw, found, block[1].tolist()
     raw, some = runs([texts[i] for i in own], words)
     at = 0
     for i, m in zip(own, some):
@@ -144,10 +150,15 @@ WHOLE = -1  # the place of a whole text
 RUN = 1 << 50  # the least place of a run; its first unit and number of units are added
 
 
-def _whole(hashes: np.ndarray) -> np.uint64:
-    """The hash of a text from those of its chunks."""
+def _wholes(hashes: np.ndarray, local: np.ndarray) -> np.ndarray:
+    """The hashes of texts from those of their chunks, of which `local` has the numbers within their texts; none for a text without chunks."""
     with np.errstate(over="ignore"):
-        return np.add.reduce(mix64(hashes + mix64(np.arange(1, len(hashes) + 1, dtype=np.uint64))))
+        return np.add.reduceat(mix64(hashes + mix64(local.astype(np.uint64) + np.uint64(1))), np.flatnonzero(local == 0)) if len(hashes) else hashes
+
+
+def _whole(hashes: np.ndarray) -> np.uint64:
+    """The hash of one text."""
+    return _wholes(hashes, np.arange(len(hashes)))[0]
 
 
 def line_dedup(docs: DataFrame, min_units: int = 2, id_col: str = "doc_id", text_col: str = "text", run_words: int | None = None) -> DataFrame:
@@ -175,18 +186,15 @@ def line_dedup(docs: DataFrame, min_units: int = 2, id_col: str = "doc_id", text
                 block = block_of(texts)
                 _, found = chunks(texts, block)
                 more = runs(texts, run_words, block)[1] if run_words else None
-                of, h, place = [], [], []
-                for i, (a, z, hashes, units) in enumerate(found):
-                    take = np.flatnonzero(units >= min_units)
-                    if len(a) > 1:
-                        take, hashes = np.append(take, WHOLE), np.append(hashes, _whole(hashes))
-                    of.append(np.full(len(take), i))
-                    h.append(hashes[take])
-                    place.append(take)
-                    if more:
-                        of.append(np.full(len(more[i].first), i))
-                        h.append(more[i].hashes)
-                        place.append(RUN + (more[i].first << 20 | more[i].units))
+                sizes = np.array([len(x[0]) for x in found])
+                of, hashes, units = np.repeat(np.arange(n), sizes), np.concatenate([x[2] for x in found]), np.concatenate([x[3] for x in found])
+                local = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                long, several = units >= min_units, np.flatnonzero(sizes > 1)
+                of, h, place = [of[long], several], [hashes[long], _wholes(hashes, local)[np.searchsorted(np.flatnonzero(sizes), several)]], [local[long], np.full(len(several), WHOLE)]
+                if more:
+                    of.append(np.repeat(np.arange(n), [len(x.first) for x in more]))
+                    h.append(np.concatenate([x.hashes for x in more]))
+                    place.append(RUN + (np.concatenate([x.first for x in more]) << 20 | np.concatenate([x.units for x in more])))
                 of = pa.array(np.concatenate(of))
                 yield pa.RecordBatch.from_arrays([ids.take(of), keys.take(of), pa.array(np.concatenate(place), pa.int64()), pa.array(np.concatenate(h).view(np.int64))], ["doc_id", "_key", "place", "h"])
 
@@ -204,9 +212,10 @@ def line_dedup(docs: DataFrame, min_units: int = 2, id_col: str = "doc_id", text
         for b in batches:
             start, wanted = 0, b.column(2)
             for keys, texts in text_blocks(iter([b.select([0, 1])])):
-                raw, parts = chunks(texts)
+                all_of = block_of(texts)
+                raw, parts = chunks(texts, all_of)
                 wants = wanted.slice(start, len(texts)).to_pylist()
-                of_runs, more, _ = _runs_where(texts, wants, run_words)
+                of_runs, more, _ = _runs_where(texts, wants, run_words, all_of)
                 h, out = [], []
                 for (a, z, hashes, _u), m, want in zip(parts, more, wants):
                     if m:
@@ -249,11 +258,17 @@ def line_dedup(docs: DataFrame, min_units: int = 2, id_col: str = "doc_id", text
             out, n_chunks, n_removed = [], [], []
             start = 0
             for _, block in text_blocks(iter([pa.RecordBatch.from_arrays([b.column(1), pa.array([t or "" for t in texts], pa.string())], ["x", "t"])])):
-                raw, parts = chunks(block)
-                _, more, begins = _runs_where(block, lists[start : start + len(block)], run_words)
+                all_of = block_of(block)
+                raw, parts = chunks(block, all_of)
+                _, more, begins = _runs_where(block, lists[start : start + len(block)], run_words, all_of)
                 for k, (a, z, _h, _u) in enumerate(parts):
+                    if not lists[start + k]:
+                        out.append(texts[start + k])
+                        n_chunks.append(len(a))
+                        n_removed.append(0)
+                        continue
                     lost = np.zeros(int(z[-1] - a[0]) if len(a) else 0, bool)
-                    for i in set(lists[start + k] or ()):
+                    for i in set(lists[start + k]):
                         if i >= RUN:
                             f, m = i - RUN >> 20, more[k]
                             lost[m.start[f] - begins[k] : m.upto[f + (i & 0xFFFFF) - 1] - begins[k]] = True

@@ -290,6 +290,23 @@ def test_runs_only_where_they_are_wanted():
         assert x[0] == y[0] and all((p == q).all() for u, v in zip(x[1], y[1]) for p, q in zip(u, v))
 
 
+def test_runs_share_the_sums_of_a_block(monkeypatch):
+    """Where most texts of a block want runs, its running sums are made once; whole texts are hashed together as each alone."""
+    from cohortmill.llm import line_dedup as module
+
+    sums, made = module.running_sums, []
+    monkeypatch.setattr(module, "running_sums", lambda data: made.append(len(data)) or sums(data))
+    some = [" é. " + prose(i, 120) + "\n" + prose(100 + i, 60) for i in range(10)]
+    block = module.block_of(some)
+    raw, found, starts = module._runs_where(some, [[module.RUN]] * 8 + [None, [0]], 50, block)
+    assert len(made) == 1 and starts[:10] == block[1].tolist()[:10] and raw == block[0].tobytes() and [m is None for m in found] == [False] * 8 + [True] * 2
+    for text, at, m in list(zip(some, starts, found))[:8]:
+        own, (x,) = module.runs([text], 50)
+        assert (m.hashes == x.hashes).all() and (m.start - at == x.start).all() and [raw[a:z] for a, z in zip(m.start, m.end)] == [own[a:z] for a, z in zip(x.start, x.end)]
+    hashes = np.arange(1, 7, dtype=np.uint64)
+    assert module._wholes(hashes, np.array([0, 0, 1, 2, 0, 1])).tolist() == [int(module._whole(x)) for x in (hashes[:1], hashes[1:4], hashes[4:])]
+
+
 def test_line_dedup_recall(spark):
     """Passages of 51 words and more planted between other texts, without a look at chunks()."""
     from cohortmill.llm.line_dedup import line_dedup

@@ -31,7 +31,7 @@ POOLED = "*"
 #: The noncharacter that stands before a text.
 PAD = 0x10FFFF
 #: Characters of a chunk, and of all chunks that a task holds open.
-CHUNK, HELD = 600_000, 2_400_000
+CHUNK, HELD = 660_000, 2_640_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,18 +117,37 @@ def _unsqueezed(b: bytes, dtype) -> np.ndarray:
 
 
 def _narrowed(a: np.ndarray) -> bytes:
-    """Floats to 16 bits of their significand, as `_squeezed` bytes: the three leading bytes of each, rounded."""
-    bits = np.ascontiguousarray(a, np.float32).view(np.uint32) + np.uint32(0x80)
-    raw = np.ascontiguousarray(bits).view(np.uint8).reshape(-1, 4)[:, 1:].T.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Floats to 16 bits of their significand, rounded, compressed in parts that are alike: which are negative, the three leading bytes of these, which of the others differ from the one before, and the leading bytes of those that do."""
+    bits = np.ascontiguousarray(a, np.float32).view(np.uint32) + np.uint32(0x80) >> np.uint32(8)
+    below = bits >> np.uint32(23) == 1
+    rest = bits[~below]
+    new = np.append(True, rest[1:] != rest[:-1])[: len(rest)]
+    parts = [np.packbits(below), np.packbits(new)]
+    for x in (bits[below], rest[new]):
+        parts += [(x >> np.uint32(k)).astype(np.uint8) for k in (0, 8, 16)]
+    out, codec = [len(bits).to_bytes(8, "little")], pa.Codec("zstd", compression_level=3)
+    for x in parts:
+        raw = codec.compress(x.tobytes(), asbytes=True)
+        out += [len(raw).to_bytes(4, "little"), raw]
+    return b"".join(out)
 
 
 def _widened(b: bytes) -> np.ndarray:
-    size = int.from_bytes(b[:8], "little")
-    raw = np.frombuffer(pa.decompress(b[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8).reshape(3, -1)
-    out = np.zeros((raw.shape[1], 4), np.uint8)
-    out[:, 1:] = raw.T
-    return out.view(np.float32).reshape(-1)
+    n, at = int.from_bytes(b[:8], "little"), 8
+
+    def part(size: int) -> np.ndarray:
+        nonlocal at
+        start, at = at + 4, at + 4 + int.from_bytes(b[at : at + 4], "little")
+        return np.frombuffer(pa.decompress(b[start:at], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+
+    below = np.unpackbits(part(-(-n // 8)), count=n).astype(bool)
+    k = n - int(np.count_nonzero(below))
+    new = np.unpackbits(part(-(-k // 8)), count=k).astype(bool)
+    value = lambda size: sum(part(size).astype(np.uint32) << np.uint32(8 + i) for i in (0, 8, 16))
+    out = np.zeros(n, np.uint32)
+    out[below] = value(n - k)
+    out[~below] = value(int(np.count_nonzero(new)))[np.cumsum(new) - 1]
+    return out.view(np.float32)
 
 
 def _packed(codes: list[np.ndarray]) -> bytes:
@@ -319,7 +338,7 @@ class _Table:
 
 
 def _answers(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
-    """Of each chunk's questions to a shard: one number for each n-gram, to 1 part in 100,000.
+    """Of each chunk's questions to a shard: one number for each n-gram, to 16 bits, 1 part in 65,536.
 
     Of an n-gram seen, that is its log probability, with the sign bit set. Of one not seen, it is the log weight that its context leaves to the order
     below, with the sign bit clear: nothing else of the context is ever used.
@@ -341,11 +360,11 @@ def _answers(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
     return pa.table([asked.column("chunk"), pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["chunk", "shard", "answers"])
 
 
-def _log_probabilities(g: Grams, answers: dict[int, bytes], shards: int) -> np.ndarray:
-    """The log probability of each n-gram of the highest order in a chunk."""
+def _log_probabilities(g: Grams, answers: dict[int, bytes], shards: int, at: list[np.ndarray] | None = None) -> np.ndarray:
+    """The log probability of each n-gram of the highest order in a chunk; `at` has the shards of its n-grams, where they are known."""
     order = len(g.codes) - 1
     told = [np.full(len(c), np.nan, np.float32) for c in g.codes]
-    at = [shard_of(c, shards) for c in g.codes]
+    at = at or [shard_of(c, shards) for c in g.codes]
     for s, raw in answers.items():
         a, k = _widened(raw), 0
         for n in range(order + 1):
@@ -425,9 +444,10 @@ def score_texts(rows: DataFrame, table: DataFrame, order: int, text_at: int, sha
                     parts.append((b, []))
                 parts[-1][1].append(i)
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, parts[0][0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as w:
-                for b, i in parts:
-                    w.write_batch(b.take(pa.array(i)))
+            # as one batch, so that all texts of a chunk are compressed together
+            own = pa.Table.from_batches([b.take(pa.array(i)) for b, i in parts]).combine_chunks()
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as w:
+                w.write_table(own)
             yield pa.RecordBatch.from_arrays([pa.array([_chunk_id(model, texts)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
 
     fields = rows.schema.fields
@@ -440,11 +460,12 @@ def score_texts(rows: DataFrame, table: DataFrame, order: int, text_at: int, sha
             t = pa.ipc.open_stream(raw.as_buffer()).read_all()
             texts = [x or "" for x in pc.struct_field(t.column("row"), [text_at]).to_pylist()]
             g = grams_of(texts, order)
-            used = set(np.concatenate([shard_of(c, shards) for c in g.codes]).tolist())
+            at = [shard_of(c, shards) for c in g.codes]
+            used = set(np.unique(np.concatenate(at)).tolist())
             if any(texts) and used != answers.keys():
                 raise RuntimeError("the texts differ between two reads; store them first")
             n = np.diff(g.bounds)
-            sums = np.concatenate([[0.0], np.cumsum(_log_probabilities(g, answers, shards)[g.top], dtype=np.float64)]) if any(texts) else np.zeros(1)
+            sums = np.concatenate([[0.0], np.cumsum(_log_probabilities(g, answers, shards, at)[g.top], dtype=np.float64)]) if any(texts) else np.zeros(1)
             h = np.where(n > 0, -np.diff(sums[g.bounds]) / np.maximum(n, 1), np.nan)
             if not keep_text:
                 row = t.column("row").combine_chunks()

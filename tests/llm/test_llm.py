@@ -611,6 +611,23 @@ def test_kneser_ney_answers():
     assert {k: round(v, 4) for k, v in lp.items() if k[-1] != pad} == {pad + "a": -1.0, "ab": -0.25, "ba": -1.0, "ac": -3.5}
 
 
+def test_kneser_ney_answers_are_small():
+    """Log probabilities and weights come back as they went to 16 bits, in fewer bytes than as three planes of all of them."""
+    import pyarrow as pa
+
+    from cohortmill.llm.kneser_ney import _narrowed, _widened
+
+    rng = np.random.default_rng(3)
+    a = -rng.gamma(1.5, 2.0, 50_000).astype(np.float32)
+    at = np.flatnonzero(rng.random(50_000) < 0.2)
+    a[at] = np.repeat(rng.random(len(at) // 3 + 1), 3)[: len(at)]
+    for x in (a, a[at], a[:1], a[:0], np.array([0.0, -0.0, np.nan, -np.inf], np.float32)):
+        back = _widened(_narrowed(x))
+        assert back.shape == x.shape and (np.signbit(back) == np.signbit(x)).all() and np.allclose(back, x, rtol=2**-16, atol=0, equal_nan=True)
+    planes = (a.view(np.uint32) + np.uint32(0x80)).view(np.uint8).reshape(-1, 4)[:, 1:].T.tobytes()
+    assert len(_narrowed(a)) < 0.95 * len(pa.compress(planes, codec="zstd", asbytes=True))
+
+
 # ---- 8 ------------------------------------------------------------------------------------------------------------
 
 

@@ -28,6 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def new_path(spark: SparkSession) -> str:
@@ -45,11 +46,19 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back, so that a lost executor costs no recomputation of its lineage."""
+    """Write `df` to the shared folder and read it back, so that a lost executor costs no recomputation of its lineage.
+
+    Nothing reads the shuffle files of the write again, so Spark deletes them as it ends; the session's own setting stays.
+    """
     spark = df.sparkSession
     small_batches(spark)
     path = new_path(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

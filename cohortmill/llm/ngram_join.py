@@ -133,18 +133,20 @@ def _may_link(num: int, den: int):
     return (F.lit(den) * low >= F.lit(num) * high) & ((num + den) * (F.col("na") + F.col("nb") - differ) >= 2 * num * (F.col("na") + F.col("nb")))
 
 
-def _close(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Of (a, b, na, nb, wa, wb) the pairs (a, b) that the wide bitmaps of long sets do not rule out."""
+def _close(pairs: DataFrame, one: DataFrame, num: int, den: int) -> DataFrame:
+    """Of (a, b, sizes: the sum of both) the pairs (a, b) that the wide bitmaps of long sets, in `one` (node, wide), do not rule out."""
+    side = lambda x: one.where("wide IS NOT NULL").select(F.col("node").alias(x), F.col("wide").alias("w" + x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for na, nb, wa, wb in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5))):
+            for sizes, wa, wb in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
                 differ = 0 if wa is None or wb is None else int(np.bitwise_count(np.frombuffer(wa, np.uint64) ^ np.frombuffer(wb, np.uint64)).sum())
-                keep.append((num + den) * (na + nb - differ) >= 2 * num * (na + nb))
+                keep.append((num + den) * (sizes - differ) >= 2 * num * sizes)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(tidied(run), "a long, b long")
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.select("a", "b", "sizes", "wa", "wb").mapInArrow(tidied(run), "a long, b long")
 
 
 #: Of 256 parts of the range of hashes, those of the first block of columns.
@@ -224,45 +226,53 @@ def _groups(d: DataFrame, n: int, num: int, den: int, sample_docs: int, most_fre
     # a set is known by the number of one of its rows as stored
     nodes = wide.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("rid", "node")).alias("one"), F.min("n_shingles").alias("size"), F.min("doc_id").alias("min_id"), F.count(F.lit(1)).alias("copies"))
     nodes = materialise(nodes.select("digest", "one.rid", "size", "min_id", "copies", "one.node"))
-    one = materialise(wide.select("node", "n_shingles", "prefix", "bitmap", "wide").join(nodes.select("node"), "node", "left_semi"))
-    discard(wide)
+    # the other rows of sets are told by their numbers, which are few and small, so the signatures stay where they are
+    known = wide.where("digest IS NOT NULL")
+    others = materialise(known.select("node").join(nodes.select("node"), "node", "left_anti"))
+    others_of, _ = checked_broadcast(others, 1_000_000)
+    one = materialise(known.select("node", "n_shingles", "prefix", "bitmap", "wide").join(others_of, "node", "left_anti"))
+    discard(wide, others)
+    column = W.partitionBy("s")
     entries = one.select(F.posexplode("prefix").alias("pos", "s"), "node")
-    shared = entries.groupBy("s").agg(F.count(F.lit(1)).alias("block"), F.min("node").alias("leader")).where("block > 1")
-    entries = materialise(entries.join(shared, "s"))
+    entries = materialise(entries.select("s", "pos", "node", F.count(F.lit(1)).over(column).alias("block"), F.min("node").over(column).alias("leader")).where("block > 1"))
     words = [F.col("bitmap")[i] for i in range(BITS)]
 
     def side(x: str) -> DataFrame:
-        return one.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("wide").alias(f"w{x}"), *(w.alias(f"w{x}{i}") for i, w in enumerate(words)))
+        return one.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), *(w.alias(f"w{x}{i}") for i, w in enumerate(words)))
 
     star = entries.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = materialise(_close(star.join(side("a"), "a").join(side("b"), "b").where(_may_link(num, den)), num, den))
+    star = star.join(side("a"), "a").join(side("b"), "b").where(_may_link(num, den))
+    pairs = materialise(_close(star.select("a", "b", (F.col("na") + F.col("nb")).alias("sizes")), one, num, den))
     links = _verified(pairs, d, nodes, n, num, den)
     discard(pairs)
     # what links to one leader is joined already; chains of leaders are left to the end
     roots = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
     marked = entries.join(roots, "node", "left").select("s", "pos", "block", "node", F.coalesce("root", "node").alias("root"))
-    mixed = marked.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("s")
-    marked = materialise(marked.join(mixed, "s", "left_semi"))
+    mixed = marked.withColumn("r0", F.min("root").over(column)).withColumn("r1", F.max("root").over(column)).where("r0 != r1")
+    marked = materialise(mixed.drop("r0", "r1"))
     discard(entries)
     rest = marked
     # a pair is made at the first of the columns that both are in; sets in very many columns do without
     lists = rest.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("all")).select("node", F.when(F.size("all") <= 64, F.col("all")).alias("all"))
-    rest = rest.join(lists, "node").join(side("node").drop("wnode"), "node")
+    rest = rest.join(lists, "node").join(side("node"), "node")
     rest = rest.withColumn("tiles", F.ceil(F.col("block") / tile)).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")))
     rest = materialise(rest)
     discard(marked)
 
+    # a row stands in one cell for each tile of its column: its own tile with that one. Both sides of the join are this table, so it is shuffled once
+    cells = rest.withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    cells = cells.withColumn("t0", F.least("t", "u")).withColumn("t1", F.greatest("t", "u"))
+
     def tiled(x: str) -> DataFrame:
-        other = F.explode(F.sequence(F.col("t"), F.col("tiles") - 1) if x == "a" else F.sequence(F.lit(0).cast("long"), F.col("t"))).alias("u")
-        r = rest.select("s", "t", other, F.col("node").alias(x), F.col("pos").alias(f"p{x}"), F.col("root").alias(f"root{x}"), F.col("nnode").alias(f"n{x}"), F.col("all").alias(f"all{x}"), *(F.col(f"wnode{i}").alias(f"w{x}{i}") for i in range(BITS)))
-        return r.withColumnsRenamed({"t": "ta", "u": "tb"} if x == "a" else {"t": "tb", "u": "ta"})
+        return cells.select("s", "t0", "t1", F.col("t").alias(f"t{x}"), F.col("node").alias(x), F.col("pos").alias(f"p{x}"), F.col("root").alias(f"root{x}"), F.col("nnode").alias(f"n{x}"), F.col("all").alias(f"all{x}"), *(F.col(f"wnode{i}").alias(f"w{x}{i}") for i in range(BITS)))
 
     # nothing before the first column is shared, so what stands from there on in both bounds the overlap; at later columns a pair may be lost, as it is made at the first
     at_first = (num + den) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= num * (F.col("na") + F.col("nb"))
-    cross = tiled("a").join(tiled("b"), ["s", "ta", "tb"]).where((F.col("roota") != F.col("rootb")) & ((F.col("ta") < F.col("tb")) | (F.col("a") < F.col("b"))) & _may_link(num, den) & at_first & F.coalesce(F.get(F.array_intersect("alla", "allb"), F.lit(0)) == F.col("s"), F.lit(True)))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs2 = materialise(_close(cross.join(side("a"), "a").join(side("b"), "b"), num, den))
+    once = (F.col("ta") < F.col("tb")) | (F.col("t0") == F.col("t1")) & (F.col("a") < F.col("b"))
+    cross = tiled("a").join(tiled("b"), ["s", "t0", "t1"]).where((F.col("roota") != F.col("rootb")) & once & _may_link(num, den) & at_first & F.coalesce(F.get(F.array_intersect("alla", "allb"), F.lit(0)) == F.col("s"), F.lit(True)))
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("sizes")).distinct()
+    pairs2 = materialise(_close(cross, one, num, den))
     discard(rest, one)
     links2 = _verified(pairs2, d, nodes, n, num, den)
     discard(pairs2)

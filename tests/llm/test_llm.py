@@ -139,6 +139,38 @@ def test_keep_one_leaves_small_tables(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in out.collect()) == list(range(12))
 
 
+def test_columns_are_shuffled_once(spark, monkeypatch):
+    """No table of a join shuffles the entries of columns twice: not to count them, not to find mixed ones, and not for the two sides of a tile."""
+    from cohortmill.llm import ngram_join as module
+
+    plans = []
+    monkeypatch.setattr(module, "materialise", lambda df, of=module.materialise: (plans.append(df._jdf.queryExecution().executedPlan().toString()), of(df))[1])
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    had = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        out = module.ngram_join(frame(spark, {i: prose(i % 12, 60) + (" end" if i >= 12 else "") for i in range(24)}), tile=4).collect()
+    finally:
+        for k, v in had.items():
+            spark.conf.set(k, v)
+    assert {r["doc_id"]: r["component_id"] for r in out} == {i: i % 12 for i in range(24)}
+    by_column = [len(re.findall(r"- Exchange hashpartitioning\(s#", p)) for p in plans]
+    assert by_column.count(1) >= 3 and max(by_column) == 1
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from cohortmill.llm.common import materialise
+
+    blocks = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+    own = lambda: set(re.findall(r"/(shuffle_\d+)_", blocks()))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    had, was = own(), spark.conf.get(key)
+    out = materialise(spark.range(1000).repartition(3, "id").groupBy("id").count())
+    assert not own() - had and spark.conf.get(key) == was
+    assert out.count() == out.distinct().count() == 1000
+
+
 def test_overlap_counts():
     from cohortmill.llm.common import joined, word_hashes, word_spans
     from cohortmill.llm.ngram_join import _IS_WORD, _overlaps

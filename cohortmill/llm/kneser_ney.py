@@ -6,7 +6,8 @@ by a hash; each is scored by the model of the other half's trusted texts, so tha
 Counts are dealt out by model and context and turned into probabilities and back-off weights by joins on n-grams. To be
 scored, the texts of a partition are put into chunks of one model each. A chunk asks for each of its distinct n-grams once:
 the questions are dealt out to the shards of the table, joined there, and the answers go back to the chunk. So nothing but
-sums for each model is sent to the driver, no task holds a whole model, and a frequent n-gram is one question a chunk.
+sums for each model is sent to the driver, no task holds a whole model, and a frequent n-gram is one question a chunk. The
+two halves are scored one after the other.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from cohortmill.llm.common import checked_broadcast, discard, joined, materialis
 ORDER = 5
 #: The model of all trusted texts, for texts whose language has none of its own.
 POOLED = "*"
+#: Names of the halves of the texts.
+HALVES = "01"
 #: The noncharacter that stands before a text.
 PAD = 0x10FFFF
 #: Characters of a chunk, and of all chunks that a task holds open.
@@ -519,10 +522,10 @@ def judged(docs: DataFrame, trusted: DataFrame, order: int = ORDER, tail: float
     d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), lang.alias("lang"), F.pmod(F.xxhash64(text, F.lit(5)), F.lit(2)).cast("string").alias("half"))
     inner = F.col("row").getField(text_col)
     d = d.join(ids, d["id"] == ids["_id"], "left").select("row", "lang", "half", (F.col("_id").isNotNull() & (inner != "")).alias("good"))
-    sizes = d.groupBy("lang").agg(F.sum(F.length(inner)).alias("chars"), F.max("good").alias("any"), F.countDistinct(F.when(F.col("good"), F.col("half"))).alias("halves"), F.sum(F.when(F.col("good"), F.length(inner))).alias("learnt"))
+    sizes = d.groupBy("lang").agg(*(F.sum(F.when(F.col("half") == x, F.length(inner))).alias("chars" + x) for x in HALVES), F.max("good").alias("any"), F.countDistinct(F.when(F.col("good"), F.col("half"))).alias("halves"), F.sum(F.when(F.col("good"), F.length(inner))).alias("learnt"))
     sizes = materialise(sizes)
-    total = sizes.agg(F.sum("chars"), F.sum("learnt"), F.max(F.when((F.col("halves") < 2) | (F.col("lang") == POOLED), 1)))
-    chars, learnt, pooled = total.first()
+    total = sizes.agg(*(F.sum("chars" + x) for x in HALVES), F.sum("learnt"), F.max(F.when((F.col("halves") < 2) | (F.col("lang") == POOLED), 1)))
+    *chars, learnt, pooled = total.first()
     own, few_own = checked_broadcast(sizes.where((F.col("halves") == 2) & (F.col("lang") != POOLED)).select(F.col("lang").alias("own")), 50_000)
     d = d.join(own, d["lang"] == own["own"], "left").drop("lang")
     if not (few_ids and few_own):
@@ -535,11 +538,16 @@ def judged(docs: DataFrame, trusted: DataFrame, order: int = ORDER, tail: float
     top = materialise(count_ngrams(teach, order, -(-(learnt or 0) // 64_000_000) or 1))
     table = model_table(top, order)
     discard(top)
-    shards = max(1, -(-table.count() // 400_000))
-    salts = max(1, -(-(chars or 0) // (shards * 300_000_000)))
-    rows = d.select("row", name((1 - F.col("half").cast("int")).cast("string")).alias("model"), "good")
     text_at = docs.columns.index(text_col)
-    scored = materialise(score_texts(rows, table, order, text_at, shards, salts, keep_text))
+    scored = None
+    # one half's texts meet the other half's models only, so each half has its turn, and what is shuffled for one is gone before the other's
+    for x, n in zip(HALVES, chars):
+        rows = d.where(F.col("half") == x).select("row", name((1 - F.col("half").cast("int")).cast("string")).alias("model"), "good")
+        known = table.where(F.col("model").endswith(f":{1 - int(x)}"))
+        shards = max(1, -(-known.count() // 400_000))
+        salts = max(1, -(-(n or 0) // (shards * 300_000_000)))
+        part = materialise(score_texts(rows, known, order, text_at, shards, salts, keep_text))
+        scored = part if scored is None else scored.unionByName(part)
     discard(table)
     return _verdict(scored.withColumn("model", F.split("model", ":(?=[01]$)")[0]), tail, repetition)
 

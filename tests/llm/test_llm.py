@@ -609,6 +609,21 @@ def test_kneser_ney_limits(spark):
     assert all(out[100 * k + 50]["perplexity"] > 3 * max(out[100 * k + i]["perplexity"] for i in range(12)) for k in range(18))
 
 
+def test_kneser_ney_scores_a_half_at_a_time(spark, monkeypatch):
+    """Each pass holds the texts of one half and the models of the other alone; both together hold each text once, also one half without any trusted text."""
+    from cohortmill.llm import kneser_ney as module
+
+    seen = []
+    models = lambda df: {r["model"][-2:] for r in df.select("model").distinct().collect()}
+    monkeypatch.setattr(module, "score_texts", lambda rows, table, *more, of=module.score_texts: (seen.append((models(rows), models(table))), of(rows, table, *more))[1])
+    df = frame(spark, {i: prose(i, 40) for i in range(20)} | {20: None, 21: ""})
+    for trusted in (range(20), [3]):
+        seen.clear()
+        out = module.score_quality(df, spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()
+        assert sorted(r["doc_id"] for r in out) == list(range(22))
+        assert len(seen) == 2 and [r for r, _ in seen] == [{":1"}, {":0"}] and all(t <= r for r, t in seen)
+
+
 def test_grams_of_a_chunk():
     from cohortmill.llm.kneser_ney import PAD, _packed, _unpacked, distinct_share, grams_of
 

@@ -147,5 +147,7 @@ def screen_tables(spark: SparkSession, sf: str) -> Tables:
 
 
 def sensitivity_tables(spark: SparkSession, sf: str) -> Tables:
-    split = B.split(spark, sf)
-    return job_sensitivity(B.pairs(spark, sf), cached(B.cells(spark, sf)), cached(B.members(spark, sf)), split)
+    """Members of the primary comparison have no part in it, so the split, made once, gives all that it needs."""
+    split = cached(B.split(spark, sf))
+    members = C.membership(*(C.cohort_project(split, c) for c in ("wildtype", "other-driver")))
+    return job_sensitivity(B.pairs(spark, sf), cached(B.cells(spark, sf)), cached(members), split)
